@@ -37,11 +37,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     w = sizes.withColumn("weight", weight).withColumn("full", most * F.col("source_size") / F.col("weight"))
     every = Window.partitionBy()
-    before = Window.orderBy("full", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    by_full = Window.orderBy("full", F.col("source").isNull(), "source")
+    before = by_full.rowsBetween(Window.unboundedPreceding, -1)
     level = (share * F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    w = w.withColumn("level", level)
+    w = w.withColumn("level", level).withColumn("rank", F.row_number().over(by_full))
     # the first along the order: later rows count sources as full that are not
-    found = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(every)["level"]
+    found = F.min(F.when(F.col("level") <= F.col("full"), F.struct("rank", "level"))).over(every)["level"]
     target = F.when(found.isNull(), most * F.col("source_size")).otherwise(F.least(F.col("weight") * found, most * F.col("source_size")))
     return w.select("source", "source_size", "weight", target.cast("double").alias("target"))
 

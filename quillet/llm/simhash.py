@@ -4,8 +4,8 @@ A 64-bit fingerprint is cut into fewer segments than there are differing bits al
 fingerprints one segment differs by at most one bit. Each segment is indexed once for every position with that
 position deleted (a wildcard); two segments within one bit share a variant, and equality joins on variants find them.
 
-No bucket is expanded into pairs. Every member is first compared with the least member of its bucket; what that links is
-merged. Only buckets of three or more that still hold several components are looked at again, and there only members
+No bucket is expanded into pairs. Every member is first compared with up to four centres of its bucket; what that links
+is merged. Only buckets of three or more that still hold several components are looked at again, and there only members
 outside the bucket's largest component are compared. No link between two different fingerprints is lost: two members of
 a bucket are either in one component already, or at least one of them is outside the largest and meets all others.
 """
@@ -86,6 +86,19 @@ def _variants(prints: DataFrame, layout: tuple[int, int]) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _meeting_key(a: Column, b: Column, layout: tuple[int, int]) -> Column:
+    """The key of the first segment in which a and b differ by at most one bit, with that bit (or its lowest) deleted."""
+    found = []
+    for s, mask in enumerate(segments(*layout)):
+        low = (mask & -mask).bit_length() - 1
+        diff = a.bitwiseXOR(b).bitwiseAND(F.lit(_signed(mask)))
+        bit = F.when(diff == 0, F.lit(_signed(1 << low))).otherwise(diff)
+        place = F.when(diff == 0, F.lit(low)).when(diff < 0, F.lit(63)).otherwise(F.bit_count(diff - 1))
+        rest = a.bitwiseAND(F.lit(_signed(mask))).bitwiseAND(F.bitwise_not(bit))
+        found.append(F.when(F.bit_count(diff) <= 1, F.xxhash64((F.lit(64 * s) + place).cast("int"), rest)))
+    return F.coalesce(*found)
+
+
 def _near(a: Column, b: Column, bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= bits
 
@@ -94,10 +107,13 @@ def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] |
     """prints (fp), distinct -> (node, root) of every fingerprint that has a link."""
     if bits > 4:
         raise ValueError("the segment layouts guarantee at most four differing bits")
-    variants = _variants(prints, layout or layout_for(prints.count()))
-    buckets = stored(variants.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    first = variants.join(buckets, (variants["key"] == buckets["key"]) & (variants["fp"] != buckets["least"]) & _near(F.col("fp"), F.col("least"), bits))
-    star = stored(first.select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct(), "star")
+    layout = layout or layout_for(prints.count())
+    variants = _variants(prints, layout)
+    centres = F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp")), F.max_by("fp", F.xxhash64("fp"))))
+    buckets = stored(variants.groupBy("key").agg(centres.alias("centres"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    linked = lambda c: (c != F.col("fp")) & _near(c, F.col("fp"), bits)
+    first = variants.join(buckets, (variants["key"] == buckets["key"]) & F.exists("centres", linked))
+    star = stored(first.select(F.col("fp").alias("u"), F.explode(F.filter("centres", linked)).alias("v")).distinct(), "star")
     comps = connected_components(star)
 
     large = buckets.where("n > 2").select("key")
@@ -108,7 +124,9 @@ def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] |
     rows = stored(member.join(mixed, "key"), "mixed")
     a = rows.where("root != major").select(F.col("key").alias("ka"), F.col("fp").alias("fa"), F.col("root").alias("u"))
     b = rows.select(F.col("key").alias("kb"), F.col("fp").alias("fb"), F.col("root").alias("v"))
-    cross = stored(a.join(b, (F.col("ka") == F.col("kb")) & (F.col("u") != F.col("v")) & _near(F.col("fa"), F.col("fb"), bits)).select("u", "v").distinct(), "cross")
+    # a pair meets in many buckets; it counts in the first one only
+    met = (F.col("ka") == F.col("kb")) & (F.col("u") != F.col("v")) & _near(F.col("fa"), F.col("fb"), bits)
+    cross = stored(a.join(b, met & (F.col("ka") == _meeting_key(F.col("fa"), F.col("fb"), layout))).select("u", "v").distinct(), "cross")
     if cross.isEmpty():
         return comps
     return connected_components(comps.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(cross))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, simhash, tokens
+from . import decontam, mixing, pii, quality, simhash, tokens
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -30,4 +35,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_token_files, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op6_token_files, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}

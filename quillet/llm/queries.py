@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, simhash, tokens
+from . import decontam, linedup, mixing, pii, quality, simhash, tokens, urls
 from .common import table
 
 
@@ -17,10 +17,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_words", "removed", "removed_words", "sources")
+
+
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,4 +44,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op6_token_files, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linedup, mixing, pii, quality, simhash, tokens, urls
+from . import decontam, langid, linedup, mixing, pii, pst, quality, simhash, tokens, urls
 from .common import table
 
 
@@ -21,6 +21,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return pst.score_documents(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -44,4 +53,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op4_suffix_tree_scores, op5_language_id, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}

@@ -1,4 +1,300 @@
-"""Registered queries of the core package and their SQL."""
+"""Registered queries of the core package and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import languages, prompts, text
+from .operators import bleu as bleu_op
+from .operators import multiset, routing, scores, stats, trees
+from .plans.pairs import adjacent_pairs, history_pairs
+
+EOS = "<|end|>"
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_STATS = 'round(min(value), 6) AS "Min", round(max(value), 6) AS "Max", round(avg(value), 6) AS "Average", round(coalesce(stddev_samp(value), 0.0), 6) AS "Standard_Deviation", count(value) AS "Count"'
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"SELECT event_type, {_STATS} FROM events GROUP BY event_type HAVING count(value) > 0")
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.statistics(_table(spark, sf_dir, "events"), "value", "event_type"))
+
+
+@query(f"SELECT event_type, {_STATS}, false AS is_total FROM events GROUP BY event_type UNION ALL SELECT NULL AS event_type, {_STATS}, true AS is_total FROM events")
+def run_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.statistics_rollup(_table(spark, sf_dir, "events"), "event_type", "value"))
+
+
+def _tokens(column: str) -> str:
+    return f"regexp_extract_all({column}, '{text.TOKEN}')"
+
+
+_CODE = "('/* a // ' || text || ' */' || chr(10) || 'x // y' || chr(10) || text)"
+_STRIPPED = "regexp_replace(regexp_replace({0}, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, md5({_STRIPPED.format(_CODE)}) AS stripped FROM documents")
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit("/* a // "), "text", F.lit(" */\nx // y\n"), "text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_comments(code)).alias("stripped"))
+
+
+_ADJACENT = "SELECT a.conv_id * 1000 + a.turn AS pair_id, 0 AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
+_HISTORY = "SELECT b.conv_id * 1000 + b.turn AS pair_id, a.turn AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.role = 'user' AND b.role = 'assistant'"
+
+
+def _clip_sql(pairs: str) -> str:
+    return f"""WITH p AS ({pairs}),
+h AS (SELECT pair_id, token, count(*) AS n FROM (SELECT pair_id, unnest({_tokens('hyp')}) AS token FROM (SELECT DISTINCT pair_id, hyp FROM p)) GROUP BY 1, 2),
+r AS (SELECT pair_id, token, max(n) AS n FROM (SELECT pair_id, side, token, count(*) AS n FROM (SELECT pair_id, side, unnest({_tokens('ref')}) AS token FROM p) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c AS (SELECT h.pair_id, h.token, h.n, least(h.n, coalesce(r.n, 0)) AS common FROM h LEFT JOIN r ON h.pair_id = r.pair_id AND h.token = r.token),
+w AS (SELECT pair_id, n, common, CASE WHEN token IN ({_quoted(languages.DART_KEYWORDS)}) THEN 5.0 ELSE 1.0 END AS w FROM c)
+SELECT i.pair_id, round(coalesce(v.value, 0.0), 6) AS value FROM (SELECT DISTINCT pair_id FROM p) i LEFT JOIN (SELECT pair_id, sum(w * common) / sum(w * n) AS value FROM w GROUP BY 1) v ON i.pair_id = v.pair_id"""
+
+
+@query(_clip_sql(_ADJACENT))
+def weighted_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(multiset.weighted_precision(adjacent_pairs(spark, sf_dir), languages.DART_KEYWORDS))
+
+
+@query(_clip_sql(_HISTORY))
+def weighted_precision_multiref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(multiset.weighted_precision(history_pairs(spark, sf_dir), languages.DART_KEYWORDS))
+
+
+def _gram_sql(pairs: str) -> str:
+    grams = lambda kind: " UNION ALL ".join(f"SELECT pair_id, side, {n} AS n_order, array_to_string(list_slice(t, i, i + {n - 1}), ' ') AS gram FROM (SELECT pair_id, side, t, unnest(range(1, len(t) - {n} + 2)) AS i FROM {kind} WHERE len(t) >= {n})" for n in range(1, 5))
+    return f"""p AS ({pairs}),
+ht AS (SELECT DISTINCT pair_id, -1 AS side, {_tokens('hyp')} AS t FROM p), rt AS (SELECT pair_id, side, {_tokens('ref')} AS t FROM p),
+h AS (SELECT pair_id, n_order, gram, count(*) AS n FROM ({grams('ht')}) GROUP BY 1, 2, 3),
+r AS (SELECT pair_id, n_order, gram, max(n) AS n FROM (SELECT pair_id, side, n_order, gram, count(*) AS n FROM ({grams('rt')}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+g AS (SELECT h.pair_id, h.n_order, CAST(sum(least(h.n, coalesce(r.n, 0))) AS BIGINT) AS num, CAST(sum(h.n) AS BIGINT) AS den FROM h LEFT JOIN r ON h.pair_id = r.pair_id AND h.n_order = r.n_order AND h.gram = r.gram GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_gram_sql(_HISTORY)} SELECT pair_id, n_order, num, den FROM g")
+def ngram_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.gram_clip(history_pairs(spark, sf_dir))
+
+
+_BLEU = f"""WITH {_gram_sql(_HISTORY)},
+len_h AS (SELECT pair_id, len(t) AS h FROM ht), len_r AS (SELECT pair_id, len(t) AS r FROM rt),
+near AS (SELECT pair_id, h, r FROM (SELECT l.pair_id, l.h, x.r, row_number() OVER (PARTITION BY l.pair_id ORDER BY abs(x.r - l.h), x.r) AS k FROM len_h l JOIN len_r x ON l.pair_id = x.pair_id) WHERE k = 1),
+o AS (SELECT n.pair_id, n.h, n.r, q.n_order, coalesce(g.num, 0) AS num, greatest(coalesce(g.den, 0), 1) AS den FROM near n CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n_order) q LEFT JOIN g ON g.pair_id = n.pair_id AND g.n_order = q.n_order),
+z AS (SELECT pair_id, h, r, n_order, num, den, sum(CASE WHEN num = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY n_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS j FROM o),
+s AS (SELECT pair_id, h, r, n_order, num, CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den WHEN h > 1 THEN ln(h) / (pow(2.0, j) * 5.0) / den ELSE 0.0 END AS p FROM z)
+SELECT pair_id, round(CASE WHEN max(h) = 0 OR max(CASE WHEN n_order = 1 THEN num END) = 0 THEN 0.0 ELSE (CASE WHEN max(h) > max(r) THEN 1.0 ELSE exp(1 - CAST(max(r) AS DOUBLE) / max(h)) END) * exp(sum(CASE WHEN p > 0 THEN ln(p) / 4 ELSE 0.0 END)) END, 6) AS value FROM s GROUP BY pair_id"""
+
+
+@query(_BLEU)
+def bleu4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bleu_op.bleu(history_pairs(spark, sf_dir)))
+
+
+def _fill_sql(template: str, *slots: str) -> str:
+    parts = [f"'{x}'" for x in template.replace("'", "''").split("{}")]
+    return " || ".join(x for pair in zip(parts, [*slots, None], strict=True) for x in pair if x)
+
+
+@query(f"SELECT doc_id, md5({_fill_sql(prompts.HEAD, 'lang', 'lang', 'text')} || '{EOS}') AS prompt, md5({_fill_sql(prompts.HEAD + prompts.OPEN_THINK, 'lang', 'lang', 'text')}) AS think FROM documents")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang, code = F.col("lang"), F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(prompts.inference_prompt(lang, code, EOS)).alias("prompt"), F.md5(prompts.inference_prompt(lang, code, thinking=True)).alias("think"))
+
+
+_ANSWER = f"(CASE WHEN text LIKE '%{EOS}' THEN text ELSE text || '{EOS}' END)"
+
+
+@query(f"SELECT doc_id, md5({_fill_sql(prompts.HEAD + prompts.FENCED, 'lang', 'lang', 'text', 'lower(lang)', _ANSWER)}) AS v1, md5({_fill_sql(prompts.HEAD + prompts.THOUGHT + prompts.FENCED, 'lang', 'lang', 'text', 'source', 'lower(lang)', _ANSWER)}) AS v2 FROM documents")
+def train_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang, code = F.col("lang"), F.col("text")
+    v1, v2 = (prompts.training_prompt(lang, code, code, EOS, r) for r in (None, F.col("source")))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(v1).alias("v1"), F.md5(v2).alias("v2"))
+
+
+_REPLY = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '### Response: ' || text ELSE 'x### Response:y```dart' || chr(10) || text || '```' || text END"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN NOT contains(reply, '### Response:') THEN reply WHEN contains(reply, '```dart') THEN {_STRIP.format("split_part(split_part(reply, '```dart', 2), '```', 1)")} ELSE {_STRIP.format("split_part(reply, '### Response:', 2)")} END) AS code FROM (SELECT doc_id, {_REPLY} AS reply FROM documents WHERE NOT contains(text, '### Response:'))""")
+def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit(text.RESPONSE)))
+    fenced = F.concat(F.lit("x### Response:y```dart\n"), "text", F.lit("```"), "text")
+    reply = F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("### Response: "), "text")).otherwise(fenced)
+    return docs.select("doc_id", F.md5(text.fenced_block(reply, F.lit("Dart"))).alias("code"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN lower(l) IN ('dart', 'swift') THEN lower(l) END AS routed FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Dart' WHEN 1 THEN 'SWIFT' ELSE 'kotlin' END AS l FROM documents)")
+def lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.when(F.col("doc_id") % 3 == 0, "Dart").when(F.col("doc_id") % 3 == 1, "SWIFT").otherwise("kotlin")
+    return _table(spark, sf_dir, "documents").select("doc_id", routing.route(lang).alias("routed"))
+
+
+_INDEXED = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents"
+
+
+@query(f"SELECT doc_id, idx, idx % 3 AS rank FROM ({_INDEXED})")
+def round_robin_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    shards = [routing.shard(indexed, rank, 3).withColumn("rank", F.lit(rank).cast("long")) for rank in range(3)]
+    return shards[0].unionAll(shards[1]).unionAll(shards[2])
+
+
+@query(f"SELECT doc_id, CAST(floor(idx / 4) AS BIGINT) AS batch FROM ({_INDEXED})")
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return indexed.select("doc_id", routing.batch_number(F.col("idx")).alias("batch"))
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 1 OFFSET 150")
+def nth_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.nth_record(_table(spark, sf_dir, "documents"), 150, "doc_id").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 < ceil(0.2 * (SELECT count(*) FROM documents)) AS is_test FROM documents")
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.exact_split(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+_SNIPPETS = (
+    "import 'package:flutter/material.dart';\nclass A extends StatelessWidget {\n  @override\n  Widget build(BuildContext c) => {};\n}\nvoid main() async {\n  var x = 1;\n  print('${x}');\n}",
+    "import UIKit\nfunc add(a: Int) -> Int {\n  let y: Int = self.a\n  guard let z = y else { return 0 }\n  return z\n}\nstruct V : View {\n}",
+    "plain words",
+)
+_CODE_SQL = " ".join(f"WHEN {i} THEN {_quoted([s])}" for i, s in enumerate(_SNIPPETS))
+
+
+def _points_sql(strong, moderate, named) -> str:
+    terms = [f"CASE WHEN regexp_matches(code, {_quoted(['(?m)' + p])}) THEN {n} ELSE 0 END" for n, ps in ((2, strong), (1, moderate)) for p in ps]
+    some = " OR ".join(f"contains(lower(code), '{x}')" for x in named)
+    return " + ".join([*terms, f"CASE WHEN {some} THEN 3 ELSE 0 END"])
+
+
+@query(f"""SELECT doc_id, CAST(d AS BIGINT) AS dart, CAST(s AS BIGINT) AS swift, CASE WHEN d > s THEN 'dart' WHEN s > d THEN 'swift' END AS detected FROM (SELECT doc_id, {_points_sql(languages.DART_STRONG, languages.DART_MODERATE, ("flutter",))} AS d, {_points_sql(languages.SWIFT_STRONG, languages.SWIFT_MODERATE, ("uikit", "swiftui"))} AS s FROM (SELECT doc_id, text || chr(10) || CASE doc_id % 3 {_CODE_SQL} END AS code FROM documents))""")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snippet = F.get(F.array(*map(F.lit, _SNIPPETS)), (F.col("doc_id") % 3).cast("int"))
+    points = _table(spark, sf_dir, "documents").select("doc_id", languages.language_points(F.concat_ws("\n", "text", snippet)).alias("p"))
+    return points.select("doc_id", "p.dart", "p.swift", languages.detect_language(F.col("p")).alias("detected"))
+
+
+@query("SELECT b.item_id AS pair_id, md5(b.text) AS ref, md5(d.text) AS hyp FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = _table(spark, sf_dir, "benchmark")
+    refs = bench.select(F.col("item_id").alias("idx"), F.array("text").alias("refs"))
+    hyps = _table(spark, sf_dir, "documents").join(bench.select("item_id"), F.col("doc_id") == F.col("item_id"), "left_semi").select(F.col("doc_id").alias("idx"), F.col("text").alias("hyp"))
+    return scores.zip_pairs(refs, hyps).select("pair_id", F.md5(F.col("refs")[0]).alias("ref"), F.md5("hyp").alias("hyp"))
+
+
+@query("SELECT item_id AS id, CAST(length(text) AS BIGINT) AS n FROM benchmark UNION ALL SELECT doc_id AS id, n_chars AS n FROM documents")
+def score_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("long").alias("n"))
+    return own.unionAll(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("n")))
+
+
+_TAGS = "regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)"
+
+
+@query(f"""WITH t AS (SELECT page_id, {_TAGS} AS tags FROM pages),
+h AS (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(tags) AS tag FROM t) GROUP BY 1, 2)
+SELECT a.page_id AS pair_id, round(CAST(sum(least(a.n, coalesce(b.n, 0))) AS DOUBLE) / sum(a.n), 6) AS value FROM h a LEFT JOIN h b ON b.page_id = (CASE WHEN a.page_id % 2 = 0 THEN a.page_id + 1 ELSE a.page_id - 1 END) AND b.tag = a.tag GROUP BY 1""")
+def label_multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's tags against those of its neighbour by number."""
+    tags = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("label"))
+    other = F.when(F.col("page_id") % 2 == 0, F.col("page_id") + 1).otherwise(F.col("page_id") - 1)
+    both = tags.select(F.col("page_id").alias("pair_id"), F.lit(-1).alias("side"), "label").unionAll(tags.select(other.alias("pair_id"), F.lit(0).alias("side"), "label"))
+    return _rounded(multiset.label_match(both))
+
+
+@query("""WITH n AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
+e AS (SELECT DISTINCT user_id, event_type || '>' || nxt AS edge FROM n WHERE nxt IS NOT NULL), u AS (SELECT DISTINCT user_id FROM events),
+c AS (SELECT u.user_id, (SELECT count(*) FROM e WHERE e.user_id = u.user_id) AS h FROM u)
+SELECT h.user_id, round(CASE WHEN h.n = 0 THEN (CASE WHEN coalesce(r.n, 0) = 0 THEN 1.0 ELSE 0.0 END) ELSE CAST(coalesce(m.n, 0) AS DOUBLE) / h.n END, 6) AS value
+FROM (SELECT u.user_id, count(e.edge) AS n FROM u LEFT JOIN e ON e.user_id = u.user_id GROUP BY 1) h
+LEFT JOIN (SELECT user_id, count(*) AS n FROM e GROUP BY 1) r ON r.user_id = h.user_id + 1
+LEFT JOIN (SELECT a.user_id, count(*) AS n FROM e a JOIN e b ON b.user_id = a.user_id + 1 AND b.edge = a.edge GROUP BY 1) m ON m.user_id = h.user_id""")
+def edge_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's transitions between event types against those of the next user by number."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = _table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(">"), F.lead("event_type").over(w)).alias("edge"))
+    sets = steps.groupBy("user_id").agg(F.collect_set("edge").alias("edges"))
+    nxt = sets.select((F.col("user_id") - 1).alias("user_id"), F.col("edges").alias("ref"))
+    none = F.array().cast("array<string>")
+    return _rounded(sets.join(nxt, "user_id", "left").select("user_id", multiset.edge_match(F.coalesce("ref", none), F.col("edges")).alias("value")))
+
+
+@query()
+def node_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", trees.parsed(F.col("html"), "html").alias("nodes"))
+    rows = trees.node_rows(pages)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
+
+
+@query()
+def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal nodes of each page against its neighbour's."""
+    nodes = _table(spark, sf_dir, "pages").select("page_id", trees.parsed(F.col("html"), "html").alias("nodes"))
+    types = nodes.select("page_id", F.explode(trees.internal_types(F.col("nodes"))).alias("label"))
+    other = F.when(F.col("page_id") % 2 == 0, F.col("page_id") + 1).otherwise(F.col("page_id") - 1)
+    both = types.select(F.col("page_id").alias("pair_id"), F.lit(-1).alias("side"), "label").unionAll(types.select(other.alias("pair_id"), F.lit(0).alias("side"), "label"))
+    return _rounded(multiset.label_match(both))
+
+
+@query()
+def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scores.composite(adjacent_pairs(spark, sf_dir), "dart"))
+
+
+@query()
+def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scores.corpus(scores.composite(adjacent_pairs(spark, sf_dir), "swift")))
+
+
+@query(ORACLES["run_stats"].replace(" GROUP BY event_type HAVING count(value) > 0", "").replace("SELECT event_type, ", "SELECT "))
+def stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics file of all events, written and read again (into a folder that the session shares)."""
+    import tempfile
+    import uuid
+
+    from .sources.records import read_statistics, write_statistics
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/statistics-{uuid.uuid4().hex}"
+    write_statistics(stats.statistics(_table(spark, sf_dir, "events"), "value"), path)
+    return _rounded(read_statistics(spark, path).withColumn("Count", F.col("Count").cast("long")))

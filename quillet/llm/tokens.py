@@ -19,7 +19,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ MAGIC = b"QLTOKEF1"
 HEADER = struct.Struct("<6Q")
 BLOCK_BITS = 512
 #: Words kept in a worker's cache of encoded words, and bytes of ids after which a shard file is closed.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 SHARD_BYTES = 32 << 20
 
 
@@ -115,31 +114,47 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the rest from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordCache(dict):
+    """Ids of words as little-endian 32-bit integers; a word not yet seen is encoded by the tokenizer's own model."""
+
+    def __init__(self, model) -> None:
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each distinct word of its pre-tokeniser encoded once.
 
     Byte-level BPE merges only within the pre-tokeniser's words, so a text's ids are its words' ids in order. The pattern
-    is the tokenizer's own. Words are cached up to a fixed number, then the cache starts anew.
+    is the tokenizer's own. Words are cached up to a fixed number, then the cache starts anew. Special tokens' strings in
+    a text are ordinary text.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.cache = regex.compile(pattern).findall, {}
+        self.find, self.cache = regex.compile(pattern).findall, WordCache(self.tokenizer.model)
 
-    def encode(self, text: str) -> list[int]:
-        words = self.find(text)
-        if fresh := [w for w in set(words) if w not in self.cache]:
-            if len(self.cache) + len(fresh) > CACHE_WORDS:
-                self.cache.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                self.cache[w] = tuple(e.ids)
-        return list(chain.from_iterable(map(self.cache.__getitem__, words)))
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.cache.__getitem__, self.find(text)))
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -183,7 +198,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
         from pyspark import TaskContext
 
         part, number, keys, lengths, chunks, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        enc = encoder(path, pattern)
+        enc, end = encoder(path, pattern), struct.pack("<I", end_id)
 
         def close() -> pd.DataFrame:
             ids = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
@@ -193,7 +208,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
 
         for pdf in batches:
             for doc_id, none, text in zip(pdf["doc_id"], pdf["none"], pdf["text"], strict=True):
-                ids = np.array([*enc.encode(text), end_id], np.uint32)
+                ids = np.frombuffer(enc.encode(text) + end, "<u4")
                 keys.append(None if none else int(doc_id))
                 lengths.append(len(ids))
                 chunks.append(ids)

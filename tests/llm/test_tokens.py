@@ -64,5 +64,5 @@ def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
     enc = tokens.WordEncoder(*tokens.default_tokenizer())
     text = "It's  a <|endoftext|> test\r\n\r\n of  12345 things' — naïve \U0001f600 "
-    assert enc.encode(text) == enc.tokenizer.encode(text, add_special_tokens=False).ids
-    assert enc.encode("a b c d e f g h") == enc.tokenizer.encode("a b c d e f g h", add_special_tokens=False).ids
+    for t in (text, "a b c d e f g h", ""):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids

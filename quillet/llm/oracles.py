@@ -1,3 +1,41 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express over whole tables.
 
-ORACLES: dict[str, str] = {}
+The others rest on 64-bit hashes, models or files that SQL lacks: 1 (XXH64 fingerprints and components), 2 (EM and the
+classifier), 3 (Viterbi), 4, 5 (language models), 6 (byte-level BPE), 7 (patience diff) and 9 (hashes decide which copies
+count as one document). tests/llm compares those with brute force.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || CAST(doc_id AS VARCHAR)) AS hash FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s),
+w AS (SELECT source, source_size, CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM n),
+f AS (SELECT source, source_size, weight, CAST(2 AS DOUBLE) * source_size / weight AS full_at FROM w),
+r AS (SELECT source, source_size, weight, full_at, row_number() OVER (ORDER BY full_at, source IS NULL, source) AS rank,
+  (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - CAST(2 AS DOUBLE) * coalesce(sum(source_size) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(0 AS DOUBLE))) AS level FROM f),
+l AS (SELECT level FROM r WHERE level <= full_at ORDER BY rank LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(weight * (SELECT level FROM l), CAST(2 AS DOUBLE) * source_size), CAST(2 AS DOUBLE) * source_size) AS target FROM r),
+q AS (SELECT d.doc_id, d.size, d.hash, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT q.doc_id, q.size, q.hash, x.pass, CAST(q.upto + x.pass * q.source_size AS DOUBLE) / q.target AS finish FROM q CROSS JOIN (SELECT unnest([0, 1]) AS pass) x WHERE q.size > 0 AND q.target > 0),
+o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, hash, pass ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM p),
+k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM o WHERE total <= floor(CAST(1.5 AS DOUBLE) * (SELECT sum(size) FROM d)) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id
+"""
+
+OP10 = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, k, k + least(10, len(w)) - 1), ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win FROM (SELECT d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) s WHERE len(d.w) >= s.n)),
+m AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op8_weighted_mixing": OP8, "op10_decontamination": OP10}

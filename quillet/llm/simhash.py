@@ -76,14 +76,14 @@ def _signed(x: int) -> int:
 
 
 def _variants(prints: DataFrame, layout: tuple[int, int]) -> DataFrame:
-    """(key, fp): equal inputs have equal keys; a chance collision of keys only adds a candidate to verify."""
+    """prints with a row for each variant's key: equal inputs have equal keys; a chance collision of keys only adds a candidate to verify."""
     keys = [
         F.xxhash64(F.lit(64 * s + b), F.col("fp").bitwiseAND(F.lit(_signed(mask & ~(1 << b)))))
         for s, mask in enumerate(segments(*layout))
         for b in range(64)
         if mask >> b & 1
     ]
-    return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return prints.select("*", F.explode(F.array(*keys)).alias("key"))
 
 
 def _meeting_key(a: Column, b: Column, layout: tuple[int, int]) -> Column:
@@ -116,11 +116,12 @@ def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] |
     star = stored(first.select(F.col("fp").alias("u"), F.explode(F.filter("centres", linked)).alias("v")).distinct(), "star")
     comps = connected_components(star)
 
-    large = buckets.where("n > 2").select("key")
-    member = variants.join(large, "key").join(comps, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    member = stored(member, "members")
+    # buckets of three or more with several components, and the largest component of each: counted before anything is joined
+    named = stored(prints.join(comps, prints["fp"] == comps["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
+    member = _variants(named, layout)
     share = member.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = share.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", "n").alias("major")).where("k > 1").select("key", "major")
+    mixed = share.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "root"))["root"].alias("major"))
+    mixed = stored(mixed.where("n > 2 and k > 1").select("key", "major"), "mixed_keys")
     rows = stored(member.join(mixed, "key"), "mixed")
     a = rows.where("root != major").select(F.col("key").alias("ka"), F.col("fp").alias("fa"), F.col("root").alias("u"))
     b = rows.select(F.col("key").alias("kb"), F.col("fp").alias("fb"), F.col("root").alias("v"))

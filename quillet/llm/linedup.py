@@ -164,7 +164,11 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with a column clean_text: the text without its removed lines. Repeated rows: all of them are cut like the later ones."""
+    """docs with a column clean_text: the text without its removed lines. Repeated rows: all of them are cut like the later ones.
+
+    A column of that name in docs is replaced.
+    """
+    docs = docs.drop("clean_text")
     found = removed_lines(docs, min_words).groupBy("doc_id", "text_key").agg(F.max_by("removed", "row").alias("removed"), F.count("*").alias("n")).where(F.size("removed") > 0)
     found = stored(found, "removed").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), "removed").alias("f")
     d = docs.alias("d")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of, words_of
+from .common import free_name, stored, text_of, words_of
 
 CELL_ROWS = 20_000
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -106,23 +106,18 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 0) -> DataFrame:
     """docs as mixed: each row as often as the mix takes it.
 
-    Identical rows of docs are alike, so the copies of a group of repeated rows are spread over its rows.
+    Rows of one doc_id, text and source are alike: together they stand as often as the mix takes them.
     """
-    counts = mix_counts(docs, weights, share, passes, seed).where("times > 0")
-    names = {c.lower() for c in docs.columns}
-    tmp = ["k_id", "k_text", "k_times"]
-    while names & set(tmp):
-        tmp = ["_" + x for x in tmp]
-    a, b, t = tmp
-    # sums by key: repeated rows share a key, and their number of rows divides the sum
-    per = counts.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("source").alias("k_source")).agg(F.collect_list("times").alias(t))
-    per = stored(per, "times")
-    on = docs["doc_id"].eqNullSafe(per[a]) & docs["source"].eqNullSafe(per["k_source"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == per[b])
-    single = docs.join(per.where(F.size(t) == 1), on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), per[t][0])).alias(t)).drop(t)
-    many = per.where(F.size(t) > 1)
+    counts = mix_counts(docs, weights, share, passes, seed)
+    a, b, s, n, t = (free_name(docs, k) for k in ("k_id", "k_text", "k_source", "k_rows", "k_times"))
+    per = counts.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("source").alias(s)).agg(F.count("*").alias(n), F.sum("times").alias(t))
+    per = stored(per.where(F.col(t) > 0), "times")
+    on = lambda p: docs["doc_id"].eqNullSafe(p[a]) & docs["source"].eqNullSafe(p[s]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == p[b])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))
+    columns = [docs[c] for c in docs.columns]
+    alone, many = per.where(F.col(n) == 1), per.where(F.col(n) > 1)
+    single = docs.join(alone, on(alone)).select(*columns, copies.alias(n)).drop(n)
     if many.isEmpty():
         return single
-    # repeated rows: one of them, repeated as often as the group was taken
-    one = docs.join(many, on).select(*[docs[c] for c in docs.columns], per[a], per[b], per[t]).dropDuplicates([a, b])
-    total = F.aggregate(F.col(t), F.lit(0).cast("long"), lambda x, y: x + y)
-    return single.unionAll(one.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), total)).alias(t)).drop(t))
+    one = docs.join(many, on(many)).select(*columns, a, b, s, t).dropDuplicates([a, b, s])
+    return single.unionAll(one.select(*docs.columns, copies.alias(n)).drop(n))

@@ -222,6 +222,18 @@ def test_mixing(docs, sf_docs, odd, odd_rows, none):
     assert mixing.mix_counts(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mix_repeated_rows(spark):
+    """Equal rows stand together as often as they are taken, in each source apart."""
+    rows = [(i // 3, " ".join(f"w{i // 3}x{k}" for k in range(5 + i // 3)), source) for source in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("k_source", F.lit("extra"))
+    mixed = mixing.mix(df)
+    got = Counter((r.doc_id, r.source) for r in mixed.collect())
+    want = Counter()
+    for r in mixing.mix_counts(df).collect():
+        want[r.doc_id, r.source] += r.times
+    assert mixed.columns == df.columns and got == +want and any(n % 3 for n in got.values())
+
+
 def test_targets(spark):
     for sizes in ({"a": 10, "b": 1000, None: 5}, {"a": 0}, {"é": 7, "z": 7, "A": 7, "b": 1}, {f"s{i}": i * i for i in range(30)}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

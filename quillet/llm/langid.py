@@ -30,7 +30,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> str:
-    return " ".join(LETTERS.findall((text or "").lower()))
+    found = " ".join(LETTERS.findall((text or "").lower()))
+    return found if any(map(str.isalpha, found)) else ""  # the pattern also takes numerals that are no decimal digits
 
 
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:

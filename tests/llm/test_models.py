@@ -98,3 +98,8 @@ def test_kneser_ney_sums_to_one():
         h = [np.array([langid.hash_of((ctx + c)[-n:]) for c in [*alphabet, "一"]], np.uint64) for n in range(1, 5)]
         c = [np.array([langid.hash_of(ctx[-n:])] * (len(alphabet) + 1), np.uint64) for n in range(1, 4)] + [np.zeros(len(alphabet) + 1, np.uint64)]
         assert np.allclose((10 ** model.log_probs(h, c)).sum(0), 1, atol=0.02)
+
+
+def test_texts_without_a_letter():
+    assert [langid.normal(t) for t in (None, "", "12 3", "² ½ ⅷ", "_!?")] == [""] * 5
+    assert langid.normal("Ab3c ² É") == "ab c ² é"

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from .common import fresh_path, stored, text_of
 MAGIC = b"QLTOKEF1"
 HEADER = struct.Struct("<6Q")
 BLOCK_BITS = 512
-#: Words kept in a worker's cache of encoded words, and bytes of ids after which a shard file is closed.
-CACHE_WORDS = 1_000_000
+#: Words kept in a worker's cache of encoded words, their greatest length in characters (longer ones are encoded each
+#: time), and bytes of ids after which a shard file is closed.
+CACHE_WORDS = 200_000
+CACHE_CHARS = 64
 SHARD_BYTES = 32 << 20
 
 
@@ -93,7 +96,7 @@ def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     keys = np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], np.uint8).tobytes()
     header = HEADER.pack(len(doc_ids), len(ids), ends.low_bits, len(ends.low), len(ends.high), width)
-    return MAGIC + header + keys + ends.low + ends.high + ids.astype(f"<u{width}").tobytes()
+    return b"".join((MAGIC, header, keys, ends.low, ends.high, memoryview(ids.astype(f"<u{width}", copy=False))))
 
 
 class Shard:
@@ -128,11 +131,12 @@ class WordCache(dict):
         self.model, self.letters = model, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         found = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
         ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
-        self[word] = ids
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -150,6 +154,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.last_id = max(self.tokenizer.get_vocab().values(), default=0)
         self.find, self.cache = regex.compile(pattern).findall, WordCache(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
@@ -193,29 +198,34 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
     Returns the manifest (file, part, number, documents, tokens): shards in the order of (part, number).
     """
     path, pattern = tokenizer or default_tokenizer()
+    manifest_schema = pa.schema({"file": pa.string(), "part": pa.int32(), "number": pa.int32(), "documents": pa.int64(), "tokens": pa.int64()})
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number, keys, lengths, chunks, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         enc, end = encoder(path, pattern), struct.pack("<I", end_id)
+        # ids wait for their file in its own width
+        kept = np.dtype("<u2" if max(enc.last_id, end_id) < 1 << 16 else "<u4")
 
-        def close() -> pd.DataFrame:
-            ids = np.concatenate(chunks) if chunks else np.zeros(0, np.uint32)
+        def close() -> pa.RecordBatch:
+            ids = np.concatenate(chunks)
+            chunks.clear()
             name = f"shard-{part:06d}-{number:06d}.qtok"
             _write_once(folder, name, encode_shard(keys, lengths, ids))
-            return pd.DataFrame({"file": [name], "part": [part], "number": [number], "documents": [len(keys)], "tokens": [len(ids)]})
+            return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [number], "documents": [len(keys)], "tokens": [len(ids)]}, manifest_schema)
 
-        for pdf in batches:
-            for doc_id, none, text in zip(pdf["doc_id"], pdf["none"], pdf["text"], strict=True):
-                ids = np.frombuffer(enc.encode(text) + end, "<u4")
-                keys.append(None if none else int(doc_id))
+        for batch in batches:
+            # one text at a time becomes a Python string
+            for doc_id, none, text in zip(*(batch.column(c) for c in ("doc_id", "none", "text")), strict=True):
+                ids = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
+                keys.append(None if none.as_py() else doc_id.as_py())
                 lengths.append(len(ids))
-                chunks.append(ids)
+                chunks.append(ids.astype(kept))
                 size += 2 * len(ids)
                 if size >= SHARD_BYTES:
                     yield close()
-                    number, keys, lengths, chunks, size = number + 1, [], [], [], 0
+                    number, keys, lengths, size = number + 1, [], [], 0
         if keys:
             yield close()
 
@@ -223,7 +233,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), text_of().alias("text"))
     dealt = rows.repartitionByRange(n, F.col("none").desc(), "doc_id").sortWithinPartitions(F.col("none").desc(), "doc_id", "text")
-    manifest = dealt.mapInPandas(write, "file string, part int, number int, documents long, tokens long")
+    manifest = dealt.mapInArrow(write, "file string, part int, number int, documents long, tokens long")
     return stored(manifest, "manifest")
 
 
@@ -237,8 +247,7 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
                 shard = Shard(data)
                 ends = shard.ends.decode()
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                wide = memoryview(shard.ids.astype("<u4"))
-                crc = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(memoryview(shard.ids[s:e].astype("<u4"))) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pd.DataFrame({"file": file, "place": np.arange(len(ends)), "doc_id": pd.array(shard.doc_ids, "Int64"), "inside": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)

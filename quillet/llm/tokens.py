@@ -33,7 +33,7 @@ HEADER = struct.Struct("<6Q")
 BLOCK_BITS = 512
 #: Words kept in a worker's cache of encoded words, their greatest length in characters (longer ones are encoded each
 #: time), and bytes of ids after which a shard file is closed.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 CACHE_CHARS = 64
 SHARD_BYTES = 32 << 20
 
@@ -131,7 +131,10 @@ class WordCache(dict):
         self.model, self.letters = model, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+        if word.isascii() and word.isprintable():  # of these the space alone has another letter
+            found = self.model.tokenize(word.replace(" ", self.letters[32]))
+        else:
+            found = self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
         ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:

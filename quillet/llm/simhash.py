@@ -134,9 +134,9 @@ def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] |
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, layout: tuple[int, int] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, fp (long), fingerprint (16 hex digits), component_id.
+    """One row per row of docs: doc_id, text_key, fp (long), fingerprint (16 hex digits), component_id, root.
 
-    component_id is the least doc_id of the component. Null and empty texts have fingerprint 0 and are linked like any
+    component_id is the least doc_id of the component, root the fingerprint that names it (never null). Null and empty texts have fingerprint 0 and are linked like any
     other; null doc_ids take part and never become an id unless a component has nothing else; repeated rows are repeated;
     no rows give no rows; other columns are ignored.
     """
@@ -147,16 +147,16 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4,
     comps = print_components(prints.select("fp"), bits, layout)
     rooted = stored(prints.join(comps, prints["fp"] == comps["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return each.join(named, "fp", "left").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return each.join(named, "fp", "left").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one_per_group(docs: DataFrame, bits: int = 4) -> DataFrame:
     """The rows of docs with all but one of each component left out: the least doc_id stays, ties by text hash."""
-    found = stored(near_duplicates(docs, bits).select("doc_id", "text_key", "component_id"), "groups")
+    found = stored(near_duplicates(docs, bits).select("doc_id", "text_key", "root"), "groups")
     a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stay = found.groupBy("component_id").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o.doc_id").alias(a), F.col("o.text_key").alias(b))
+    stay = found.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o.doc_id").alias(a), F.col("o.text_key").alias(b))
     stay = stored(stay, "stay")
     out = docs.join(stay, docs["doc_id"].eqNullSafe(stay[a]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stay[b]), "left_semi")
     if found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():

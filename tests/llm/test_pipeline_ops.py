@@ -92,6 +92,14 @@ def test_keep_one_per_group(docs, sf_docs, odd, none):
     assert simhash.keep_one_per_group(none).count() == 0
 
 
+def test_keep_one_per_group_without_ids(spark):
+    """Unrelated texts without a doc_id are groups of their own; copies among them go."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(3)]
+    rows = [(None, t) for t in (*texts, texts[0])] + [(1, texts[2])]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == sorted([(None, texts[0]), (None, texts[1]), (1, texts[2])], key=repr)
+
+
 def brute_quality(text):
     text = text or ""
     words, seen, dup = re.findall(SPACE, text), set(), 0

@@ -4,8 +4,8 @@ Per document: counts of words, symbols, repeated lines and repeated three-word w
 normalised line is hashed and the distinct documents that hold it are counted per host (`source`); lines above the
 limit are boilerplate, and a document that consists mostly of boilerplate is depleted and rejected.
 
-Copies of a document do not make its lines boilerplate: documents count as distinct by the least hash among their
-*other* lines, so exact copies count once, and near copies mostly once.
+Copies of a document do not make its lines boilerplate: documents count as distinct by the hash of their normalised
+lines in order, so exact copies count once. Documents that differ in any line, near copies too, count apart.
 """
 
 from __future__ import annotations
@@ -87,11 +87,9 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 def boilerplate_lines(features: DataFrame, limits: QualityLimits) -> DataFrame:
     """(h): lines of a host that more distinct documents hold than the limits allow."""
-    hashes = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    lines = features.select("host", hashes.alias("hs")).select("host", F.get("hs", F.lit(0)).alias("m1"), F.get("hs", F.lit(1)).alias("m2"), F.explode("hs").alias("h"))
-    other = F.when(F.col("h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
+    hashes = F.transform("lines", lambda x: x["h"])
     # one row for each line and distinct document, then their number; both shuffles carry hashes only
-    holders = lines.select("host", "h", F.coalesce(other, F.lit(0)).alias("doc")).distinct()
+    holders = features.select("host", F.xxhash64(hashes).alias("doc"), F.explode(F.array_distinct(hashes)).alias("h")).distinct()
     counts = holders.groupBy("h", "host").agg(F.count("*").alias("n")).where(F.col("n") > limits.max_line_docs)
     per_host = features.groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(per_host, counts["host"].eqNullSafe(per_host["host"])).where(F.col("n") > F.col("host_docs") * limits.max_line_share).select("h")

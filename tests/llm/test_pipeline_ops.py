@@ -144,6 +144,30 @@ def test_boilerplate(spark):
     assert clean[0] == own(0, 60) and clean[200] == f"{own(200, 60)}\n{line}" and clean[100] == f"{own(100, 90)}\n{own(900, 90)}"
 
 
+def test_boilerplate_counts_are_exact(spark):
+    """Documents of shared lines only, or nearly so, count apart; copies, also by case and spaces, count once."""
+    import random
+
+    rnd = random.Random(3)
+    pool = [" ".join(f"s{i}x{k}" for k in range(12)) for i in range(8)]
+    rows, holders = [], defaultdict(set)
+    for d in range(150):
+        lines = sorted(rnd.sample(pool, rnd.choice((4, 6))))
+        if d % 3:
+            lines.append(f"own {d % 50}")
+        rows.append((d, "\n".join(lines), "a"))
+        rows.append((1000 + d, "\n".join(x.upper().replace(" ", "  ") for x in lines), "a"))
+        for x in lines:
+            holders[x].add(tuple(lines))
+    counts = {x: len(v) for x, v in holders.items()}
+    limit = sorted(counts[x] for x in pool)[3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bad = quality.boilerplate_lines(quality.document_features(df), quality.QualityLimits(max_line_docs=limit))
+    line = quality.normalised_line(F.col("line"))
+    names = spark.createDataFrame([(x,) for x in counts], "line string").withColumn("h", F.xxhash64(F.lit("a"), line))
+    assert {r.line for r in names.join(bad, "h").collect()} == {x for x, n in counts.items() if n > limit}
+
+
 def brute_leaks(docs, items):
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)

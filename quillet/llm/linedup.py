@@ -5,21 +5,34 @@ holds `min_words` words. A long line is a run of its own. Every run links each l
 it, so links grow with the runs and not with the square of a run's documents, and no frequent run has to be left out.
 Each linked pair is aligned by patience diff, common blocks of `min_words` words or more are deleted from the later
 document, and runs that are in another order than the alignment's are deleted directly.
+
+Passages that repeat within lines or across their ends are found by words. Every window of PASSAGE words has an anchor,
+the least hash among its ANCHOR-word pieces, so equal windows have equal anchors. Anchors are some 7 % of the words; only
+windows whose anchor is found in two documents are then looked up, all of them, and each is deleted from every document
+but the first that holds it. So no repeated passage of PASSAGE words or more stays. Windows are compared by 64-bit hash.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import stored, text_of, words_of
 
 MIN_WORDS = 40
+PASSAGE, ANCHOR = 50, 25
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CHUNK = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def longest_increasing(values: Sequence[int]) -> list[int]:
@@ -100,18 +113,150 @@ def common_lines(early: Sequence[int], later: Sequence[int], sizes: Sequence[int
     return gone
 
 
+class _Powers:
+    """BASE ** i and its inverse modulo 2 ** 64, as far as they were asked for."""
+
+    up = down = np.ones(0, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * CHUNK)
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                values = np.full(size, base, np.uint64)
+                values[0] = 1
+                setattr(cls, name, np.cumprod(values, dtype=np.uint64))
+        return cls.up, cls.down
+
+
+def _spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each start and end: polynomials modulo 2 ** 64, then mixed."""
+    up, down = _Powers.to(len(values) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def word_hashes(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words."""
+
+    def hashed(encoded: list[bytes]) -> Iterator[np.ndarray]:
+        flat = np.frombuffer(b"\n".join(encoded), np.uint8)
+        edges = np.flatnonzero(np.diff(IS_SPACE[flat].astype(np.int8), prepend=1, append=1))
+        starts, ends = edges[::2], edges[1::2]
+        h = _spans_hashed(flat.astype(np.uint64) + np.uint64(1), starts, ends)
+        borders = np.cumsum([len(t) + 1 for t in encoded[:-1]], dtype=np.int64)
+        yield from np.split(h, np.searchsorted(starts, borders))
+
+    held, size = [], 0
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield from hashed(held)
+            held, size = [], 0
+    if held:
+        yield from hashed(held)
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    at = np.arange(len(words) - size + 1)
+    return _spans_hashed(words, at, at + size)
+
+
+def window_anchors(words: np.ndarray) -> np.ndarray:
+    """The anchor of each window of PASSAGE words, by its first word's place."""
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.int64)
+    least, have, want = _windows(words, ANCHOR), 1, PASSAGE - ANCHOR + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least.view(np.int64)
+
+
+def cut_places(sizes: Sequence[int], lines: Sequence[int], starts: Sequence[int]) -> tuple[list[int], list[tuple[int, int]], int]:
+    """(lines gone as a whole, word spans gone in the other lines, words gone), of lines and passages to be removed."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    step = np.zeros(int(ends[-1]) + 1, np.int64)
+    np.add.at(step, np.asarray(starts, np.int64), 1)
+    np.add.at(step, np.asarray(starts, np.int64) + PASSAGE, -1)
+    gone = np.cumsum(step)[:-1] > 0
+    for i in lines:
+        gone[ends[i] - sizes[i] : ends[i]] = True
+    words = int(gone.sum())
+    whole = [i for i, (n, e) in enumerate(zip(sizes, ends, strict=True)) if gone[e - n : e].all()]
+    for i in whole:
+        gone[ends[i] - sizes[i] : ends[i]] = False
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    return whole, list(zip(edges[::2], edges[1::2], strict=True)), words
+
+
+def cut_text(text: str, removed: Sequence[int], spans: Sequence[tuple[int, int]]) -> str:
+    """text without the removed lines and the words of spans, each with the white space up to the next word of its line."""
+    lines_gone, out, at = set(removed), [], 0
+    for i, line in enumerate(text.split("\n")):
+        words = [m.start() for m in WORD.finditer(line)]
+        if i not in lines_gone:
+            kept, pos = [], 0
+            for s, e in spans:
+                s, e = max(s - at, 0), min(e - at, len(words))
+                if s < e:
+                    kept.append(line[pos : words[s]])
+                    pos = words[e] if e < len(words) else len(line)
+            out.append("".join(kept) + line[pos:])
+        at += len(words)
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, removed: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    each = zip(text, removed, starts, ends, strict=True)
+    return pd.Series([t if s is None or not len(s) else cut_text(t, r, list(zip(s, e, strict=True))) for t, r, s, e in each], dtype=object)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """docs (row, o, text), o ordering the rows -> (later, starts, early_ids) of the rows with windows that an earlier one holds."""
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [np.unique(window_anchors(w)) for w in word_hashes(pdf["text"])]
+            yield pd.DataFrame({"row": np.repeat(pdf["row"].to_numpy(np.int64), [len(x) for x in found]), "anchor": np.concatenate([*found, np.zeros(0, np.int64)])})
+
+    held = stored(docs.select("row", "text").mapInPandas(anchors, "row long, anchor long"), "anchors")
+    often = held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    wanted = stored(held.join(often, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors")), "repeated")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, some, w in zip(pdf["row"], pdf["anchors"], word_hashes(pdf["text"]), strict=True):
+                at = np.flatnonzero(np.isin(window_anchors(w), some))
+                yield pd.DataFrame({"row": np.full(len(at), row, np.int64), "start": at.astype(np.int32), "key": _windows(w, PASSAGE)[at].view(np.int64)})
+
+    each = docs.select("row", "text").join(wanted, "row").mapInPandas(windows, "row long, start int, key long")
+    placed = stored(each.join(docs.select("row", "o"), "row").select("key", "start", "o"), "windows")
+    first = placed.groupBy("key").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("key", "first")
+    later = placed.join(first, "key").where(F.col("o") > F.col("first"))
+    early_id = F.when(~F.col("first.none"), F.col("first.id"))
+    return later.groupBy(F.col("o.row").alias("later")).agg(F.collect_list("start").alias("starts"), F.collect_set(early_id).alias("early_ids"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, order, and of the lines with a word: place in the text, hash, words."""
-    split = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), F.split(text_of(), "\n").alias("all"))
+    """row, doc_id, text_key, text, and of the lines with a word: place in the text, hash, words."""
+    split = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"), F.split(text_of(), "\n").alias("all"))
     each = F.transform("all", lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), F.size(words_of(x)).alias("n")))
     kept = split.withColumn("lines", F.filter(each, lambda x: x["n"] > 0)).drop("all")
     kept = kept.withColumn("row", F.monotonically_increasing_id())
-    return kept.select("row", "doc_id", "text_key", F.col("lines.place").alias("places"), F.col("lines.h").alias("hashes"), F.col("lines.n").alias("sizes"))
+    return kept.select("row", "doc_id", "text_key", "text", F.col("lines.place").alias("places"), F.col("lines.h").alias("hashes"), F.col("lines.n").alias("sizes"))
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, text_key, n_lines (with a word), n_words, removed (line numbers from 0 in the whole
-    text), removed_words, sources (doc_ids of the earlier documents that hold the blocks).
+    text), removed_words, sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed
+    words in other lines, counted from 0 in the whole text's words, end exclusive).
 
     The earlier document is the one with the smaller doc_id, null last, ties by text hash and row. Null and empty texts
     have no lines; of repeated rows all but the first lose their blocks; no rows give no rows; other columns are ignored.
@@ -144,35 +289,49 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pd.DataFrame({"later": pdf["later"], "early_id": pdf["early_id"].astype("Int64"), "lines": gone})
 
     aligned = pairs.join(b, "later").join(a, "early").select("later", "early_id", "early_hashes", "later_hashes", "sizes").mapInPandas(align, "later long, early_id long, lines array<int>")
-    found = aligned.where(F.size("lines") > 0)
-    found = stored(found, "aligned")
-    lines = found.select("later", F.explode("lines").alias("line")).distinct().groupBy("later").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    early = found.groupBy("later").agg(F.sort_array(F.collect_set("early_id")).alias("sources"))
-    both = docs_lines.join(lines.join(early, "later"), docs_lines["row"] == F.col("later"), "left")
-    gone = F.coalesce("lines", F.array().cast("array<int>"))
-    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x + y)
+    found = stored(aligned.where(F.size("lines") > 0), "aligned")
+    lines = found.select("later", F.explode("lines").alias("line")).distinct().groupBy("later").agg(F.collect_list("line").alias("lines"))
+    early = found.groupBy("later").agg(F.collect_set("early_id").alias("line_ids"))
+    passages = repeated_passages(docs_lines.select("row", order.alias("o"), "text"))
+    cut = lines.join(early, "later").join(passages, "later", "full_outer")
+    ids = F.array_union(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in ("line_ids", "early_ids")])
+    cut = stored(cut.select("later", "lines", "starts", F.sort_array(ids).alias("sources")), "cut")
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [cut_places(n.tolist(), () if x is None else x, () if y is None else y) for n, x, y in zip(pdf["sizes"], pdf["lines"], pdf["starts"], strict=True)]
+            spans = [[{"start": s, "end": e} for s, e in x] for _, x, _ in done]
+            yield pd.DataFrame({"later": pdf["later"], "gone": [x for x, *_ in done], "spans": spans, "removed_words": [n for *_, n in done], "sources": pdf["sources"]})
+
+    kind = "array<struct<start:int,end:int>>"
+    sized = cut.join(docs_lines.select(F.col("row").alias("later"), "sizes"), "later")
+    cut = sized.mapInPandas(places, f"later long, gone array<int>, spans {kind}, removed_words long, sources array<bigint>")
+    both = docs_lines.drop("text").join(cut, docs_lines["row"] == F.col("later"), "left")
     return both.select(
         "doc_id",
         "text_key",
         F.size("hashes").cast("long").alias("n_lines"),
-        total("sizes").alias("n_words"),
-        F.transform(gone, lambda i: F.get("places", i)).alias("removed"),
-        total(F.transform(gone, lambda i: F.get("sizes", i))).alias("removed_words"),
+        F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y).alias("n_words"),
+        F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda i: F.get("places", i)).alias("removed"),
+        F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
         F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"),
+        F.coalesce("spans", F.array().cast(kind)).alias("spans"),
         "row",
     )
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with a column clean_text: the text without its removed lines. Repeated rows: all of them are cut like the later ones.
+    """docs with a column clean_text: the text without its removed lines and spans. Repeated rows: all of them are cut like the later ones.
 
     A column of that name in docs is replaced.
     """
     docs = docs.drop("clean_text")
-    found = removed_lines(docs, min_words).groupBy("doc_id", "text_key").agg(F.max_by("removed", "row").alias("removed"), F.count("*").alias("n")).where(F.size("removed") > 0)
-    found = stored(found, "removed").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), "removed").alias("f")
+    found = removed_lines(docs, min_words).groupBy("doc_id", "text_key").agg(F.max_by(F.struct("removed", "spans"), "row").alias("cut")).select("doc_id", "text_key", "cut.*").where((F.size("removed") > 0) | (F.size("spans") > 0))
+    found = stored(found, "removed").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), "removed", "spans").alias("f")
     d = docs.alias("d")
     both = d.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.k_id")) & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("f.k_text")), "left")
     parts = F.split(F.coalesce(F.col("d.text"), F.lit("")), "\n")
     cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("f.removed"), i)), "\n")
+    words_cut = _cut(F.col("d.text"), F.col("f.removed"), F.col("f.spans.start"), F.col("f.spans.end"))
+    cut = F.when(F.size("f.spans") > 0, words_cut).otherwise(cut)
     return both.select("d.*", F.when(F.col("f.removed").isNull(), F.col("d.text")).otherwise(cut).alias("clean_text"))

@@ -93,3 +93,38 @@ def test_line_dedup(spark, docs, odd, none):
     assert all(texts[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows)
     assert linedup.removed_lines(odd).count() == odd.count() and linedup.removed_lines(none).count() == 0
     assert linedup.removed_lines(docs).where("removed_words > 0").count() > 0
+
+
+def test_passages_within_lines(spark):
+    """A repeated passage of 50 words or more goes wherever lines end, and whoever else holds parts of it."""
+    rnd = random.Random(4)
+    pool = [line(f"q{i}x", 130).split() for i in range(6)]
+    rows = []
+    for d in range(60):
+        words = []
+        for k in range(rnd.randrange(1, 5)):
+            words += line(f"own{d}x{k}x", rnd.randrange(1, 30)).split()
+            p, at = rnd.choice(pool), rnd.randrange(70)
+            words += p[at : at + rnd.randrange(20, 131)]
+        words += line(f"end{d}x", 5).split()
+        rows.append((d, "".join(w + rnd.choice(("\n", "  ", *[" "] * 40)) for w in words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, want = set(), {}
+    for d, t in rows:
+        w = t.split()
+        own = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        want[d] = {k for i, x in enumerate(own) if x in seen for k in range(i, i + 50)}
+        seen.update(own)
+    assert any(want.values()) and not all(want.values())
+    got, text = {r.doc_id: r for r in linedup.removed_lines(df).collect()}, dict(rows)
+    clean = {r.doc_id: r.clean_text for r in linedup.dedup_lines(df).collect()}
+    for d, r in got.items():
+        places, at = {k for s, e in r.spans for k in range(s, e)}, 0
+        for i, x in enumerate(text[d].split("\n")):
+            if i in r.removed:
+                places |= set(range(at, at + len(x.split())))
+            at += len(x.split())
+        # whole lines that an earlier document has in a run of 40 words may go beyond the passages
+        assert want[d] <= places and len(places) == r.removed_words and (not places or r.sources)
+        assert clean[d].split() == [w for k, w in enumerate(text[d].split()) if k not in places]
+    assert sum(len(x) for x in want.values()) > 0.9 * sum(r.removed_words for r in got.values())

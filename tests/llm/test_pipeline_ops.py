@@ -58,7 +58,7 @@ def test_simhash(docs, sf_docs, odd, odd_rows, none):
 
 
 def test_simhash_dense_groups_and_layouts(spark):
-    """Chains and balls of fingerprints: every layout finds the same components as brute force."""
+    """Chains and balls of fingerprints: every layout, and buckets too large for a task, give the components of brute force."""
     import random
 
     rnd = random.Random(5)
@@ -75,14 +75,30 @@ def test_simhash_dense_groups_and_layouts(spark):
     prints = sorted(prints)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
     want = brute_components(prints, prints)
-    for layout in ((3, 1), (5, 2)):
-        got = {(r.node % (1 << 64)): r.root % (1 << 64) for r in simhash.print_components(df, 4, layout).collect()}
+    for layout, held in (((3, 1), 20_000), ((3, 1), 3), ((5, 2), 20_000), ((6, 3), 20_000)):
+        got = {(r.node % (1 << 64)): r.root % (1 << 64) for r in simhash.print_components(df, 4, layout, held).collect()}
         groups = defaultdict(set)
         for p, w in zip(prints, want, strict=True):
             groups[w].add(got.get(p, p))
         assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_simhash_bucket_of_many_components(spark):
+    """5,000 unrelated fingerprints share a segment, some in linked pairs: one bucket a task compares, or salted parts do."""
+    import random
+
+    rnd = random.Random(6)
+    low = rnd.getrandbits(21)
+    apart = {rnd.getrandbits(43) << 21 | low for _ in range(5000)}
+    near = [p ^ (1 << rnd.randrange(21, 64)) ^ (1 << rnd.randrange(21, 64)) ^ (1 << rnd.randrange(21)) for p in sorted(apart)[:40]]
+    prints = sorted(apart | set(near))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    for held in (20_000, 100):
+        got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.print_components(df, held=held).collect()}
+        assert all(got.get(p, p) == got.get(q, q) for p, q in zip(sorted(apart), near, strict=False))
+        assert len(got) == len(near)
+
+
 def test_keep_one_per_group(docs, sf_docs, odd, none):
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns

@@ -1,15 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared hashes of line runs: from each line on, the shortest run of lines that
-holds `min_words` words. A long line is a run of its own. Every run links each later document to the first that holds
-it, so links grow with the runs and not with the square of a run's documents, and no frequent run has to be left out.
-Each linked pair is aligned by patience diff, common blocks of `min_words` words or more are deleted from the later
-document, and runs that are in another order than the alignment's are deleted directly.
-
-Passages that repeat within lines or across their ends are found by words. Every window of PASSAGE words has an anchor,
-the least hash among its ANCHOR-word pieces, so equal windows have equal anchors. Anchors are some 7 % of the words; only
-windows whose anchor is found in two documents are then looked up, all of them, and each is deleted from every document
-but the first that holds it. So no repeated passage of PASSAGE words or more stays. Windows are compared by 64-bit hash.
+The lines that are compared are runs of `line` words chosen by content: of every window of `passage` words the run with the
+least hash. Equal passages therefore hold equal lines wherever their text breaks lines, and every passage of `passage`
+words holds one. A line is rare if at most `RARE` sections of different documents hold it. Documents that share a rare line
+are paired, each later one with every earlier one. Both sides of a pair are cut into units at places that their words
+choose, the units are aligned by patience diff, aligned runs are extended to whole common blocks word by word, and blocks
+of `passage` words or more are deleted from the later document. What the one-way order of the alignment leaves over (moved
+and repeated blocks of the same pair) is compared by windows of `passage` words.
+
+Lines that more documents hold are not paired. All windows around them are looked up instead, exactly: each window that an
+earlier document holds is deleted. Documents with the same words are copies: all but the first go as a whole, and only the
+first takes part. So no passage of `passage` words stays in any document but the first that holds it, and no group of
+documents is ever expanded into all its pairs. Words and windows are compared by 32 and 64-bit hashes.
+
+Long documents are taken in sections that overlap by more than a passage, so that the work on a pair is bounded.
 """
 
 from __future__ import annotations
@@ -21,18 +25,26 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import stored, text_of, words_of
+from .common import free_name, stored, text_of
 
-MIN_WORDS = 40
-PASSAGE, ANCHOR = 50, 25
+#: Words of the shortest passage that is always found, and of a line.
+PASSAGE, LINE = 50, 25
+#: Documents that may hold a rare line; words of a section; words from which a unit's border is chosen.
+RARE, SECTION, BORDER = 8, 2048, 12
+#: Bits of the filter that spares documents without a candidate a second look; wrong hits only cost time.
+FILTER_BITS = 26
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+NO_ID = (1 << 63) - 1
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
 def longest_increasing(values: Sequence[int]) -> list[int]:
@@ -54,7 +66,7 @@ def longest_increasing(values: Sequence[int]) -> list[int]:
 
 
 def patience_matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned (i, j) with a[i] == b[j], increasing in both: lines that are unique on both sides anchor, gaps follow suit."""
+    """Aligned (i, j) with a[i] == b[j], increasing in both: items that are unique on both sides anchor, gaps follow suit."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -78,41 +90,6 @@ def patience_matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]
     return sorted(out)
 
 
-def runs(hashes: Sequence[int], sizes: Sequence[int], min_words: int) -> list[tuple[int, int]]:
-    """(start, end) from each line on: the shortest run with min_words words."""
-    out, end, have = [], 0, 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and have < min_words:
-            have += sizes[end]
-            end += 1
-        if have < min_words:
-            break
-        out.append((start, end))
-        have -= sizes[start]
-    return out
-
-
-def common_lines(early: Sequence[int], later: Sequence[int], sizes: Sequence[int], min_words: int) -> set[int]:
-    """Lines of later that common blocks of min_words words or more cover."""
-    gone: set[int] = set()
-    block: list[tuple[int, int]] = []
-    for i, j in [*patience_matches(early, later), (-9, -9)]:
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            if sum(sizes[k] for _, k in block) >= min_words:
-                gone.update(k for _, k in block)
-            block = []
-        block.append((i, j))
-    # moved blocks: what an alignment leaves because of its order
-    left = [(s, e) for s, e in runs(later, sizes, min_words) if any(k not in gone for k in range(s, e))]
-    if left:
-        lengths = {e - s for s, e in left}
-        have = {tuple(early[i : i + n]) for n in lengths for i in range(len(early) - n + 1)}
-        for s, e in left:
-            if tuple(later[s:e]) in have:
-                gone.update(range(s, e))
-    return gone
-
-
 class _Powers:
     """BASE ** i and its inverse modulo 2 ** 64, as far as they were asked for."""
 
@@ -140,13 +117,13 @@ def _spans_hashed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
 
 
 def word_hashes(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
-    """The hashes of each text's words."""
+    """The 32-bit hashes of each text's words, each in an unsigned 64-bit integer and never 0."""
 
     def hashed(encoded: list[bytes]) -> Iterator[np.ndarray]:
         flat = np.frombuffer(b"\n".join(encoded), np.uint8)
         edges = np.flatnonzero(np.diff(IS_SPACE[flat].astype(np.int8), prepend=1, append=1))
         starts, ends = edges[::2], edges[1::2]
-        h = _spans_hashed(flat.astype(np.uint64) + np.uint64(1), starts, ends)
+        h = _spans_hashed(flat.astype(np.uint64) + np.uint64(1), starts, ends) >> np.uint64(32) | np.uint64(1)
         borders = np.cumsum([len(t) + 1 for t in encoded[:-1]], dtype=np.int64)
         yield from np.split(h, np.searchsorted(starts, borders))
 
@@ -162,15 +139,15 @@ def word_hashes(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
 
 
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
-    at = np.arange(len(words) - size + 1)
-    return _spans_hashed(words, at, at + size)
+    at = np.arange(max(0, len(words) - size + 1))
+    return _spans_hashed(words, at, at + size).view(np.int64)
 
 
-def window_anchors(words: np.ndarray) -> np.ndarray:
-    """The anchor of each window of PASSAGE words, by its first word's place."""
-    if len(words) < PASSAGE:
+def window_lines(words: np.ndarray, passage: int, line: int) -> np.ndarray:
+    """The line of each window of `passage` words, by its first word's place."""
+    if len(words) < passage:
         return np.zeros(0, np.int64)
-    least, have, want = _windows(words, ANCHOR), 1, PASSAGE - ANCHOR + 1
+    least, have, want = _windows(words, line).view(np.uint64), 1, passage - line + 1
     while have < want:
         step = min(have, want - have)
         least = np.minimum(least[:-step], least[step:])
@@ -178,160 +155,317 @@ def window_anchors(words: np.ndarray) -> np.ndarray:
     return least.view(np.int64)
 
 
-def cut_places(sizes: Sequence[int], lines: Sequence[int], starts: Sequence[int]) -> tuple[list[int], list[tuple[int, int]], int]:
-    """(lines gone as a whole, word spans gone in the other lines, words gone), of lines and passages to be removed."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    step = np.zeros(int(ends[-1]) + 1, np.int64)
-    np.add.at(step, np.asarray(starts, np.int64), 1)
-    np.add.at(step, np.asarray(starts, np.int64) + PASSAGE, -1)
-    gone = np.cumsum(step)[:-1] > 0
-    for i in lines:
-        gone[ends[i] - sizes[i] : ends[i]] = True
-    words = int(gone.sum())
-    whole = [i for i, (n, e) in enumerate(zip(sizes, ends, strict=True)) if gone[e - n : e].all()]
-    for i in whole:
-        gone[ends[i] - sizes[i] : ends[i]] = False
-    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-    return whole, list(zip(edges[::2], edges[1::2], strict=True)), words
-
-
-def cut_text(text: str, removed: Sequence[int], spans: Sequence[tuple[int, int]]) -> str:
-    """text without the removed lines and the words of spans, each with the white space up to the next word of its line."""
-    lines_gone, out, at = set(removed), [], 0
-    for i, line in enumerate(text.split("\n")):
-        words = [m.start() for m in WORD.finditer(line)]
-        if i not in lines_gone:
-            kept, pos = [], 0
-            for s, e in spans:
-                s, e = max(s - at, 0), min(e - at, len(words))
-                if s < e:
-                    kept.append(line[pos : words[s]])
-                    pos = words[e] if e < len(words) else len(line)
-            out.append("".join(kept) + line[pos:])
-        at += len(words)
-    return "\n".join(out)
+def sections(words: np.ndarray, passage: int) -> list[tuple[int, np.ndarray]]:
+    """(first word's place, words) of sections; every window of `passage` words lies in one."""
+    step = max(SECTION, 2 * passage) - passage
+    return [(at, words[at : at + step + passage]) for at in range(0, max(1, len(words) - passage), step)]
 
 
-@F.pandas_udf(StringType())
-def _cut(text: pd.Series, removed: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    each = zip(text, removed, starts, ends, strict=True)
-    return pd.Series([t if s is None or not len(s) else cut_text(t, r, list(zip(s, e, strict=True))) for t, r, s, e in each], dtype=object)
+def units(words: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """(hashes, borders) of the runs between borders: the least words of all windows of BORDER words."""
+    n, inner = len(words), np.zeros(0, np.int64)
+    if n >= BORDER:
+        mixed = words * np.uint64(BASE)
+        inner = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, BORDER).argmin(1) + np.arange(n - BORDER + 1))
+    borders = np.unique(np.concatenate(([0], inner, [n])))
+    return _spans_hashed(words, borders[:-1], borders[1:]).tolist(), borders
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """docs (row, o, text), o ordering the rows -> (later, starts, early_ids) of the rows with windows that an earlier one holds."""
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """Equal values that a and b begin with."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [np.unique(window_anchors(w)) for w in word_hashes(pdf["text"])]
-            yield pd.DataFrame({"row": np.repeat(pdf["row"].to_numpy(np.int64), [len(x) for x in found]), "anchor": np.concatenate([*found, np.zeros(0, np.int64)])})
 
-    held = stored(docs.select("row", "text").mapInPandas(anchors, "row long, anchor long"), "anchors")
-    often = held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = stored(held.join(often, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors")), "repeated")
+def common_blocks(early: np.ndarray, later: np.ndarray, passage: int) -> list[tuple[int, int]]:
+    """Spans of later's words that common blocks of `passage` words or more cover, in order and merged."""
+    (ua, pa_), (ub, pb) = units(early), units(later)
+    gone, done = np.zeros(len(later) + 1, np.int8), -1
+    for i, j in patience_matches(ua, ub):
+        if pb[j + 1] <= done:  # inside the last block
+            continue
+        a, b = int(pa_[i]), int(pb[j])
+        back, on = _run(early[:a][::-1], later[:b][::-1]), _run(early[a:], later[b:])
+        if back + on >= passage:
+            gone[b - back : b + on] = 1
+        done = b + on
+    if len(later) >= passage and len(early) >= passage:
+        inside = np.convolve(gone[:-1], np.ones(passage, np.int32), "valid") if gone.any() else 0
+        left = np.flatnonzero((np.zeros(len(later) - passage + 1, np.int32) + inside) < passage)
+        if len(left):
+            for s in left[np.isin(_windows(later, passage)[left], _windows(early, passage))]:
+                gone[s : s + passage] = 1
+    edges = np.flatnonzero(np.diff(gone, prepend=0)).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row, some, w in zip(pdf["row"], pdf["anchors"], word_hashes(pdf["text"]), strict=True):
-                at = np.flatnonzero(np.isin(window_anchors(w), some))
-                yield pd.DataFrame({"row": np.full(len(at), row, np.int64), "start": at.astype(np.int32), "key": _windows(w, PASSAGE)[at].view(np.int64)})
-
-    each = docs.select("row", "text").join(wanted, "row").mapInPandas(windows, "row long, start int, key long")
-    placed = stored(each.join(docs.select("row", "o"), "row").select("key", "start", "o"), "windows")
-    first = placed.groupBy("key").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("key", "first")
-    later = placed.join(first, "key").where(F.col("o") > F.col("first"))
-    early_id = F.when(~F.col("first.none"), F.col("first.id"))
-    return later.groupBy(F.col("o.row").alias("later")).agg(F.collect_list("start").alias("starts"), F.collect_set(early_id).alias("early_ids"))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, text, and of the lines with a word: place in the text, hash, words."""
-    split = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"), F.split(text_of(), "\n").alias("all"))
-    each = F.transform("all", lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), F.size(words_of(x)).alias("n")))
-    kept = split.withColumn("lines", F.filter(each, lambda x: x["n"] > 0)).drop("all")
-    kept = kept.withColumn("row", F.monotonically_increasing_id())
-    return kept.select("row", "doc_id", "text_key", "text", F.col("lines.place").alias("places"), F.col("lines.h").alias("hashes"), F.col("lines.n").alias("sizes"))
-
-
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_lines (with a word), n_words, removed (line numbers from 0 in the whole
-    text), removed_words, sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed
-    words in other lines, counted from 0 in the whole text's words, end exclusive).
-
-    The earlier document is the one with the smaller doc_id, null last, ties by text hash and row. Null and empty texts
-    have no lines; of repeated rows all but the first lose their blocks; no rows give no rows; other columns are ignored.
+def _sorted_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[np.ndarray]:
+    """The batches' columns as the rows of an array of 64-bit integers."""
+    for batch in batches:
+        if batch.num_rows:
+            yield np.stack([batch.column(c).to_numpy().astype(np.int64, copy=False) for c in names])
+
+
+def _new(rows: np.ndarray, columns: int, last: np.ndarray | None) -> np.ndarray:
+    """True where one of the first columns differs from the row before; last: the row before the first."""
+    same = (rows[:columns, 1:] == rows[:columns, :-1]).all(0)
+    return np.concatenate(([last is None or bool((rows[:columns, 0] != last[:columns]).any())], ~same))
+
+
+LINE_COLUMNS = ("line", "content", "oid", "key", "sec")
+
+
+def pair_worker(rare: int):
+    """Over rows LINE_COLUMNS, sorted: pairs (oid, key, sec, later_key, later_sec) of rare lines; (line, later_key, later_sec) of others.
+
+    Of documents with equal content only the first takes part. Nothing but the rows of one rare line is held.
     """
-    docs_lines = stored(_lines(docs), "lines")
+    names = ["line", "oid", "key", "sec", "later_key", "later_sec"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def frequent(g: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(g.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(g[0]), none, none, none, pa.array(g[3]), pa.array(g[4])], schema=schema)
+
+    def pairs(g: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for step in range(1, rare):
+            x, y = g[:, step:], g[:, :-step]
+            hit = (x[0] == y[0]) & (x[1] != y[1])
+            if not (x[0] == y[0]).any():
+                break
+            x, y = x[:, hit], y[:, hit]
+            # the order of documents: id, then content
+            swap = (x[2] < y[2]) | ((x[2] == y[2]) & (x[1] < y[1]))
+            early, later = np.where(swap, x, y), np.where(swap, y, x)
+            yield pa.RecordBatch.from_arrays([pa.nulls(early.shape[1], pa.int64()), *map(pa.array, (early[2], early[3], early[4], later[3], later[4]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, first_key, hot = np.zeros((5, 0), np.int64), None, 0, None
+        for rows in _sorted_groups(batches, LINE_COLUMNS):
+            new = _new(rows, 2, last)
+            starts = np.flatnonzero(new)
+            firsts = np.concatenate(([first_key], rows[3, starts]))[np.cumsum(new)]
+            last, first_key = rows[:, -1], firsts[-1]
+            rows = rows[:, rows[3] == firsts]
+            if hot is not None:
+                more = int(np.searchsorted(rows[0], hot, side="right"))
+                yield frequent(rows[:, :more])
+                rows = rows[:, more:]
+            rows = np.concatenate((held, rows), 1)
+            held = rows[:, :0]
+            if not rows.shape[1]:
+                continue
+            hot = None
+            starts = np.flatnonzero(_new(rows, 1, None))
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            if sizes[-1] <= rare:  # the last line may go on
+                held, rows, sizes = rows[:, starts[-1] :], rows[:, : starts[-1]], sizes[:-1]
+            else:
+                hot = int(rows[0, -1])
+            often = np.repeat(sizes > rare, sizes)
+            yield frequent(rows[:, often])
+            yield from pairs(rows[:, ~often])
+        yield from pairs(held)
+
+    return run
+
+
+def first_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (window, oid, content, key, start), sorted: (key, start, early) of all but a window's first document."""
+    last, first = None, np.zeros(5, np.int64)
+    for rows in _sorted_groups(batches, ("window", "oid", "content", "key", "start")):
+        new = _new(rows, 1, last)
+        firsts = np.concatenate((first[:, None], rows[:, new]), 1)[:, np.cumsum(new)]
+        last, first = rows[:, -1], firsts[:, -1]
+        later = (rows[3] != firsts[3]) & (rows[2] != firsts[2])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[3, later]), pa.array(rows[4, later].astype(np.int32)), pa.array(firsts[1, later])], ["key", "start", "early"])
+
+
+def bit_filter(spark: SparkSession, keys: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast bit vector of 2^bits bits in which the bit of each key (long) is set: 8 MB, whatever the number of keys."""
+    bit = F.pmod(F.col("key"), F.lit(1 << bits))
+    slots = keys.groupBy(F.shiftright(bit, 6).alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {1 << bits}) % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[slots.column("slot").to_numpy()] = slots.column("v").to_numpy()
+    return spark.sparkContext.broadcast(out)
+
+
+def _has_bit(vector: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % (len(vector) * 64)
+    return (vector[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _merged(spans: Sequence) -> list[dict]:
+    out: list[list[int]] = []
+    for s, e in sorted((x["start"], x["end"]) for x in spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [{"start": s, "end": e} for s, e in out]
+
+
+@F.pandas_udf(SPANS)
+def _merge(spans: pd.Series) -> pd.Series:
+    return pd.Series([_merged(x) for x in spans], dtype=object)
 
-    def hash_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, keys = [], []
-            for row, hashes, sizes in zip(pdf["row"], pdf["hashes"], pdf["sizes"], strict=True):
-                h, n = hashes.tolist(), sizes.tolist()
-                for key in {hash(tuple(h[s:e])) for s, e in runs(h, n, min_words)}:
-                    rows.append(row)
-                    keys.append(key)
-            yield pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "run": pd.Series(keys, dtype="int64")})
-
-    # hash() of a tuple of integers is the same in every worker; equal runs have equal keys and pairs are verified
-    held = docs_lines.select("row", "hashes", "sizes").mapInPandas(hash_runs, "row long, run long")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key", "row")
-    placed = stored(held.join(docs_lines.select("row", order.alias("o")), "row").select("run", "o"), "runs")
-    first = placed.groupBy("run").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    pairs = placed.join(first, "run").where(F.col("o") > F.col("first")).select(F.col("first.row").alias("early"), F.col("o.row").alias("later")).distinct()
-    pairs = stored(pairs, "pairs")
-    a = docs_lines.select(F.col("row").alias("early"), F.col("hashes").alias("early_hashes"), F.col("doc_id").alias("early_id"))
-    b = docs_lines.select(F.col("row").alias("later"), F.col("hashes").alias("later_hashes"), "sizes")
+
+def cut_text(text: str, spans: Sequence[tuple[int, int]]) -> str:
+    """text without the words of spans, each with the white space up to the next word; lines left without a word go whole."""
+    out, at, spans = [], 0, list(spans)
+    for line in text.split("\n"):
+        words = [m.start() for m in WORD.finditer(line)]
+        kept, pos, gone = [], 0, 0
+        for s, e in spans:
+            s, e = max(s - at, 0), min(e - at, len(words))
+            if s < e:
+                kept.append(line[pos : words[s]])
+                pos = words[e] if e < len(words) else len(line)
+                gone += e - s
+        at += len(words)
+        while spans and spans[0][1] <= at:
+            spans.pop(0)
+        if not words or gone < len(words):
+            out.append("".join(kept) + line[pos:])
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([t if s is None or not len(s) else cut_text(t, list(zip(s, e, strict=True))) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+
+
+def _lines(docs: DataFrame, passage: int, line: int) -> DataFrame:
+    """A row for each document (line is null) and for each distinct line of a section, stored."""
+    names = ["key", "oid", "content", "other", "n_words", "sec", "line"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, oid = (batch.column(c).to_numpy() for c in ("key", "oid"))
+            out = [[] for _ in names]
+            for k, o, w in zip(key.tolist(), oid.tolist(), word_hashes(x.as_py() for x in batch.column("text")), strict=True):
+                digest = np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), np.int64)
+                parts = [np.unique(window_lines(x, passage, line)) for _, x in sections(w, passage)] if len(w) >= passage else []
+                n = 1 + sum(map(len, parts))
+                for column, value in zip(out, (k, o, digest[0], digest[1], len(w)), strict=False):
+                    column.append(np.full(n, value, np.int64))
+                out[5].append(np.concatenate((np.full(1, -1), *(np.full(len(p), i) for i, p in enumerate(parts)))))
+                out[6].append(np.concatenate((np.zeros(1, np.int64), *parts)))
+            if len(key):
+                sec = np.concatenate(out[5])
+                columns = [pa.array(np.concatenate(x)) for x in out[:5]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sec), pa.array(np.concatenate(out[6]), mask=sec < 0)], schema=schema)
+
+    return stored(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "lines")
+
+
+def _sections_of(docs: DataFrame, keys: DataFrame, passage: int) -> DataFrame:
+    """(key, oid, content, sec, first, words) of the documents in keys, and of a few others, stored. words: 32-bit hashes."""
+    wanted = bit_filter(docs.sparkSession, keys)
+    schema = pa.schema({"key": pa.int64(), "oid": pa.int64(), "content": pa.int64(), "sec": pa.int64(), "first": pa.int32(), "words": pa.binary()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_has_bit(wanted.value, batch.column("key").to_numpy())))
+            key, oid = (batch.column(c).to_pylist() for c in ("key", "oid"))
+            out = []
+            for k, o, w in zip(key, oid, word_hashes(x.as_py() for x in batch.column("text")), strict=True):
+                content = int(np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), np.int64)[0])
+                out += [(k, o, content, i, at, x.astype(np.uint32).tobytes()) for i, (at, x) in enumerate(sections(w, passage))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    # equal rows of docs have equal sections
+    return stored(docs.mapInArrow(run, "key long, oid long, content long, sec long, first int, words binary").dropDuplicates(["key", "sec"]), "sections")
+
+
+def _unpacked(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, np.uint32).astype(np.uint64)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key: 64-bit hash of doc_id and text; oid: the id, the greatest long for null."""
+    text = text_of()
+    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("oid"), text.alias("text"))
+
+
+def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> DataFrame:
+    """One row per row of docs: doc_id, key (of doc_id and text), nth (1, 2, ... of equal rows), n_words, removed_words,
+    sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed words, end exclusive).
+
+    Documents are ordered by doc_id, null last, ties by a hash of their words. Null and empty texts have no words; of
+    repeated rows all but the first lose everything, as copies of `passage` words or more do; no rows give no rows; other
+    columns are ignored.
+    """
+    if not 1 <= line < passage:
+        raise ValueError("a line has fewer words than a passage")
+    each = _keyed(docs)
+    rows = _lines(each, passage, line)
+    wholes = rows.where("line is null").groupBy("key", "oid", "content", "other", "n_words").agg(F.count("*").alias("n"))
+    wholes = stored(wholes, "wholes")
+    order = F.struct("oid", "key")
+    firsts = wholes.groupBy("content", "other", "n_words").agg(F.min(order).alias("f"))
+    copies = wholes.join(firsts, ["content", "other", "n_words"]).where((order > F.col("f")) & (F.col("n_words") >= passage))
+    copies = copies.select("key", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("f.oid").alias("early"))
+
+    dealt = rows.where("line is not null").select(*LINE_COLUMNS).repartition("line").sortWithinPartitions(*LINE_COLUMNS)
+    met = stored(dealt.mapInArrow(pair_worker(RARE), "line long, oid long, key long, sec long, later_key long, later_sec long"), "met")
+    pairs = stored(met.where("line is null").drop("line").distinct(), "pairs")
+    often = met.where("line is not null").select("line", F.col("later_key").alias("key"), F.col("later_sec").alias("sec"))
+    keys = pairs.select("key").unionAll(pairs.select(F.col("later_key").alias("key"))).unionAll(often.select("key")).distinct()
+    words = _sections_of(each, keys, passage)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            gone = [sorted(common_lines(x.tolist(), y.tolist(), n.tolist(), min_words)) for x, y, n in zip(pdf["early_hashes"], pdf["later_hashes"], pdf["sizes"], strict=True)]
-            yield pd.DataFrame({"later": pdf["later"], "early_id": pdf["early_id"].astype("Int64"), "lines": gone})
-
-    aligned = pairs.join(b, "later").join(a, "early").select("later", "early_id", "early_hashes", "later_hashes", "sizes").mapInPandas(align, "later long, early_id long, lines array<int>")
-    found = stored(aligned.where(F.size("lines") > 0), "aligned")
-    lines = found.select("later", F.explode("lines").alias("line")).distinct().groupBy("later").agg(F.collect_list("line").alias("lines"))
-    early = found.groupBy("later").agg(F.collect_set("early_id").alias("line_ids"))
-    passages = repeated_passages(docs_lines.select("row", order.alias("o"), "text"))
-    cut = lines.join(early, "later").join(passages, "later", "full_outer")
-    ids = F.array_union(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in ("line_ids", "early_ids")])
-    cut = stored(cut.select("later", "lines", "starts", F.sort_array(ids).alias("sources")), "cut")
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for key, first, oid, a, b in zip(pdf["later_key"], pdf["first"], pdf["oid"], pdf["early_words"], pdf["words"], strict=True):
+                out += [(key, first + s, first + e, oid) for s, e in common_blocks(_unpacked(a), _unpacked(b), passage)]
+            yield pd.DataFrame(out, columns=["key", "start", "end", "early"])
+
+    later = words.select(F.col("key").alias("later_key"), F.col("sec").alias("later_sec"), "first", "words")
+    both = pairs.join(words.select("key", "sec", F.col("words").alias("early_words")), ["key", "sec"]).join(later, ["later_key", "later_sec"])
+    aligned = both.select("later_key", "first", "oid", "early_words", "words").mapInPandas(align, "key long, start int, end int, early long")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [cut_places(n.tolist(), () if x is None else x, () if y is None else y) for n, x, y in zip(pdf["sizes"], pdf["lines"], pdf["starts"], strict=True)]
-            spans = [[{"start": s, "end": e} for s, e in x] for _, x, _ in done]
-            yield pd.DataFrame({"later": pdf["later"], "gone": [x for x, *_ in done], "spans": spans, "removed_words": [n for *_, n in done], "sources": pdf["sources"]})
-
-    kind = "array<struct<start:int,end:int>>"
-    sized = cut.join(docs_lines.select(F.col("row").alias("later"), "sizes"), "later")
-    cut = sized.mapInPandas(places, f"later long, gone array<int>, spans {kind}, removed_words long, sources array<bigint>")
-    both = docs_lines.drop("text").join(cut, docs_lines["row"] == F.col("later"), "left")
-    return both.select(
-        "doc_id",
-        "text_key",
-        F.size("hashes").cast("long").alias("n_lines"),
-        F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y).alias("n_words"),
-        F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda i: F.get("places", i)).alias("removed"),
-        F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
-        F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"),
-        F.coalesce("spans", F.array().cast(kind)).alias("spans"),
-        "row",
-    )
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with a column clean_text: the text without its removed lines and spans. Repeated rows: all of them are cut like the later ones.
-
-    A column of that name in docs is replaced.
+            for key, oid, content, first, some, w in zip(pdf["key"], pdf["oid"], pdf["content"], pdf["first"], pdf["lines"], pdf["words"], strict=True):
+                w = _unpacked(w)
+                at = np.flatnonzero(np.isin(window_lines(w, passage, line), some))
+                yield pd.DataFrame({"window": _windows(w, passage)[at], "oid": oid, "content": content, "key": key, "start": (first + at).astype(np.int32)})
+
+    # a section's own lines: no more than its words
+    frequent = words.join(often.groupBy("key", "sec").agg(F.collect_list("line").alias("lines")), ["key", "sec"])
+    placed = frequent.mapInPandas(windows, "window long, oid long, content long, key long, start int")
+    placed = placed.repartition("window").sortWithinPartitions("window", "oid", "content", "key", "start")
+    looked = placed.mapInArrow(first_worker, "key long, start int, early long").select("key", "start", (F.col("start") + passage).alias("end"), "early")
+
+    found = copies.unionAll(aligned.select("key", "start", "end", "early")).unionAll(looked)
+    early = F.sort_array(F.collect_set(F.when(F.col("early") != NO_ID, F.col("early"))))
+    cut = stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("all"), early.alias("sources")), "cut")
+    cut = cut.select("key", _merge("all").alias("spans"), "sources")
+
+    out = wholes.select("key", "oid", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).join(cut, "key", "left")
+    again = (F.col("nth") > 1) & (F.col("n_words") >= passage)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    doc_id = F.when(F.col("oid") != NO_ID, F.col("oid"))
+    own = F.coalesce("sources", F.array().cast("array<bigint>"))
+    out = out.withColumn("spans", F.when(again, whole).otherwise(F.coalesce("spans", F.array().cast(SPANS))))
+    sources = F.when(again & doc_id.isNotNull(), F.array_union(own, F.array(doc_id))).otherwise(own)
+    words_gone = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["end"] - s["start"])
+    return out.select(doc_id.alias("doc_id"), "key", "nth", "n_words", words_gone.alias("removed_words"), sources.alias("sources"), "spans")
+
+
+def dedup_lines(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> DataFrame:
+    """docs with a column clean_text: the text without its removed words. Of repeated rows the first keeps its text.
+
+    A column of that name in docs is replaced. Null texts stay null.
     """
     docs = docs.drop("clean_text")
-    found = removed_lines(docs, min_words).groupBy("doc_id", "text_key").agg(F.max_by(F.struct("removed", "spans"), "row").alias("cut")).select("doc_id", "text_key", "cut.*").where((F.size("removed") > 0) | (F.size("spans") > 0))
-    found = stored(found, "removed").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), "removed", "spans").alias("f")
-    d = docs.alias("d")
-    both = d.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.k_id")) & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("f.k_text")), "left")
-    parts = F.split(F.coalesce(F.col("d.text"), F.lit("")), "\n")
-    cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("f.removed"), i)), "\n")
-    words_cut = _cut(F.col("d.text"), F.col("f.removed"), F.col("f.spans.start"), F.col("f.spans.end"))
-    cut = F.when(F.size("f.spans") > 0, words_cut).otherwise(cut)
-    return both.select("d.*", F.when(F.col("f.removed").isNull(), F.col("d.text")).otherwise(cut).alias("clean_text"))
+    key, nth = free_name(docs, "k_key"), free_name(docs, "k_nth")
+    cuts = stored(removed_spans(docs, passage, line).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("nth").cast("int").alias(nth), "spans"), "removed").alias("f")
+    numbered = docs.withColumn(key, F.xxhash64("doc_id", text_of())).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).alias("d")
+    both = numbered.join(cuts, [key, nth], "left")
+    clean = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(_cut(F.col("d.text"), F.col("f.spans.start"), F.col("f.spans.end")))
+    return both.select(*[F.col(f"d.{c}") for c in docs.columns], clean.alias("clean_text"))

@@ -35,8 +35,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.removed_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_words", "removed", "removed_words", "sources", "spans")
+    found = linedup.removed_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "removed_words", "sources", "spans")
 
 
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

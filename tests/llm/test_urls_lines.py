@@ -60,71 +60,122 @@ def line(key, n):
     return " ".join(f"{key}{k}" for k in range(n))
 
 
-def brute_removed(docs, min_words):
-    """Every run of lines with min_words words that an earlier document holds is covered, and nothing else shared is needed."""
-    need = {}
-    parsed = [(d, [(i, x.strip(" \t\x0b\f\r"), len(x.split())) for i, x in enumerate((t or "").split("\n")) if x.split()]) for d, t in docs]
-    for at, (d, lines) in enumerate(parsed):
-        cover = set()
-        for _, other in parsed[:at]:
-            texts = [x for _, x, _ in other]
-            for s in range(len(lines)):
-                for e in range(s + 1, len(lines) + 1):
-                    if sum(n for *_, n in lines[s:e]) >= min_words:
-                        want = [x for _, x, _ in lines[s:e]]
-                        if any(texts[k : k + e - s] == want for k in range(len(texts) - (e - s) + 1)):
-                            cover.update(i for i, *_ in lines[s:e])
-        need[d] = sorted(cover)
-    return need
-
-
-def test_line_dedup(spark, docs, odd, none):
-    rnd = random.Random(2)
-    pool = [line(f"p{i}x", rnd.choice((5, 15, 25, 60))) for i in range(14)]
-    rows = []
-    for d in range(40):
-        parts = [line(f"own{d}x{k}x", rnd.choice((6, 50))) if rnd.random() < 0.5 else rnd.choice(pool) for k in range(rnd.randrange(9))]
-        rows.append((d, "\n".join(x + rnd.choice(("", "\n")) for x in parts)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
-    want, got = brute_removed(rows, linedup.MIN_WORDS), {r.doc_id: r for r in linedup.removed_lines(df.repartition(4)).collect()}
-    assert any(want.values())
-    assert {d: list(got[d].removed) for d in want} == want
-    texts = {r.doc_id: r.clean_text for r in linedup.dedup_lines(df.withColumn("clean_text", F.lit("old"))).collect()}
-    assert all(texts[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows)
-    assert linedup.removed_lines(odd).count() == odd.count() and linedup.removed_lines(none).count() == 0
-    assert linedup.removed_lines(docs).where("removed_words > 0").count() > 0
-
-
-def test_passages_within_lines(spark):
-    """A repeated passage of 50 words or more goes wherever lines end, and whoever else holds parts of it."""
-    rnd = random.Random(4)
+def test_worker_streams():
+    """Lines whose rows come in batches of any size give the same pairs and frequent rows; copies take no part."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    rows = set()
+    for name in range(30):
+        for _ in range(rnd.choice((1, 2, 5, 9, 40))):
+            doc = rnd.randrange(60)
+            rows.add((name, doc % 45, doc, 1000 + doc, rnd.randrange(2)))  # documents 45 to 59 are copies of 0 to 14
+    rows = np.array(sorted(rows), np.int64)
+    want_pairs, want_often = set(), set()
+    for name in range(30):
+        mine = [r for r in rows.tolist() if r[0] == name]
+        lead = {c: min(r[2] for r in mine if r[1] == c) for c in {r[1] for r in mine}}
+        mine = [r for r in mine if r[2] == lead[r[1]]]
+        if len(mine) > 8:
+            want_often |= {(name, r[3], r[4]) for r in mine}
+        else:
+            want_pairs |= {(x[2], x[3], x[4], y[3], y[4]) for x in mine for y in mine if x[2] < y[2]}
+    for size in (1, 3, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + size].T], list(linedup.LINE_COLUMNS)) for i in range(0, len(rows), size)]
+        got = [r for b in linedup.pair_worker(8)(iter(batches)) for r in b.to_pylist()]
+        assert {tuple(r.values())[1:] for r in got if r["line"] is None} == want_pairs
+        assert {(r["line"], r["later_key"], r["later_sec"]) for r in got if r["line"] is not None} == want_often
+    assert want_pairs and want_often
+
+
+def test_common_blocks(monkeypatch):
+    """Blocks are exactly the windows that both hold, in any order and however often."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        pool = [[rnd.randrange(1, 1 << 32) for _ in range(rnd.randrange(5, 40))] for _ in range(5)]
+        a, b = ([x for _ in range(rnd.randrange(6)) for x in [*rnd.choice(pool), *(rnd.randrange(1, 1 << 32) for _ in range(rnd.randrange(3)))]] for _ in range(2))
+        have = {tuple(a[i : i + 20]) for i in range(len(a) - 19)}
+        want = {k for i in range(len(b) - 19) if tuple(b[i : i + 20]) in have for k in range(i, i + 20)}
+        got = linedup.common_blocks(np.array(a, np.uint64), np.array(b, np.uint64), 20)
+        assert {k for s, e in got for k in range(s, e)} == want
+
+
+def brute_spans(rows, passage):
+    """Of every document the words in windows that an earlier one holds."""
+    seen, want = set(), {}
+    for d, t in sorted(rows):
+        w = (t or "").split()
+        own = [tuple(w[i : i + passage]) for i in range(len(w) - passage + 1)]
+        want[d] = {k for i, x in enumerate(own) if x in seen for k in range(i, i + passage)}
+        seen.update(own)
+    return want
+
+
+def check_spans(df, rows, **sizes):
+    want, text = brute_spans(rows, sizes.get("passage", linedup.PASSAGE)), dict(rows)
+    got = {r.doc_id: r for r in linedup.removed_spans(df, **sizes).collect()}
+    clean = {r.doc_id: r.clean_text for r in linedup.dedup_lines(df, **sizes).collect()}
+    assert len(got) == len(rows) == len(clean)
+    for d, r in got.items():
+        words = text[d].split()
+        assert {k for s, e in r.spans for k in range(s, e)} == want[d], d
+        assert r.removed_words == len(want[d]) and r.n_words == len(words)
+        assert bool(r.sources) == bool(want[d]) and all(x < d for x in r.sources)
+        assert clean[d].split() == [w for k, w in enumerate(words) if k not in want[d]]
+        assert want[d] or clean[d] == text[d]
+    return want
+
+
+def passages(rnd, docs):
+    """Documents of own words and parts of shared passages: two of them in few documents, four in many; also copies and near copies."""
     pool = [line(f"q{i}x", 130).split() for i in range(6)]
     rows = []
-    for d in range(60):
+    for d in range(docs):
         words = []
         for k in range(rnd.randrange(1, 5)):
             words += line(f"own{d}x{k}x", rnd.randrange(1, 30)).split()
-            p, at = rnd.choice(pool), rnd.randrange(70)
+            p, at = pool[rnd.randrange(6) if d % 9 == 0 else rnd.randrange(2, 6)], rnd.randrange(70)
             words += p[at : at + rnd.randrange(20, 131)]
         words += line(f"end{d}x", 5).split()
+        if rows and d % 7 == 0:
+            words = rnd.choice(rows)[1].split()
+        if rows and d % 7 == 1:
+            words = rnd.choice(rows)[1].split()
+            words[len(words) // 2] = f"edit{d}"
         rows.append((d, "".join(w + rnd.choice(("\n", "  ", *[" "] * 40)) for w in words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    seen, want = set(), {}
-    for d, t in rows:
-        w = t.split()
-        own = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
-        want[d] = {k for i, x in enumerate(own) if x in seen for k in range(i, i + 50)}
-        seen.update(own)
+    return rows
+
+
+def test_line_dedup(spark, docs, sf_docs, odd, none):
+    """Repeated passages go wherever lines end and whoever else holds parts of them: exactly the windows an earlier document holds."""
+    rows = passages(random.Random(4), 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("clean_text", F.lit("old")).repartition(4)
+    want = check_spans(df, rows)
     assert any(want.values()) and not all(want.values())
-    got, text = {r.doc_id: r for r in linedup.removed_lines(df).collect()}, dict(rows)
-    clean = {r.doc_id: r.clean_text for r in linedup.dedup_lines(df).collect()}
-    for d, r in got.items():
-        places, at = {k for s, e in r.spans for k in range(s, e)}, 0
-        for i, x in enumerate(text[d].split("\n")):
-            if i in r.removed:
-                places |= set(range(at, at + len(x.split())))
-            at += len(x.split())
-        # whole lines that an earlier document has in a run of 40 words may go beyond the passages
-        assert want[d] <= places and len(places) == r.removed_words and (not places or r.sources)
-        assert clean[d].split() == [w for k, w in enumerate(text[d].split()) if k not in places]
-    assert sum(len(x) for x in want.values()) > 0.9 * sum(r.removed_words for r in got.values())
+    # shorter passages are a matter of the parameters
+    assert sum(map(len, check_spans(df, rows, passage=12, line=6).values())) > sum(map(len, want.values()))
+    check_spans(docs, [(d["doc_id"], d["text"]) for d in sf_docs])
+    assert linedup.removed_spans(odd).count() == odd.count() and linedup.removed_spans(none).count() == 0
+    assert linedup.dedup_lines(odd).columns == [*odd.columns, "clean_text"] and linedup.dedup_lines(odd).count() == odd.count()
+
+
+def test_long_documents(spark, monkeypatch):
+    """Passages across the borders of sections."""
+    monkeypatch.setattr(linedup, "SECTION", 130)
+    rnd = random.Random(8)
+    p = line("p", 300).split()
+    rows = [(d, " ".join([*line(f"a{d}x", rnd.randrange(400)).split(), *p[(at := rnd.randrange(150)) : at + rnd.randrange(40, 300)], *line(f"b{d}x", rnd.randrange(400)).split()])) for d in range(24)]
+    assert any(check_spans(spark.createDataFrame(rows, "doc_id long, text string"), rows).values())
+
+
+def test_repeated_rows(spark):
+    """Of equal rows the first keeps its text; short ones stay; null ids come last."""
+    a, b = line("a", 80), line("b", 20)
+    rows = [(1, a, "x"), (1, a, "y"), (2, b, "x"), (2, b, "x"), (None, a, "z"), (None, line("c", 60), "z"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.clean_text) for r in linedup.dedup_lines(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (1, ""), (2, b), (2, b), (None, ""), (None, line("c", 60)), (3, None)], key=repr)
+    assert sorted((r.removed_words, r.sources) for r in linedup.removed_spans(df).collect()) == [(0, []), (0, []), (0, []), (0, []), (0, []), (80, [1]), (80, [1])]

@@ -36,9 +36,10 @@ from .common import free_name, stored, text_of
 #: Words of the shortest passage that is always found, and of a line.
 PASSAGE, LINE = 50, 25
 #: Documents that may hold a rare line; words of a section; words from which a unit's border is chosen.
-RARE, SECTION, BORDER = 8, 2048, 12
-#: Bits of the filter that spares documents without a candidate a second look; wrong hits only cost time.
-FILTER_BITS = 26
+RARE, SECTION, BORDER = 4, 2048, 12
+#: Bits of the filter that spares sections without a candidate a second look (wrong hits only cost time), and what makes
+#: a section's number part of its key there.
+FILTER_BITS, SPREAD = 26, 2654435761
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -361,19 +362,22 @@ def _lines(docs: DataFrame, passage: int, line: int) -> DataFrame:
     return stored(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "lines")
 
 
-def _sections_of(docs: DataFrame, keys: DataFrame, passage: int) -> DataFrame:
-    """(key, oid, content, sec, first, words) of the documents in keys, and of a few others, stored. words: 32-bit hashes."""
-    wanted = bit_filter(docs.sparkSession, keys)
+def _sections_of(docs: DataFrame, wanted: DataFrame, passage: int) -> DataFrame:
+    """(key, oid, content, sec, first, words) of the sections wanted (key, sec), and of a few others, stored. words: 32-bit hashes."""
+    marks = bit_filter(docs.sparkSession, wanted.select(F.col("key").bitwiseXOR(F.col("sec") * SPREAD).alias("key")))
+    first = bit_filter(docs.sparkSession, wanted.select("key").distinct())
     schema = pa.schema({"key": pa.int64(), "oid": pa.int64(), "content": pa.int64(), "sec": pa.int64(), "first": pa.int32(), "words": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_has_bit(wanted.value, batch.column("key").to_numpy())))
+            batch = batch.filter(pa.array(_has_bit(first.value, batch.column("key").to_numpy())))
             key, oid = (batch.column(c).to_pylist() for c in ("key", "oid"))
             out = []
             for k, o, w in zip(key, oid, word_hashes(x.as_py() for x in batch.column("text")), strict=True):
                 content = int(np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), np.int64)[0])
-                out += [(k, o, content, i, at, x.astype(np.uint32).tobytes()) for i, (at, x) in enumerate(sections(w, passage))]
+                parts = sections(w, passage)
+                for i in np.flatnonzero(_has_bit(marks.value, k ^ np.arange(len(parts)) * SPREAD)).tolist():
+                    out.append((k, o, content, i, parts[i][0], parts[i][1].astype(np.uint32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -414,8 +418,8 @@ def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) ->
     met = stored(dealt.mapInArrow(pair_worker(RARE), "line long, oid long, key long, sec long, later_key long, later_sec long"), "met")
     pairs = stored(met.where("line is null").drop("line").distinct(), "pairs")
     often = met.where("line is not null").select("line", F.col("later_key").alias("key"), F.col("later_sec").alias("sec"))
-    keys = pairs.select("key").unionAll(pairs.select(F.col("later_key").alias("key"))).unionAll(often.select("key")).distinct()
-    words = _sections_of(each, keys, passage)
+    later_sec = pairs.select(F.col("later_key").alias("key"), F.col("later_sec").alias("sec"))
+    words = _sections_of(each, pairs.select("key", "sec").unionAll(later_sec).unionAll(often.select("key", "sec")), passage)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,9 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame functions only.
 
-The index stores postings (term, doc_id, text_key, pos) of the training texts for every term that a benchmark item
-uses. Each window of an item is looked up from its rarest term: its postings, adjusted by the term's offset in the item,
-give alignments of item and document. The alignments of one item's windows meet in the same offset-adjusted position, are
-intersected to one row each, and are verified word by word along the alignment.
+The index stores postings (term, doc, pos) of the training texts for every term that a benchmark item uses. Of each window
+of an item the two rarest terms are intersected, in ascending frequency: the postings of the rarest, adjusted by its offset
+in the item, say where the second must stand, and only alignments that the second's postings confirm go on. Those few are
+compared word for word with the document. Proximity matches come from the same postings: an item's rarest terms, in any
+order, within a few words.
+
+Documents are known by a 64-bit hash of doc_id and text, terms by one of the word. Tables of looked-up terms are broadcast
+up to BROADCAST_ROWS rows of a few numbers each, which is counted first; beyond, they are joined, and every term's postings
+are dealt to SALTS parts, so that the commonest word is no single task.
 """
 
 from __future__ import annotations
@@ -11,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name, let, stored, text_of
+from .common import ascii_lower, discard, free_name, let, stored, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
+SALTS, BROADCAST_ROWS = 16, 200_000
+SLOP, NEAR_TERMS = 20, 3
 
 
 def item_words(text: Column) -> Column:
@@ -22,36 +29,71 @@ def item_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATORS), "")
 
 
+def doc_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+
+
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, words, size): one row for each distinct item_id and word sequence with words."""
+    """(item_id, item, words, size): one row for each distinct item_id and word sequence with words; item is its hash."""
     words = benchmark.select("item_id", item_words(text_of()).alias("words"))
-    return words.where(F.size("words") > 0).distinct().withColumn("size", F.least(F.lit(window), F.size("words")))
+    sized = words.where(F.size("words") > 0).distinct().withColumn("size", F.least(F.lit(window), F.size("words")))
+    return sized.withColumn("item", F.xxhash64("item_id", "words"))
+
+
+class Index:
+    """postings (term, doc, pos from 0) over all of docs, items and the postings' frequency by term (term, word, n)."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> None:
+        self.items = stored(_items(benchmark, window), "items")
+        words = self.items.select(F.explode("words").alias("word")).distinct().select(F.xxhash64("word").alias("term"), "word")
+        self.vocabulary = stored(words, "vocabulary")
+        split = docs.select(doc_key(docs).alias("doc"), item_words(text_of()).alias("w"))
+        each = split.select("doc", F.posexplode("w").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "doc", "pos")
+        # Spark broadcasts the vocabulary only if its stored size is under spark.sql.autoBroadcastJoinThreshold
+        self.postings = stored(each.join(self.vocabulary.select("term").distinct(), "term"), "postings")
+        counts = self.postings.groupBy("term").agg(F.count("*").alias("n"))
+        self.frequency = stored(self.vocabulary.join(counts, "term"), "frequency")
 
+    def of(self, terms: DataFrame) -> DataFrame:
+        """terms (term, numbers) with doc and pos of each posting."""
+        terms = stored(terms, "terms")
+        if terms.count() <= BROADCAST_ROWS:
+            return self.postings.join(F.broadcast(terms), "term")
+        part, parts = F.pmod(F.col("doc"), F.lit(SALTS)).alias("part"), F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+        return self.postings.select("term", "doc", "pos", part).join(terms.withColumn("part", F.explode(parts)), ["term", "part"]).drop("part")
 
-def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(postings, items). postings: term (64-bit hash), doc_id, text_key, pos (from 0), over all of docs.
+    def close(self) -> None:
+        """Deletes the index; what was made of it must be stored."""
+        discard(self.items, self.vocabulary, self.postings, self.frequency)
 
-    Only terms that some item uses are stored. Their number is that of the benchmark's vocabulary, and Spark broadcasts
-    it only if its stored size is under spark.sql.autoBroadcastJoinThreshold.
+
+def windows(index: Index) -> DataFrame:
+    """(item, start, size, text, term, at, second, second_at): of each window that documents may hold its two rarest terms.
+
+    at is the place in the item; a window of one word has no second term.
     """
-    items = stored(_items(benchmark, window), "items")
-    vocabulary = stored(items.select(F.explode("words").alias("word")).distinct().select(F.xxhash64("word").alias("term")).distinct(), "vocabulary")
-    words = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), item_words(text_of()).alias("w"))
-    each = words.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "doc_id", "text_key", "pos")
-    return stored(each.join(vocabulary, "term"), "postings"), items
-
-
-def alignments(postings: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item, base): the item's first word would lie at position base of the document."""
-    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
-    terms = items.select(F.xxhash64("item_id", "words").alias("item"), "size", F.size("words").alias("length"), F.posexplode("words").alias("at", "word"))
-    counted = terms.select("item", "size", "length", "at", F.xxhash64("word").alias("term")).join(frequency, "term", "left")
-    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.col("at"), F.col("length") - F.col("size"))))
-    # of each window the rarest term; a window with a term that no document has needs no lookup
-    windows = counted.select("item", "term", "at", F.coalesce("n", F.lit(0)).alias("n"), start.alias("start"))
-    rarest = windows.groupBy("item", "start").agg(F.min_by(F.struct("term", "at"), F.struct("n", "at")).alias("r"), F.min("n").alias("n")).where("n > 0")
-    anchors = stored(rarest.select("item", F.col("r.term").alias("term"), F.col("r.at").alias("at")).distinct(), "anchors")
-    return postings.join(anchors, "term").select("doc_id", "text_key", "item", (F.col("pos") - F.col("at")).alias("base")).distinct()
+    start = F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("start")
+    each = index.items.select("item", "words", "size", start)
+    text = each.select("item", "start", "size", F.array_join(F.slice("words", F.col("start") + 1, "size"), " ").alias("text"))
+    place = each.select("item", "start", F.posexplode(F.slice("words", F.col("start") + 1, "size")).alias("i", "word"))
+    counted = place.join(index.frequency.select("word", "term", "n"), "word", "left")
+    rarest = F.sort_array(F.collect_list(F.struct("n", "i", "term")))  # as many as the window has words
+    two = counted.groupBy("item", "start").agg(rarest.alias("r"), F.count_if(F.col("n").isNull()).alias("unseen")).where("unseen = 0")
+    at = lambda i: (F.get("r", F.lit(i))["i"] + F.col("start"))
+    both = two.select("item", "start", F.col("r")[0]["term"].alias("term"), at(0).alias("at"), F.get("r", F.lit(1))["term"].alias("second"), at(1).alias("second_at"))
+    return text.join(both, ["item", "start"])
+
+
+def alignments(index: Index, wanted: DataFrame) -> DataFrame:
+    """(doc, item, at, second_at, base): the item's first word would lie at position base of the document."""
+    pairs = wanted.select("item", "term", "at", "second", "second_at").distinct()
+    first = index.of(pairs).select("doc", "item", "at", "second", "second_at", (F.col("pos") - F.col("at")).alias("base")).distinct()
+    alone = first.where("second is null").select("doc", "item", "at", "second_at", "base")
+    seconds = wanted.select(F.col("second").alias("term")).where("term is not null").distinct()
+    confirm = index.of(seconds).select(F.col("doc").alias("d"), F.col("term").alias("t"), F.col("pos").alias("p"))
+    stands = (F.col("doc") == F.col("d")) & (F.col("second") == F.col("t")) & (F.col("base") + F.col("second_at") == F.col("p"))
+    both = first.where("second is not null").join(confirm, stands, "left_semi")
+    return both.select("doc", "item", "at", "second_at", "base").unionAll(alone)
 
 
 def _covered(spans: Column) -> Column:
@@ -61,82 +103,88 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step, lambda a: a["n"])
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact matches: doc_id, text_key, item_id, start, end (word positions, end exclusive), one row for each window.
+def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
+    """Exact matches: doc, item_id, start, end (word positions, end exclusive), one row for each window, stored.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     """
-    postings, items = build_index(docs, benchmark, window)
-    aligned = alignments(postings, items)
-    named = items.withColumn("item", F.xxhash64("item_id", "words"))
-    per_doc = stored(aligned, "alignments")
-    keys = per_doc.select("doc_id", "text_key").distinct()
-    a, b = F.col("d.doc_id"), F.col("k.doc_id")
-    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text")).alias("d")
-    texts = texts.join(stored(keys, "candidates").alias("k"), a.eqNullSafe(b) & (F.col("d.text_key") == F.col("k.text_key")), "left_semi")
-    # alignments go to their document as one array: as many as the document has anchor words, so a row's own size
-    with_items = per_doc.join(named.select("item", "item_id", "words", "size"), "item")
-    found = with_items.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "words", "size", "base")).alias("try"))
-    both = texts.alias("d").join(found.alias("f"), a.eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key")))
-    split = both.select("d.doc_id", "d.text_key", item_words(F.col("text")).alias("w"), "try")
-
-    def runs(t: Column, w: Column) -> Column:
-        low = F.greatest(F.lit(0), -t["base"])
-        high = F.least(F.size(t["words"]), F.size(w) - t["base"]) - t["size"]
-        starts = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        same = F.filter(starts, lambda k: F.slice(w, t["base"] + k + 1, t["size"]) == F.slice(t["words"], k + 1, t["size"]))
-        return F.transform(same, lambda k: F.struct(t["item_id"].alias("item_id"), (t["base"] + k).alias("start"), (t["base"] + k + t["size"]).alias("end")))
-
-    hits = split.select("doc_id", "text_key", let(F.col("w"), lambda w: F.flatten(F.transform("try", lambda t: runs(t, w)))).alias("hits"))
-    return hits.where(F.size("hits") > 0).select("doc_id", "text_key", F.explode("hits").alias("h")).select("doc_id", "text_key", "h.*").distinct()
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 20, terms: int = 3, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, item_id, first, last): the item's `terms` rarest terms, in any order, within `slop` words.
-
-    Occurrences are taken from the rarest term outwards; of each other term the nearest one on either side counts. Items
-    with fewer distinct terms in the index than asked for use those they have, two at least.
+    wanted = stored(windows(index), "windows")
+    aligned, w = alignments(index, wanted).alias("a"), wanted.alias("w")
+    same = (F.col("a.item") == F.col("w.item")) & (F.col("a.at") == F.col("w.at")) & F.col("a.second_at").eqNullSafe(F.col("w.second_at"))
+    tries = aligned.join(w, same).select("doc", "w.item", "start", "size", (F.col("base") + F.col("start")).alias("first")).where("first >= 0")
+    # to each document its own alignments, numbers only: as many as it has places of rare terms
+    tries = stored(tries.groupBy("doc").agg(F.collect_set(F.struct("item", "start", "size", "first")).alias("try")), "tries")
+    texts = docs.select(doc_key(docs).alias("doc"), text_of().alias("text"))
+    split = texts.join(tries, "doc").select("doc", item_words(F.col("text")).alias("w"), "try")
+    piece = lambda w: F.transform("try", lambda t: F.struct(t["item"].alias("item"), t["start"].alias("start"), t["first"].alias("first"), (t["first"] + t["size"]).alias("end"), F.array_join(F.slice(w, t["first"] + 1, t["size"]), " ").alias("text")))
+    pieces = split.select("doc", F.explode(let(F.col("w"), piece)).alias("p")).select("doc", "p.*")
+    named = wanted.select("item", "start", "text").join(index.items.select("item", "item_id"), "item")
+    hits = stored(pieces.join(named, ["item", "start", "text"]).select("doc", "item_id", F.col("first").alias("start"), "end").distinct(), "matches")
+    discard(wanted, tries)
+    return hits
+
+
+def proximity_matches(index: Index, slop: int = SLOP, terms: int = NEAR_TERMS) -> DataFrame:
+    """(doc, item_id, first, last): the item's `terms` rarest terms, in any order, within `slop` words.
+
+    Of the terms that documents hold the rarest count, ties by the word; items with fewer use those they have, two at
+    least. For each place of the rarest the narrowest stretch that holds all is taken, the first of equal ones: of each
+    other term the nearest place before and the nearest behind are tried in all combinations that can be narrowest.
     """
-    postings, items = build_index(docs, benchmark, window)
-    frequency = postings.groupBy("term").agg(F.count("*").alias("n"))
-    each = items.select("item_id", F.xxhash64("item_id", "words").alias("item"), F.explode(F.array_distinct("words")).alias("word")).select("item_id", "item", F.xxhash64("word").alias("term"))
-    ranked = each.join(frequency, "term").groupBy("item_id", "item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, terms).alias("r")).where(F.size("r") > 1)
-    ranked = stored(ranked, "ranked")
-    first = ranked.select("item_id", "item", F.size("r").alias("k"), F.col("r")[0]["term"].alias("term"))
-    rest = ranked.select("item", F.explode(F.slice("r", 2, terms)).alias("x")).select("item", F.col("x.term").alias("term"))
-    centre = postings.join(first, "term").select("doc_id", "text_key", "item_id", "item", "k", F.col("pos").alias("centre"))
+    words = index.items.select("item_id", "item", F.explode(F.array_distinct("words")).alias("word"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct("n", "word", "term"))), 1, terms)
+    r = words.join(index.frequency, "word").groupBy("item_id", "item").agg(ranked.alias("r")).where(F.size("r") > 1)
+    r = stored(r, "ranked")
+    first = r.select("item_id", "item", F.size("r").alias("k"), F.col("r")[0]["term"].alias("term"))
+    rest = r.select("item", F.explode(F.slice("r", 2, terms)).alias("x")).select("item", F.col("x.term").alias("term"))
     cell = F.floor(F.col("pos") / slop)
     # cells of slop words turn the range condition into an equality
-    near = postings.join(rest, "term").select("doc_id", "text_key", "item", "term", "pos", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    c, n = centre.withColumn("cell", F.floor(F.col("centre") / slop)).alias("c"), near.alias("n")
-    on = F.col("c.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.abs(F.col("pos") - F.col("centre")) < slop)
-    for k in ("text_key", "item", "cell"):
-        on = on & (F.col(f"c.{k}") == F.col(f"n.{k}"))
-    met = c.join(n, on).groupBy("c.doc_id", "c.text_key", "c.item_id", "c.item", "k", "centre", "n.term").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("centre"))).alias("pos"))
-    whole = met.groupBy("doc_id", "text_key", "item_id", "item", "k", "centre").agg(F.count("*").alias("m"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).where("m = k - 1")
-    span = whole.select("doc_id", "text_key", "item_id", F.least("lo", "centre").alias("first"), F.greatest("hi", "centre").alias("last"))
-    return span.where(F.col("last") - F.col("first") < slop).distinct()
+    centre = index.of(first).select("doc", "item_id", "item", "k", F.col("pos").alias("centre"), cell.alias("cell")).distinct()
+    near = index.of(rest).select("doc", "item", "term", "pos", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    met = centre.join(near, ["doc", "item", "cell"]).where(F.abs(F.col("pos") - F.col("centre")) < slop)
+    before, behind = F.max(F.when(F.col("pos") < F.col("centre"), F.col("pos"))), F.min(F.when(F.col("pos") > F.col("centre"), F.col("pos")))
+    sides = met.groupBy("doc", "item_id", "item", "k", "centre", "term").agg(before.alias("l"), behind.alias("r"))
+    whole = sides.groupBy("doc", "item_id", "item", "k", "centre").agg(F.collect_list(F.struct("l", "r")).alias("s")).where(F.size("s") == F.col("k") - 1)
+
+    def stretch(begin: Column) -> Column:
+        """(length, first, last) of the narrowest stretch from begin on, null if a term is missing there."""
+        ends = F.transform("s", lambda x: F.when(x["l"] >= begin, F.col("centre")).otherwise(x["r"]))
+        last = F.when(~F.exists(ends, lambda e: e.isNull()), F.array_max(ends))
+        return F.when(last.isNotNull(), F.struct((last - begin).alias("length"), begin.alias("first"), last.alias("last")))
+
+    begins = F.filter(F.concat(F.array("centre"), F.transform("s", lambda x: x["l"])), lambda b: b.isNotNull())
+    best = F.array_min(F.filter(F.transform(begins, stretch), lambda x: x.isNotNull()))
+    out = whole.select("doc", "item_id", best.alias("b")).where(F.col("b.length") < slop)
+    return out.select("doc", "item_id", F.col("b.first").alias("first"), F.col("b.last").alias("last")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_sha256.
 
-    A word inside any occurrence of a window is hit. Null and empty texts have no words; repeated items count once for
-    each distinct item_id, a null item_id is found but not listed; repeated rows of docs get equal rows; empty tables
-    give no rows or no hits; columns beyond doc_id and text (item_id and text) are ignored.
+    A word inside any occurrence of a window is hit. n_near counts the items with a proximity match, near_sha256 is the
+    digest of their ids. Null and empty texts have no words; repeated items count once for each distinct item_id, a null
+    item_id is found but not listed; repeated rows of docs get equal rows; empty tables give no rows or no hits; columns
+    beyond doc_id and text (item_id and text) are ignored.
     """
-    matches = phrase_matches(docs, benchmark, window)
+    index = Index(docs, benchmark, window)
+    matches = phrase_matches(docs, index)
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    hit = matches.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    hit = stored(hit.select("doc_id", "text_key", _covered(F.col("spans")).alias("n_hit"), F.sort_array("ids").alias("ids")), "hits")
-    base = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), F.size(item_words(text_of())).cast("long").alias("n_words")).alias("d")
-    both = base.join(hit.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left")
-    n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
-    return both.select("d.doc_id", "d.text_key", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    ids = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
+    exact = matches.groupBy("doc").agg(F.collect_set(span).alias("spans"), ids.alias("ids")).select("doc", _covered(F.col("spans")).alias("n_hit"), "ids")
+    near = proximity_matches(index).groupBy("doc").agg(ids.alias("near"))
+    hit = stored(exact.join(near, "doc", "full_outer"), "hits")
+    index.close()
+    base = docs.select("doc_id", doc_key(docs).alias("doc"), F.size(item_words(text_of())).cast("long").alias("n_words"))
+    both = base.join(hit, "doc", "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
+    listed, close = F.coalesce("ids", none), F.coalesce("near", none)
+    digest = lambda x: F.sha2(F.array_join(x, ","), 256)
+    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), digest(listed).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size(close).cast("long").alias("n_near"), digest(close).alias("near_sha256"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of any item, with all their columns."""
-    a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
-    bad = stored(phrase_matches(docs, benchmark, window).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[a]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad[b]), "left_anti")
+    index, name = Index(docs, benchmark, window), free_name(docs, "k_doc")
+    bad = stored(phrase_matches(docs, index).select(F.col("doc").alias(name)).distinct(), "leaks")
+    index.close()
+    return docs.join(bad, doc_key(docs) == bad[name], "left_anti")

@@ -33,9 +33,21 @@ d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 dw AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win FROM (SELECT d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) s WHERE len(d.w) >= s.n)),
 m AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM m) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+ni AS (SELECT row_number() OVER () AS r, item_id, w FROM (SELECT DISTINCT item_id, w FROM i WHERE len(w) > 0)),
+nw AS (SELECT DISTINCT r, item_id, word FROM (SELECT r, item_id, unnest(w) AS word FROM ni)),
+dp AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) WHERE word IN (SELECT word FROM nw)),
+pf AS (SELECT word, count(*) AS n FROM dp GROUP BY word),
+nr AS (SELECT r, item_id, word, k, least(m, 3) AS m FROM (SELECT r, item_id, nw.word, row_number() OVER (PARTITION BY r ORDER BY n, nw.word) AS k, count(*) OVER (PARTITION BY r) AS m FROM nw JOIN pf ON nw.word = pf.word) WHERE k <= 3 AND m > 1),
+nc AS (SELECT p.doc_id, nr.r, nr.item_id, nr.m, p.pos AS c FROM nr JOIN dp p ON p.word = nr.word WHERE nr.k = 1),
+ns AS (SELECT nc.doc_id, nc.r, nc.item_id, nc.m, nc.c, nr.word, max(CASE WHEN p.pos < nc.c THEN p.pos END) AS l, min(CASE WHEN p.pos > nc.c THEN p.pos END) AS g
+  FROM nc JOIN nr ON nr.r = nc.r AND nr.k > 1 JOIN dp p ON p.doc_id = nc.doc_id AND p.word = nr.word AND abs(p.pos - nc.c) < 20 GROUP BY nc.doc_id, nc.r, nc.item_id, nc.m, nc.c, nr.word),
+nb AS (SELECT doc_id, r, c, c AS b FROM ns UNION SELECT doc_id, r, c, l AS b FROM ns WHERE l IS NOT NULL),
+ne AS (SELECT ns.doc_id, ns.r, any_value(ns.item_id) AS item_id, ns.c, nb.b FROM ns JOIN nb ON nb.doc_id = ns.doc_id AND nb.r = ns.r AND nb.c = ns.c GROUP BY ns.doc_id, ns.r, ns.c, nb.b
+  HAVING count(*) = any_value(ns.m) - 1 AND count(CASE WHEN ns.l >= nb.b THEN ns.c ELSE ns.g END) = count(*) AND max(CASE WHEN ns.l >= nb.b THEN ns.c ELSE ns.g END) - nb.b < 20),
+nl AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM ne) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(nl.n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(nl.ids, '')) AS near_sha256
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN nl ON d.doc_id = nl.doc_id
 """
 
 ORACLES: dict[str, str] = {"op8_weighted_mixing": OP8, "op10_decontamination": OP10}

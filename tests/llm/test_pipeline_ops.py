@@ -220,11 +220,61 @@ def test_decontamination(spark, docs, sf_docs, odd, odd_rows, none, sf):
     assert decontam.contamination(docs.select("doc_id", "text"), odd_bench.limit(0)).count() == len(sf_docs)
 
 
+def test_items_of_common_words(spark, monkeypatch):
+    """Windows of the commonest words, repeated words and items of one word, with broadcast and with dealt tables of terms."""
+    import random
+
+    rnd = random.Random(7)
+    word = lambda: rnd.choice("aa aa aa bb bb cc dd".split())
+    rows = [(d, " ".join(word() for _ in range(rnd.choice((3, 12, 60, 200))))) for d in range(60)]
+    items = [(i, " ".join(word() for _ in range(rnd.choice((1, 2, 9, 10, 11, 14))))) for i in range(40)] + [(90, "aa aa aa aa aa aa aa aa aa aa"), (91, "zz"), (92, "aa zz")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute_leaks(rows, items), key=repr)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert any(w[3] > 3 for w in want)
+    for limit in (decontam.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+        assert rows_of(decontam.contamination(docs, bench), *names) == want
+
+
+def brute_near(rows, items, slop, terms):
+    """(doc_id, item_id) where some stretch of fewer than slop + 1 words from the rarest term's places holds all terms."""
+    cut = lambda t: t.split()
+    count = Counter(w for _, t in rows for w in cut(t))
+    out = set()
+    for i, t in items:
+        ranked = sorted((count[w], w) for w in set(cut(t)) if count[w])[:terms]
+        names = [w for _, w in ranked]
+        if len(names) < 2:
+            continue
+        for d, text in rows:
+            w = cut(text)
+            for c in (p for p, x in enumerate(w) if x == names[0]):
+                if any(set(names) <= set(w[s : s + slop]) for s in range(max(0, c - slop + 1), c + 1)):
+                    out.add((d, i))
+    return out
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "aa filler bb filler cc"), (2, "cc aa bb"), (3, "aa " + "x " * 40 + "bb cc"), (4, "aa bb")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "aa bb cc")], "item_id long, text string")
-    got = rows_of(decontam.proximity_matches(docs, bench, slop=10), "doc_id", "item_id", "first", "last")
-    assert got == [(1, 9, 0, 4), (2, 9, 0, 2)]
+    near = decontam.proximity_matches(decontam.Index(docs, bench), slop=10)
+    ids = docs.select("doc_id", decontam.doc_key(docs).alias("doc"))
+    assert rows_of(near.join(ids, "doc"), "doc_id", "item_id", "first", "last") == [(1, 9, 0, 4), (2, 9, 0, 2)]
+
+
+def test_proximity_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    names = [f"w{i}" for i in range(12)]
+    rows = [(d, " ".join(rnd.choice(names) if rnd.random() < 0.25 else "filler" for _ in range(rnd.randrange(120)))) for d in range(60)]
+    items = [(i, " ".join(rnd.sample(names, rnd.choice((1, 2, 3, 5))))) for i in range(20)] + [(50, "none here w1")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ids = docs.select("doc_id", decontam.doc_key(docs).alias("doc"))
+    for slop, terms in ((8, 3), (20, 3), (15, 2), (20, 4)):
+        got = {(r.doc_id, r.item_id) for r in decontam.proximity_matches(decontam.Index(docs, bench), slop, terms).join(ids, "doc").collect()}
+        assert got == brute_near(rows, items, slop, terms), (slop, terms)
 
 
 def brute_targets(sizes):

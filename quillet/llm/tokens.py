@@ -2,15 +2,17 @@
 
 A shard file holds one contiguous run of documents in ascending doc_id order (all integers little-endian):
 
-    magic   8 bytes  b"QLTOKEF1"
-    header  6 x u64  documents, tokens, low bits l, bytes of the low part, bytes of the high part, bytes an id (2 or 4)
-    doc ids          documents x i64, then documents x u8 (1 if the id is null)
-    low part         the l low bits of each document's end offset, packed
-    high part        end offset i sets bit (end_i >> l) + i of a bit vector (Elias 1974, Fano 1971)
+    magic   8 bytes  b"QLTOKEF2"
+    header  u64 documents, u64 documents without an id (they come first), i64 least doc_id, u64 tokens, u64 bytes an id (2 or 4)
+    doc ids          a sequence: each id less the least one
+    ends             a sequence: the place behind each document's last id
     ids              tokens x u16 or u32, concatenated, each document closed by the end id
 
-With n documents and u tokens the boundaries take about n * (2 + log2(u / n)) bits instead of 64 n. `select` returns the
-i-th end without decoding the others: it finds the i-th set bit by a directory of set bits in every 512-bit block.
+A sequence of n non-decreasing integers up to u is stored by Elias (1974) and Fano (1971): u64 low bits l, u64 bytes of the
+low part, of the high part and of the directory; the low part, l bits a value; the high part, where value i sets bit
+(value >> l) + i; the directory, the bit's place for every 256th value as u32 or, where that is too small, u64 (its width
+follows from its size). That is about n * (2 + log2(u / n)) bits. `select` finds values through the directory, without
+decoding others and without a table of them.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, stored, text_of
 
-MAGIC = b"QLTOKEF1"
-HEADER = struct.Struct("<6Q")
-BLOCK_BITS = 512
+MAGIC = b"QLTOKEF2"
+HEADER = struct.Struct("<QQqQQ")
+SEQUENCE = struct.Struct("<QQQQ")
+SAMPLED = 256
 #: Words kept in a worker's cache of encoded words, their greatest length in characters (longer ones are encoded each
 #: time), and bytes of ids after which a shard file is closed.
 CACHE_WORDS = 600_000
@@ -39,83 +42,104 @@ SHARD_BYTES = 32 << 20
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers below u + 1, with select."""
+    """A non-decreasing sequence of n integers from 0 on, with select."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little")
-        blocks = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK_BITS), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-        self.rank = np.concatenate(([0], np.cumsum(blocks)))
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, directory: bytes) -> None:
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
+        samples = -(-n // SAMPLED)
+        self.places = np.frombuffer(directory, "<u8" if len(directory) == 8 * samples else "<u4")
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, b"", b"")
-        low_bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
-        parts = (values[:, None] >> np.arange(low_bits)) & 1
+            return cls(0, 0, b"", b"", b"")
+        low_bits = max(0, (int(values[-1]) // n).bit_length() - 1)
+        parts = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(parts.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        at = (values >> low_bits) + np.arange(n)
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1, np.uint8)
         high[at] = 1
-        return cls(n, low_bits, low, np.packbits(high, bitorder="little").tobytes())
+        wide = "<u4" if int(at[-1]) < 1 << 32 else "<u8"
+        return cls(n, low_bits, low, np.packbits(high, bitorder="little").tobytes(), at[::SAMPLED].astype(wide).tobytes())
 
-    def _low(self, i: int) -> int:
+    def packed(self) -> bytes:
+        return SEQUENCE.pack(self.low_bits, len(self.low), len(self.high), len(self.directory)) + self.low + self.high + self.directory
+
+    @classmethod
+    def unpack(cls, data: memoryview, at: int, n: int) -> tuple[EliasFano, int]:
+        """(the sequence of n values that begins at `at`, the place behind it)."""
+        low_bits, *sizes = SEQUENCE.unpack_from(data, at)
+        ends = np.cumsum([at + SEQUENCE.size, *sizes]).tolist()
+        return cls(n, low_bits, *(bytes(data[s:e]) for s, e in zip(ends, ends[1:], strict=False))), ends[-1]
+
+    def _lows(self, first: int, to: int) -> np.ndarray:
         if not self.low_bits:
-            return 0
-        bit = i * self.low_bits
-        chunk = int.from_bytes(self.low[bit // 8 : (bit + self.low_bits + 7) // 8], "little")
-        return (chunk >> (bit % 8)) & ((1 << self.low_bits) - 1)
+            return np.zeros(to - first, np.uint64)
+        begin, end = first * self.low_bits, to * self.low_bits
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-end // 8) - begin // 8, begin // 8), bitorder="little")
+        rows = bits[begin % 8 : begin % 8 + end - begin].reshape(to - first, self.low_bits)
+        return rows.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
+
+    def block(self, b: int) -> np.ndarray:
+        """Values SAMPLED * b and following, up to the next sample, as unsigned 64-bit integers."""
+        first, to = b * SAMPLED, min(self.n, (b + 1) * SAMPLED)
+        start = int(self.places[b])
+        stop = int(self.places[b + 1]) if to < self.n else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, -(-stop // 8) - start // 8, start // 8), bitorder="little")
+        places = start // 8 * 8 + np.flatnonzero(bits)
+        places = places[np.searchsorted(places, start) :][: to - first]
+        return (places - np.arange(first, to)).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(first, to)
 
     def select(self, i: int) -> int:
-        """The i-th value."""
+        """The i-th value: one entry of the directory, and the bits from there to the next."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        block = int(np.searchsorted(self.rank, i, side="right")) - 1
-        left = i - int(self.rank[block])
-        width = BLOCK_BITS // 8
-        bits = np.unpackbits(np.frombuffer(self.high[block * width : (block + 1) * width], np.uint8), bitorder="little")
-        place = block * BLOCK_BITS + int(np.flatnonzero(bits)[left])
-        return ((place - i) << self.low_bits) | self._low(i)
-
-    def decode(self) -> np.ndarray:
-        """All values."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        values = (places - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            values |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits))
-        return values
+        return int(self.block(i // SAMPLED)[i % SAMPLED])
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All values, a block at a time."""
+        return map(self.block, range(-(-self.n // SAMPLED)))
 
 
 def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    ends = EliasFano.encode(np.cumsum(lengths))
+    """The file's bytes. doc_ids ascend, None first."""
+    named = [x for x in doc_ids if x is not None]
+    least = named[0] if named else 0
+    keys = EliasFano.encode(np.array([x - least for x in named], np.uint64))
+    ends = EliasFano.encode(np.cumsum(lengths, dtype=np.int64))
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    keys = np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], np.uint8).tobytes()
-    header = HEADER.pack(len(doc_ids), len(ids), ends.low_bits, len(ends.low), len(ends.high), width)
-    return b"".join((MAGIC, header, keys, ends.low, ends.high, memoryview(ids.astype(f"<u{width}", copy=False))))
+    header = HEADER.pack(len(doc_ids), len(doc_ids) - len(named), least, len(ids), width)
+    return b"".join((MAGIC, header, keys.packed(), ends.packed(), memoryview(ids.astype(f"<u{width}", copy=False))))
 
 
 class Shard:
-    """A shard file's content: doc_ids, ends (Elias-Fano) and ids; document(i) reads one document's ids."""
+    """A shard file's content: ends (Elias-Fano) and ids; doc_id(i) and document(i) read one document."""
 
     def __init__(self, data: bytes) -> None:
         if data[:8] != MAGIC:
             raise ValueError("not a token-id shard")
-        n, tokens, low_bits, low, high, width = HEADER.unpack_from(data, 8)
-        at = 8 + HEADER.size
-        keys, nulls = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, np.uint8, n, at + 8 * n)
-        self.doc_ids = [None if z else int(k) for k, z in zip(keys, nulls, strict=True)]
-        at += 9 * n
-        self.ends = EliasFano(n, low_bits, data[at : at + low], data[at + low : at + low + high])
-        self.ids = np.frombuffer(data, f"<u{width}", tokens, at + low + high)
+        view = memoryview(data)
+        self.n, self.unnamed, self.least, tokens, width = HEADER.unpack_from(data, 8)
+        self.keys, at = EliasFano.unpack(view, 8 + HEADER.size, self.n - self.unnamed)
+        self.ends, at = EliasFano.unpack(view, at, self.n)
+        self.ids = np.frombuffer(data, f"<u{width}", tokens, at)
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.unnamed else self.least + self.keys.select(i - self.unnamed)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def documents(self) -> Iterator[tuple[int | None, int, int]]:
+        """(doc_id, start, end) of every document in order, selected a block at a time."""
+        names = (self.least + int(k) for block in self.keys.blocks() for k in block)
+        start = 0
+        for i, end in enumerate(int(e) for block in self.ends.blocks() for e in block):
+            yield None if i < self.unnamed else next(names), start, end
+            start = end
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the rest from 256 on."""
@@ -144,11 +168,11 @@ class WordCache(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct word of its pre-tokeniser encoded once.
+    """Ids of whole texts as the tokenizers library encodes them, each distinct word of its pre-tokeniser encoded once.
 
     Byte-level BPE merges only within the pre-tokeniser's words, so a text's ids are its words' ids in order. The pattern
-    is the tokenizer's own. Words are cached up to a fixed number, then the cache starts anew. Special tokens' strings in
-    a text are ordinary text.
+    is the tokenizer's own. Words are cached up to a fixed number, then the cache starts anew. A text that holds the
+    string of an added token goes to the library's encode as it is.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -156,12 +180,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda text: None
         self.last_id = max(self.tokenizer.get_vocab().values(), default=0)
         self.find, self.cache = regex.compile(pattern).findall, WordCache(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.has_added(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.cache.__getitem__, self.find(text)))
 
 
@@ -196,7 +224,7 @@ def _write_once(folder: str, name: str, data: bytes) -> str:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None = None, end_id: int = 0) -> DataFrame:
-    """Writes all of docs to shard files in folder, in ascending doc_id order (null first, ties by text).
+    """Writes all of docs to shard files in folder, in ascending doc_id order (null first, ties by a hash of the text, then the text).
 
     Returns the manifest (file, part, number, documents, tokens): shards in the order of (part, number).
     """
@@ -235,8 +263,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), text_of().alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("none").desc(), "doc_id").sortWithinPartitions(F.col("none").desc(), "doc_id", "text")
-    manifest = dealt.mapInArrow(write, "file string, part int, number int, documents long, tokens long")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    # many rows of one id, or without one, are dealt on by text, and equal rows by their place
+    dealt = rows.repartitionByRange(n, F.col("none").desc(), "doc_id", "hash", "tie").sortWithinPartitions(F.col("none").desc(), "doc_id", "hash", "text")
+    manifest = dealt.select("doc_id", "none", "text").mapInArrow(write, "file string, part int, number int, documents long, tokens long")
     return stored(manifest, "manifest")
 
 
@@ -248,10 +278,9 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
         for pdf in batches:
             for file, data in zip(pdf["file"], pdf["content"], strict=True):
                 shard = Shard(data)
-                ends = shard.ends.decode()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                crc = [zlib.crc32(memoryview(shard.ids[s:e].astype("<u4"))) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"file": file, "place": np.arange(len(ends)), "doc_id": pd.array(shard.doc_ids, "Int64"), "inside": starts, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
+                found = [(d, s, e - s, zlib.crc32(memoryview(shard.ids[s:e].astype("<u4")))) for d, s, e in shard.documents()]
+                doc_ids, starts, sizes, crc = zip(*found, strict=True)
+                yield pd.DataFrame({"file": file, "place": np.arange(len(found)), "doc_id": pd.array(doc_ids, "Int64"), "inside": starts, "n_tokens": sizes, "ids_crc32": crc})
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # one row a shard of 32 MB: small beside the ids themselves

@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import free_name, stored, text_of
+from .common import discard, free_name, stored, text_of
 
 #: Words of the shortest passage that is always found, and of a line.
 PASSAGE, LINE = 50, 25
@@ -214,11 +214,11 @@ def _new(rows: np.ndarray, columns: int, last: np.ndarray | None) -> np.ndarray:
     return np.concatenate(([last is None or bool((rows[:columns, 0] != last[:columns]).any())], ~same))
 
 
-LINE_COLUMNS = ("line", "content", "oid", "key", "sec")
+LINE_COLUMNS = ("line", "content", "oid", "sec")
 
 
 def pair_worker(rare: int):
-    """Over rows LINE_COLUMNS, sorted: pairs (oid, key, sec, later_key, later_sec) of rare lines; (line, later_key, later_sec) of others.
+    """Over rows LINE_COLUMNS, sorted: pairs (oid, key, sec, later_key, later_sec) of rare lines; (line, oid, key, sec) of others.
 
     Of documents with equal content only the first takes part. Nothing but the rows of one rare line is held.
     """
@@ -227,28 +227,31 @@ def pair_worker(rare: int):
 
     def frequent(g: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(g.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(g[0]), none, none, none, pa.array(g[3]), pa.array(g[4])], schema=schema)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (g[0], g[2], g[1] ^ g[2], g[3])), none, none], schema=schema)
 
     def pairs(g: np.ndarray) -> Iterator[pa.RecordBatch]:
         for step in range(1, rare):
             x, y = g[:, step:], g[:, :-step]
-            hit = (x[0] == y[0]) & (x[1] != y[1])
-            if not (x[0] == y[0]).any():
+            same = x[0] == y[0]
+            if not same.any():
                 break
+            hit = same & (x[1] != y[1])
             x, y = x[:, hit], y[:, hit]
             # the order of documents: id, then content
             swap = (x[2] < y[2]) | ((x[2] == y[2]) & (x[1] < y[1]))
             early, later = np.where(swap, x, y), np.where(swap, y, x)
-            yield pa.RecordBatch.from_arrays([pa.nulls(early.shape[1], pa.int64()), *map(pa.array, (early[2], early[3], early[4], later[3], later[4]))], schema=schema)
+            columns = (early[2], early[1] ^ early[2], early[3], later[1] ^ later[2], later[3])
+            yield pa.RecordBatch.from_arrays([pa.nulls(early.shape[1], pa.int64()), *map(pa.array, columns)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, first_key, hot = np.zeros((5, 0), np.int64), None, 0, None
+        held, last, first_oid, hot = np.zeros((4, 0), np.int64), None, 0, None
         for rows in _sorted_groups(batches, LINE_COLUMNS):
+            fresh = _new(rows, 4, last)  # equal rows of docs have equal lines
             new = _new(rows, 2, last)
             starts = np.flatnonzero(new)
-            firsts = np.concatenate(([first_key], rows[3, starts]))[np.cumsum(new)]
-            last, first_key = rows[:, -1], firsts[-1]
-            rows = rows[:, rows[3] == firsts]
+            firsts = np.concatenate(([first_oid], rows[2, starts]))[np.cumsum(new)]
+            last, first_oid = rows[:, -1], firsts[-1]
+            rows = rows[:, fresh & (rows[2] == firsts)]
             if hot is not None:
                 more = int(np.searchsorted(rows[0], hot, side="right"))
                 yield frequent(rows[:, :more])
@@ -273,14 +276,14 @@ def pair_worker(rare: int):
 
 
 def first_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (window, oid, content, key, start), sorted: (key, start, early) of all but a window's first document."""
-    last, first = None, np.zeros(5, np.int64)
-    for rows in _sorted_groups(batches, ("window", "oid", "content", "key", "start")):
+    """Over rows (window, oid, key, start), sorted: (key, start, early) of all but a window's first document."""
+    last, first = None, np.zeros(4, np.int64)
+    for rows in _sorted_groups(batches, ("window", "oid", "key", "start")):
         new = _new(rows, 1, last)
         firsts = np.concatenate((first[:, None], rows[:, new]), 1)[:, np.cumsum(new)]
         last, first = rows[:, -1], firsts[:, -1]
-        later = (rows[3] != firsts[3]) & (rows[2] != firsts[2])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[3, later]), pa.array(rows[4, later].astype(np.int32)), pa.array(firsts[1, later])], ["key", "start", "early"])
+        later = rows[2] != firsts[2]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[2, later]), pa.array(rows[3, later].astype(np.int32)), pa.array(firsts[1, later])], ["key", "start", "early"])
 
 
 def bit_filter(spark: SparkSession, keys: DataFrame, bits: int = FILTER_BITS):
@@ -337,89 +340,100 @@ def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series([t if s is None or not len(s) else cut_text(t, list(zip(s, e, strict=True))) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
 
+def _digests(words: np.ndarray) -> tuple[int, int]:
+    """128 bits of a hash of a document's words, as two signed integers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), np.int64).tolist())
+
+
+@F.pandas_udf(LongType())
+def _contents(texts: pd.Series) -> pd.Series:
+    return pd.Series([_digests(w)[0] for w in word_hashes(iter(texts))], dtype="int64")
+
+
 def _lines(docs: DataFrame, passage: int, line: int) -> DataFrame:
     """A row for each document (line is null) and for each distinct line of a section, stored."""
-    names = ["key", "oid", "content", "other", "n_words", "sec", "line"]
+    names = ["oid", "content", "other", "n_words", "sec", "line"]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, oid = (batch.column(c).to_numpy() for c in ("key", "oid"))
+            oid = batch.column("oid").to_pylist()
             out = [[] for _ in names]
-            for k, o, w in zip(key.tolist(), oid.tolist(), word_hashes(x.as_py() for x in batch.column("text")), strict=True):
-                digest = np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), np.int64)
+            for o, w in zip(oid, word_hashes(x.as_py() for x in batch.column("text")), strict=True):
                 parts = [np.unique(window_lines(x, passage, line)) for _, x in sections(w, passage)] if len(w) >= passage else []
                 n = 1 + sum(map(len, parts))
-                for column, value in zip(out, (k, o, digest[0], digest[1], len(w)), strict=False):
+                for column, value in zip(out, (o, *_digests(w), len(w)), strict=False):
                     column.append(np.full(n, value, np.int64))
-                out[5].append(np.concatenate((np.full(1, -1), *(np.full(len(p), i) for i, p in enumerate(parts)))))
-                out[6].append(np.concatenate((np.zeros(1, np.int64), *parts)))
-            if len(key):
-                sec = np.concatenate(out[5])
-                columns = [pa.array(np.concatenate(x)) for x in out[:5]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sec), pa.array(np.concatenate(out[6]), mask=sec < 0)], schema=schema)
+                out[4].append(np.concatenate((np.full(1, -1), *(np.full(len(p), i) for i, p in enumerate(parts)))))
+                out[5].append(np.concatenate((np.zeros(1, np.int64), *parts)))
+            if oid:
+                sec = np.concatenate(out[4])
+                columns = [pa.array(np.concatenate(x)) for x in out[:4]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sec), pa.array(np.concatenate(out[5]), mask=sec < 0)], schema=schema)
 
     return stored(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "lines")
 
 
-def _sections_of(docs: DataFrame, wanted: DataFrame, passage: int) -> DataFrame:
-    """(key, oid, content, sec, first, words) of the sections wanted (key, sec), and of a few others, stored. words: 32-bit hashes."""
-    marks = bit_filter(docs.sparkSession, wanted.select(F.col("key").bitwiseXOR(F.col("sec") * SPREAD).alias("key")))
-    first = bit_filter(docs.sparkSession, wanted.select("key").distinct())
-    schema = pa.schema({"key": pa.int64(), "oid": pa.int64(), "content": pa.int64(), "sec": pa.int64(), "first": pa.int32(), "words": pa.binary()})
+def _sections_of(docs: DataFrame, wanted: DataFrame, passage: int, repeated: bool) -> DataFrame:
+    """(key, sec, first, words) of the sections wanted (oid, key, sec), and of a few others, stored. words: 32-bit hashes."""
+    spark = docs.sparkSession
+    ids = bit_filter(spark, wanted.select(F.col("oid").alias("key")).distinct())
+    marks = bit_filter(spark, wanted.select(F.col("key").bitwiseXOR(F.col("sec") * SPREAD).alias("key")))
+    schema = pa.schema({"key": pa.int64(), "sec": pa.int64(), "first": pa.int32(), "words": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_has_bit(first.value, batch.column("key").to_numpy())))
-            key, oid = (batch.column(c).to_pylist() for c in ("key", "oid"))
+            batch = batch.filter(pa.array(_has_bit(ids.value, batch.column("oid").to_numpy())))
             out = []
-            for k, o, w in zip(key, oid, word_hashes(x.as_py() for x in batch.column("text")), strict=True):
-                content = int(np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), np.int64)[0])
-                parts = sections(w, passage)
-                for i in np.flatnonzero(_has_bit(marks.value, k ^ np.arange(len(parts)) * SPREAD)).tolist():
-                    out.append((k, o, content, i, parts[i][0], parts[i][1].astype(np.uint32).tobytes()))
+            for o, w in zip(batch.column("oid").to_pylist(), word_hashes(x.as_py() for x in batch.column("text")), strict=True):
+                key, parts = _digests(w)[0] ^ o, sections(w, passage)
+                for i in np.flatnonzero(_has_bit(marks.value, key ^ np.arange(len(parts)) * SPREAD)).tolist():
+                    out.append((key, i, parts[i][0], parts[i][1].astype(np.uint32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    # equal rows of docs have equal sections
-    return stored(docs.mapInArrow(run, "key long, oid long, content long, sec long, first int, words binary").dropDuplicates(["key", "sec"]), "sections")
+    found = docs.mapInArrow(run, "key long, sec long, first int, words binary")
+    return stored(found.dropDuplicates(["key", "sec"]) if repeated else found, "sections")
 
 
 def _unpacked(words: bytes) -> np.ndarray:
     return np.frombuffer(words, np.uint32).astype(np.uint64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key: 64-bit hash of doc_id and text; oid: the id, the greatest long for null."""
-    text = text_of()
-    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("oid"), text.alias("text"))
+def _oid(docs: DataFrame) -> Column:
+    """The id as it orders documents: the greatest long for null."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
 
 
 def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> DataFrame:
-    """One row per row of docs: doc_id, key (of doc_id and text), nth (1, 2, ... of equal rows), n_words, removed_words,
-    sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed words, end exclusive).
+    """One row per row of docs: doc_id, key (of the id and the words), nth (1, 2, ... of rows with equal keys), n_words,
+    removed_words, sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed words,
+    end exclusive).
 
     Documents are ordered by doc_id, null last, ties by a hash of their words. Null and empty texts have no words; of
-    repeated rows all but the first lose everything, as copies of `passage` words or more do; no rows give no rows; other
-    columns are ignored.
+    rows with one id and the same words all but the first lose everything, as copies of `passage` words or more do; no
+    rows give no rows; other columns are ignored.
     """
     if not 1 <= line < passage:
         raise ValueError("a line has fewer words than a passage")
-    each = _keyed(docs)
+    each = docs.select(_oid(docs).alias("oid"), text_of().alias("text"))
     rows = _lines(each, passage, line)
-    wholes = rows.where("line is null").groupBy("key", "oid", "content", "other", "n_words").agg(F.count("*").alias("n"))
-    wholes = stored(wholes, "wholes")
-    order = F.struct("oid", "key")
-    firsts = wholes.groupBy("content", "other", "n_words").agg(F.min(order).alias("f"))
-    copies = wholes.join(firsts, ["content", "other", "n_words"]).where((order > F.col("f")) & (F.col("n_words") >= passage))
-    copies = copies.select("key", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), F.col("f.oid").alias("early"))
-
+    key = F.col("content").bitwiseXOR(F.col("oid")).alias("key")
+    wholes = rows.where("line is null").groupBy("oid", "content", "other", "n_words").agg(F.count("*").alias("n"))
+    wholes = stored(wholes.withColumn("key", key), "wholes")
     dealt = rows.where("line is not null").select(*LINE_COLUMNS).repartition("line").sortWithinPartitions(*LINE_COLUMNS)
     met = stored(dealt.mapInArrow(pair_worker(RARE), "line long, oid long, key long, sec long, later_key long, later_sec long"), "met")
+    discard(rows)
+
+    firsts = wholes.groupBy("content", "other", "n_words").agg(F.min("oid").alias("early"))
+    copies = wholes.join(firsts, ["content", "other", "n_words"]).where((F.col("oid") > F.col("early")) & (F.col("n_words") >= passage))
+    copies = copies.select("key", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"), "early")
     pairs = stored(met.where("line is null").drop("line").distinct(), "pairs")
-    often = met.where("line is not null").select("line", F.col("later_key").alias("key"), F.col("later_sec").alias("sec"))
-    later_sec = pairs.select(F.col("later_key").alias("key"), F.col("later_sec").alias("sec"))
-    words = _sections_of(each, pairs.select("key", "sec").unionAll(later_sec).unionAll(often.select("key", "sec")), passage)
+    often = met.where("line is not null").select("line", "oid", "key", "sec")
+    # a later document's id is not among a pair's columns, but follows from its key and its words
+    names = wholes.select("key", "oid").join(pairs.select(F.col("later_key").alias("key"), F.col("later_sec").alias("sec")), "key")
+    wanted = pairs.select("oid", "key", "sec").unionAll(names.select("oid", "key", "sec")).unionAll(often.select("oid", "key", "sec"))
+    words = _sections_of(each, wanted, passage, not wholes.where("n > 1").isEmpty())
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -428,26 +442,28 @@ def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) ->
                 out += [(key, first + s, first + e, oid) for s, e in common_blocks(_unpacked(a), _unpacked(b), passage)]
             yield pd.DataFrame(out, columns=["key", "start", "end", "early"])
 
-    later = words.select(F.col("key").alias("later_key"), F.col("sec").alias("later_sec"), "first", "words")
-    both = pairs.join(words.select("key", "sec", F.col("words").alias("early_words")), ["key", "sec"]).join(later, ["later_key", "later_sec"])
-    aligned = both.select("later_key", "first", "oid", "early_words", "words").mapInPandas(align, "key long, start int, end int, early long")
+    # all uses of the words take the same columns, so that one exchange of them serves all
+    early = pairs.join(words, ["key", "sec"]).select("later_key", "later_sec", "oid", F.col("first").alias("early_first"), F.col("words").alias("early_words"))
+    both = early.join(words, (F.col("later_key") == words["key"]) & (F.col("later_sec") == words["sec"]))
+    aligned = both.select("later_key", "first", "oid", "early_first", "early_words", "words").mapInPandas(align, "key long, start int, end int, early long")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, oid, content, first, some, w in zip(pdf["key"], pdf["oid"], pdf["content"], pdf["first"], pdf["lines"], pdf["words"], strict=True):
+            for key, oid, first, some, w in zip(pdf["key"], pdf["oid"], pdf["first"], pdf["lines"], pdf["words"], strict=True):
                 w = _unpacked(w)
                 at = np.flatnonzero(np.isin(window_lines(w, passage, line), some))
-                yield pd.DataFrame({"window": _windows(w, passage)[at], "oid": oid, "content": content, "key": key, "start": (first + at).astype(np.int32)})
+                yield pd.DataFrame({"window": _windows(w, passage)[at], "oid": oid, "key": key, "start": (first + at).astype(np.int32)})
 
     # a section's own lines: no more than its words
-    frequent = words.join(often.groupBy("key", "sec").agg(F.collect_list("line").alias("lines")), ["key", "sec"])
-    placed = frequent.mapInPandas(windows, "window long, oid long, content long, key long, start int")
-    placed = placed.repartition("window").sortWithinPartitions("window", "oid", "content", "key", "start")
+    frequent = words.join(often.groupBy("key", "sec", "oid").agg(F.collect_list("line").alias("lines")), ["key", "sec"])
+    placed = frequent.select("key", "oid", "first", "lines", "words").mapInPandas(windows, "window long, oid long, key long, start int")
+    placed = placed.repartition("window").sortWithinPartitions("window", "oid", "key", "start")
     looked = placed.mapInArrow(first_worker, "key long, start int, early long").select("key", "start", (F.col("start") + passage).alias("end"), "early")
 
-    found = copies.unionAll(aligned.select("key", "start", "end", "early")).unionAll(looked)
+    found = copies.unionAll(aligned).unionAll(looked)
     early = F.sort_array(F.collect_set(F.when(F.col("early") != NO_ID, F.col("early"))))
     cut = stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("all"), early.alias("sources")), "cut")
+    discard(met, pairs, words)
     cut = cut.select("key", _merge("all").alias("spans"), "sources")
 
     out = wholes.select("key", "oid", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).join(cut, "key", "left")
@@ -469,7 +485,7 @@ def dedup_lines(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> Da
     docs = docs.drop("clean_text")
     key, nth = free_name(docs, "k_key"), free_name(docs, "k_nth")
     cuts = stored(removed_spans(docs, passage, line).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("nth").cast("int").alias(nth), "spans"), "removed").alias("f")
-    numbered = docs.withColumn(key, F.xxhash64("doc_id", text_of())).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).alias("d")
+    numbered = docs.withColumn(key, _contents(text_of()).bitwiseXOR(_oid(docs))).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).alias("d")
     both = numbered.join(cuts, [key, nth], "left")
     clean = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(_cut(F.col("d.text"), F.col("f.spans.start"), F.col("f.spans.end")))
     return both.select(*[F.col(f"d.{c}") for c in docs.columns], clean.alias("clean_text"))

@@ -70,22 +70,22 @@ def test_worker_streams():
     for name in range(30):
         for _ in range(rnd.choice((1, 2, 5, 9, 40))):
             doc = rnd.randrange(60)
-            rows.add((name, doc % 45, doc, 1000 + doc, rnd.randrange(2)))  # documents 45 to 59 are copies of 0 to 14
-    rows = np.array(sorted(rows), np.int64)
+            rows.add((name, 1000 + doc % 45, doc, rnd.randrange(2)))  # documents 45 to 59 are copies of 0 to 14
+    rows = np.array(sorted([*rows, *rnd.sample(sorted(rows), 40)]), np.int64)  # some rows stand twice
     want_pairs, want_often = set(), set()
     for name in range(30):
-        mine = [r for r in rows.tolist() if r[0] == name]
+        mine = sorted({tuple(r) for r in rows.tolist() if r[0] == name})
         lead = {c: min(r[2] for r in mine if r[1] == c) for c in {r[1] for r in mine}}
         mine = [r for r in mine if r[2] == lead[r[1]]]
         if len(mine) > 8:
-            want_often |= {(name, r[3], r[4]) for r in mine}
+            want_often |= {(name, r[2], r[1] ^ r[2], r[3]) for r in mine}
         else:
-            want_pairs |= {(x[2], x[3], x[4], y[3], y[4]) for x in mine for y in mine if x[2] < y[2]}
+            want_pairs |= {(x[2], x[1] ^ x[2], x[3], y[1] ^ y[2], y[3]) for x in mine for y in mine if x[2] < y[2]}
     for size in (1, 3, 7, 50, 1000):
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + size].T], list(linedup.LINE_COLUMNS)) for i in range(0, len(rows), size)]
         got = [r for b in linedup.pair_worker(8)(iter(batches)) for r in b.to_pylist()]
         assert {tuple(r.values())[1:] for r in got if r["line"] is None} == want_pairs
-        assert {(r["line"], r["later_key"], r["later_sec"]) for r in got if r["line"] is not None} == want_often
+        assert {(r["line"], r["oid"], r["key"], r["sec"]) for r in got if r["line"] is not None} == want_often
     assert want_pairs and want_often
 
 

@@ -115,7 +115,8 @@ def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
     # to each document its own alignments, numbers only: as many as it has places of rare terms
     tries = stored(tries.groupBy("doc").agg(F.collect_set(F.struct("item", "start", "size", "first")).alias("try")), "tries")
     texts = docs.select(doc_key(docs).alias("doc"), text_of().alias("text"))
-    split = texts.join(tries, "doc").select("doc", item_words(F.col("text")).alias("w"), "try")
+    # always a merge join: what it moves then grows with the texts alone, not with whether Spark still broadcasts the tries
+    split = texts.join(tries.hint("merge"), "doc").select("doc", item_words(F.col("text")).alias("w"), "try")
     piece = lambda w: F.transform("try", lambda t: F.struct(t["item"].alias("item"), t["start"].alias("start"), t["first"].alias("first"), (t["first"] + t["size"]).alias("end"), F.array_join(F.slice(w, t["first"] + 1, t["size"]), " ").alias("text")))
     pieces = split.select("doc", F.explode(let(F.col("w"), piece)).alias("p")).select("doc", "p.*")
     named = wanted.select("item", "start", "text").join(index.items.select("item", "item_id"), "item")

@@ -5,8 +5,9 @@ document's virtual finish time is its source's cumulative words, itself included
 queue of all sources is sorted by that time and cut where the total budget is reached.
 
 Cumulative sums never put a source into one task: documents fall into cells by their shuffle hash, cell sums are added
-up over a small table, and only the documents of one cell are ordered within a task. The global cut works the same way
-on ranges of virtual time.
+up over a small table, and only the documents of one cell are ordered within a task. With n documents there are about
+sqrt(n) cells, so both levels stay small. The global cut works the same way on ranges of virtual time. The hash is that of
+id and text; rows that agree in both and in the source stand as one with their number, so no copies crowd a cell.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_of, words_of
+from ..operators.routing import with_ordinal
+from .common import discard, free_name, stored, text_of, words_of
 
-CELL_ROWS = 20_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -60,64 +61,74 @@ def _running(rows: DataFrame, keys: list[str], cell: str, order: list[str], valu
     return ran.alias("r").join(before.alias("b"), on).select("r.*", (F.col("ran") + F.col("before")).alias(out)).drop("ran")
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(plan, rows). plan: one row for each taken copy (row, pass, finish). rows: one for each row of docs (row, doc_id,
-    text_key, source, size, source_size, target).
+def _sized(docs: DataFrame, seed: int, *kept: str) -> DataFrame:
+    """kept, doc_id, source, size and the shuffle hash."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(text_of())))
+    return docs.select(*kept, "doc_id", "source", word_count(text_of()).alias("size"), hashed.alias("hash"))
 
-    Null texts have size 0 and finish with the document before them; a null source is a source; repeated rows are separate
-    documents with equal hashes; sources without words have target 0; no rows give no rows.
+
+def mix_plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """sized (doc_id, source, size, hash) -> (plan, rows). rows: one for each distinct row (row, doc_id, source, hash, size,
+    n, source_size, target), n the number of equal ones. plan: one row for each taken copy (row, nth, pass, finish), nth
+    from 1 to n.
+
+    Null texts have size 0 and finish with the document before them; a null source is a source; sources without words have
+    target 0; no rows give no rows.
     """
-    base = docs.select("doc_id", "source", F.xxhash64(text_of()).alias("text_key"), word_count(text_of()).alias("size"))
-    base = base.withColumn("hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    each = stored(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    targets = stored(source_targets(each.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(passes)), "targets")
-    facts = each.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
-    cells = 1 << max(0, (facts["n"] // CELL_ROWS).bit_length())
+    each = sized.groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n"))
+    each = stored(each.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    targets = stored(source_targets(each.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, float(passes)), "targets")
+    facts = each.agg(F.count("*").alias("n"), F.sum("words").alias("words")).first()
+    cells = 1 << (facts["n"].bit_length() + 1) // 2
     # cells follow the hash's first hex digits, so cell order is hash order
     dealt = each.withColumn("cell", F.floor(F.conv(F.substring("hash", 1, 7), 16, 10).cast("long") * cells / (1 << 28)))
-    order = ["hash", "doc_id", "text_key", "row"]
-    summed = _running(dealt, ["source"], "cell", order, "size", "sum").alias("s").join(F.broadcast(targets).alias("t") if targets.count() <= 10_000 else targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "source_size", "target")
+    few = F.broadcast(targets) if targets.count() <= 10_000 else targets
+    summed = _running(dealt, ["source"], "cell", ["hash", "doc_id"], "words", "sum").alias("s").join(few.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "source_size", "target")
     rows = stored(summed, "queued")
-    again = rows.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    queue = again.select("row", "size", "hash", "pass", ((F.col("sum") + F.col("pass") * F.col("source_size")) / F.col("target")).alias("finish"))
+    taking = rows.where("size > 0 and target > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    again = taking.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    upto = F.col("sum") - F.col("words") + F.col("nth") * F.col("size")
+    queue = again.select("row", "nth", "size", "hash", "pass", ((upto + F.col("pass") * F.col("source_size")) / F.col("target")).alias("finish"))
     # ranges of virtual time; a source's documents finish evenly along it, so ranges are even too
     queue = queue.withColumn("range", F.floor(F.col("finish") * cells))
     sums = queue.groupBy("range").agg(F.sum("size").alias("range_sum"))
-    upto = F.sum("range_sum").over(Window.orderBy("range"))
+    total = F.sum("range_sum").over(Window.orderBy("range"))
     budget = F.floor(F.lit(share) * F.lit(facts["words"] or 0))
-    state = sums.select("range", upto.alias("upto"), (upto - F.col("range_sum")).alias("before")).where(F.col("before") < budget)
+    state = sums.select("range", total.alias("upto"), (total - F.col("range_sum")).alias("before")).where(F.col("before") < budget)
     state = stored(state, "ranges")
     inside = queue.join(state, "range")
     whole = inside.where(F.col("upto") <= budget)
     # only the range in which the budget runs out has to be ordered
-    last = inside.where(F.col("upto") > budget).withColumn("total", F.col("before") + F.sum("size").over(Window.partitionBy("range").orderBy("finish", "hash", "pass", "row")))
-    plan = whole.select("row", "pass", "finish").unionAll(last.where(F.col("total") <= budget).select("row", "pass", "finish"))
-    return plan, rows
+    order = Window.partitionBy("range").orderBy("finish", "hash", "pass", "nth", "row")
+    last = inside.where(F.col("upto") > budget).withColumn("total", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = ["row", "nth", "pass", "finish"]
+    return whole.select(*columns).unionAll(last.where(F.col("total") <= budget).select(*columns)), rows.drop("words", "cell", "sum")
 
 
 def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, times and taken (words, repeats counted)."""
-    plan, rows = mix_plan(docs, weights, share, passes, seed)
-    times = plan.groupBy("row").agg(F.count("*").alias("times"))
-    out = rows.join(times, "row", "left").withColumn("times", F.coalesce("times", F.lit(0)).cast("long"))
-    return out.select("doc_id", "text_key", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    plan, rows = mix_plan(_sized(docs, seed), weights, share, passes)
+    times = plan.groupBy("row", "nth").agg(F.count("*").alias("times"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    out = each.join(times, ["row", "nth"], "left").withColumn("times", F.coalesce("times", F.lit(0)).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 0) -> DataFrame:
-    """docs as mixed: each row as often as the mix takes it.
-
-    Rows of one doc_id, text and source are alike: together they stand as often as the mix takes them.
-    """
-    counts = mix_counts(docs, weights, share, passes, seed)
-    a, b, s, n, t = (free_name(docs, k) for k in ("k_id", "k_text", "k_source", "k_rows", "k_times"))
-    per = counts.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("source").alias(s)).agg(F.count("*").alias(n), F.sum("times").alias(t))
-    per = stored(per.where(F.col(t) > 0), "times")
-    on = lambda p: docs["doc_id"].eqNullSafe(p[a]) & docs["source"].eqNullSafe(p[s]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == p[b])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))
-    columns = [docs[c] for c in docs.columns]
-    alone, many = per.where(F.col(n) == 1), per.where(F.col(n) > 1)
-    single = docs.join(alone, on(alone)).select(*columns, copies.alias(n)).drop(n)
-    if many.isEmpty():
-        return single
-    one = docs.join(many, on(many)).select(*columns, a, b, s, t).dropDuplicates([a, b, s])
-    return single.unionAll(one.select(*docs.columns, copies.alias(n)).drop(n))
+    """docs as mixed: each row, with all its columns, as often as the mix takes it."""
+    place, times = free_name(docs, "k_place"), free_name(docs, "k_times")
+    numbered = stored(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    sized = stored(_sized(numbered, seed, place).withColumnRenamed(place, "place"), "sized")
+    plan, rows = mix_plan(sized, weights, share, passes)
+    both = sized.alias("s").join(rows.select("source", "hash", "row", "n").alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.hash") == F.col("r.hash")))
+    found = stored(both.select("place", "row", "n"), "places")
+    nth = found.where("n = 1").select("place", "row", F.lit(1).cast("long").alias("nth"))
+    if not found.where("n > 1").isEmpty():
+        # equal rows are numbered along all of them, then from their first on: none of their groups is one task
+        counted = with_ordinal(found.where("n > 1"), "row", "place")
+        first = counted.groupBy("row").agg(F.min("idx").alias("least"))
+        nth = nth.unionAll(counted.join(first, "row").select("place", "row", (F.col("idx") - F.col("least") + 1).alias("nth")))
+    taken = plan.groupBy("row", "nth").agg(F.count("*").alias(times)).join(nth, ["row", "nth"]).select(F.col("place").alias(place), times)
+    taken = stored(taken, "times")
+    discard(sized, found)
+    return numbered.join(taken, place).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times)).drop(times)

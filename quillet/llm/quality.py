@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, SPACE_RE, free_name, stored, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
+NO_HOST = "\x00none"
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ def document_features(docs: DataFrame) -> DataFrame:
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     with_windows = split.select("*", _repeated_words(F.col("w")).alias("windows"))
-    host = F.coalesce(F.col("host"), F.lit("\x00none"))
+    host = F.coalesce(F.col("host"), F.lit(NO_HOST))
     return with_windows.select(
         "doc_id",
         "text_key",
@@ -101,32 +102,39 @@ def quality_verdicts(docs: DataFrame, limits: QualityLimits = QualityLimits()) -
     Null texts count as empty and fail the word minimum; a null source is a host of its own; repeated rows get equal
     rows; no rows give no rows; columns beyond doc_id, text and source are ignored.
     """
-    features = stored(document_features(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
+    found = _verdicts(stored(document_features(docs).withColumn("row", F.monotonically_increasing_id()), "quality"), limits)
+    return found.drop("row", "host", "bad")
+
+
+def _verdicts(features: DataFrame, limits: QualityLimits) -> DataFrame:
+    """features (with row) judged; bad: the hashes of a document's boilerplate lines."""
     bad = stored(boilerplate_lines(features, limits), "boilerplate")
     removed = (
         features.select("row", F.explode("lines").alias("l")).select("row", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-        .join(bad, "h").groupBy("row").agg(F.sum("n").alias("removed_words"))
+        .join(bad, "h").groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("bad"))
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     depleted = F.col("removed_words") > limits.max_removed_share * F.col("n_words")
-    out = features.drop("lines", "host").join(removed, "row", "left").drop("row")
-    return out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)
-
-
-def strip_boilerplate(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs with a column clean_text: the text without the lines of bad (h), as boilerplate_lines gives them. Line order stays."""
-    row, host = free_name(docs, "row"), F.coalesce(F.col("source"), F.lit("\x00none"))
-    numbered = docs.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64(text_of())))
-    lines = numbered.select(row, "source", F.posexplode(F.split(text_of(), "\n")).alias("p", "line")).distinct()
-    kept = lines.withColumn("h", F.xxhash64(host, normalised_line(F.col("line")))).join(bad, "h", "left_anti")
-    text = kept.groupBy(row).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("clean_text"))
-    both = numbered.alias("a").join(text.alias("b"), F.col(f"a.{row}").eqNullSafe(F.col(f"b.{row}")), "left")
-    return both.select("a.*", F.coalesce("b.clean_text", F.lit("")).alias("clean_text")).drop(row)
-
-
-def keep_good(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
-    verdicts = quality_verdicts(docs, limits).where(~F.col("kept")).select(F.col("doc_id").alias(a), F.col("text_key").alias(b))
-    rejected = stored(verdicts.distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected[a]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rejected[b]), "left_anti")
+    out = features.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)
+
+
+def clean_documents(docs: DataFrame, limits: QualityLimits = QualityLimits()) -> DataFrame:
+    """The rows of docs that pass, with all their columns, their text without the boilerplate lines of its host.
+
+    A column n_chars follows the text. Verdicts and lines depend on text and source only: rows that agree in doc_id, text
+    and source are treated alike.
+    """
+    a, b, c, n, gone = (free_name(docs, k) for k in ("k_id", "k_text", "k_host", "k_kept", "k_bad"))
+    found = _verdicts(stored(document_features(docs).withColumn("row", F.monotonically_increasing_id()), "quality"), limits)
+    acted = found.where(~F.col("kept") | F.col("bad").isNotNull()).select(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("host").alias(c), F.col("kept").alias(n), F.sort_array("bad").alias(gone))
+    acted = stored(acted.distinct(), "acted")
+    same = docs["doc_id"].eqNullSafe(acted[a]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == acted[b]) & docs["source"].eqNullSafe(acted[c])
+    both = docs.join(acted, same, "left").where(F.coalesce(F.col(n), F.lit(True)))
+    host = F.coalesce(F.col("source"), F.lit(NO_HOST))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(host, normalised_line(x))))
+    both = both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        both = both.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return both.select(*docs.columns)

@@ -139,11 +139,43 @@ def check_quality(df, rows):
 def test_quality(docs, sf_docs, odd, odd_rows, none):
     check_quality(docs, [(d["doc_id"], d["text"]) for d in sf_docs])
     check_quality(odd, odd_rows)
-    assert quality.quality_verdicts(none).count() == 0 and quality.keep_good(none).count() == 0
-    kept = quality.keep_good(odd)
+    assert quality.quality_verdicts(none).count() == 0 and quality.clean_documents(none).count() == 0
+    kept = quality.clean_documents(odd)
     assert kept.columns == odd.columns and all(not brute_quality(r.text)[-1] for r in kept.collect())
 
 
+def brute_lines(rows, limits):
+    """(removed_words, depleted, clean text) of each row (doc_id, text, source), by hosts."""
+    norm = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", x).strip(" ").lower()
+    lines = lambda t: [x for x in (t or "").split("\n") if re.search(SPACE, x)]
+    holders, hosts, out = defaultdict(set), Counter(), []
+    for _, t, s in rows:
+        mine = [norm(x) for x in lines(t)]
+        hosts[s] += 1
+        for x in mine:
+            holders[s, x].add(tuple(mine))
+    bad = {k for k, v in holders.items() if len(v) > limits.max_line_docs and len(v) > limits.max_line_share * hosts[k[0]]}
+    for _, t, s in rows:
+        gone = sum(len(re.findall(SPACE, x)) for x in lines(t) if (s, norm(x)) in bad)
+        clean = t if not gone else "\n".join(x for x in t.split("\n") if (s, norm(x)) not in bad)
+        out.append((gone, gone > limits.max_removed_share * len(re.findall(SPACE, t or "")), clean))
+    return out
+
+
+def check_lines(df, rows, limits):
+    """Verdicts and cleaned documents; returns the kept rows."""
+    want = brute_lines(rows, limits)
+    failed = [brute_quality(r[1])[-1] for r in rows]
+    got = quality.quality_verdicts(df, limits)
+    verdicts = sorted(((r[0], w[0], w[1], not f and not w[1]) for r, w, f in zip(rows, want, failed, strict=True)), key=repr)
+    assert rows_of(got, "doc_id", "removed_words", "depleted", "kept") == verdicts
+    clean = quality.clean_documents(df, limits)
+    assert clean.columns == df.columns
+    kept = sorted(((r[0], w[2], r[2]) for r, w, f in zip(rows, want, failed, strict=True) if not f and not w[1]), key=repr)
+    assert rows_of(clean, "doc_id", "text", "source") == kept
+    return kept, want
+
+
 def test_boilerplate(spark):
     """A line in many documents of a host is boilerplate there only; copies of a document are no reason."""
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
@@ -152,36 +184,41 @@ def test_boilerplate(spark):
     rows += [(100 + i, f"{own(100 + i, 90)}\n{line}\n{own(900 + i, 90)}", "a") for i in range(40)]  # keeps 180 of 260
     rows += [(200 + i, f"{own(200 + i, 60)}\n{line}", "b") for i in range(9)]
     rows += [(300 + i, f"{own(7777, 60)}\n{own(8888, 60)}", "a") for i in range(50)]  # exact copies
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(df).collect()}
-    assert {d for d, k in kept.items() if not k} == set(range(40))
-    bad = quality.boilerplate_lines(quality.document_features(df), quality.QualityLimits())
-    clean = {r.doc_id: r.clean_text for r in quality.strip_boilerplate(df, bad).collect()}
-    assert clean[0] == own(0, 60) and clean[200] == f"{own(200, 60)}\n{line}" and clean[100] == f"{own(100, 90)}\n{own(900, 90)}"
+    rows += [(100, f"{own(100, 90)}\n{line}\n{own(900, 90)}", "b"), (500, f"{line}\n{own(3, 70)}", None)]  # the same row on another host
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    kept, want = check_lines(df, rows, quality.QualityLimits())
+    assert {r[0] for r in kept} == {r[0] for r in rows} - set(range(40)) and (100, rows[40][1], "b") in kept
+    clean = quality.clean_documents(df)
+    assert clean.where("n_chars <> length(text)").isEmpty()
+
+
+def test_depleted_documents_of_many_common_lines(spark):
+    """200 documents of 20 lines that all share and one of their own."""
+    rows = [(d, "\n".join([*(" ".join(f"s{i}x{k}" for k in range(10)) for i in range(20)), " ".join(f"own{d}x{k}" for k in range(10))]), "a") for d in range(200)]
+    kept, want = check_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows, quality.QualityLimits())
+    assert not kept and all(w[0] == 200 for w in want)
 
 
 def test_boilerplate_counts_are_exact(spark):
-    """Documents of shared lines only, or nearly so, count apart; copies, also by case and spaces, count once."""
+    """Random documents of several common lines, copies, also by case and spaces, repeated and null rows, several hosts."""
     import random
 
     rnd = random.Random(3)
     pool = [" ".join(f"s{i}x{k}" for k in range(12)) for i in range(8)]
-    rows, holders = [], defaultdict(set)
+    rows = []
     for d in range(150):
-        lines = sorted(rnd.sample(pool, rnd.choice((4, 6))))
+        lines = sorted(rnd.sample(pool, rnd.choice((2, 4, 6))))
         if d % 3:
-            lines.append(f"own {d % 50}")
-        rows.append((d, "\n".join(lines), "a"))
-        rows.append((1000 + d, "\n".join(x.upper().replace(" ", "  ") for x in lines), "a"))
-        for x in lines:
-            holders[x].add(tuple(lines))
-    counts = {x: len(v) for x, v in holders.items()}
-    limit = sorted(counts[x] for x in pool)[3]
+            lines += [f"own {d % 50}", " ".join(f"o{d}x{k}" for k in range(rnd.randrange(20, 90)))]
+        source = rnd.choice(("a", "a", "b", None))
+        rows.append((d, "\n".join(lines), source))
+        rows.append((1000 + d, "\n".join(x.upper().replace(" ", "  ") for x in lines), source))
+    rows += [(2000, None, "a"), (2001, "", None), (None, rows[4][1], "a"), rows[7], rows[7]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    bad = quality.boilerplate_lines(quality.document_features(df), quality.QualityLimits(max_line_docs=limit))
-    line = quality.normalised_line(F.col("line"))
-    names = spark.createDataFrame([(x,) for x in counts], "line string").withColumn("h", F.xxhash64(F.lit("a"), line))
-    assert {r.line for r in names.join(bad, "h").collect()} == {x for x, n in counts.items() if n > limit}
+    several = set()
+    for limits in (quality.QualityLimits(), quality.QualityLimits(max_line_docs=12), quality.QualityLimits(max_line_docs=8, max_line_share=0.2)):
+        several |= {w[0] for w in check_lines(df, rows, limits)[1]}
+    assert len(several) > 5
 
 
 def brute_leaks(docs, items):
@@ -329,7 +366,12 @@ def test_mix_repeated_rows(spark):
     want = Counter()
     for r in mixing.mix_counts(df).collect():
         want[r.doc_id, r.source] += r.times
-    assert mixed.columns == df.columns and got == +want and any(n % 3 for n in got.values())
+    assert mixed.columns == df.columns and got == +want and len(set(got.values())) > 1
+    # rows that differ in other columns only are rows of their own: none stands in for another
+    extra = spark.createDataFrame([(1, "a b c", "s", f"x{i}") for i in range(40)] + [(2, "d e", "t", "y")] * 9, "doc_id long, text string, source string, lang string")
+    got = Counter(r.lang for r in mixing.mix(extra.repartition(4)).collect())
+    assert got["y"] == 18 and sum(got.values()) - 18 == sum(r.times for r in mixing.mix_counts(extra).collect() if r.doc_id == 1)
+    assert sum(got.values()) - 18 >= 40 and all(1 <= got[f"x{i}"] <= 2 for i in range(40))
 
 
 def test_targets(spark):

@@ -74,13 +74,18 @@ _ADJACENT = "SELECT a.conv_id * 1000 + a.turn AS pair_id, 0 AS side, a.text AS r
 _HISTORY = "SELECT b.conv_id * 1000 + b.turn AS pair_id, a.turn AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.role = 'user' AND b.role = 'assistant'"
 
 
+def _weighted_sql(pairs: str, keywords) -> str:
+    """CTEs that end in wp (pair_id, value)."""
+    return f"""wpp AS ({pairs}),
+wh AS (SELECT pair_id, token, count(*) AS n FROM (SELECT pair_id, unnest({_tokens('hyp')}) AS token FROM (SELECT DISTINCT pair_id, hyp FROM wpp)) GROUP BY 1, 2),
+wr AS (SELECT pair_id, token, max(n) AS n FROM (SELECT pair_id, side, token, count(*) AS n FROM (SELECT pair_id, side, unnest({_tokens('ref')}) AS token FROM wpp) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+wc AS (SELECT wh.pair_id, wh.token, wh.n, least(wh.n, coalesce(wr.n, 0)) AS common FROM wh LEFT JOIN wr ON wh.pair_id = wr.pair_id AND wh.token = wr.token),
+ww AS (SELECT pair_id, n, common, CASE WHEN token IN ({_quoted(keywords)}) THEN 5.0 ELSE 1.0 END AS w FROM wc),
+wp AS (SELECT i.pair_id, coalesce(v.value, 0.0) AS value FROM (SELECT DISTINCT pair_id FROM wpp) i LEFT JOIN (SELECT pair_id, sum(w * common) / sum(w * n) AS value FROM ww GROUP BY 1) v ON i.pair_id = v.pair_id)"""
+
+
 def _clip_sql(pairs: str) -> str:
-    return f"""WITH p AS ({pairs}),
-h AS (SELECT pair_id, token, count(*) AS n FROM (SELECT pair_id, unnest({_tokens('hyp')}) AS token FROM (SELECT DISTINCT pair_id, hyp FROM p)) GROUP BY 1, 2),
-r AS (SELECT pair_id, token, max(n) AS n FROM (SELECT pair_id, side, token, count(*) AS n FROM (SELECT pair_id, side, unnest({_tokens('ref')}) AS token FROM p) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-c AS (SELECT h.pair_id, h.token, h.n, least(h.n, coalesce(r.n, 0)) AS common FROM h LEFT JOIN r ON h.pair_id = r.pair_id AND h.token = r.token),
-w AS (SELECT pair_id, n, common, CASE WHEN token IN ({_quoted(languages.DART_KEYWORDS)}) THEN 5.0 ELSE 1.0 END AS w FROM c)
-SELECT i.pair_id, round(coalesce(v.value, 0.0), 6) AS value FROM (SELECT DISTINCT pair_id FROM p) i LEFT JOIN (SELECT pair_id, sum(w * common) / sum(w * n) AS value FROM w GROUP BY 1) v ON i.pair_id = v.pair_id"""
+    return f"WITH {_weighted_sql(pairs, languages.DART_KEYWORDS)} SELECT pair_id, round(value, 6) AS value FROM wp"
 
 
 @query(_clip_sql(_ADJACENT))
@@ -97,8 +102,10 @@ def _gram_sql(pairs: str) -> str:
     grams = lambda kind: " UNION ALL ".join(f"SELECT pair_id, side, {n} AS n_order, array_to_string(list_slice(t, i, i + {n - 1}), ' ') AS gram FROM (SELECT pair_id, side, t, unnest(range(1, len(t) - {n} + 2)) AS i FROM {kind} WHERE len(t) >= {n})" for n in range(1, 5))
     return f"""p AS ({pairs}),
 ht AS (SELECT DISTINCT pair_id, -1 AS side, {_tokens('hyp')} AS t FROM p), rt AS (SELECT pair_id, side, {_tokens('ref')} AS t FROM p),
-h AS (SELECT pair_id, n_order, gram, count(*) AS n FROM ({grams('ht')}) GROUP BY 1, 2, 3),
-r AS (SELECT pair_id, n_order, gram, max(n) AS n FROM (SELECT pair_id, side, n_order, gram, count(*) AS n FROM ({grams('rt')}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+hg AS ({grams('ht')}), rg AS ({grams('rt')}),
+rs AS (SELECT pair_id, dense_rank() OVER (PARTITION BY pair_id ORDER BY side) AS side, n_order FROM rg),
+h AS (SELECT pair_id, n_order, gram, count(*) AS n FROM hg GROUP BY 1, 2, 3),
+r AS (SELECT pair_id, n_order, gram, max(n) AS n FROM (SELECT pair_id, side, n_order, gram, count(*) AS n FROM rg GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
 g AS (SELECT h.pair_id, h.n_order, CAST(sum(least(h.n, coalesce(r.n, 0))) AS BIGINT) AS num, CAST(sum(h.n) AS BIGINT) AS den FROM h LEFT JOIN r ON h.pair_id = r.pair_id AND h.n_order = r.n_order AND h.gram = r.gram GROUP BY 1, 2)"""
 
 
@@ -107,20 +114,33 @@ def ngram_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.gram_clip(history_pairs(spark, sf_dir))
 
 
-_BLEU = f"""WITH {_gram_sql(_HISTORY)},
+@query(f"WITH {_gram_sql(_HISTORY)} SELECT pair_id, CAST(side AS INTEGER) AS side, n_order, count(*) AS n FROM (SELECT pair_id, side, n_order FROM hg UNION ALL SELECT pair_id, side - 1 AS side, n_order FROM rs) GROUP BY 1, 2, 3")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.gram_counts(history_pairs(spark, sf_dir))
+
+
+def _bleu_sql(pairs: str) -> str:
+    """CTEs that end in bp (pair_id, h, r, bp) and bs (pair_id, value)."""
+    return f"""{_gram_sql(pairs)},
 len_h AS (SELECT pair_id, len(t) AS h FROM ht), len_r AS (SELECT pair_id, len(t) AS r FROM rt),
 near AS (SELECT pair_id, h, r FROM (SELECT l.pair_id, l.h, x.r, row_number() OVER (PARTITION BY l.pair_id ORDER BY abs(x.r - l.h), x.r) AS k FROM len_h l JOIN len_r x ON l.pair_id = x.pair_id) WHERE k = 1),
 o AS (SELECT n.pair_id, n.h, n.r, q.n_order, coalesce(g.num, 0) AS num, greatest(coalesce(g.den, 0), 1) AS den FROM near n CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n_order) q LEFT JOIN g ON g.pair_id = n.pair_id AND g.n_order = q.n_order),
 z AS (SELECT pair_id, h, r, n_order, num, den, sum(CASE WHEN num = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY n_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS j FROM o),
-s AS (SELECT pair_id, h, r, n_order, num, CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den WHEN h > 1 THEN ln(h) / (pow(2.0, j) * 5.0) / den ELSE 0.0 END AS p FROM z)
-SELECT pair_id, round(CASE WHEN max(h) = 0 OR max(CASE WHEN n_order = 1 THEN num END) = 0 THEN 0.0 ELSE (CASE WHEN max(h) > max(r) THEN 1.0 ELSE exp(1 - CAST(max(r) AS DOUBLE) / max(h)) END) * exp(sum(CASE WHEN p > 0 THEN ln(p) / 4 ELSE 0.0 END)) END, 6) AS value FROM s GROUP BY pair_id"""
+s AS (SELECT pair_id, h, r, n_order, num, CASE WHEN num > 0 THEN CAST(num AS DOUBLE) / den WHEN h > 1 THEN ln(h) / (pow(2.0, j) * 5.0) / den ELSE 0.0 END AS p FROM z),
+bp AS (SELECT pair_id, h, r, CASE WHEN h > r THEN 1.0 WHEN h = 0 THEN 0.0 ELSE exp(1 - CAST(r AS DOUBLE) / h) END AS bp FROM near),
+bs AS (SELECT s.pair_id, CASE WHEN max(s.h) = 0 OR max(CASE WHEN n_order = 1 THEN num END) = 0 THEN 0.0 ELSE max(bp.bp) * exp(sum(CASE WHEN p > 0 THEN ln(p) / 4 ELSE 0.0 END)) END AS value FROM s JOIN bp ON s.pair_id = bp.pair_id GROUP BY s.pair_id)"""
 
 
-@query(_BLEU)
+@query(f"WITH {_bleu_sql(_HISTORY)} SELECT pair_id, round(value, 6) AS value FROM bs")
 def bleu4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(bleu_op.bleu(history_pairs(spark, sf_dir)))
 
 
+@query(f"WITH {_bleu_sql(_HISTORY)} SELECT pair_id, CAST(h AS INTEGER) AS n_h, CAST(r AS INTEGER) AS n_r, round(bp, 6) AS value FROM bp")
+def brevity_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(bleu_op.brevity_penalty(history_pairs(spark, sf_dir)))
+
+
 def _fill_sql(template: str, *slots: str) -> str:
     parts = [f"'{x}'" for x in template.replace("'", "''").split("{}")]
     return " || ".join(x for pair in zip(parts, [*slots, None], strict=True) for x in pair if x)
@@ -146,12 +166,15 @@ _REPLY = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '### Response: ' || text
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"""SELECT doc_id, md5(CASE WHEN NOT contains(reply, '### Response:') THEN reply WHEN contains(reply, '```dart') THEN {_STRIP.format("split_part(split_part(reply, '```dart', 2), '```', 1)")} ELSE {_STRIP.format("split_part(reply, '### Response:', 2)")} END) AS code FROM (SELECT doc_id, {_REPLY} AS reply FROM documents WHERE NOT contains(text, '### Response:'))""")
+_REST = "substr(reply, strpos(reply, '### Response:') + 13)"
+_BLOCK = f"split_part(substr({_REST}, strpos({_REST}, '```dart') + 7), '```', 1)"
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN NOT contains(reply, '### Response:') THEN reply WHEN contains({_REST}, '```dart') THEN {_STRIP.format(_BLOCK)} ELSE {_STRIP.format(_REST)} END) AS code FROM (SELECT doc_id, {_REPLY} AS reply FROM documents)""")
 def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where(~F.contains("text", F.lit(text.RESPONSE)))
     fenced = F.concat(F.lit("x### Response:y```dart\n"), "text", F.lit("```"), "text")
     reply = F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("### Response: "), "text")).otherwise(fenced)
-    return docs.select("doc_id", F.md5(text.fenced_block(reply, F.lit("Dart"))).alias("code"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fenced_block(reply, F.lit("Dart"))).alias("code"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -165,19 +188,19 @@ def lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", routing.route(lang).alias("routed"))
 
 
-_INDEXED = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents"
+_INDEXED = "SELECT doc_id, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents"
 
 
-@query(f"SELECT doc_id, idx, idx % 3 AS rank FROM ({_INDEXED})")
+@query(f"SELECT doc_id, idx, text_md5, idx % 3 AS rank FROM ({_INDEXED})")
 def round_robin_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    shards = [routing.shard(indexed, rank, 3).withColumn("rank", F.lit(rank).cast("long")) for rank in range(3)]
+    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents"), "doc_id")
+    shards = [routing.shard(indexed, rank, 3).select("doc_id", "idx", F.md5("text").alias("text_md5"), F.lit(rank).cast("long").alias("rank")) for rank in range(3)]
     return shards[0].unionAll(shards[1]).unionAll(shards[2])
 
 
 @query(f"SELECT doc_id, CAST(floor(idx / 4) AS BIGINT) AS batch FROM ({_INDEXED})")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    indexed = routing.with_ordinal(_table(spark, sf_dir, "documents"), "doc_id")
     return indexed.select("doc_id", routing.batch_number(F.col("idx")).alias("batch"))
 
 
@@ -186,9 +209,9 @@ def nth_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.nth_record(_table(spark, sf_dir, "documents"), 150, "doc_id").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 < ceil(0.2 * (SELECT count(*) FROM documents)) AS is_test FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 < ceil(0.2 * (SELECT count(*) FROM documents)) AS is_test, lang, source, md5(text) AS text_md5 FROM documents")
 def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.exact_split(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return routing.exact_split(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "is_test", "lang", "source", F.md5("text").alias("text_md5"))
 
 
 _SNIPPETS = (
@@ -200,7 +223,7 @@ _CODE_SQL = " ".join(f"WHEN {i} THEN {_quoted([s])}" for i, s in enumerate(_SNIP
 
 
 def _points_sql(strong, moderate, named) -> str:
-    terms = [f"CASE WHEN regexp_matches(code, {_quoted(['(?m)' + p])}) THEN {n} ELSE 0 END" for n, ps in ((2, strong), (1, moderate)) for p in ps]
+    terms = [f"CASE WHEN regexp_matches(code, {_quoted(['(?m)' + languages.unicode_pattern(p)])}) THEN {n} ELSE 0 END" for n, ps in ((2, strong), (1, moderate)) for p in ps]
     some = " OR ".join(f"contains(lower(code), '{x}')" for x in named)
     return " + ".join([*terms, f"CASE WHEN {some} THEN 3 ELSE 0 END"])
 
@@ -212,12 +235,13 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("doc_id", "p.dart", "p.swift", languages.detect_language(F.col("p")).alias("detected"))
 
 
-@query("SELECT b.item_id AS pair_id, md5(b.text) AS ref, md5(d.text) AS hyp FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query("SELECT doc_id AS pair_id, md5(b.text) AS ref, md5(d.text) AS hyp FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON b.k = d.doc_id % (SELECT count(*) FROM benchmark)")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = _table(spark, sf_dir, "benchmark")
-    refs = bench.select(F.col("item_id").alias("idx"), F.array("text").alias("refs"))
-    hyps = _table(spark, sf_dir, "documents").join(bench.select("item_id"), F.col("doc_id") == F.col("item_id"), "left_semi").select(F.col("doc_id").alias("idx"), F.col("text").alias("hyp"))
-    return scores.zip_pairs(refs, hyps).select("pair_id", F.md5(F.col("refs")[0]).alias("ref"), F.md5("hyp").alias("hyp"))
+    """All documents against a list of references as long: the benchmark's items in turn."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("hyp"))
+    items = routing.with_ordinal(_table(spark, sf_dir, "benchmark"), "item_id", name="k").select("k", F.array("text").alias("refs"))
+    refs = docs.select("idx", F.pmod("idx", F.lit(items.count())).alias("k")).join(items, "k").select("idx", "refs")
+    return scores.zip_pairs(refs, docs).select("pair_id", F.md5(F.col("refs")[0]).alias("ref"), F.md5("hyp").alias("hyp"))
 
 
 @query("SELECT item_id AS id, CAST(length(text) AS BIGINT) AS n FROM benchmark UNION ALL SELECT doc_id AS id, n_chars AS n FROM documents")
@@ -259,42 +283,125 @@ def edge_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sets.join(nxt, "user_id", "left").select("user_id", multiset.edge_match(F.coalesce("ref", none), F.col("edges")).alias("value")))
 
 
-@query()
+_SENTENCES = "SELECT doc_id, string_split(text, '. ') AS s FROM documents"
+
+
+def _json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as JSON (its id, and its sentences as lists of words), parsed."""
+    sentences = F.transform(F.split("text", r"\. "), lambda x: F.split(x, " "))
+    code = F.to_json(F.struct("doc_id", sentences.alias("sentences")))
+    return _table(spark, sf_dir, "documents").select("doc_id", trees.parsed(code, "json").alias("nodes"))
+
+
+@query(f"SELECT doc_id, CAST(3 + len(s) + w AS BIGINT) AS n_nodes, CAST(2 + len(s) AS BIGINT) AS n_internal, CAST(1 + w AS BIGINT) AS n_leaves FROM (SELECT doc_id, s, list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) AS w FROM ({_SENTENCES}))")
 def node_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", trees.parsed(F.col("html"), "html").alias("nodes"))
-    rows = trees.node_rows(pages)
-    return rows.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
+    """Of each tree a dict, the id, the list of sentences, a list for each and its words."""
+    rows = trees.node_rows(_json_trees(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
+
+
+_OTHER = "CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 ELSE doc_id - 1 END"
 
 
-@query()
+@query(f"SELECT a.doc_id AS pair_id, round(CASE WHEN b.n IS NULL THEN 0.0 ELSE (1.0 + least(a.n, b.n)) / (1 + a.n) END, 6) AS value FROM (SELECT doc_id, {_OTHER} AS other, 1 + len(s) AS n FROM ({_SENTENCES})) a LEFT JOIN (SELECT doc_id, 1 + len(s) AS n FROM ({_SENTENCES})) b ON a.other = b.doc_id")
 def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Internal nodes of each page against its neighbour's."""
-    nodes = _table(spark, sf_dir, "pages").select("page_id", trees.parsed(F.col("html"), "html").alias("nodes"))
-    types = nodes.select("page_id", F.explode(trees.internal_types(F.col("nodes"))).alias("label"))
-    other = F.when(F.col("page_id") % 2 == 0, F.col("page_id") + 1).otherwise(F.col("page_id") - 1)
-    both = types.select(F.col("page_id").alias("pair_id"), F.lit(-1).alias("side"), "label").unionAll(types.select(other.alias("pair_id"), F.lit(0).alias("side"), "label"))
-    return _rounded(multiset.label_match(both))
+    """Internal nodes of each document's tree (a dict and lists) against its neighbour's by number."""
+    types = _json_trees(spark, sf_dir).select("doc_id", F.explode(trees.internal_types(F.col("nodes"))).alias("label"))
+    own = types.select(F.col("doc_id").alias("pair_id"), F.lit(-1).alias("side"), "label")
+    ids = types.select(F.col("doc_id").alias("pair_id")).distinct()
+    others = types.select(F.expr(_OTHER).alias("pair_id"), F.lit(0).alias("side"), "label").join(ids, "pair_id", "left_semi")
+    return _rounded(multiset.label_match(own.unionAll(others)))
+
+
+#: Code that goes before the turns, which hold no brackets, quotes or assignments: the trees and edges are known.
+_BEFORE = ("a = b + c;\n", "a = f(b);\ng(a);\n", "")
+_LABELS = "(VALUES (0, 'program', 1), (0, 'assign', 1), (1, 'program', 1), (1, 'assign', 1), (1, 'call', 2), (1, 'args', 2), (2, 'program', 1)) AS {0}(code, label, n)"
+_EDGES = "(VALUES (0, 'b>a'), (0, 'c>a'), (1, 'f>a')) AS {0}(code, edge)"
+
+
+def _before_sql(key: str, codes=_BEFORE) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN " + " || ".join(x for part in c.split("\n") for x in (_quoted([part]), "chr(10)"))[: -len(" || chr(10)")] for i, c in enumerate(codes)) + " END"
+
+
+_R, _H = "pair_id % 3", "(pair_id // 3) % 3"
+_CODE_PAIRS = f"SELECT pair_id, side, {_before_sql(_R)} || ref AS ref, {_before_sql(_H)} || hyp AS hyp FROM ({_ADJACENT})"
 
 
-@query()
+def _before(key, codes=_BEFORE):
+    return F.get(F.array(*map(F.lit, codes)), key.cast("int"))
+
+
+def _code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("pair_id")
+    ref, hyp = F.concat(_before(k % 3), F.col("refs")[0]), F.concat(_before(F.floor(k / 3) % 3), "hyp")
+    return adjacent_pairs(spark, sf_dir).select("pair_id", F.array(ref).alias("refs"), hyp.alias("hyp"))
+
+
+def _composite_sql(keywords) -> str:
+    """CTEs that end in c (pair_id, the four parts, codebleu)."""
+    return f"""{_bleu_sql(_CODE_PAIRS)}, {_weighted_sql(_CODE_PAIRS, keywords)},
+ast AS (SELECT r.code AS rc, h.hc, (SELECT CAST(sum(least(x.n, coalesce(y.n, 0))) AS DOUBLE) / sum(x.n) FROM {_LABELS.format('x')} LEFT JOIN {_LABELS.format('y')} ON y.code = r.code AND y.label = x.label WHERE x.code = h.hc) AS value FROM (SELECT unnest([0, 1, 2]) AS code) r CROSS JOIN (SELECT unnest([0, 1, 2]) AS hc) h),
+flow AS (SELECT r.code AS rc, h.hc, (SELECT CASE WHEN count(x.edge) = 0 THEN (CASE WHEN r.code = 2 THEN 1.0 ELSE 0.0 END) ELSE CAST(count(y.edge) AS DOUBLE) / count(x.edge) END FROM {_EDGES.format('x')} LEFT JOIN {_EDGES.format('y')} ON y.code = r.code AND y.edge = x.edge WHERE x.code = h.hc) AS value FROM (SELECT unnest([0, 1, 2]) AS code) r CROSS JOIN (SELECT unnest([0, 1, 2]) AS hc) h),
+parts AS (SELECT bs.pair_id, bs.value AS bleu, wp.value AS weighted_bleu, ast.value AS ast_match, flow.value AS dataflow_match FROM bs JOIN wp ON bs.pair_id = wp.pair_id JOIN ast ON ast.rc = bs.{_R} AND ast.hc = (bs.pair_id // 3) % 3 JOIN flow ON flow.rc = bs.{_R} AND flow.hc = (bs.pair_id // 3) % 3),
+c AS (SELECT *, 0.25 * bleu + 0.25 * weighted_bleu + 0.25 * ast_match + 0.25 * dataflow_match AS codebleu FROM parts)"""
+
+
+_PARTS = ", ".join(f"round({p}, 6) AS {p}" for p in (*scores.PARTS, "codebleu"))
+_MEANS = ", ".join(f"round(avg({p}), 6) AS {p}" for p in (*scores.PARTS, "codebleu"))
+
+
+@query(f"WITH {_composite_sql(languages.DART_KEYWORDS)} SELECT pair_id, {_PARTS} FROM c")
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scores.composite(adjacent_pairs(spark, sf_dir), "dart"))
+    return _rounded(scores.composite(_code_pairs(spark, sf_dir), "dart"))
 
 
-@query()
+@query(f"WITH {_composite_sql(languages.SWIFT_KEYWORDS)} SELECT {_MEANS}, count(*) AS n_pairs FROM c")
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scores.corpus(scores.composite(adjacent_pairs(spark, sf_dir), "swift")))
+    return _rounded(scores.corpus(scores.composite(_code_pairs(spark, sf_dir), "swift")))
+
+
+@query(f"WITH {_composite_sql(languages.SWIFT_KEYWORDS)} SELECT pair_id, {_PARTS}, false AS is_total FROM c UNION ALL SELECT NULL AS pair_id, {_MEANS}, true AS is_total FROM c")
+def corpus_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scores.corpus_details(scores.composite(_code_pairs(spark, sf_dir), "swift")))
+
+
+#: One point for each language and none, where the parser decides.
+_TELLING = ("final a = b;\n", "let a = b;\n", "a = b;\n")
+_TOLD_PAIRS = f"SELECT pair_id, side, {_before_sql(_R, _TELLING)} || ref AS ref, {_before_sql('0')} || hyp AS hyp FROM ({_ADJACENT})"
+
+
+def _told_sql(lang: str, keywords, where: str) -> str:
+    pairs = f"SELECT * FROM ({_TOLD_PAIRS}) WHERE {where}"
+    return f"SELECT pair_id, '{lang}' AS lang, round(0.25 * b + 0.25 * w + 0.25 * 1.0 + 0.25 * 0.5, 6) AS codebleu FROM (WITH {_bleu_sql(pairs)}, {_weighted_sql(pairs, keywords)} SELECT bs.pair_id, bs.value AS b, wp.value AS w FROM bs JOIN wp ON bs.pair_id = wp.pair_id)"
+
+
+@query(f"{_told_sql('dart', languages.DART_KEYWORDS, 'pair_id % 3 <> 1')} UNION ALL {_told_sql('swift', languages.SWIFT_KEYWORDS, 'pair_id % 3 = 1')}")
+def detected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair scored in the language that its reference speaks for; the score alone."""
+    ref = F.concat(_before(F.col("pair_id") % 3, _TELLING), F.col("refs")[0])
+    pairs = adjacent_pairs(spark, sf_dir).select("pair_id", F.array(ref).alias("refs"), F.concat(F.lit(_BEFORE[0]), "hyp").alias("hyp"))
+    return _rounded(scores.score_detected(pairs, undecided="raise", all_scores=False))
+
+
+@query("SELECT event_id, event_type, score FROM (SELECT event_id, event_type, unnest([value, value * 2, value * 2]) AS score FROM events)")
+def gathered_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of scores, one a record, gathered as one bag."""
+    lists = _table(spark, sf_dir, "events").select("event_id", "event_type", F.array("value", F.col("value") * 2, F.col("value") * 2).alias("score"))
+    return scores.flattened(lists, "score")
+
+
+@query("SELECT event_id, printf('%.4f', value) AS shown, CAST(octet_length(encode(event_type || 'ü')) AS INTEGER) AS n_bytes FROM events")
+def score_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to four decimals, and lengths of encoded texts."""
+    return _table(spark, sf_dir, "events").select("event_id", text.decimals(F.col("value")).alias("shown"), F.octet_length(text.encoded(F.concat("event_type", F.lit("ü")))).alias("n_bytes"))
 
 
 @query(ORACLES["run_stats"].replace(" GROUP BY event_type HAVING count(value) > 0", "").replace("SELECT event_type, ", "SELECT "))
 def stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics file of all events, written and read again (into a folder that the session shares)."""
-    import tempfile
-    import uuid
-
     from .sources.records import read_statistics, write_statistics
+    from .sources.shared import fresh_path
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/statistics-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "statistics")
     write_statistics(stats.statistics(_table(spark, sf_dir, "events"), "value"), path)
     return _rounded(read_statistics(spark, path).withColumn("Count", F.col("Count").cast("long")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,26 +75,51 @@ def keywords(language: str) -> tuple[str, ...]:
     return KEYWORDS[language.lower()]
 
 
-def _points(code: Column, strong: tuple[str, ...], moderate: tuple[str, ...], frameworks: tuple[str, ...]) -> Column:
+#: What the patterns' short classes stand for: all scripts, not ASCII only, written the same for every regex engine.
+WORD_CLASS, SPACE_CLASS = r"\p{L}\p{N}_", r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """pattern with \\w and \\s as classes over all scripts, and a \\b at its ends as the character beside it, if there is one.
+
+    For a search, whether such a character is taken or only looked at makes no difference.
+    """
+    out = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    if pattern.startswith(r"\b"):
+        out = f"(?:^|[^{WORD_CLASS}])" + out
+    if pattern.endswith(r"\b"):
+        out += f"(?:$|[^{WORD_CLASS}])"
+    return out.replace(r"\w", f"[{WORD_CLASS}]").replace(r"\s", f"[{SPACE_CLASS}]")
+
+
+def literal_of(pattern: str) -> str:
+    """The longest text that every match of pattern holds."""
+    fixed = re.split(r"\\[bws][*+]?|\[\^?[^\]]+\][*+]?|\.\*|\\?.\?", pattern)
+    return max((re.sub(r"\\(.)", r"\1", x) for x in fixed), key=len)
+
+
+def _points(code: Column, lower: Column, strong: tuple[str, ...], moderate: tuple[str, ...], frameworks: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for weight, patterns in ((2, strong), (1, moderate)):
         for p in patterns:
-            total = total + F.when(code.rlike("(?dm)" + p), weight).otherwise(0)
+            # a plain search for the pattern's text spares most codes the pattern
+            total = total + F.when(F.contains(code, F.lit(literal_of(p))) & code.rlike("(?dm)" + unicode_pattern(p)), weight).otherwise(0)
     named = F.lit(False)
     for f in frameworks:
-        named = named | F.contains(F.lower(code), F.lit(f))
+        named = named | F.contains(lower, F.lit(f))
     return total + F.when(named, FRAMEWORK_POINTS).otherwise(0)
 
 
 def language_points(code: Column) -> Column:
     """Struct (dart, swift) of points; each pattern counts once."""
     text = F.coalesce(code, F.lit(""))
+    lower = F.lower(text)
     return F.struct(
-        _points(text, DART_STRONG, DART_MODERATE, ("flutter",)).cast("long").alias("dart"),
-        _points(text, SWIFT_STRONG, SWIFT_MODERATE, ("uikit", "swiftui")).cast("long").alias("swift"),
+        _points(text, lower, DART_STRONG, DART_MODERATE, ("flutter",)).cast("long").alias("dart"),
+        _points(text, lower, SWIFT_STRONG, SWIFT_MODERATE, ("uikit", "swiftui")).cast("long").alias("swift"),
     )
 
 
 def detect_language(points: Column) -> Column:
-    """The language with more points; null on a tie, where only a parser could decide."""
+    """The language with more points; null on a tie, which only a parser can decide (operators.scores.detected_language)."""
     return F.when(points["dart"] > points["swift"], "dart").when(points["swift"] > points["dart"], "swift")

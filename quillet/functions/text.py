@@ -54,3 +54,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, space-joined; tokens hold no spaces."""
     grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
+def encoded(text: Column) -> Column:
+    """The UTF-8 bytes of a text."""
+    return F.encode(text, "UTF-8")
+
+
+def decimals(value: Column, places: int = 4) -> Column:
+    """A number as text with so many decimals, without group separators."""
+    return F.format_string(f"%.{places}f", value)

@@ -1,6 +1,8 @@
 """Multiset operators over pairs of texts: pairs (pair_id, refs array<string>, hyp string).
 
-All sides go into one grouped count, so a pair's references, hypothesis and clipping need no join.
+A pair's texts are tokenised once, in its own row. All that is to be counted of a pair (n-grams of every order, labels)
+is exploded as (side, kind, item) after the pairs were dealt out by pair_id, so that one exchange of texts serves every
+count, clip and sum. A pair_id names one pair: rows that repeat it are pooled, not scored apart.
 """
 
 from __future__ import annotations
@@ -11,12 +13,34 @@ from pyspark.sql import functions as F
 from ..functions.languages import KEYWORD_WEIGHT
 from ..functions.text import ngrams, tokenize
 
+HYP = -1
+ITEM = "array<struct<side:int,kind:int,item:string>>"
 
-def sides(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, tokens): side -1 is the hypothesis, others number the references."""
-    hyp = pairs.select("pair_id", F.lit(-1).alias("side"), tokenize(F.col("hyp")).alias("tokens"))
-    refs = pairs.select("pair_id", F.posexplode("refs").alias("side", "ref"))
-    return hyp.unionAll(refs.select("pair_id", "side", tokenize(F.col("ref")).alias("tokens")))
+
+def tokenised(pairs: DataFrame, *more: Column) -> DataFrame:
+    """pairs dealt out by pair_id -> pair_id, h (tokens of the hypothesis), rs (tokens of each reference), more."""
+    none = F.array().cast("array<string>")
+    rs = F.transform(F.coalesce("refs", none), lambda r: tokenize(r))
+    return pairs.repartition("pair_id").select("pair_id", tokenize(F.col("hyp")).alias("h"), rs.alias("rs"), *more)
+
+
+def _items(side: Column | int, kind: int, values: Column) -> Column:
+    side = side.cast("int") if isinstance(side, Column) else F.lit(side)
+    return F.transform(values, lambda x: F.struct(side.alias("side"), F.lit(kind).alias("kind"), x.alias("item")))
+
+
+def gram_items(orders: int) -> Column:
+    """(side, kind, item) of all n-grams of h and rs; the kind is n."""
+
+    def of(n: int) -> list[Column]:
+        return [_items(HYP, n, ngrams(F.col("h"), n)), F.flatten(F.transform("rs", lambda r, i: _items(i, n, ngrams(r, n))))]
+
+    return F.concat(*[x for n in range(1, orders + 1) for x in of(n)]).cast(ITEM)
+
+
+def label_items(kind: int, hyp: Column, ref: Column) -> Column:
+    """(side, kind, item) of two arrays of labels."""
+    return F.concat(_items(HYP, kind, hyp), _items(0, kind, ref)).cast(ITEM)
 
 
 def clipped(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,32 +49,53 @@ def clipped(items: DataFrame, keys: list[str]) -> DataFrame:
     common is the largest over the references of the smaller count.
     """
     counts = items.groupBy("pair_id", "side", *keys).agg(F.count("*").alias("c"))
-    own = F.max(F.when(F.col("side") == -1, F.col("c")))
+    own = F.max(F.when(F.col("side") == HYP, F.col("c")))
     most = F.max(F.when(F.col("side") >= 0, F.col("c")))
     both = counts.groupBy("pair_id", *keys).agg(own.alias("n"), F.coalesce(most, F.lit(0)).alias("r"))
     return both.where("n is not null").select("pair_id", *keys, "n", F.least("n", "r").alias("common"))
 
 
-def token_clip(pairs: DataFrame) -> DataFrame:
-    return clipped(sides(pairs).select("pair_id", "side", F.explode("tokens").alias("token")), ["token"])
+def clipped_items(rows: DataFrame, items: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """rows (pair_id, ...) -> (pair_id, carried, kind, item, n, common): clipped() over an array of (side, kind, item).
+
+    Every pair keeps a row, if only one without an item (n and common 0), that bears its carried columns.
+    """
+    keys = ["pair_id", *carried]
+    each = rows.select(*keys, F.explode_outer(items).alias("x")).select(*keys, "x.side", "x.kind", "x.item")
+    counts = each.groupBy(*keys, "side", "kind", "item").agg(F.count("*").alias("c"))
+    own = F.coalesce(F.max(F.when(F.col("side") == HYP, F.col("c"))), F.lit(0))
+    most = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0))
+    both = counts.groupBy(*keys, "kind", "item").agg(own.alias("n"), most.alias("r"))
+    return both.select(*keys, "kind", "item", "n", F.least("n", "r").alias("common"))
+
+
+def gram_counts(pairs: DataFrame, order: int = 4) -> DataFrame:
+    """(pair_id, side, n_order, n): n-grams of each side that has any, the hypothesis as side -1."""
+    each = tokenised(pairs).select("pair_id", F.explode(gram_items(order)).alias("x"))
+    return each.groupBy("pair_id", F.col("x.side").alias("side"), F.col("x.kind").alias("n_order")).agg(F.count("*").alias("n"))
 
 
 def gram_clip(pairs: DataFrame, order: int = 4) -> DataFrame:
     """(pair_id, n_order, num, den): clipped and all n-grams of the hypothesis for each order that it has."""
-    grams = F.concat(*[F.transform(ngrams(F.col("tokens"), n), _tagged(n)) for n in range(1, order + 1)])
-    items = sides(pairs).select("pair_id", "side", F.explode(grams).alias("g")).select("pair_id", "side", "g.*")
-    return clipped(items, ["n_order", "gram"]).groupBy("pair_id", "n_order").agg(F.sum("common").alias("num"), F.sum("n").alias("den"))
+    found = clipped_items(tokenised(pairs), gram_items(order)).where("n > 0")
+    return found.groupBy("pair_id", F.col("kind").alias("n_order")).agg(F.sum("common").alias("num"), F.sum("n").alias("den"))
+
+
+def keyword_share(kind: int, keywords: tuple[str, ...], weight: float = KEYWORD_WEIGHT) -> Column:
+    """Aggregate over clipped_items(): weighted share of the common items of a kind; 0 where there are none."""
+    w = F.when(F.col("kind") == kind, F.when(F.col("item").isin(*keywords), weight).otherwise(1.0))
+    return F.coalesce(F.try_divide(F.sum(w * F.col("common")), F.sum(w * F.col("n"))), F.lit(0.0))
 
 
-def _tagged(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n_order"), g.alias("gram"))
+def plain_share(kind: int) -> Column:
+    """Aggregate over clipped_items(): share of the common items of a kind; 0 where there are none."""
+    of = F.col("kind") == kind
+    return F.coalesce(F.try_divide(F.sum(F.when(of, F.col("common"))), F.sum(F.when(of, F.col("n")))), F.lit(0.0))
 
 
 def weighted_precision(pairs: DataFrame, keywords: tuple[str, ...], weight: float = KEYWORD_WEIGHT) -> DataFrame:
     """(pair_id, value): clipped unigram precision with keywords counting `weight` times; 0 for an empty hypothesis."""
-    w = F.when(F.col("token").isin(*keywords), weight).otherwise(1.0)
-    sums = token_clip(pairs).groupBy("pair_id").agg((F.sum(w * F.col("common")) / F.sum(w * F.col("n"))).alias("value"))
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return clipped_items(tokenised(pairs), gram_items(1)).groupBy("pair_id").agg(keyword_share(1, keywords, weight).alias("value"))
 
 
 def label_match(labels: DataFrame) -> DataFrame:

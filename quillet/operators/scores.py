@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import detect_language, keywords, language_points
 from . import trees
-from .bleu import bleu
-from .multiset import edge_match, label_match, weighted_precision
+from .bleu import bleu_of, order_sums, sized
+from .multiset import clipped_items, edge_match, gram_items, keyword_share, label_items, plain_share
 
 PARTS = ("bleu", "weighted_bleu", "ast_match", "dataflow_match")
+EVEN = (0.25, 0.25, 0.25, 0.25)
+ORDER, LABEL = 4, 0
 
 
 def checked(weights: tuple[float, float, float, float]) -> tuple[float, ...]:
@@ -21,46 +23,68 @@ def checked(weights: tuple[float, float, float, float]) -> tuple[float, ...]:
     return weights
 
 
-def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25), parsers: dict[str, Callable] = trees.PARSERS) -> DataFrame:
-    """pairs (pair_id, refs, hyp) -> pair_id, the four parts and codebleu. Trees are compared with the first reference."""
+def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = EVEN, parsers: dict[str, Callable] = trees.PARSERS, all_scores: bool = True) -> DataFrame:
+    """pairs (pair_id, refs, hyp) -> pair_id, the four parts (if all_scores) and codebleu. Trees are compared with the first reference.
+
+    One pass: the pairs are dealt out once, each text is tokenised and parsed once, and one grouped count of n-grams and
+    tree labels gives all parts. Null texts count as empty; a pair_id names one pair.
+    """
     words, w = keywords(language), checked(weights)
     first = F.coalesce(F.get("refs", F.lit(0)), F.lit(""))
-    both = pairs.select("pair_id", trees.parsed(first, language, parsers).alias("r"), trees.parsed(F.col("hyp"), language, parsers).alias("h"), trees.dataflow_edges(first, language, parsers).alias("re"), trees.dataflow_edges(F.col("hyp"), language, parsers).alias("he"))
-    # from here on the trees are plain columns: lambda functions take no Python function's result directly
-    side = lambda i, c: F.struct(F.lit(i).alias("side"), trees.internal_types(F.col(c)).alias("types"))
-    labels = both.select("pair_id", F.explode(F.array(side(-1, "h"), side(0, "r"))).alias("s")).select("pair_id", "s.side", F.explode("s.types").alias("label"))
-    flow = both.select("pair_id", edge_match(F.col("re"), F.col("he")).alias("dataflow_match"))
-    out = pairs.select("pair_id")
-    for part, name in zip((bleu(pairs), weighted_precision(pairs, words), label_match(labels)), PARTS, strict=False):
-        out = out.join(part.withColumnRenamed("value", name), "pair_id", "left")
-    out = out.join(flow, "pair_id", "left").fillna(0.0, list(PARTS))
-    total = sum((F.lit(x) * F.col(p) for x, p in zip(w, PARTS, strict=True)), F.lit(0.0))
-    return out.withColumn("codebleu", total)
-
-
-def score_detected(pairs: DataFrame, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    # parsed before the rows are dealt out: a Python step does not keep their partitioning
+    rows = sized(pairs.select("pair_id", "refs", "hyp", trees.analysed(first, F.col("hyp"), language, parsers).alias("t")), F.col("t"))
+    rows = rows.withColumn("flow", edge_match(F.col("t.ref.edges"), F.col("t.hyp.edges")))
+    items = F.concat(gram_items(ORDER), label_items(LABEL, F.col("t.hyp.labels"), F.col("t.ref.labels")))
+    carried = ("n_h", "n_r", "flow")
+    sums = clipped_items(rows, items, carried).groupBy("pair_id", *carried)
+    out = sums.agg(*order_sums(ORDER), keyword_share(1, words).alias("weighted_bleu"), plain_share(LABEL).alias("ast_match"))
+    out = out.select("pair_id", bleu_of(ORDER).alias("bleu"), "weighted_bleu", "ast_match", F.col("flow").alias("dataflow_match"))
+    total = sum((F.lit(x) * F.col(p) for x, p in zip(w, PARTS, strict=True)), F.lit(0.0)).alias("codebleu")
+    return out.select("pair_id", *(PARTS if all_scores else ()), total)
+
+
+def detected_language(code: Column, undecided: str = "null") -> Column:
+    """The language with more points; on a tie the first in which the code parses without errors.
+
+    Code that parses in none is null, or raises when the plan runs with undecided="raise".
+    """
+    if undecided not in ("null", "raise"):
+        raise ValueError(f"undecided is 'null' or 'raise', not {undecided!r}")
+    found = F.coalesce(detect_language(language_points(code)), trees.first_to_parse(code))
+    return found if undecided == "null" else F.coalesce(found, F.raise_error(F.lit("the language of a text cannot be told")))
+
+
+def score_detected(pairs: DataFrame, weights: tuple[float, float, float, float] = EVEN, undecided: str = "null", all_scores: bool = True) -> DataFrame:
     """composite() of every pair in the language that its first reference speaks for; undecided pairs have null scores."""
-    lang = pairs.select("pair_id", detect_language(language_points(F.get("refs", F.lit(0)))).alias("lang"))
-    tagged = pairs.join(lang, "pair_id")
+    tagged = pairs.withColumn("lang", detected_language(F.coalesce(F.get("refs", F.lit(0)), F.lit("")), undecided))
     out = None
     for name in ("dart", "swift"):
-        part = composite(tagged.where(F.col("lang") == name).select("pair_id", "refs", "hyp"), name, weights)
+        part = composite(tagged.where(F.col("lang") == name).select("pair_id", "refs", "hyp"), name, weights, all_scores=all_scores).withColumn("lang", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return lang.join(out, "pair_id", "left")
+    rest = tagged.where(F.col("lang").isNull()).select("pair_id", "lang")
+    return out.unionByName(rest, allowMissingColumns=True).select("pair_id", "lang", *[c for c in out.columns if c not in ("pair_id", "lang")])
+
+
+def corpus(scores: DataFrame) -> DataFrame:
+    """Means of the parts over all pairs (NULL for none), and their number. The details are the rows of scores themselves."""
+    return scores.agg(*[F.avg(n).alias(n) for n in (*PARTS, "codebleu")], F.count("*").alias("n_pairs"))
 
 
-def corpus(scores: DataFrame, details: bool = False) -> DataFrame:
-    """Means of the parts over all pairs (NULL for none), and their number; details adds the scores as an array."""
+def corpus_details(scores: DataFrame) -> DataFrame:
+    """A row for each pair, and one with the means of all (pair_id null, is_total true)."""
     names = [*PARTS, "codebleu"]
-    aggs = [F.avg(n).alias(n) for n in names] + [F.count("*").alias("n_pairs")]
-    if details:
-        aggs.append(F.collect_list(F.struct("pair_id", *names)).alias("individual_scores"))
-    return scores.agg(*aggs)
+    each = scores.select("pair_id", *names, F.lit(False).alias("is_total"))
+    return each.unionAll(corpus(scores).select(F.lit(None).cast(scores.schema["pair_id"].dataType).alias("pair_id"), *names, F.lit(True).alias("is_total")))
+
+
+def flattened(lists: DataFrame, column: str) -> DataFrame:
+    """lists with a row for each element of an array column, in the array's place: gathered lists as one bag."""
+    return lists.withColumn(column, F.explode(column))
 
 
 def zip_pairs(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     """refs (idx, refs) and hyps (idx, hyp) by position; a position that one side lacks raises when the plan runs."""
-    both = refs.join(hyps, "idx", "full_outer")
+    both = refs.withColumn("in_refs", F.lit(True)).join(hyps.withColumn("in_hyps", F.lit(True)), "idx", "full_outer")
     message = F.concat(F.lit("lists differ in length at position "), F.col("idx").cast("string"))
-    guard = F.when(F.col("refs").isNull() | F.col("hyp").isNull(), F.raise_error(message)).otherwise(F.col("idx"))
+    guard = F.when(F.col("in_refs").isNull() | F.col("in_hyps").isNull(), F.raise_error(message)).otherwise(F.col("idx"))
     return both.select(guard.cast("long").alias("pair_id"), "refs", "hyp")

@@ -159,17 +159,18 @@ def internal_types(nodes: Column) -> Column:
     return F.transform(F.filter(nodes, lambda n, i: F.array_contains(parents, i)), lambda n: n["type"])
 
 
-def edges_of(text: str, nodes: Nodes) -> set[tuple[str, str]]:
-    """Edges from identifiers on the right side of an assignment to its target.
+def add_edges(text: str, nodes: Nodes, out: set[tuple[str, str]]) -> None:
+    """Adds to out the edges from identifiers on the right side of an assignment to its target.
 
-    A nested assignment takes over as the target of its own part; arguments of a call have no target.
+    A nested assignment takes over as the target of its own part; arguments of a call have no target. Where a node's
+    offsets make no sense this raises; what was found before stays in out.
     """
     kids: list[list[int]] = [[] for _ in nodes]
     for i, n in enumerate(nodes):
         if n[3] >= 0:
             kids[n[3]].append(i)
     name = lambda i: text[nodes[i][1] : nodes[i][2]]
-    out, todo = set(), [(0, None)] if nodes else []
+    todo = [(0, None)] if nodes else []
     while todo:
         i, target = todo.pop()
         kind = nodes[i][0]
@@ -177,28 +178,82 @@ def edges_of(text: str, nodes: Nodes) -> set[tuple[str, str]]:
             if target is not None and name(i) != target:
                 out.add((name(i), target))
         elif kind in ASSIGNMENTS and len(kids[i]) >= 2 and nodes[kids[i][0]][0] in IDENTIFIERS:
-            todo += [(k, name(kids[i][0])) for k in kids[i][1:]]
+            todo += [(k, name(kids[i][0])) for k in kids[i][1:][::-1]]
             continue
         if kind in CALLS:
-            todo += [(k, None if nodes[k][0] == "arguments" else target) for k in kids[i]]
+            todo += [(k, None if nodes[k][0] == "arguments" else target) for k in kids[i][::-1]]
         else:
-            todo += [(k, target) for k in kids[i]]
+            todo += [(k, target) for k in kids[i][::-1]]
+
+
+def edges_of(text: str, nodes: Nodes) -> set[tuple[str, str]]:
+    """All edges; where a node is faulty, those of the nodes before it."""
+    out: set[tuple[str, str]] = set()
+    try:
+        add_edges(text, nodes, out)
+    except Exception:  # the edges found so far count
+        pass
     return out
 
 
-def dataflow_edges(text: Column, language: str, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
-    """Array of structs (source, target), sorted."""
+def internal_labels(nodes: Nodes) -> list[str]:
+    """Types of the nodes that have children."""
+    parents = {n[3] for n in nodes}
+    return [n[0] for i, n in enumerate(nodes) if i in parents]
+
+
+_EDGES = ArrayType(StructType([StructField("source", StringType()), StructField("target", StringType())]))
+_SIDE = StructType([StructField("labels", ArrayType(StringType())), StructField("edges", _EDGES)])
+
+
+def analysed(ref: Column, hyp: Column, language: str, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
+    """Struct (ref, hyp) of structs (labels of internal nodes, sorted edges): each text is parsed once, all in one pass.
+
+    A text that is null, empty or does not parse has no labels and no edges.
+    """
     parse = parsers[language]
 
-    def safe(x: str | None) -> list[dict]:
+    def side(x: str | None) -> dict:
         try:
-            return [{"source": a, "target": b} for a, b in sorted(edges_of(x, parse(x)))] if x else []
-        except Exception:  # no tree, no edges
-            return []
+            nodes = parse(x) if x else []
+        except Exception:  # no tree
+            nodes = []
+        return {"labels": internal_labels(nodes), "edges": [{"source": a, "target": b} for a, b in sorted(edges_of(x or "", nodes))]}
 
-    @F.pandas_udf(ArrayType(StructType([StructField("source", StringType()), StructField("target", StringType())])))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([safe(x) for x in texts])
+    @F.pandas_udf(StructType([StructField("ref", _SIDE), StructField("hyp", _SIDE)]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for refs, hyps in batches:
+            yield pd.DataFrame({"ref": [side(x) for x in refs], "hyp": [side(x) for x in hyps]})
+
+    return run(ref, hyp)
+
+
+def code_is_whole(text: str) -> bool:
+    """Every bracket is closed by its own kind and every string ends: what the parser can tell of an error."""
+    stack, close = [], {")": "(", "]": "[", "}": "{"}
+    for m in LEXER.finditer(text):
+        if m.lastgroup == "open":
+            stack.append(m[0])
+        elif m.lastgroup == "close":
+            if not stack or stack.pop() != close[m[0]]:
+                return False
+        elif m.lastgroup == "other" and m[0] in "\"'":
+            return False
+    return not stack
+
+
+#: For each language, in the order in which a tie tries them, whether a text parses without errors.
+CHECKS: dict[str, Callable[[str], bool]] = {"dart": code_is_whole, "swift": code_is_whole}
+
+
+def first_to_parse(text: Column, checks: dict[str, Callable[[str], bool]] = CHECKS) -> Column:
+    """The first language in which a text parses without errors, or null."""
+
+    def first(x: str | None) -> str | None:
+        return next((name for name, check in checks.items() if check(x or "")), None)
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([first(x) for x in texts], dtype=object)
 
     return run(text)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+LOG = logging.getLogger("quillet")
 EVALUATION = StructType([StructField(n, StringType()) for n in ("assembly", "language", "source")])
 TRAINING = StructType([*EVALUATION.fields, StructField("reasoning", StringType())])
 
@@ -36,13 +39,25 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_statistics(stats: DataFrame, path: str) -> bool:
-    """Header and rows in one file; nothing is written for no scores. stats is an aggregate of a few rows."""
-    kept = stats.where("Count > 0")
-    if kept.isEmpty():
+    """Header and rows in one file; nothing is written for no scores, which is logged. stats is an aggregate of a few rows."""
+    spark, kept = stats.sparkSession, stats.where("Count > 0")
+    rows = kept.collect()  # computed once: a row a group
+    if not rows:
+        LOG.info("no scores, %s is not written", path)
         return False
-    kept.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    spark.createDataFrame(rows, kept.schema).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return True
 
 
+def log_progress(scores: DataFrame, every: int, name: str = "scores") -> None:
+    """Logs the rows and their running mean after every so many rows of scores (idx from 0, score), in order of idx."""
+    batch = F.floor(F.col("idx") / every)
+    sums = scores.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.sum("score").alias("s")).orderBy("batch")
+    n, total = 0, 0.0
+    for row in sums.toLocalIterator():  # one row a batch
+        n, total = n + row["n"], total + row["s"]
+        LOG.info("%s: %d rows, mean %.4f", name, n, total / n)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

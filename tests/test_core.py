@@ -64,11 +64,56 @@ def test_composite(spark):
         scores.composite(p, "dart", (0.3, 0.3, 0.3, 0.0))
     with pytest.raises(ValueError):
         scores.composite(p, "kotlin")
-    mean = scores.corpus(scores.composite(p, "dart"), details=True).first()
-    assert mean.n_pairs == 3 and mean.codebleu == pytest.approx(1.25 / 3) and len(mean.individual_scores) == 3
+    mean = scores.corpus(scores.composite(p, "dart")).first()
+    assert mean.n_pairs == 3 and mean.codebleu == pytest.approx(1.25 / 3)
+    rows = scores.corpus_details(scores.composite(p, "dart")).collect()
+    assert len(rows) == 4 and [r.codebleu for r in rows if r.is_total] == [pytest.approx(1.25 / 3)]
     assert scores.corpus(scores.composite(p.limit(0), "dart")).first().codebleu is None
-    detected = {r.pair_id: r for r in scores.score_detected(pairs_of(spark, (["import UIKit\nlet a: Int = 1"], "let a: Int = 1"), (["hm"], "x"))).collect()}
-    assert detected[0].lang == "swift" and detected[0].codebleu > 0 and detected[1].lang is None and detected[1].codebleu is None
+    assert scores.composite(p, "dart", all_scores=False).columns == ["pair_id", "codebleu"]
+    assert scores.composite(pairs_of(spark, ([], None)), "swift").first().codebleu == 0.25
+    told = pairs_of(spark, (["import UIKit\nlet a: Int = 1"], "let a: Int = 1"), (["hm"], "x"), (["hm ("], "x"))
+    detected = {r.pair_id: r for r in scores.score_detected(told).collect()}
+    assert detected[0].lang == "swift" and detected[0].codebleu > 0 and detected[1].lang == "dart"
+    assert detected[2].lang is None and detected[2].codebleu is None
+    with pytest.raises(PySparkException):
+        scores.score_detected(told, undecided="raise").collect()
+
+
+def test_composite_plan(spark):
+    """One scan, one dealing out and one Python evaluation for all four parts."""
+    import contextlib
+    import io
+
+    folder = "/root/testdata/sf0.001/conversations.parquet"
+    p = spark.read.parquet(folder).select(F.col("turn").alias("pair_id"), F.array("text").alias("refs"), F.col("text").alias("hyp"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        scores.composite(p, "dart").explain()
+    plan = out.getvalue()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_edges_before_a_faulty_node():
+    code = "a = b; c = d"
+    nodes = trees.parse_code(code)
+    faulty = [*nodes[:-1], (nodes[-1][0], None, "x", nodes[-1][3])]
+    assert trees.edges_of(code, nodes) == {("b", "a"), ("d", "c")} and trees.edges_of(code, faulty) == {("b", "a")}
+    assert [trees.code_is_whole(x) for x in ("f(a[1]) {}", "f(", "(]", "'open", "'shut'", ")", "")] == [True, False, False, False, True, False, True]
+
+
+def test_language_points(spark):
+    """Classes are Unicode, and the search for a pattern's text changes nothing."""
+    from quillet.functions.languages import DART_MODERATE, DART_STRONG, SWIFT_MODERATE, SWIFT_STRONG
+
+    codes = ["class Größe extends Foo", "éclass A extends B", "class A\u00a0extends B", "Widget", "aWidget", "Widgeté", "$x ${y}", "func ä(b: C) -> D", "let ü: Int", "switch ñ {", "x\nFlutter\ny", "FLUTTER", "late", "late é", ""]
+
+    def points(strong, moderate, code):
+        return 2 * sum(bool(re.search(p, code, re.M)) for p in strong) + sum(bool(re.search(p, code, re.M)) for p in moderate)
+
+    got = spark.createDataFrame(list(enumerate(codes)), "i int, c string").select("i", languages.language_points(F.col("c")).alias("p")).orderBy("i").collect()
+    for code, r in zip(codes, got, strict=True):
+        lower = code.lower()
+        assert r.p.dart == points(DART_STRONG, DART_MODERATE, code) + 3 * ("flutter" in lower), code
+        assert r.p.swift == points(SWIFT_STRONG, SWIFT_MODERATE, code) + 3 * ("uikit" in lower or "swiftui" in lower), code
 
 
 def test_zip_raises(spark):
@@ -98,6 +143,22 @@ def test_routing(spark):
     assert routing.nth_record(df, 7, "k").first().k == 7
 
 
+def test_ordinals_of_wide_tables(spark):
+    """Whole rows, each number once: many rows, names that clash, equal and null keys, no rows."""
+    wide = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("k"), *[F.sha2(F.concat_ws(":", F.lit(c), "id"), 256).alias(c) for c in ("part", "place", "before", "tie", "hashed", "rank")])
+    got = routing.with_ordinal(wide, "k")
+    assert got.columns == [*wide.columns, "idx"]
+    facts = got.agg(F.count("*"), F.countDistinct("idx"), F.min("idx"), F.max("idx"), F.countDistinct("k"), F.min("part"), F.max("rank")).first()
+    assert tuple(facts)[:5] == (300_000, 300_000, 0, 299_999, 300_000)
+    assert got.where("k < 1000").count() == wide.where("k < 1000").count()
+    assert got.selectExpr("idx - lag(idx) over (order by k) as d").where("d <> 1").count() == 0
+    split = routing.exact_split(wide, "k")
+    assert split.where("is_test").count() == 60_000 and split.count() == 300_000 and split.columns == [*wide.columns, "is_test"]
+    ties = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit(5)).alias("k"), F.lit("old").alias("idx"))
+    assert routing.with_ordinal(ties, "k").agg(F.countDistinct("idx"), F.max("idx")).first()[:] == (50_000, 49_999)
+    assert routing.with_ordinal(wide.limit(0), "k").count() == 0 and routing.exact_split(wide.limit(0), "k").count() == 0
+
+
 def test_stats_and_sinks(spark, tmp_path):
     one = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 3.0)], "language string, score double")
     got = {r.language: r for r in stats.statistics(one, by="language").collect()}
@@ -108,6 +169,16 @@ def test_stats_and_sinks(spark, tmp_path):
     assert records.read_statistics(spark, str(tmp_path / "stats")).first().Average == 2.0
 
 
+def test_progress_and_formats(spark, caplog):
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "idx long, score double")
+    with caplog.at_level("INFO", "quillet"):
+        records.log_progress(df, 2)
+    assert [r.getMessage() for r in caplog.records] == ["scores: 2 rows, mean 0.5000", "scores: 4 rows, mean 1.5000", "scores: 5 rows, mean 2.0000"]
+    one = spark.createDataFrame([(1234.56789, "ü", [1, 2])], "x double, t string, l array<int>")
+    assert one.select(text.decimals(F.col("x")), text.encoded(F.col("t"))).first()[:] == ("1234.5679", bytearray("ü".encode()))
+    assert [r.l for r in scores.flattened(one, "l").collect()] == [1, 2]
+
+
 def test_sources(spark, tmp_path):
     good = tmp_path / "a.jsonl"
     good.write_bytes(b'{"assembly": "m\xff", "language": "Dart", "source": "s"}\r\n\n{"assembly": "n", "language": "Swift", "source": "t"}\n')

@@ -1,63 +1,25 @@
-"""Shared pieces: table access, work folder, word splitting, binding of intermediate values."""
+"""Shared pieces: table access, word splitting, binding of intermediate values, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, free_name, fresh_path, stored, work_dir
+
+__all__ = ["SPACE_CHARS", "SPACE_RE", "UPPER", "ascii_lower", "discard", "free_name", "fresh_path", "let", "stored", "table", "text_of", "words_of", "work_dir"]
+
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_names = itertools.count()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir.
-
-    Only where that is unset (tests, a laptop) a folder of our own is made; a cluster must name one.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillet-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{next(_names)}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that stored() wrote, once all that was made of them is stored itself."""
-    for t in tables:
-        spark, path = t.sparkSession, t.stored_at
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,11 +37,3 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row."""
     return F.transform(F.array(value), body)[0]
-
-
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that df does not use."""
-    taken, name = {c.lower() for c in df.columns}, base
-    while name.lower() in taken:
-        name = "_" + name
-    return name

@@ -1,40 +1,52 @@
 """Language-model scoring with a probabilistic suffix tree (Ron, Singer and Tishby 1996) over bytes.
 
-A text is its lower-cased words, joined by single spaces and closed by a line feed, as UTF-8 bytes. All five-byte windows
-of all training documents are counted. A context of up to four bytes is a candidate if its share of all positions is at
-least `p_min`, which bounds the candidates by 4 / p_min at any corpus size; it is retained, with its suffixes, if its
-next-byte distribution diverges from its suffix's by more than `divergence` nats times its count. Distributions are
-smoothed towards the suffix's. A byte is scored in the state of the longest retained suffix before it.
-
-The unigram base needs the count of every token. Tokens with a share of at least `common` of all, which are at most
-1 / common, are looked up in the workers; all others are joined.
+A text is its lower-cased words, joined by single spaces and closed by a line feed, as UTF-8 bytes. All windows of
+`depth` + 1 bytes of all training documents are counted. A context of up to `depth` bytes is a candidate if it stands
+`min_count` times, an absolute number, so candidates grow with the corpus; it is retained, with its suffixes, if its
+next-byte distribution diverges from its suffix's by more than `divergence` nats times its count. Contexts of one byte
+are few and retained whenever they are candidates. Distributions are smoothed towards the suffix's. A byte is scored in
+the state of the longest retained suffix before it.
+
+The tree has no size limit and is never in one place. It is built in slices by the last two bytes of a context, which
+hold every context of two bytes or more together with its suffixes; one-byte contexts and the root are a table of 256 by
+256. Slices are files in the shared folder. Scoring takes as many slices at a time as `pass_entries` allows, one pass
+over the documents for each such part, and adds up: a byte belongs to the slice of the two bytes before it.
+
+The unigram base needs the count of every token. Tokens of at most `common_bytes` bytes with a share of at least `common`
+of all, which are at most 1 / common, are looked up in the workers; all others are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import discard, stored, text_of
 
-DEPTH = 4
 END = 0x0A
 CHUNK = 1 << 20
 FLUSH_TOKENS, FLUSH_GRAMS = 300_000, 1_500_000
+CLASSES = 1 << 16
 
 
 @dataclass(frozen=True)
 class TreeLimits:
-    p_min: float = 5e-5
+    depth: int = 4  # bytes of the longest context, 2 to 6
+    min_count: int = 64
     divergence: float = 8.0
     smoothing: float = 4.0
     common: float = 1e-6
+    common_bytes: int = 64
+    #: Windows that a task builds a slice from, and entries of the tree that a worker holds: memory, not results.
+    build_rows: int = 4_000_000
+    pass_entries: int = 8_000_000
 
 
 def held_out(doc_id: Column, remainder: int) -> Column:
@@ -46,29 +58,30 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, starts): every text after DEPTH end symbols and with one behind; starts: its first byte's place."""
-    lead = bytes([END]) * DEPTH
+def packed(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts): every text after `depth` end symbols and with one behind; starts: its first byte's place."""
+    lead = bytes([END]) * depth
     flat = np.frombuffer(b"".join(lead + t + lead[:1] for t in texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64) + DEPTH + 1
-    return flat, np.concatenate(([0], np.cumsum(sizes)[:-1])) + DEPTH
+    sizes = np.array([len(t) for t in texts], np.int64) + depth + 1
+    return flat, np.concatenate(([0], np.cumsum(sizes)[:-1])) + depth
 
 
-def scored_places(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """True at the bytes that belong to texts, their end symbols included."""
+def windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows of depth + 1 bytes, first byte highest, one at each byte; True where the byte is a text's; starts)."""
+    flat, starts = packed(texts, depth)
+    code = np.zeros(len(flat), np.int64)
+    for back in range(depth + 1):
+        code[back:] |= flat[: len(flat) - back].astype(np.int64) << (8 * back)
     mask = np.ones(len(flat), bool)
-    for back in range(1, DEPTH + 1):
+    for back in range(1, depth + 1):
         mask[starts - back] = False
-    return mask
+    return code, mask, starts
 
 
-def window_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(window, count): windows of DEPTH + 1 bytes that end at a text's bytes, first byte highest."""
-    flat, starts = packed(texts)
-    code = np.zeros(len(flat), np.int64)
-    for back in range(DEPTH + 1):
-        code[back:] |= flat[: len(flat) - back].astype(np.int64) << (8 * back)
-    return np.unique(code[scored_places(flat, starts)], return_counts=True)
+def window_counts(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, count) of the windows that end at a text's bytes."""
+    code, mask, _ = windows(texts, depth)
+    return np.unique(code[mask], return_counts=True)
 
 
 def _chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
@@ -83,7 +96,7 @@ def _chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield out
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
+def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(token, gram, n): partial counts of tokens (empty: the end) and of byte windows over all of docs, stored."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +118,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 for w in chunk:
                     tokens.update(w)
                 tokens[b""] += len(chunk)
-                grams.append(window_counts([b" ".join(w) for w in chunk]))
+                grams.append(window_counts([b" ".join(w) for w in chunk], depth))
                 held += len(grams[-1][0])
                 if held > FLUSH_GRAMS:
                     yield flush_grams()
@@ -120,72 +133,164 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return stored(docs.select("text").mapInPandas(count, "token string, gram long, n long"), "counts")
 
 
-def tree_table(counts: DataFrame, limits: TreeLimits = TreeLimits()) -> DataFrame:
-    """(depth, context, symbol, n) of all retained contexts, the root included."""
+def _mask(n_bytes: int) -> int:
+    return (1 << 8 * n_bytes) - 1
+
+
+def short_logs(pairs: np.ndarray, limits: TreeLimits) -> np.ndarray:
+    """log10 p of a byte after one byte, 256 by 256, from the counts of pairs. Unseen bytes share the root's smoothing."""
+    root = pairs.sum(0)
+    p0 = (root + 1.0) / (root.sum() + 256.0)
+    total = pairs.sum(1, keepdims=True)
+    p1 = (pairs + limits.smoothing * p0) / (total + limits.smoothing)
+    return np.log10(np.where(total >= limits.min_count, p1, p0))
+
+
+def build_slice(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray, limits: TreeLimits) -> pd.DataFrame:
+    """(depth, state, key, value) of the retained contexts of two bytes or more, from all windows whose context ends in certain two bytes.
+
+    state 0: key is context and byte, value log10 p. state 1: key is the context, value log10 of what an unseen byte's
+    probability after the shorter context is multiplied by.
+    """
+    short, tau = 10 ** short_logs(pairs, limits), limits.smoothing
+    level = {}
+    for d in range(2, limits.depth + 1):
+        key, inverse = np.unique(gram & _mask(d + 1), return_inverse=True)
+        c = np.bincount(inverse, n)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] >> 8 != key[:-1] >> 8)))
+        total = np.add.reduceat(c, starts)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        level[d] = {"key": key, "n": c, "ctx": key[starts] >> 8, "starts": starts, "all": total, "of": of}
+        if d == 2:
+            up_n, up_all = pairs[key >> 8 & 255, key & 255], pairs.sum(1)[key >> 8 & 255]
+        else:
+            at = np.searchsorted(level[d - 1]["key"], key & _mask(d))
+            level[d]["up"] = at
+            up_n, up_all = level[d - 1]["n"][at], level[d - 1]["all"][level[d - 1]["of"][at]]
+        gain = np.add.reduceat(c * np.log((c / total[of]) / (up_n / up_all)), starts)
+        level[d]["kept"] = (gain > limits.divergence) & (total >= limits.min_count)
+    out = []
+    for d in range(limits.depth, 2, -1):
+        ctx, below = level[d]["ctx"][level[d]["kept"]] & _mask(d - 1), level[d - 1]
+        below["kept"][np.searchsorted(below["ctx"], ctx)] = True
+    for d, x in level.items():
+        lower = short[x["key"] >> 8 & 255, x["key"] & 255] if d == 2 else level[d - 1]["p"][x["up"]]
+        x["p"] = (x["n"] + tau * lower) / (x["all"][x["of"]] + tau)
+        kept = x["kept"][x["of"]]
+        out.append(pd.DataFrame({"depth": d, "state": 0, "key": x["key"][kept], "value": np.log10(x["p"][kept])}))
+        out.append(pd.DataFrame({"depth": d, "state": 1, "key": x["ctx"][x["kept"]], "value": np.log10(tau / (x["all"][x["kept"]] + tau))}))
+    return pd.concat(out)
+
+
+def _packed_up(sizes: np.ndarray, most: int) -> np.ndarray:
+    """A number for each size, rising, so that those of one number sum to no more than most, or are one alone."""
+    out, at, have = np.zeros(len(sizes), np.int32), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if have and have + n > most:
+            at, have = at + 1, 0
+        out[i], have = at, have + n
+    return out
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Where the tree's slices lie, and what is small: the table of one-byte contexts, each class's slice, the slices of each pass."""
+
+    path: str
+    short: np.ndarray
+    slice_of: np.ndarray
+    passes: tuple[tuple[int, ...], ...]
+
+
+def build_tree(counts: DataFrame, limits: TreeLimits = TreeLimits()) -> Tree:
+    """The tree of corpus_counts(). Classes are the two bytes before a byte: at most 65,536, which the driver may hold."""
+    if not 2 <= limits.depth <= 6:
+        raise ValueError("contexts have 2 to 6 bytes at most")
     grams = stored(counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(DEPTH + 1)])
-    mask = lambda depth: F.get(masks, depth)
-    at = grams.select("n", (F.col("gram") % 256).cast("int").alias("symbol"), F.shiftright("gram", 8).alias("c"), F.explode(F.array(*map(F.lit, range(DEPTH + 1)))).alias("depth"))
-    table = at.groupBy("depth", F.col("c").bitwiseAND(mask(F.col("depth"))).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-    table = stored(table, "contexts")
-    sums = table.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= limits.p_min * total)
-    frequent = stored(table.join(sums, ["depth", "context"]), "frequent")
-    child = frequent.where("depth > 0").withColumn("up", F.col("context").bitwiseAND(mask(F.col("depth") - 1)))
-    parent = frequent.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("up"), "symbol", F.col("n").alias("pn"), F.col("all").alias("pall"))
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("pn") / F.col("pall"))))
-    kept = child.join(parent, ["depth", "up", "symbol"]).groupBy("depth", "context").agg(gain.alias("gain")).where(F.col("gain") > limits.divergence)
-    suffixes = kept.select(F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"), "context").select("depth", F.col("context").bitwiseAND(mask(F.col("depth"))).alias("context"))
-    root = frequent.where("depth = 0").select("depth", "context")
-    return frequent.join(suffixes.unionAll(root).distinct(), ["depth", "context"]).select("depth", "context", "symbol", "n")
+    short = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
+    pairs = np.zeros(CLASSES)
+    pairs[short["pair"].to_numpy(np.int64)] = short["n"]
+    pairs = pairs.reshape(256, 256)
+    of = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("class")
+    found = grams.groupBy(of).agg(F.count("*").alias("n")).toPandas()
+    sizes = np.zeros(CLASSES, np.int64)
+    sizes[found["class"].to_numpy(np.int64)] = found["n"]
+    slice_of = _packed_up(sizes, limits.build_rows)
+    names = grams.sparkSession.createDataFrame(pd.DataFrame({"class": found["class"], "slice": slice_of[found["class"].to_numpy(np.int64)]}), "class int, slice int")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        return build_slice(pdf["gram"].to_numpy(), pdf["n"].to_numpy(np.float64), pairs, limits).assign(slice=pdf["slice"].iloc[0])
+
+    sliced = grams.select("gram", "n", of).join(F.broadcast(names), "class").select("slice", "gram", "n")
+    tree = stored(sliced.groupBy("slice").applyInPandas(build, "slice int, depth int, state int, key long, value double"), "tree")
+    entries = tree.groupBy("slice").agg(F.count("*").alias("n")).orderBy("slice").toPandas()  # at most one row a class
+    held = np.zeros(int(slice_of[-1]) + 1, np.int64)
+    held[entries["slice"].to_numpy(np.int64)] = entries["n"]
+    part = _packed_up(held, limits.pass_entries)
+    discard(grams)
+    return Tree(tree.stored_at, short_logs(pairs, limits), slice_of, tuple(tuple(np.flatnonzero(part == i).tolist()) for i in range(int(part[-1]) + 1)))
 
 
 class SuffixTree:
-    """Retained contexts as arrays: child[node, byte before] and log10 p[node, next byte]."""
-
-    def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, smoothing: float) -> None:
-        self.symbols = np.unique(np.concatenate((symbol, [END, 0x20]))).astype(np.int64)
-        a = len(self.symbols) + 1  # the last column: bytes that training never showed
-        self.index = np.full(256, a - 1, np.int64)
-        self.index[self.symbols] = np.arange(a - 1)
-        key = depth.astype(np.int64) << 40 | context.astype(np.int64)
-        nodes = np.unique(np.concatenate(([0], key)))
-        self.child = np.full((len(nodes) + 1, a), len(nodes), np.int32)
-        p = np.zeros((len(nodes) + 1, a))
-        counts = np.zeros((len(nodes), a))
-        np.add.at(counts, (np.searchsorted(nodes, key), self.index[symbol]), n)
-        unseen = 256 - (a - 1)
-        flat = np.full(a, 1.0)
-        flat[-1] = max(unseen, 0)
-        for i, k in enumerate(nodes):
-            d, c = int(k >> 40), int(k & ((1 << 40) - 1))
-            if d:
-                up = int(np.searchsorted(nodes, (d - 1) << 40 | c & ((1 << 8 * (d - 1)) - 1)))
-                self.child[up, self.index[c >> 8 * (d - 1)]] = i
-                lower = p[up]
-            else:
-                lower = flat / flat.sum()
-            tau = smoothing if d else 256.0
-            p[i] = (counts[i] + tau * lower) / (counts[i].sum() + tau)
-        p[:, -1] /= max(unseen, 1)  # of one such byte
-        with np.errstate(divide="ignore"):
-            self.log = np.log10(p)
+    """Part of a tree in memory: sorted keys and values of each depth. Bytes of other slices score 0."""
+
+    def __init__(self, table: pd.DataFrame, short: np.ndarray, mine: np.ndarray, depth: int) -> None:
+        self.short, self.mine, self.depth, self.levels = short.ravel(), mine, depth, {}
+        for d in range(2, depth + 1):
+            for state in (0, 1):
+                t = table[(table["depth"] == d) & (table["state"] == state)]
+                order = np.argsort(t["key"].to_numpy())
+                self.levels[d, state] = t["key"].to_numpy()[order], t["value"].to_numpy()[order].astype(np.float32)
+
+    @staticmethod
+    def _find(level: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(True where a key is there, values of those)."""
+        if not len(level[0]):
+            return np.zeros(len(keys), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
+        hit = level[0][at] == keys
+        return hit, level[1][at[hit]]
+
+    def logs(self, code: np.ndarray) -> np.ndarray:
+        """log10 p of the last byte of each window after the others."""
+        out = np.zeros(len(code))
+        left = np.flatnonzero(self.mine[code >> 8 & 0xFFFF])
+        for d in range(self.depth, 1, -1):
+            w = code[left]
+            hit, value = self._find(self.levels[d, 0], w & _mask(d + 1))
+            out[left[hit]] += value
+            left, w = left[~hit], w[~hit]
+            known, value = self._find(self.levels[d, 1], w >> 8 & _mask(d))
+            out[left[known]] += value
+        out[left] += self.short[code[left] & 0xFFFF]
+        return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end symbol."""
+        """log10 probability of each text with its end symbol, as far as its bytes are in this part."""
         if not texts:
             return np.zeros(0)
-        flat, starts = packed(texts)
-        code = self.index[flat]
-        best = np.zeros(len(flat), np.int32)
-        node, dead = best, len(self.child) - 1
-        for back in range(1, DEPTH + 1):
-            before = np.full(len(flat), self.index[END])
-            before[back:] = code[:-back]
-            node = self.child[node, before]
-            best = np.where(node != dead, node, best)
-        each = np.where(scored_places(flat, starts), self.log[best, code], 0.0)
-        return np.add.reduceat(each, starts - DEPTH)
+        code, mask, starts = windows(texts, self.depth)
+        distinct, inverse = np.unique(code[mask], return_inverse=True)
+        each = np.zeros(len(code))
+        each[mask] = self.logs(distinct)[inverse]
+        return np.add.reduceat(each, starts - self.depth)
+
+
+_parts: dict[tuple, SuffixTree] = {}
+
+
+def part_of(tree: Tree, number: int, depth: int) -> SuffixTree:
+    """A pass's part of the tree, read from the shared folder. A worker holds one at a time."""
+    if (tree.path, number) not in _parts:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        _parts.clear()
+        system, path = fs.FileSystem.from_uri(tree.path)
+        chosen = list(tree.passes[number])
+        table = pq.read_table(path, columns=["depth", "state", "key", "value"], filters=[("slice", "in", chosen)], filesystem=system).to_pandas()
+        _parts[tree.path, number] = SuffixTree(table, tree.short, np.isin(tree.slice_of, chosen), depth)
+    return _parts[tree.path, number]
 
 
 def score_documents(docs: DataFrame, remainder: int = 1, limits: TreeLimits = TreeLimits()) -> DataFrame:
@@ -196,43 +301,46 @@ def score_documents(docs: DataFrame, remainder: int = 1, limits: TreeLimits = Tr
     rows; columns beyond doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    counts = corpus_counts(docs.where(~held_out(F.col("doc_id"), remainder)))
+    counts = corpus_counts(docs.where(~held_out(F.col("doc_id"), remainder)), limits.depth)
     tokens = stored(counts.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "tokens")
     facts = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, bottom = facts["n"] or 0, (facts["n"] or 0) + 0.5 * (facts["v"] + 1)
-    known = {r["token"].encode("utf-8", "surrogatepass"): r["c"] for r in tokens.where(F.col("c") >= F.lit(max(1.0, limits.common * total))).collect()}
-    tree = tree_table(counts, limits).toPandas()
-    model = SuffixTree(*(tree[k].to_numpy(np.int64) for k in ("depth", "context", "symbol", "n")), limits.smoothing)
-    shared = spark.sparkContext.broadcast((model, {k: float(np.log10((c + 0.5) / bottom)) for k, c in known.items()}))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, logs = shared.value
-        for pdf in batches:
-            at = 0
-            for chunk in _chunks(iter(pdf["text"])):
-                rows = pdf.iloc[at : at + len(chunk)]
-                at += len(chunk)
-                base, n_known, rare_rows, rare, times = [], [], [], [], []
-                for row, w in zip(rows["row"], chunk, strict=True):
-                    w = [*w, b""]
-                    found = [x for x in map(logs.get, w) if x is not None]
-                    base.append(float(np.sum(found)))
-                    n_known.append(len(found))
-                    if len(found) < len(w):
-                        other = Counter(x for x in w if x not in logs)
-                        rare += [x.decode("utf-8", "surrogatepass") for x in other]
-                        times += other.values()
-                        rare_rows += [row] * len(other)
-                yield pd.DataFrame({"row": rows["row"], "token": None, "doc_id": rows["doc_id"].astype("Int64"), "text_key": rows["text_key"], "n_tokens": [len(w) + 1 for w in chunk], "n_known": n_known, "base": base, "score": tree.score([b" ".join(w) for w in chunk])})
-                yield pd.DataFrame({"row": pd.Series(rare_rows, dtype="int64"), "token": pd.Series(rare, dtype=object), "doc_id": pd.array([None] * len(rare), "Int64"), "text_key": 0, "n_tokens": pd.Series(times, dtype="int64"), "n_known": 0, "base": 0.0, "score": 0.0})
+    often = (F.col("c") >= F.lit(max(1.0, limits.common * total))) & (F.octet_length("token") <= limits.common_bytes)
+    known = {r["token"].encode("utf-8", "surrogatepass"): float(np.log10((r["c"] + 0.5) / bottom)) for r in tokens.where(often).toLocalIterator()}
+    tree = build_tree(counts, limits)
+    shared = spark.sparkContext.broadcast((tree, known))
+
+    def scorer(number: int):
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tree, logs = shared.value
+            part = part_of(tree, number, limits.depth)
+            for pdf in batches:
+                at = 0
+                for chunk in _chunks(iter(pdf["text"])):
+                    rows = pdf.iloc[at : at + len(chunk)]
+                    at += len(chunk)
+                    scores = part.score([b" ".join(w) for w in chunk])
+                    facts = _token_facts(rows["row"], chunk, logs) if number == 0 else None
+                    base, n_known, n_tokens = facts[0] if facts else (0.0, 0, 0)
+                    yield pd.DataFrame({"row": rows["row"], "token": None, "doc_id": rows["doc_id"].astype("Int64"), "text_key": rows["text_key"], "n_tokens": n_tokens, "n_known": n_known, "base": base, "score": scores})
+                    if facts:
+                        yield facts[1]
+
+        return score
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
-    out = stored(rows.mapInPandas(score, "row long, token string, doc_id long, text_key long, n_tokens long, n_known long, base double, score double"), "scores")
+    if len(tree.passes) > 1:
+        rows = stored(rows, "texts")  # all passes see the same numbers
+    schema = "row long, token string, doc_id long, text_key long, n_tokens long, n_known long, base double, score double"
+    out = stored(reduce(DataFrame.unionAll, (rows.mapInPandas(scorer(i), schema) for i in range(len(tree.passes)))), "scores")
     # the other tokens: one row for each document and token, joined with all counts
     joined = out.where("token is not null").select("row", "token", F.col("n_tokens").alias("m")).join(tokens, "token", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(bottom))
     more = joined.groupBy("row").agg(F.sum(F.col("m") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"))
-    each = out.where("token is null").join(more, "row", "left")
+    each = out.where("token is null").drop("token")
+    if len(tree.passes) > 1:
+        each = each.groupBy("row", "doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    each = each.join(more, "row", "left")
     return each.select(
         "doc_id",
         "text_key",
@@ -243,3 +351,21 @@ def score_documents(docs: DataFrame, remainder: int = 1, limits: TreeLimits = Tr
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         "score",
     )
+
+
+def _token_facts(rows: Sequence[int], chunk: list[list[bytes]], logs: dict[bytes, float]) -> tuple[tuple, pd.DataFrame]:
+    """((base, n_known, n_tokens) of texts as lists, rows of the tokens that logs lacks, with their number as n_tokens)."""
+    base, n_known, sizes, rare_rows, rare, times = [], [], [], [], [], []
+    for row, w in zip(rows, chunk, strict=True):
+        w = [*w, b""]
+        found = [x for x in map(logs.get, w) if x is not None]
+        base.append(float(np.sum(found)))
+        n_known.append(len(found))
+        sizes.append(len(w))
+        if len(found) < len(w):
+            other = Counter(x for x in w if x not in logs)
+            rare += [x.decode("utf-8", "surrogatepass") for x in other]
+            times += other.values()
+            rare_rows += [row] * len(other)
+    table = pd.DataFrame({"row": pd.Series(rare_rows, dtype="int64"), "token": pd.Series(rare, dtype=object), "doc_id": pd.array([None] * len(rare), "Int64"), "text_key": 0, "n_tokens": pd.Series(times, dtype="int64"), "n_known": 0, "base": 0.0, "score": 0.0})
+    return (base, n_known, sizes), table

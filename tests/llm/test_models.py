@@ -40,38 +40,64 @@ def test_scores(docs, sf_docs, odd, odd_rows, none):
     assert pst.score_documents(none).count() == 0
 
 
-def test_tree(spark, sf_docs):
-    texts = [b" ".join(d["text"].encode().lower().split()) for d in sf_docs[:60]]
-    counts = Counter()
-    for t in texts:
-        padded = b"\n" * 4 + t + b"\n"
-        counts.update(padded[i - 4 : i + 1] for i in range(4, len(padded)))
-    grams, n = pst.window_counts(texts)
-    assert {int(g).to_bytes(5, "big"): int(c) for g, c in zip(grams, n, strict=True)} == dict(counts)
-    table = spark.createDataFrame([(None, int(g), int(c)) for g, c in zip(grams, n, strict=True)], "token string, gram long, n long")
-    tree = pst.tree_table(table, pst.TreeLimits(p_min=1e-3)).toPandas()
-    model = pst.SuffixTree(*(tree[k].to_numpy(np.int64) for k in ("depth", "context", "symbol", "n")), 4.0)
-    weight = np.ones(model.log.shape[1])
-    weight[-1] = 256 - (len(weight) - 1)
-    assert np.allclose((10 ** model.log[:-1]) @ weight, 1)
-    nodes = {(int(d), int(c)) for d, c in zip(tree.depth, tree.context, strict=True)}
-    assert all((d - 1, c & ((1 << 8 * (d - 1)) - 1)) in nodes for d, c in nodes if d) and max(d for d, _ in nodes) > 1
-
-    def slow(text):
-        seq, total = b"\n" * 4 + text + b"\n", 0.0
-        for i in range(4, len(seq)):
-            node = 0
-            for back in range(1, 5):
-                nxt = model.child[node, model.index[seq[i - back]]]
-                if nxt == len(model.child) - 1:
-                    break
-                node = nxt
-            total += model.log[node, model.index[seq[i]]]
-        return total
-
-    tests = [texts[0], b"", texts[7], b"\x00\xff never seen", texts[3][:50]]
-    assert np.allclose(model.score(tests), [slow(t) for t in tests])
-    assert model.score([]).size == 0
+def brute_scores(train, tests, limits):
+    """log10 probabilities by a tree of dictionaries, built by the definition."""
+    depth, counts = limits.depth, {}
+    for t in train:
+        seq = b"\n" * depth + t + b"\n"
+        for i in range(depth, len(seq)):
+            for d in range(depth + 1):
+                counts.setdefault(seq[i - d : i], Counter())[seq[i]] += 1
+    total = {c: sum(n.values()) for c, n in counts.items()}
+
+    def gain(c):
+        up = counts[c[1:]]
+        return sum(n * math.log((n / total[c]) / (up[s] / total[c[1:]])) for s, n in counts[c].items())
+
+    kept = {c for c in counts if len(c) > 1 and total[c] >= limits.min_count and gain(c) > limits.divergence}
+    kept |= {c[i:] for c in kept for i in range(len(c) - 1)} | {c for c in counts if len(c) == 1 and total[c] >= limits.min_count}
+
+    def p(c, s):
+        if not c:
+            return (counts.get(b"", {}).get(s, 0) + 1) / (total.get(b"", 0) + 256)
+        if c not in kept:
+            return p(c[1:], s)
+        return (counts[c][s] + limits.smoothing * p(c[1:], s)) / (total[c] + limits.smoothing)
+
+    out = []
+    for t in tests:
+        seq = b"\n" * depth + t + b"\n"
+        out.append(sum(math.log10(p(seq[i - depth : i], seq[i])) for i in range(depth, len(seq))))
+    assert all(abs(sum(p(c, s) for s in range(256)) - 1) < 1e-9 for c in (b"", b"e", b"the ", b"\xff\xfe"))
+    return out, kept
+
+
+def test_tree_against_brute_force(spark, sf_docs):
+    """Counts, retention, smoothing and scores by the definition; in one slice and pass, and in many."""
+    texts = [" ".join(d["text"].split()) for d in sf_docs[:70]] + ["", "é \x00", "a"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [b" ".join(t.encode().lower().split()) for t in texts]
+    out = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    sizes = set()
+    for depth, more in ((4, {}), (2, {}), (6, {}), (3, {"build_rows": 500, "pass_entries": 900})):
+        limits = pst.TreeLimits(depth=depth, min_count=12, **more)
+        want, kept = brute_scores([t for t, o in zip(cut, out, strict=True) if not o], cut, limits)
+        got = {r.doc_id: r.score for r in pst.score_documents(df, limits=limits).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5), depth
+        sizes.add(max(map(len, kept)))
+    assert sizes == {2, 3, 4, 6}
+    counts = pst.corpus_counts(df, 3)
+    assert len(pst.build_tree(counts, pst.TreeLimits(depth=3, min_count=12, build_rows=500, pass_entries=900)).passes) > 2
+
+
+def test_more_text_gives_more_states(spark, docs):
+    """Nothing but the counts bounds the tree."""
+    states = []
+    for n in (20, 80, 200):
+        tree = pst.build_tree(pst.corpus_counts(docs.where(F.col("doc_id") < n), 4))
+        states.append(spark.read.parquet(tree.path).where("state = 1").count())
+    assert states[0] < states[1] < states[2]
 
 
 def test_language(docs, sf_docs, odd, odd_rows, none):

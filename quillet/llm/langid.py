@@ -1,10 +1,13 @@
 """Language identification with interpolated Kneser-Ney character models, one a language.
 
 Texts are lower-cased runs of letters joined by single spaces. The models (Kneser and Ney 1995, interpolated form of
-Chen and Goodman 1999) are trained on a bounded sample: about `train_docs` documents of each language, chosen by hash
-from all labelled training rows. N-grams of all languages stand in one sorted array of 64-bit hashes an order, with a
-row of log probabilities, one for each language. A document's language is the one with the lowest cross-entropy a
-character. A prediction is marked as rejected if that entropy is further above the language's mean over the sample than
+Chen and Goodman 1999) are trained on a bounded sample: about `train_docs` whole documents of each language, chosen by a
+hash of their texts from all labelled training rows. N-grams of all languages stand in one sorted array of 64-bit hashes
+an order, with a row of log probabilities, one for each language. A document's language is the one with the lowest
+cross-entropy a character.
+
+Rejection is calibrated on documents that the models were not fitted on: another part of the training rows, about
+`train_docs` / 4 a language. A prediction is rejected if its entropy is further above the language's mean over those than
 `reject` standard deviations; the same distance lowers its score.
 """
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import discard, stored, text_of
 from .pst import held_out
 
 ORDER = 4
@@ -126,6 +129,8 @@ class KneserNey:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Per text and language: -log10 p a character, over its characters and the space behind."""
+        if not texts:
+            return np.zeros((0, len(self.langs)))
         lead = "\0" + " " * (ORDER - 1)
         codes = np.frombuffer("".join(lead + t + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) for t in texts], np.int64) + ORDER + 1
@@ -141,12 +146,16 @@ class KneserNey:
 
 
 def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> KneserNey:
-    """Models of all languages of the training rows: labelled, with a letter, and not held out."""
-    rows = docs.where(~held_out(F.col("doc_id"), remainder) & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(train_docs / n)) for k, n in sizes.items()], F.lit(0.0))
-    place = F.pmod(F.xxhash64("doc_id", "lang", text_of()), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < share).select("lang", "text")
+    """Models of all languages of the training rows (labelled, with a letter, and not held out), with mean and spread.
+
+    A language with too few documents for a part of its own is calibrated on those of the fit.
+    """
+    rows = docs.where(~held_out(F.col("doc_id"), remainder) & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}")).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # a row a language, as many as there are models
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.least(F.lit(float(train_docs)) / F.col("rows"), F.lit(0.8))
+    chosen = rows.join(sizes, "lang").withColumn("place", place).withColumn("share", share).where(F.col("place") < F.col("share") * 1.25)
+    sample = stored(chosen.select("lang", "text", (F.col("place") < F.col("share")).alias("fit")), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = defaultdict(Counter)
@@ -157,7 +166,7 @@ def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> Kneser
         for lang, c in found.items():
             yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
 
-    table = sample.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = sample.where("fit").select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {lang: dict(zip(t["gram"], t["n"].tolist(), strict=True)) for lang, t in table.groupby("lang")}
     model = KneserNey(sorted(counts), counts)
     model.mean, model.spread = {}, {}
@@ -166,11 +175,15 @@ def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> Kneser
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                pdf = pdf[pdf["lang"].isin(shared.value.langs)]
                 h = shared.value.entropies([normal(t) for t in pdf["text"]])
-                yield pd.DataFrame({"lang": pdf["lang"], "h": h[np.arange(len(h)), [shared.value.langs.index(x) for x in pdf["lang"]]]})
+                yield pd.DataFrame({"lang": pdf["lang"], "fit": pdf["fit"], "h": h[np.arange(len(h)), [shared.value.langs.index(x) for x in pdf["lang"]]]})
 
-        for r in sample.mapInPandas(measure, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.coalesce(F.stddev_samp("h"), F.lit(0.0)).alias("s")).collect():
-            model.mean[r["lang"]], model.spread[r["lang"]] = r["m"], max(r["s"], 0.02)
+        found = sample.mapInPandas(measure, "lang string, fit boolean, h double").groupBy("lang", "fit").agg(F.avg("h").alias("m"), F.coalesce(F.stddev_samp("h"), F.lit(0.0)).alias("s"), F.count("*").alias("n"))
+        for r in sorted(found.collect(), key=lambda r: not r["fit"]):  # outside the fit last, where there are enough
+            if r["fit"] or r["n"] >= 10:
+                model.mean[r["lang"]], model.spread[r["lang"]] = r["m"], max(r["s"], 0.02)
+    discard(sample)
     return model
 
 

@@ -100,12 +100,17 @@ def test_more_text_gives_more_states(spark, docs):
     assert states[0] < states[1] < states[2]
 
 
-def test_language(docs, sf_docs, odd, odd_rows, none):
+def test_language(spark, docs, sf_docs, odd, odd_rows, none):
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     lang = {d["doc_id"]: d["lang"] for d in sf_docs}
     held = [d for d in got if got[d].held_out]
     assert len(held) > 20 and sum(got[d].lang_pred == lang[d] for d in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in got.values()) and all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in got.items())
+    # calibrated outside the fit: few held-out documents are rejected, and no more of them than of the others
+    share = lambda ids: sum(got[d].rejected for d in ids) / len(ids)
+    assert share(held) <= 0.1 and abs(share(held) - share([d for d in got if d not in set(held)])) <= 0.08
+    noise = spark.createDataFrame([(-5, "xqzj wvkx qqjz zxvk " * 30, None, None, 0), (-10, "жщы ъэю " * 40, None, None, 0)], docs.schema)
+    assert all(r.rejected and r.score < 0.5 for r in langid.identify(docs.unionAll(noise)).collect() if r.doc_id < 0)
     odd_got = langid.identify(odd).collect()
     assert len(odd_got) == len(odd_rows)
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 3) or r.entropy is None) for r in odd_got)
@@ -113,17 +118,50 @@ def test_language(docs, sf_docs, odd, odd_rows, none):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+def brute_kneser_ney(counts, alphabet):
+    """p(c, history) of one language by the definition: discounted counts, below the top of distinct left neighbours, mixed with the order below."""
+    order = langid.ORDER
+    levels = {order: Counter(counts)}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount = {}
+    for n, c in levels.items():
+        ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        discount[n] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def p(c, history):
+        n = len(history) + 1
+        if n == 0:
+            return 1 / (alphabet + 1)
+        follow = {g[-1]: x for g, x in levels[n].items() if g[:-1] == history}
+        lower = p(c, history[1:]) if history else 1 / (alphabet + 1)
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(c, 0) - discount[n], 0) / total + discount[n] * len(follow) / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_brute_force():
     counts = {"a": Counter(), "b": Counter()}
     for lang, text in (("a", "the cat sat on the mat and the dog "), ("b", "le chat et le chien sur le tapis ")):
         t = "\0   " + text * 3
         counts[lang].update(t[i - 4 : i] for i in range(5, len(t) + 1))
     model = langid.KneserNey(["a", "b"], counts)
-    alphabet = sorted({c for lang in counts for g in counts[lang] for c in g[-1]})
+    alphabet = sorted({g[-1] for c in counts.values() for g in c})
+    brute = {lang: brute_kneser_ney(c, len(alphabet)) for lang, c in counts.items()}
+    texts = ["the cat", "le chien dort", "zzz 一 the", "a", "tapis mat sat chat"]
+    got = model.entropies(texts)
+    for row, t in zip(got, texts, strict=True):
+        seq = "   " + t + " "
+        for at, lang in enumerate(("a", "b")):
+            want = [-math.log10(brute[lang](seq[i], seq[i - 3 : i])) for i in range(3, len(seq))]
+            assert abs(row[at] - sum(want) / len(want)) < 1e-9, (t, lang)
     for ctx in ("   ", "the", "zzz", "at ", "e c"):
         h = [np.array([langid.hash_of((ctx + c)[-n:]) for c in [*alphabet, "一"]], np.uint64) for n in range(1, 5)]
         c = [np.array([langid.hash_of(ctx[-n:])] * (len(alphabet) + 1), np.uint64) for n in range(1, 4)] + [np.zeros(len(alphabet) + 1, np.uint64)]
-        assert np.allclose((10 ** model.log_probs(h, c)).sum(0), 1, atol=0.02)
+        assert np.allclose((10 ** model.log_probs(h, c)).sum(0), 1, atol=1e-9)
 
 
 def test_texts_without_a_letter():

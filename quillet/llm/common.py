@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, free_name, fresh_path, stored, work_dir
 
-__all__ = ["SPACE_CHARS", "SPACE_RE", "UPPER", "ascii_lower", "discard", "free_name", "fresh_path", "let", "stored", "table", "text_of", "words_of", "work_dir"]
+__all__ = ["SPACE_CHARS", "SPACE_RE", "UPPER", "ascii_lower", "discard", "free_name", "fresh_path", "join_by_hot_key", "let", "stored", "table", "text_of", "words_of", "work_dir"]
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -37,3 +37,12 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row."""
     return F.transform(F.array(value), body)[0]
+
+
+def join_by_hot_key(big: DataFrame, small: DataFrame, key: str, share: float = 1e-3) -> DataFrame:
+    """Inner join of big with small, whose keys are distinct. The rows of keys that hold more than `share` of big, which are
+    at most 1 / share, meet a broadcast part of small where they are; only the others are dealt out by key."""
+    total = big.count()
+    hot = stored(big.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > share * total).select(key), "hot_keys")
+    few = stored(small.join(F.broadcast(hot), key, "left_semi"), "hot_rows")
+    return big.join(F.broadcast(few), key).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key))

@@ -1,7 +1,9 @@
 """Operators 3 and 7: rules and alignment against brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -47,6 +49,94 @@ def test_segmentation_and_bayes(spark):
     assert {r.label: list(r.words) for r in words.collect()}["freecheappills"] == ["free", "cheap", "pills"]
 
 
+def brute_text(html):
+    html, out, at = (html or "").lower(), [], 0
+    while at < len(html):
+        m = re.compile(r"<(script|style)\\b").search(html, at)
+        if not m:
+            break
+        out.append(html[at : m.start()])
+        following = re.compile(r"<(script|style)\\b").search(html, m.end())
+        end = html.find(f"</{m[1]}", m.end(), following.start() if following else len(html))
+        at = m.start() if end < 0 else end
+        if end < 0:
+            out.append(" " + html[at : following.start() if following else len(html)])
+            at = following.start() if following else len(html)
+        else:
+            stop = following.start() if following else len(html)
+            out.append(" <" + html[end + len(m[1]) + 2 : stop])
+            at = stop
+    out.append(html[at:])
+    return re.sub(r"<[^<>]*>", " ", "".join(out))
+
+
+def brute_split(label, p, total):
+    """The best of all splits, by recursion over the last word."""
+    import functools
+
+    @functools.cache
+    def best(end):
+        if not end:
+            return 0.0, ()
+        out = (-math.inf, ())
+        for start in range(end):
+            w = label[start:end]
+            score = best(start)[0] + p.get(w, 1 - math.log10(max(total, 10.0)) - len(w))
+            if score > out[0] + 1e-12:
+                out = (score, (*best(start)[1], w))
+        return out
+
+    return list(best(len(label))[1])
+
+
+def brute_verdicts(pages):
+    """page_id -> (verdict, score) by counting words, splitting hosts and multiplying probabilities."""
+    words = Counter(w for _, _, html in pages for w in re.findall(r"[^\W\d_]{2,}", brute_text(html)))
+    total = sum(words.values())
+    p = {w: math.log10(n / total) for w, n in words.items()}
+    rows = []
+    for page, url, _ in pages:
+        host, path = brute_url(url)
+        tokens = ["h:" + w for label in re.split(r"[^\w]+|_", host) if label for w in brute_split(label, p, total)]
+        tokens += ["p:" + x for x in re.split(r"[^a-zà-öø-ÿ#]+", re.sub("[0-9]+", "#", path.lower())) if x]
+        rows.append((page, brute_rule(host, path)[1], tokens))
+    n = {v: Counter(t for _, r, ts in rows if r == v for t in ts) for v in ("block", "allow")}
+    kinds = len(set(n["block"]) | set(n["allow"]))
+    docs = Counter(r for _, r, _ in rows)
+    prior = math.log((docs["block"] + 1) / (docs["allow"] + 1)) if docs["block"] and docs["allow"] else 0.0
+    out = {}
+    for page, ruled, tokens in rows:
+        seen = [t for t in tokens if t in n["block"] or t in n["allow"]]
+        score = prior + sum(math.log((n["block"][t] + 1) / (sum(n["block"].values()) + kinds + 1)) - math.log((n["allow"][t] + 1) / (sum(n["allow"].values()) + kinds + 1)) for t in seen)
+        out[page] = (ruled or ("block" if score > 0 else "allow"), None if ruled else score)
+    return out
+
+
+def test_verdicts_against_brute_force(spark, sf):
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    text = "<p>" + "cheap pills online free bets poker the garden news " * 5 + "</p><script>var x = '<b>pills'</script><style>p {}"
+    pages += [(10_000 + i, f"http://{'cheap' * (i % 2)}pills{'online' * (i % 3)}.com/{('en', 'xx')[i % 2]}/{i}", text) for i in range(20)]
+    pages += [(20_000 + i, f"http://garden{'news' * (i % 2)}.net/de/{i}", None) for i in range(20)]
+    pages += [(30_000, "http://thefreepillsnews.info/en/1", "<<<<"), (30_001, "http://qqzz.info/", "a > b < c"), (30_002, None, None)]
+    got = {r.page_id: (r.verdict, r.score) for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = brute_verdicts(pages)
+    assert set(got) == set(want)
+    for page, (verdict, score) in want.items():
+        assert got[page][0] == verdict and (score is None) == (got[page][1] is None), page
+        assert score is None or math.isclose(got[page][1], score, abs_tol=1e-9), page
+    assert any(s is not None for _, s in want.values())
+
+
+def test_text_of_open_tags_is_linear(spark):
+    import time
+
+    html = ["<script " * 60_000, "<" * 300_000, "<style>" * 40_000 + "</style>", "<script>a<b</script>word<style>x</style> tail <i"]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    began = time.perf_counter()
+    got = {r.i: r.t for r in df.select("i", urls.visible_text(F.col("html")).alias("t")).collect()}
+    assert time.perf_counter() - began < 20 and got[3].split() == ["word", "tail", "<i"]
+
+
 def test_patience():
     rnd = random.Random(1)
     for _ in range(300):

@@ -228,8 +228,10 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rounds: int = 25) -> DataFrame:
     """docs with a column clean_text in which every found span is replaced by its kind in angle brackets.
 
-    Each piece of text between spans is cut out once; of overlapping spans the first stays.
+    Each piece of text between spans is cut out once; of overlapping spans the first stays. A column of that name in docs
+    is replaced.
     """
+    docs = docs.drop("clean_text")
     found = personal_data(docs, rounds).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"), "spans")
     key = free_name(docs, "k_hash")
     both = docs.withColumn(key, F.xxhash64(text_of())).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.k_id")) & (F.col(f"d.{key}") == F.col("f.k_text")))

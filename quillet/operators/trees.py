@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 Nodes = list[tuple[str, int, int, int]]
-NODE = ArrayType(StructType([StructField("type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("parent", IntegerType())]))
+NODE = ArrayType(StructType([StructField("type", StringType()), *[StructField(n, IntegerType()) for n in ("start", "end", "parent", "children")]]))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 IDENTIFIERS = ("identifier", "simple_identifier")
 ASSIGNMENTS = ("assignment_expression", "variable_declaration", "initialized_identifier", "pattern_assignment")
@@ -128,19 +129,21 @@ PARSERS: dict[str, Callable[[str], Nodes]] = {"html": parse_html, "json": parse_
 
 
 def parsed(text: Column, language: str, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
-    """Array of nodes; empty where the parser fails or the text is null. One Arrow batch at a time."""
+    """Array of nodes with their number of children; empty where the parser fails or the text is null. One Arrow batch at a time."""
     parse = parsers[language]
 
-    def safe(x: str | None) -> Nodes:
+    def safe(x: str | None) -> list[dict]:
         try:
-            return parse(x) if x else []
+            nodes = parse(x) if x else []
         except Exception:  # a text that does not parse has no tree
             return []
+        children = Counter(n[3] for n in nodes)
+        return [{"type": t, "start": s, "end": e, "parent": p, "children": children[i]} for i, (t, s, e, p) in enumerate(nodes)]
 
     @F.pandas_udf(NODE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(("type", "start", "end", "parent"), n, strict=True)) for n in safe(x)] for x in texts])
+            yield pd.Series([safe(x) for x in texts])
 
     return run(text)
 
@@ -148,15 +151,13 @@ def parsed(text: Column, language: str, parsers: dict[str, Callable[[str], Nodes
 def node_rows(trees: DataFrame, nodes: str = "nodes") -> DataFrame:
     """trees (key columns, nodes) -> one row a node with node_id, type, start, end, parent, internal."""
     keys = [c for c in trees.columns if c != nodes]
-    parents = F.transform(nodes, lambda n: n["parent"])
-    each = trees.select(*keys, F.array_distinct(parents).alias("ps"), F.posexplode(nodes).alias("node_id", "n"))
-    return each.select(*keys, "node_id", "n.*", F.array_contains("ps", F.col("node_id")).alias("internal"))
+    each = trees.select(*keys, F.posexplode(nodes).alias("node_id", "n"))
+    return each.select(*keys, "node_id", "n.type", "n.start", "n.end", "n.parent", (F.col("n.children") > 0).alias("internal"))
 
 
 def internal_types(nodes: Column) -> Column:
     """Types of the nodes that have children, parents first."""
-    parents = F.array_distinct(F.transform(nodes, lambda n: n["parent"]))
-    return F.transform(F.filter(nodes, lambda n, i: F.array_contains(parents, i)), lambda n: n["type"])
+    return F.transform(F.filter(nodes, lambda n: n["children"] > 0), lambda n: n["type"])
 
 
 def add_edges(text: str, nodes: Nodes, out: set[tuple[str, str]]) -> None:

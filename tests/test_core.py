@@ -214,3 +214,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("stats").first().Average == 2.0
+
+
+def test_node_rows(spark):
+    df = spark.createDataFrame([(1, "<p>a<br><b>c</b></p>"), (2, None), (3, "")], "k int, t string").select("k", trees.parsed(F.col("t"), "html").alias("nodes"))
+    got = [(r.k, r.node_id, r.type, r.parent, r.internal) for r in trees.node_rows(df).orderBy("k", "node_id").collect()]
+    assert got == [(1, 0, "document", -1, True), (1, 1, "p", 0, True), (1, 2, "text", 1, False), (1, 3, "br", 1, False), (1, 4, "b", 1, True), (1, 5, "text", 4, False)]
+    assert [r.t for r in df.select(trees.internal_types(F.col("nodes")).alias("t"), "k").orderBy("k").collect()] == [["document", "p", "b"], [], []]
+    bad = spark.createDataFrame([("{",), ("[1]",)], "t string").select(F.size(trees.parsed(F.col("t"), "json")["type"]).alias("n"))
+    assert [r.n for r in bad.collect()] == [0, 2]

@@ -270,25 +270,33 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: tuple[str, str] | None
     return stored(manifest, "manifest")
 
 
+def _read(folder: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{path}/{name}") as found:
+        return found.read()
+
+
 def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file, place."""
-    spark = manifest.sparkSession
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, file, place.
+
+    Tasks take rows of the manifest and open their files themselves: no file's content is shuffled or joined.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file, data in zip(pdf["file"], pdf["content"], strict=True):
-                shard = Shard(data)
-                found = [(d, s, e - s, zlib.crc32(memoryview(shard.ids[s:e].astype("<u4")))) for d, s, e in shard.documents()]
+            for file, offset in zip(pdf["file"], pdf["offset"], strict=True):
+                shard = Shard(_read(folder, file))
+                found = [(d, offset + s, e - s, zlib.crc32(memoryview(shard.ids[s:e].astype("<u4")))) for d, s, e in shard.documents()]
                 doc_ids, starts, sizes, crc = zip(*found, strict=True)
-                yield pd.DataFrame({"file": file, "place": np.arange(len(found)), "doc_id": pd.array(doc_ids, "Int64"), "inside": starts, "n_tokens": sizes, "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": starts, "n_tokens": sizes, "ids_crc32": crc, "file": file, "place": np.arange(len(found))})
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # one row a shard of 32 MB: small beside the ids themselves
     offsets = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("offset"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtok").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    kept = files.join(manifest.select("file"), "file", "left_semi")
-    each = kept.mapInPandas(parse, "file string, place long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return each.join(F.broadcast(offsets) if manifest.count() <= 100_000 else offsets, "file").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return offsets.repartition(n).mapInPandas(parse, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, place long")
 
 
 def token_table(docs: DataFrame, tokenizer: tuple[str, str] | None = None, end_id: int = 0) -> DataFrame:

@@ -1,8 +1,7 @@
 """DuckDB SQL of the queries that SQL can express over whole tables.
 
 The others rest on 64-bit hashes, models or files that SQL lacks: 1 (XXH64 fingerprints and components), 2 (EM and the
-classifier), 3 (Viterbi), 4, 5 (language models), 6 (byte-level BPE), 7 (patience diff) and 9 (hashes decide which copies
-count as one document). tests/llm compares those with brute force.
+classifier), 3 (Viterbi), 4, 5 (language models) and 6 (byte-level BPE). tests/llm compares those with brute force.
 """
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,4 +49,34 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN nl ON d.doc_id = nl.doc_id
 """
 
-ORACLES: dict[str, str] = {"op8_weighted_mixing": OP8, "op10_decontamination": OP10}
+#: What op7's alignment and lookups come to: the words in windows of 50 that an earlier document holds.
+OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS f FROM d),
+x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+r AS (SELECT doc_id, i, f FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS f FROM x) WHERE f < doc_id),
+p AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i - 1, i + 49)) AS p FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM p) GROUP BY doc_id, grp),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed_words, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, min(f) AS f FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_words, coalesce(t.removed_words, 0) AS removed_words, CASE WHEN t.doc_id IS NOT NULL THEN (CASE WHEN c.f < c.doc_id THEN c.f ELSE e.f END) END AS first_source, coalesce(t.spans, '') AS spans
+FROM c LEFT JOIN t ON t.doc_id = c.doc_id LEFT JOIN e ON e.doc_id = c.doc_id
+"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+b AS (SELECT doc_id, source, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM d),
+s AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM s) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+n AS (SELECT doc_id, source, list_transform(lines, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))) AS norm, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS sizes FROM d),
+l AS (SELECT doc_id, source, array_to_string(norm, chr(10)) AS whole, unnest(norm) AS line, unnest(sizes) AS size FROM n),
+h AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
+bad AS (SELECT l.source, l.line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line, h.host_docs HAVING count(DISTINCT l.whole) > 20 AND count(DISTINCT l.whole) > h.host_docs * 0.002),
+g AS (SELECT l.doc_id, CAST(sum(l.size) AS BIGINT) AS n FROM l JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line GROUP BY l.doc_id),
+v AS (SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, coalesce(g.n, 0) AS removed_words FROM b LEFT JOIN rw ON rw.doc_id = b.doc_id LEFT JOIN g ON g.doc_id = b.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words > 0.5 * n_words AS kept FROM v
+"""
+
+ORACLES: dict[str, str] = {"op7_line_dedup": OP7, "op9_quality_rules": OP9, "op8_weighted_mixing": OP8, "op10_decontamination": OP10}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, linedup, mixing, pii, pst, quality, simhash, tokens, urls
 from .common import table
@@ -36,7 +37,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.removed_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "removed_words", "sources", "spans")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "removed_words", F.array_min("sources").alias("first_source"), spans.alias("spans"))
 
 
 def op8_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The SQL of operators 8 and 10 against their queries."""
+"""The SQL of operators 7 to 10 against their queries."""
 
 import math
 

@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    return simhash.keep_one_per_group(docs)
+    """One document of each group of near-duplicates (by shingles of five words) stays, the one with the least doc_id."""
+    return simhash.keep_one_per_group(docs, words_per_shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

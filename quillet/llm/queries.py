@@ -10,7 +10,7 @@ from .common import table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4, words_per_shingle=4).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

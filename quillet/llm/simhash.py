@@ -38,7 +38,7 @@ LAYOUT = (3, 1)
 HELD, GATHERED, SMALL, SALTS = 20_000, 1 << 18, 32, 64
 
 
-def fingerprint_text(text: str | None, words_per_shingle: int = 4) -> int:
+def fingerprint_text(text: str | None, words_per_shingle: int = 5) -> int:
     """Signed 64-bit SimHash of the word shingles of a text; 0 if it has no words. Long texts are summed in blocks."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
@@ -58,10 +58,13 @@ def fingerprint_text(text: str | None, words_per_shingle: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint_text(x) for x in texts], dtype="int64")
+def fingerprints(text: Column, words_per_shingle: int) -> Column:
+    @F.pandas_udf(LongType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint_text(x, words_per_shingle) for x in texts], dtype="int64")
+
+    return run(text)
 
 
 def segments(blocks: int, take: int) -> list[list[tuple[int, int]]]:
@@ -70,6 +73,12 @@ def segments(blocks: int, take: int) -> list[list[tuple[int, int]]]:
     return [[(edges[i], edges[i + 1] - edges[i]) for i in chosen] for chosen in combinations(range(blocks), take)]
 
 
+def most_bits(layout: tuple[int, int]) -> int:
+    """Differing bits up to which some segment of the layout differs by at most one: what it finds without loss."""
+    blocks, take = layout
+    return 2 * blocks - 1 if take == 1 else blocks - take + 1
+
+
 def _packed(segment: list[tuple[int, int]]) -> tuple[Column, int]:
     """(the segment's bits side by side, their number)."""
     out, size = F.lit(0).cast("long"), 0
@@ -178,8 +187,8 @@ def _bucket_worker(bits: int, held: int):
 
 def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] = LAYOUT, held: int = HELD) -> DataFrame:
     """prints (fp), distinct -> (node, root) of every fingerprint that has a link."""
-    if bits > 4:
-        raise ValueError("the segment layouts guarantee at most four differing bits")
+    if bits > most_bits(layout):
+        raise ValueError(f"segments of the layout {layout} find links of {most_bits(layout)} differing bits at most, not {bits}")
     whole = _keyed(prints, layout, False)
     centres = F.array_distinct(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp")), F.max_by("fp", F.xxhash64("fp"))))
     buckets = whole.groupBy("key").agg(centres.alias("centres"), F.count("*").alias("n")).where("n > 1")
@@ -207,16 +216,14 @@ def print_components(prints: DataFrame, bits: int = 4, layout: tuple[int, int] =
     return found
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, layout: tuple[int, int] = LAYOUT) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 5, layout: tuple[int, int] = LAYOUT) -> DataFrame:
     """One row per row of docs: doc_id, text_key, fp (long), fingerprint (16 hex digits), component_id, root.
 
     component_id is the least doc_id of the component, root the fingerprint that names it (never null). Null and empty texts have fingerprint 0 and are linked like any
     other; null doc_ids take part and never become an id unless a component has nothing else; repeated rows are repeated;
     no rows give no rows; other columns are ignored.
     """
-    if words_per_shingle != 4:
-        raise ValueError("the fingerprint is defined on shingles of four words")
-    each = stored(docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), _fingerprints(F.col("text")).alias("fp")), "prints")
+    each = stored(docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), fingerprints(F.col("text"), words_per_shingle).alias("fp")), "prints")
     prints = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     comps = print_components(prints.select("fp"), bits, layout)
     rooted = stored(prints.join(comps, prints["fp"] == comps["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -225,9 +232,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4,
     return each.join(named, "fp", "left").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_one_per_group(docs: DataFrame, bits: int = 4) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, bits: int = 4, words_per_shingle: int = 5) -> DataFrame:
     """The rows of docs with all but one of each component left out: the least doc_id stays, ties by text hash."""
-    found = stored(near_duplicates(docs, bits).select("doc_id", "text_key", "root"), "groups")
+    found = stored(near_duplicates(docs, bits, words_per_shingle).select("doc_id", "text_key", "root"), "groups")
     a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     stay = found.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o.doc_id").alias(a), F.col("o.text_key").alias(b))

@@ -38,7 +38,7 @@ def test_pipeline(spark, sf, sf_docs):
     lines = brute_lines([(r[0], r[1], r[3]) for r in rows], quality.QualityLimits())
     left = [(r[0], text, r[2], r[3], len(text)) for r, (_, depleted, text) in zip(rows, lines, strict=True) if not depleted and not brute_quality(r[1])[-1]]
     assert 0 < len(left) < len(rows)
-    comps = set(brute_components([r[0] for r in left], [brute_print(r[1]) for r in left]))
+    comps = set(brute_components([r[0] for r in left], [brute_print(r[1], 5) for r in left]))
     left = [r for r in left if r[0] in comps]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {x[0] for x in brute_leaks([r[:2] for r in left], items) if not x[2]}

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -16,16 +17,16 @@ def rows_of(df, *names):
     return sorted(map(tuple, df.select(*names).collect()), key=repr)
 
 
-def brute_print(text):
+def brute_print(text, size=4):
     words = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(ids, prints):
+def brute_components(ids, prints, bits=4):
     parent = {p: p for p in prints}
 
     def root(x):
@@ -36,7 +37,7 @@ def brute_components(ids, prints):
     distinct = sorted(set(prints))
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if (a ^ b).bit_count() <= 4:
+            if (a ^ b).bit_count() <= bits:
                 parent[root(a)] = root(b)
     least = {}
     for d, p in zip(ids, prints, strict=True):
@@ -48,13 +49,16 @@ def brute_components(ids, prints):
 def check_simhash(df, rows):
     prints = [brute_print(r[1]) for r in rows]
     want = sorted(zip([r[0] for r in rows], [f"{p:016x}" for p in prints], brute_components([r[0] for r in rows], prints), strict=True), key=repr)
-    assert rows_of(simhash.near_duplicates(df), "doc_id", "fingerprint", "component_id") == want
+    assert rows_of(simhash.near_duplicates(df, words_per_shingle=4), "doc_id", "fingerprint", "component_id") == want
 
 
 def test_simhash(docs, sf_docs, odd, odd_rows, none):
     check_simhash(docs, [(d["doc_id"], d["text"]) for d in sf_docs])
     check_simhash(odd, odd_rows)
     assert simhash.near_duplicates(none).count() == 0
+    assert [simhash.most_bits(x) for x in ((3, 1), (4, 1), (5, 2), (6, 3))] == [5, 7, 4, 4]
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, bits=6)
 
 
 def test_simhash_dense_groups_and_layouts(spark):
@@ -74,9 +78,9 @@ def test_simhash_dense_groups_and_layouts(spark):
     prints |= {(centre & ~((1 << 21) - 1)) | rnd.getrandbits(21) for _ in range(60)}
     prints = sorted(prints)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    want = brute_components(prints, prints)
-    for layout, held in (((3, 1), 20_000), ((3, 1), 3), ((5, 2), 20_000), ((6, 3), 20_000)):
-        got = {(r.node % (1 << 64)): r.root % (1 << 64) for r in simhash.print_components(df, 4, layout, held).collect()}
+    for bits, layout, held in ((4, (3, 1), 20_000), (5, (3, 1), 3), (4, (5, 2), 20_000), (4, (6, 3), 20_000)):
+        want = brute_components(prints, prints, bits)
+        got = {(r.node % (1 << 64)): r.root % (1 << 64) for r in simhash.print_components(df, bits, layout, held).collect()}
         groups = defaultdict(set)
         for p, w in zip(prints, want, strict=True):
             groups[w].add(got.get(p, p))
@@ -102,7 +106,7 @@ def test_simhash_bucket_of_many_components(spark):
 def test_keep_one_per_group(docs, sf_docs, odd, none):
     kept = simhash.keep_one_per_group(docs)
     assert kept.columns == docs.columns
-    comps = set(brute_components([d["doc_id"] for d in sf_docs], [brute_print(d["text"]) for d in sf_docs]))
+    comps = set(brute_components([d["doc_id"] for d in sf_docs], [brute_print(d["text"], 5) for d in sf_docs]))
     assert {r.doc_id for r in kept.collect()} == comps and kept.count() == len(comps)
     assert [r.doc_id for r in simhash.keep_one_per_group(odd).where("doc_id in (4, 5)").collect()].count(5) == 0
     assert simhash.keep_one_per_group(none).count() == 0

@@ -283,34 +283,28 @@ def edge_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sets.join(nxt, "user_id", "left").select("user_id", multiset.edge_match(F.coalesce("ref", none), F.col("edges")).alias("value")))
 
 
-_SENTENCES = "SELECT doc_id, string_split(text, '. ') AS s FROM documents"
+def _as_json(text):
+    """A text as JSON: an object with its length and its sentences as lists of words."""
+    sentences = F.transform(F.split(text, r"\. "), lambda x: F.split(x, " "))
+    return F.to_json(F.struct(F.length(text).alias("length"), sentences.alias("sentences")))
 
 
-def _json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as JSON (its id, and its sentences as lists of words), parsed."""
-    sentences = F.transform(F.split("text", r"\. "), lambda x: F.split(x, " "))
-    code = F.to_json(F.struct("doc_id", sentences.alias("sentences")))
-    return _table(spark, sf_dir, "documents").select("doc_id", trees.parsed(code, "json").alias("nodes"))
+_TURNS = "SELECT conv_id, turn, string_split(text, '. ') AS s FROM conversations"
 
 
-@query(f"SELECT doc_id, CAST(3 + len(s) + w AS BIGINT) AS n_nodes, CAST(2 + len(s) AS BIGINT) AS n_internal, CAST(1 + w AS BIGINT) AS n_leaves FROM (SELECT doc_id, s, list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) AS w FROM ({_SENTENCES}))")
+@query(f"SELECT conv_id, turn, CAST(3 + len(s) + w AS BIGINT) AS n_nodes, CAST(2 + len(s) AS BIGINT) AS n_internal, CAST(1 + w AS BIGINT) AS n_leaves FROM (SELECT conv_id, turn, s, list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) AS w FROM ({_TURNS}))")
 def node_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each tree a dict, the id, the list of sentences, a list for each and its words."""
-    rows = trees.node_rows(_json_trees(spark, sf_dir))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
+    """Of each turn's tree an object, the length, the list of sentences, a list for each and its words."""
+    turns = _table(spark, sf_dir, "conversations")
+    rows = trees.node_rows(turns.select("conv_id", "turn", trees.parsed(_as_json(F.col("text")), "json").alias("nodes")))
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
 
 
-_OTHER = "CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 ELSE doc_id - 1 END"
-
-
-@query(f"SELECT a.doc_id AS pair_id, round(CASE WHEN b.n IS NULL THEN 0.0 ELSE (1.0 + least(a.n, b.n)) / (1 + a.n) END, 6) AS value FROM (SELECT doc_id, {_OTHER} AS other, 1 + len(s) AS n FROM ({_SENTENCES})) a LEFT JOIN (SELECT doc_id, 1 + len(s) AS n FROM ({_SENTENCES})) b ON a.other = b.doc_id")
+@query(f"SELECT pair_id, round((1.0 + least(1 + len(string_split(ref, '. ')), 1 + len(string_split(hyp, '. ')))) / (2 + len(string_split(hyp, '. '))), 6) AS value FROM ({_ADJACENT})")
 def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Internal nodes of each document's tree (a dict and lists) against its neighbour's by number."""
-    types = _json_trees(spark, sf_dir).select("doc_id", F.explode(trees.internal_types(F.col("nodes"))).alias("label"))
-    own = types.select(F.col("doc_id").alias("pair_id"), F.lit(-1).alias("side"), "label")
-    ids = types.select(F.col("doc_id").alias("pair_id")).distinct()
-    others = types.select(F.expr(_OTHER).alias("pair_id"), F.lit(0).alias("side"), "label").join(ids, "pair_id", "left_semi")
-    return _rounded(multiset.label_match(own.unionAll(others)))
+    """Inner nodes (an object and lists) of each answer's tree against those of the turn before."""
+    pairs = adjacent_pairs(spark, sf_dir).select("pair_id", F.array(_as_json(F.col("refs")[0])).alias("refs"), _as_json(F.col("hyp")).alias("hyp"))
+    return _rounded(scores.tree_match(pairs, "json"))
 
 
 #: Code that goes before the turns, which hold no brackets, quotes or assignments: the trees and edges are known.

@@ -43,6 +43,13 @@ def composite(pairs: DataFrame, language: str, weights: tuple[float, float, floa
     return out.select("pair_id", *(PARTS if all_scores else ()), total)
 
 
+def tree_match(pairs: DataFrame, language: str, parsers: dict[str, Callable] = trees.PARSERS) -> DataFrame:
+    """pairs (pair_id, refs, hyp) -> (pair_id, value): share of the hypothesis's inner nodes that the first reference's tree has too, by label, clipped."""
+    first = F.coalesce(F.get("refs", F.lit(0)), F.lit(""))
+    rows = pairs.select("pair_id", trees.analysed(first, F.col("hyp"), language, parsers).alias("t")).repartition("pair_id")
+    return clipped_items(rows, label_items(LABEL, F.col("t.hyp.labels"), F.col("t.ref.labels"))).groupBy("pair_id").agg(plain_share(LABEL).alias("value"))
+
+
 def detected_language(code: Column, undecided: str = "null") -> Column:
     """The language with more points; on a tie the first in which the code parses without errors.
 

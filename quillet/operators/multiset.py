@@ -81,9 +81,9 @@ def gram_clip(pairs: DataFrame, order: int = 4) -> DataFrame:
     return found.groupBy("pair_id", F.col("kind").alias("n_order")).agg(F.sum("common").alias("num"), F.sum("n").alias("den"))
 
 
-def keyword_share(kind: int, keywords: tuple[str, ...], weight: float = KEYWORD_WEIGHT) -> Column:
-    """Aggregate over clipped_items(): weighted share of the common items of a kind; 0 where there are none."""
-    w = F.when(F.col("kind") == kind, F.when(F.col("item").isin(*keywords), weight).otherwise(1.0))
+def keyword_share(kind: int, keyword: Column, weight: float = KEYWORD_WEIGHT) -> Column:
+    """Aggregate over clipped_items(): share of the common items of a kind, keywords weighted; 0 where there are none."""
+    w = F.when(F.col("kind") == kind, F.when(keyword, weight).otherwise(1.0))
     return F.coalesce(F.try_divide(F.sum(w * F.col("common")), F.sum(w * F.col("n"))), F.lit(0.0))
 
 
@@ -95,7 +95,7 @@ def plain_share(kind: int) -> Column:
 
 def weighted_precision(pairs: DataFrame, keywords: tuple[str, ...], weight: float = KEYWORD_WEIGHT) -> DataFrame:
     """(pair_id, value): clipped unigram precision with keywords counting `weight` times; 0 for an empty hypothesis."""
-    return clipped_items(tokenised(pairs), gram_items(1)).groupBy("pair_id").agg(keyword_share(1, keywords, weight).alias("value"))
+    return clipped_items(tokenised(pairs), gram_items(1)).groupBy("pair_id").agg(keyword_share(1, F.col("item").isin(*keywords), weight).alias("value"))
 
 
 def label_match(labels: DataFrame) -> DataFrame:

@@ -23,30 +23,43 @@ def checked(weights: tuple[float, float, float, float]) -> tuple[float, ...]:
     return weights
 
 
-def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = EVEN, parsers: dict[str, Callable] = trees.PARSERS, all_scores: bool = True) -> DataFrame:
-    """pairs (pair_id, refs, hyp) -> pair_id, the four parts (if all_scores) and codebleu. Trees are compared with the first reference.
+def _scored(tagged: DataFrame, languages: tuple[str, ...], weights: tuple[float, ...], parsers: dict[str, Callable]) -> DataFrame:
+    """tagged (pair_id, refs, hyp, lang) -> pair_id, lang, the four parts and codebleu; without a language all are null.
 
     One pass: the pairs are dealt out once, each text is tokenised and parsed once, and one grouped count of n-grams and
-    tree labels gives all parts. Null texts count as empty; a pair_id names one pair.
+    tree labels gives all parts.
     """
-    words, w = keywords(language), checked(weights)
+    words, w = {name: keywords(name) for name in languages}, checked(weights)
     first = F.coalesce(F.get("refs", F.lit(0)), F.lit(""))
     # parsed before the rows are dealt out: a Python step does not keep their partitioning
-    rows = sized(pairs.select("pair_id", "refs", "hyp", trees.analysed(first, F.col("hyp"), language, parsers).alias("t")), F.col("t"))
+    parsed = tagged.select("pair_id", "refs", "hyp", "lang", trees.analysed(first, F.col("hyp"), F.col("lang"), {name: parsers[name] for name in languages}).alias("t"))
+    rows = sized(parsed, F.col("t"), F.col("lang"))
     rows = rows.withColumn("flow", edge_match(F.col("t.ref.edges"), F.col("t.hyp.edges")))
     items = F.concat(gram_items(ORDER), label_items(LABEL, F.col("t.hyp.labels"), F.col("t.ref.labels")))
-    carried = ("n_h", "n_r", "flow")
+    carried = ("lang", "n_h", "n_r", "flow")
     sums = clipped_items(rows, items, carried).groupBy("pair_id", *carried)
-    out = sums.agg(*order_sums(ORDER), keyword_share(1, words).alias("weighted_bleu"), plain_share(LABEL).alias("ast_match"))
-    out = out.select("pair_id", bleu_of(ORDER).alias("bleu"), "weighted_bleu", "ast_match", F.col("flow").alias("dataflow_match"))
+    known = F.lit(False)
+    for name, some in words.items():
+        known = F.when(F.col("lang") == name, F.col("item").isin(*some)).otherwise(known)
+    out = sums.agg(*order_sums(ORDER), keyword_share(1, known).alias("weighted_bleu"), plain_share(LABEL).alias("ast_match"))
+    out = out.select("pair_id", "lang", bleu_of(ORDER).alias("bleu"), "weighted_bleu", "ast_match", F.col("flow").alias("dataflow_match"))
     total = sum((F.lit(x) * F.col(p) for x, p in zip(w, PARTS, strict=True)), F.lit(0.0)).alias("codebleu")
-    return out.select("pair_id", *(PARTS if all_scores else ()), total)
+    return out.select("pair_id", "lang", *[F.when(F.col("lang").isNotNull(), x).alias(n) for n, x in zip((*PARTS, "codebleu"), (*map(F.col, PARTS), total), strict=True)])
+
+
+def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = EVEN, parsers: dict[str, Callable] = trees.PARSERS, all_scores: bool = True) -> DataFrame:
+    """pairs (pair_id, refs, hyp) -> pair_id, the four parts (if all_scores) and codebleu. Trees are compared with the first reference.
+
+    Null texts count as empty; a pair_id names one pair.
+    """
+    out = _scored(pairs.withColumn("lang", F.lit(language.lower())), (language.lower(),), weights, parsers)
+    return out.select("pair_id", *(PARTS if all_scores else ()), "codebleu")
 
 
 def tree_match(pairs: DataFrame, language: str, parsers: dict[str, Callable] = trees.PARSERS) -> DataFrame:
     """pairs (pair_id, refs, hyp) -> (pair_id, value): share of the hypothesis's inner nodes that the first reference's tree has too, by label, clipped."""
     first = F.coalesce(F.get("refs", F.lit(0)), F.lit(""))
-    rows = pairs.select("pair_id", trees.analysed(first, F.col("hyp"), language, parsers).alias("t")).repartition("pair_id")
+    rows = pairs.select("pair_id", trees.analysed(first, F.col("hyp"), F.lit(language), parsers).alias("t")).repartition("pair_id")
     return clipped_items(rows, label_items(LABEL, F.col("t.hyp.labels"), F.col("t.ref.labels"))).groupBy("pair_id").agg(plain_share(LABEL).alias("value"))
 
 
@@ -64,12 +77,8 @@ def detected_language(code: Column, undecided: str = "null") -> Column:
 def score_detected(pairs: DataFrame, weights: tuple[float, float, float, float] = EVEN, undecided: str = "null", all_scores: bool = True) -> DataFrame:
     """composite() of every pair in the language that its first reference speaks for; undecided pairs have null scores."""
     tagged = pairs.withColumn("lang", detected_language(F.coalesce(F.get("refs", F.lit(0)), F.lit("")), undecided))
-    out = None
-    for name in ("dart", "swift"):
-        part = composite(tagged.where(F.col("lang") == name).select("pair_id", "refs", "hyp"), name, weights, all_scores=all_scores).withColumn("lang", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    rest = tagged.where(F.col("lang").isNull()).select("pair_id", "lang")
-    return out.unionByName(rest, allowMissingColumns=True).select("pair_id", "lang", *[c for c in out.columns if c not in ("pair_id", "lang")])
+    out = _scored(tagged, ("dart", "swift"), weights, trees.PARSERS)
+    return out.select("pair_id", "lang", *(PARTS if all_scores else ()), "codebleu")
 
 
 def corpus(scores: DataFrame) -> DataFrame:

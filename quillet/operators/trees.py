@@ -215,26 +215,25 @@ _EDGES = ArrayType(StructType([StructField("source", StringType()), StructField(
 _SIDE = StructType([StructField("labels", ArrayType(StringType())), StructField("edges", _EDGES)])
 
 
-def analysed(ref: Column, hyp: Column, language: str, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
+def analysed(ref: Column, hyp: Column, language: Column, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
     """Struct (ref, hyp) of structs (labels of internal nodes, sorted edges): each text is parsed once, all in one pass.
 
-    A text that is null, empty or does not parse has no labels and no edges.
+    A text that is null, empty or does not parse, or has no language, has no labels and no edges.
     """
-    parse = parsers[language]
 
-    def side(x: str | None) -> dict:
+    def side(x: str | None, name: str | None) -> dict:
         try:
-            nodes = parse(x) if x else []
+            nodes = parsers[name](x) if x and name else []
         except Exception:  # no tree
             nodes = []
         return {"labels": internal_labels(nodes), "edges": [{"source": a, "target": b} for a, b in sorted(edges_of(x or "", nodes))]}
 
     @F.pandas_udf(StructType([StructField("ref", _SIDE), StructField("hyp", _SIDE)]))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for refs, hyps in batches:
-            yield pd.DataFrame({"ref": [side(x) for x in refs], "hyp": [side(x) for x in hyps]})
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for refs, hyps, names in batches:
+            yield pd.DataFrame({"ref": list(map(side, refs, names)), "hyp": list(map(side, hyps, names))})
 
-    return run(ref, hyp)
+    return run(ref, hyp, language)
 
 
 def code_is_whole(text: str) -> bool:

@@ -128,9 +128,18 @@ class KneserNey:
         return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
-        """Per text and language: -log10 p a character, over its characters and the space behind."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
+        """Per text and language: -log10 p a character, over its characters and the space behind. About CHUNK characters at a time."""
+        out, at = [np.zeros((0, len(self.langs)))], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < CHUNK:
+                size += len(texts[to]) + 1
+                to += 1
+            out.append(self._entropies(texts[at:to]))
+            at = to
+        return np.concatenate(out)
+
+    def _entropies(self, texts: list[str]) -> np.ndarray:
         lead = "\0" + " " * (ORDER - 1)
         codes = np.frombuffer("".join(lead + t + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) for t in texts], np.int64) + ORDER + 1
@@ -151,7 +160,8 @@ def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> Kneser
     A language with too few documents for a part of its own is calibrated on those of the fit.
     """
     rows = docs.where(~held_out(F.col("doc_id"), remainder) & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}")).select("lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))  # a row a language, as many as there are models
+    # a row a language, as many as there are models; stored, so that Spark sees how small it is and leaves the texts in place
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "sizes")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.least(F.lit(float(train_docs)) / F.col("rows"), F.lit(0.8))
     chosen = rows.join(sizes, "lang").withColumn("place", place).withColumn("share", share).where(F.col("place") < F.col("share") * 1.25)
@@ -183,7 +193,7 @@ def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> Kneser
         for r in sorted(found.collect(), key=lambda r: not r["fit"]):  # outside the fit last, where there are enough
             if r["fit"] or r["n"] >= 10:
                 model.mean[r["lang"]], model.spread[r["lang"]] = r["m"], max(r["s"], 0.02)
-    discard(sample)
+    discard(sample, sizes)
     return model
 
 
@@ -202,28 +212,21 @@ def identify(docs: DataFrame, remainder: int = 0, train_docs: int = 1500, reject
         for pdf in batches:
             texts = [normal(t) for t in pdf["text"]]
             langs, scores, best, far = [], [], [], []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < CHUNK:
-                    size += len(texts[to]) + 1
-                    to += 1
-                h = m.entropies(texts[at:to]) if m.langs else np.zeros((to - at, 0))
-                for t, row in zip(texts[at:to], h, strict=True):
-                    if not t or not m.langs:
-                        langs.append("und")
-                        scores.append(0.0)
-                        best.append(None)
-                        far.append(True)
-                        continue
-                    i = int(row.argmin())
-                    odds = np.exp(-(row - row[i]) * math.log(10) * min(len(t), 100))
-                    z = (row[i] - m.mean[m.langs[i]]) / m.spread[m.langs[i]]
-                    langs.append(m.langs[i])
-                    scores.append(float(1 / odds.sum() / (1 + math.exp(min(50.0, z - reject)))))
-                    best.append(float(row[i]))
-                    far.append(bool(z > reject))
-                at = to
+            h = m.entropies(texts) if m.langs else np.zeros((len(texts), 0))
+            for t, row in zip(texts, h, strict=True):
+                if not t or not m.langs:
+                    langs.append("und")
+                    scores.append(0.0)
+                    best.append(None)
+                    far.append(True)
+                    continue
+                i = int(row.argmin())
+                odds = np.exp(-(row - row[i]) * math.log(10) * min(len(t), 100))
+                z = (row[i] - m.mean[m.langs[i]]) / m.spread[m.langs[i]]
+                langs.append(m.langs[i])
+                scores.append(float(1 / odds.sum() / (1 + math.exp(min(50.0, z - reject)))))
+                best.append(float(row[i]))
+                far.append(bool(z > reject))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"], "lang_pred": langs, "score": scores, "entropy": pd.Series(best, dtype="Float64"), "rejected": far})
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), "text")

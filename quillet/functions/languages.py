@@ -92,6 +92,14 @@ def unicode_pattern(pattern: str) -> str:
     return out.replace(r"\w", f"[{WORD_CLASS}]").replace(r"\s", f"[{SPACE_CLASS}]")
 
 
+def search_pattern(pattern: str) -> str:
+    """unicode_pattern() for a search that starts at the pattern's first word: what stands before it is looked at behind it."""
+    word = re.match(r"\\b([A-Za-z]+)", pattern)
+    if not word:
+        return unicode_pattern(pattern)
+    return f"{word[1]}(?<![{WORD_CLASS}]{word[1]})" + unicode_pattern("(?:)" + pattern[word.end() :])
+
+
 def literal_of(pattern: str) -> str:
     """The longest text that every match of pattern holds."""
     fixed = re.split(r"\\[bws][*+]?|\[\^?[^\]]+\][*+]?|\.\*|\\?.\?", pattern)
@@ -103,7 +111,7 @@ def _points(code: Column, lower: Column, strong: tuple[str, ...], moderate: tupl
     for weight, patterns in ((2, strong), (1, moderate)):
         for p in patterns:
             # a plain search for the pattern's text spares most codes the pattern
-            total = total + F.when(F.contains(code, F.lit(literal_of(p))) & code.rlike("(?dm)" + unicode_pattern(p)), weight).otherwise(0)
+            total = total + F.when(F.contains(code, F.lit(literal_of(p))) & code.rlike("(?dm)" + search_pattern(p)), weight).otherwise(0)
     named = F.lit(False)
     for f in frameworks:
         named = named | F.contains(lower, F.lit(f))

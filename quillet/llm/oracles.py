@@ -79,4 +79,22 @@ v AS (SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, CAST
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words > 0.5 * n_words AS kept FROM v
 """
 
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7, "op9_quality_rules": OP9, "op8_weighted_mixing": OP8, "op10_decontamination": OP10}
+#: The table of CRC-32 from its rule, and the checksum of an integer's decimal digits.
+_CRC_TABLE = "(WITH RECURSIVE c AS (SELECT CAST(range AS UINTEGER) AS b, CAST(range AS UINTEGER) AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS UINTEGER)) ELSE v >> 1 END, k + 1 FROM c WHERE k < 8) SELECT list(v ORDER BY b) FROM c WHERE k = 8)"
+
+
+def _crc32(digits: str, table: str = "crc_table.t") -> str:
+    codes = f"list_transform(string_split({digits}, ''), lambda x: CAST(ascii(x) AS UINTEGER))"
+    return f"xor(list_reduce({codes}, lambda v, b: xor(v >> 8, {table}[(xor(v, b) & 255) + 1]), CAST(4294967295 AS UINTEGER)), CAST(4294967295 AS UINTEGER))"
+
+
+OP13 = f"""
+WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+p AS (SELECT sale_id, CAST(floor(epoch_ms(date_trunc('second', sold_at)) / 1000 / 3600.0) AS BIGINT) AS slot, CAST(floor(floor(CAST(100 AS DOUBLE) * total + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE)) AS BIGINT) AS level, 1 + {_crc32("CAST(sale_id AS VARCHAR)")} % 2 AS w FROM sales, crc_table),
+c AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM p WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+a AS (SELECT x.slot, x.level, sum(y.n) AS n, sum(y.w) AS w FROM c x JOIN c y ON y.slot <= x.slot AND y.level > x.level GROUP BY x.slot, x.level)
+SELECT p.sale_id, p.slot, p.level, CASE WHEN p.slot IS NOT NULL AND p.level IS NOT NULL THEN CAST(coalesce(a.n, 0) AS BIGINT) END AS n_sales, CASE WHEN p.slot IS NOT NULL AND p.level IS NOT NULL THEN CAST(coalesce(a.w, 0) AS BIGINT) END AS n_rows
+FROM p LEFT JOIN a ON a.slot = p.slot AND a.level = p.level
+"""
+
+ORACLES: dict[str, str] = {"op7_line_dedup": OP7, "op9_quality_rules": OP9, "op8_weighted_mixing": OP8, "op10_decontamination": OP10, "op13_dominance_counts": OP13}

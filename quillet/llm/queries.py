@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linedup, mixing, pii, pst, quality, simhash, tokens, urls
+from . import decontam, dominance, langid, linedup, mixing, pii, pst, quality, simhash, tokens, urls
 from .common import table
 
 
@@ -55,4 +55,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "near_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op4_suffix_tree_scores, op5_language_id, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination)}
+def op13_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dominance.dominance_counts(dominance.sale_points(table(spark, sf_dir, "sales")), "slot", "level", "weight", "n_sales", "n_rows")
+    return found.select("sale_id", "slot", "level", "n_sales", "n_rows")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op4_suffix_tree_scores, op5_language_id, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination, op13_dominance_counts)}

@@ -1,4 +1,4 @@
-"""The SQL of operators 7 to 10 against their queries."""
+"""The SQL of operators against their queries."""
 
 import math
 
@@ -11,7 +11,7 @@ from quillet.llm import oracles, queries
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "sales"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf)
     res = con.execute(oracles.ORACLES[name])

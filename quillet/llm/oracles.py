@@ -97,4 +97,37 @@ SELECT p.sale_id, p.slot, p.level, CASE WHEN p.slot IS NOT NULL AND p.level IS N
 FROM p LEFT JOIN a ON a.slot = p.slot AND a.level = p.level
 """
 
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7, "op9_quality_rules": OP9, "op8_weighted_mixing": OP8, "op10_decontamination": OP10, "op13_dominance_counts": OP13}
+def _merkle_field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _merkle_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"({_merkle_field(x)})" for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Nodes (g, levels, h, idx, hash) of the trees over a table of leaves (g, pos, n, hash).
+_MERKLE_TREE = "SELECT g, CAST(ceil(log2(n)) AS BIGINT) AS levels, 0 AS h, pos AS idx, hash FROM {leaves} UNION ALL SELECT g, levels, h + 1 AS h, idx // 2 AS idx, sha256(string_agg(hash, '' ORDER BY idx)) AS hash FROM {tree} WHERE h < levels GROUP BY g, levels, h, idx // 2"
+
+OP11 = f"""
+WITH RECURSIVE crc_table AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, lang, {_merkle_leaf("n_chars")} AS hash, {_merkle_leaf("CASE WHEN " + _crc32("CAST(doc_id AS VARCHAR)") + " % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS claim FROM documents, crc_table),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM d)),
+l AS (SELECT d.doc_id, g.g, d.hash, d.claim, row_number() OVER (PARTITION BY g.g ORDER BY d.doc_id NULLS FIRST, d.hash) - 1 AS pos, count(*) OVER (PARTITION BY g.g) AS n FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+t AS ({_MERKLE_TREE.format(leaves="l", tree="t")}),
+s AS (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, hash FROM t WHERE h = levels),
+u AS ({_MERKLE_TREE.format(leaves="s", tree="u")}),
+steps AS (
+  SELECT a.g, a.h, a.idx, a.levels, a.idx % 2 AS slot, coalesce(b.hash, '') AS sibling FROM t a LEFT JOIN t b ON b.g = a.g AND b.h = a.h AND b.idx = xor(a.idx, 1) WHERE a.h < a.levels
+), upper AS (
+  SELECT a.h, a.idx, a.idx % 2 AS slot, coalesce(b.hash, '') AS sibling FROM u a LEFT JOIN u b ON b.h = a.h AND b.idx = xor(a.idx, 1) WHERE a.h < a.levels
+), way AS (
+  SELECT l.doc_id, l.g, l.pos, s.h AS step, s.slot, s.sibling FROM l JOIN steps s ON s.g = l.g AND s.idx = l.pos >> s.h
+  UNION ALL SELECT l.doc_id, l.g, l.pos, 1000 + x.h AS step, x.slot, x.sibling FROM l JOIN upper x ON x.idx = l.g >> x.h
+), listed AS (SELECT g, pos, string_agg(sibling, '' ORDER BY step) AS siblings, list(slot || sibling ORDER BY step) AS steps FROM way GROUP BY g, pos),
+f AS (SELECT l.doc_id, l.hash AS leaf, s.hash AS subroot, (SELECT hash FROM u WHERE h = levels) AS root, sha256(coalesce(w.siblings, '')) AS proof_sha256,
+  substr(list_reduce(list_concat(['x' || l.claim], coalesce(w.steps, [])), lambda v, x: 'x' || sha256(CASE WHEN x[1] = '0' THEN substr(v, 2) || substr(x, 2) ELSE substr(x, 2) || substr(v, 2) END)), 2) AS folded_root
+  FROM l JOIN s ON s.pos = l.g LEFT JOIN listed w ON w.g = l.g AND w.pos = l.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+ORACLES: dict[str, str] = {"op7_line_dedup": OP7, "op9_quality_rules": OP9, "op8_weighted_mixing": OP8, "op10_decontamination": OP10, "op11_merkle_manifest": OP11, "op13_dominance_counts": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dominance, langid, linedup, merkle, mixing, pii, pst, quality, simhash, tokens, urls
+from . import decontam, dominance, extract, langid, linedup, merkle, mixing, pii, pst, quality, simhash, tokens, urls
 from .common import table
 
 
@@ -60,9 +60,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dominance.dominance_counts(dominance.sale_points(table(spark, sf_dir, "sales")), "slot", "level", "weight", "n_sales", "n_rows")
     return found.select("sale_id", "slot", "level", "n_sales", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op4_suffix_tree_scores, op5_language_id, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination, op11_merkle_manifest, op13_dominance_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_url_filters, op4_suffix_tree_scores, op5_language_id, op6_token_files, op7_line_dedup, op8_weighted_mixing, op9_quality_rules, op10_decontamination, op11_merkle_manifest, op12_html_extraction, op13_dominance_counts)}

@@ -5,28 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog_trees import as_code, as_code_sql, code_sql
 from .functions import languages, prompts, text
 from .operators import bleu as bleu_op
-from .operators import multiset, routing, scores, stats, trees
+from .operators import multiset, routing, scores, stats
 from .plans.pairs import adjacent_pairs, history_pairs
+from .registry import ORACLES, QUERIES, query
+from .registry import table as _table
 
 EOS = "<|end|>"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _quoted(values) -> str:
@@ -50,18 +37,27 @@ def run_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.statistics_rollup(_table(spark, sf_dir, "events"), "event_type", "value"))
 
 
+_STRIPPED = "regexp_replace(regexp_replace({0}, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
+
+
 def _tokens(column: str) -> str:
-    return f"regexp_extract_all({column}, '{text.TOKEN}')"
+    return f"regexp_extract_all({_STRIPPED.format(column)}, '{text.TOKEN}')"
 
 
 _CODE = "('/* a // ' || text || ' */' || chr(10) || 'x // y' || chr(10) || text)"
-_STRIPPED = "regexp_replace(regexp_replace({0}, '//[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
 
 
-@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
+#: White space beyond ASCII between copies of the text's first word: no-break, next line, line and paragraph separators.
+_SPACED = "text || ' a\u00a0b\u0085c\u2028d\u2029e\x1cf\u3000g\u200bh'"
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(list_slice(t, -10, -1), '|')) AS last_tokens FROM (SELECT doc_id, {_tokens(_SPACED)} AS t FROM documents)")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
-    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    """Tokens of each text and of white space of all kinds behind it; the last ten as they are."""
+    spaced = F.concat("text", F.lit(" a\u00a0b\u0085c\u2028d\u2029e\x1cf\u3000g\u200bh"))
+    tokens = _table(spark, sf_dir, "documents").select("doc_id", text.tokenize(spaced).alias("t"))
+    last = F.md5(F.array_join(F.slice("t", -10, 10), "|")).alias("last_tokens")
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), last)
 
 
 @query(f"SELECT doc_id, md5({_STRIPPED.format(_CODE)}) AS stripped FROM documents")
@@ -70,8 +66,8 @@ def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_comments(code)).alias("stripped"))
 
 
-_ADJACENT = "SELECT a.conv_id * 1000 + a.turn AS pair_id, 0 AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
-_HISTORY = "SELECT b.conv_id * 1000 + b.turn AS pair_id, a.turn AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.role = 'user' AND b.role = 'assistant'"
+_ADJACENT = "SELECT a.conv_id * 1048576 + a.turn AS pair_id, 0 AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
+_HISTORY = "SELECT b.conv_id * 1048576 + b.turn AS pair_id, a.turn AS side, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.role = 'user' AND b.role = 'assistant'"
 
 
 def _weighted_sql(pairs: str, keywords) -> str:
@@ -283,60 +279,23 @@ def edge_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sets.join(nxt, "user_id", "left").select("user_id", multiset.edge_match(F.coalesce("ref", none), F.col("edges")).alias("value")))
 
 
-def _as_json(text):
-    """A text as JSON: an object with its length and its sentences as lists of words."""
-    sentences = F.transform(F.split(text, r"\. "), lambda x: F.split(x, " "))
-    return F.to_json(F.struct(F.length(text).alias("length"), sentences.alias("sentences")))
-
-
-_TURNS = "SELECT conv_id, turn, string_split(text, '. ') AS s FROM conversations"
-
-
-@query(f"SELECT conv_id, turn, CAST(3 + len(s) + w AS BIGINT) AS n_nodes, CAST(2 + len(s) AS BIGINT) AS n_internal, CAST(1 + w AS BIGINT) AS n_leaves FROM (SELECT conv_id, turn, s, list_sum(list_transform(s, lambda x: len(string_split(x, ' ')))) AS w FROM ({_TURNS}))")
-def node_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each turn's tree an object, the length, the list of sentences, a list for each and its words."""
-    turns = _table(spark, sf_dir, "conversations")
-    rows = trees.node_rows(turns.select("conv_id", "turn", trees.parsed(_as_json(F.col("text")), "json").alias("nodes")))
-    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_nodes"), F.count_if("internal").alias("n_internal"), F.count_if(~F.col("internal")).alias("n_leaves"))
-
-
-@query(f"SELECT pair_id, round((1.0 + least(1 + len(string_split(ref, '. ')), 1 + len(string_split(hyp, '. ')))) / (2 + len(string_split(hyp, '. '))), 6) AS value FROM ({_ADJACENT})")
-def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner nodes (an object and lists) of each answer's tree against those of the turn before."""
-    pairs = adjacent_pairs(spark, sf_dir).select("pair_id", F.array(_as_json(F.col("refs")[0])).alias("refs"), _as_json(F.col("hyp")).alias("hyp"))
-    return _rounded(scores.tree_match(pairs, "json"))
-
-
-#: Code that goes before the turns, which hold no brackets, quotes or assignments: the trees and edges are known.
-_BEFORE = ("a = b + c;\n", "a = f(b);\ng(a);\n", "")
-_LABELS = "(VALUES (0, 'program', 1), (0, 'assign', 1), (1, 'program', 1), (1, 'assign', 1), (1, 'call', 2), (1, 'args', 2), (2, 'program', 1)) AS {0}(code, label, n)"
-_EDGES = "(VALUES (0, 'b>a'), (0, 'c>a'), (1, 'f>a')) AS {0}(code, edge)"
-
-
-def _before_sql(key: str, codes=_BEFORE) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN {i} THEN " + " || ".join(x for part in c.split("\n") for x in (_quoted([part]), "chr(10)"))[: -len(" || chr(10)")] for i, c in enumerate(codes)) + " END"
-
-
-_R, _H = "pair_id % 3", "(pair_id // 3) % 3"
-_CODE_PAIRS = f"SELECT pair_id, side, {_before_sql(_R)} || ref AS ref, {_before_sql(_H)} || hyp AS hyp FROM ({_ADJACENT})"
-
-
-def _before(key, codes=_BEFORE):
-    return F.get(F.array(*map(F.lit, codes)), key.cast("int"))
+_CODE_PAIRS = f"SELECT pair_id, side, {as_code_sql('ref', 'pair_id')} AS ref, {as_code_sql('hyp', '(pair_id // 2)')} AS hyp FROM ({_ADJACENT})"
 
 
 def _code_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent turns, their words made into code."""
     k = F.col("pair_id")
-    ref, hyp = F.concat(_before(k % 3), F.col("refs")[0]), F.concat(_before(F.floor(k / 3) % 3), "hyp")
+    ref, hyp = as_code(F.col("refs")[0], k), as_code(F.col("hyp"), F.floor(k / 2))
     return adjacent_pairs(spark, sf_dir).select("pair_id", F.array(ref).alias("refs"), hyp.alias("hyp"))
 
 
-def _composite_sql(keywords) -> str:
+def _composite_sql(keywords, pairs: str = _CODE_PAIRS) -> str:
     """CTEs that end in c (pair_id, the four parts, codebleu)."""
-    return f"""{_bleu_sql(_CODE_PAIRS)}, {_weighted_sql(_CODE_PAIRS, keywords)},
-ast AS (SELECT r.code AS rc, h.hc, (SELECT CAST(sum(least(x.n, coalesce(y.n, 0))) AS DOUBLE) / sum(x.n) FROM {_LABELS.format('x')} LEFT JOIN {_LABELS.format('y')} ON y.code = r.code AND y.label = x.label WHERE x.code = h.hc) AS value FROM (SELECT unnest([0, 1, 2]) AS code) r CROSS JOIN (SELECT unnest([0, 1, 2]) AS hc) h),
-flow AS (SELECT r.code AS rc, h.hc, (SELECT CASE WHEN count(x.edge) = 0 THEN (CASE WHEN r.code = 2 THEN 1.0 ELSE 0.0 END) ELSE CAST(count(y.edge) AS DOUBLE) / count(x.edge) END FROM {_EDGES.format('x')} LEFT JOIN {_EDGES.format('y')} ON y.code = r.code AND y.edge = x.edge WHERE x.code = h.hc) AS value FROM (SELECT unnest([0, 1, 2]) AS code) r CROSS JOIN (SELECT unnest([0, 1, 2]) AS hc) h),
-parts AS (SELECT bs.pair_id, bs.value AS bleu, wp.value AS weighted_bleu, ast.value AS ast_match, flow.value AS dataflow_match FROM bs JOIN wp ON bs.pair_id = wp.pair_id JOIN ast ON ast.rc = bs.{_R} AND ast.hc = (bs.pair_id // 3) % 3 JOIN flow ON flow.rc = bs.{_R} AND flow.hc = (bs.pair_id // 3) % 3),
+    return f"""{_bleu_sql(pairs)}, {_weighted_sql(pairs, keywords)}, {code_sql(f"SELECT pair_id AS key, ref AS code FROM ({pairs})", "cr_")}, {code_sql(f"SELECT pair_id AS key, hyp AS code FROM ({pairs})", "ch_")},
+hk AS (SELECT key, label, count(*) AS n FROM ch_labels GROUP BY 1, 2), rk AS (SELECT key, label, count(*) AS n FROM cr_labels GROUP BY 1, 2),
+ast AS (SELECT hk.key, CAST(sum(least(hk.n, coalesce(rk.n, 0))) AS DOUBLE) / sum(hk.n) AS value FROM hk LEFT JOIN rk ON rk.key = hk.key AND rk.label = hk.label GROUP BY 1),
+flow AS (SELECT bs.pair_id AS key, (SELECT count(*) FROM ch_edges e WHERE e.key = bs.pair_id) AS n, (SELECT count(*) FROM cr_edges e WHERE e.key = bs.pair_id) AS m, (SELECT count(*) FROM ch_edges e JOIN cr_edges o ON o.key = e.key AND o.source = e.source AND o.target = e.target WHERE e.key = bs.pair_id) AS k FROM bs),
+parts AS (SELECT bs.pair_id, bs.value AS bleu, wp.value AS weighted_bleu, coalesce(ast.value, 0.0) AS ast_match, CASE WHEN flow.n > 0 THEN CAST(flow.k AS DOUBLE) / flow.n WHEN flow.m = 0 THEN 1.0 ELSE 0.0 END AS dataflow_match FROM bs JOIN wp ON bs.pair_id = wp.pair_id JOIN flow ON flow.key = bs.pair_id LEFT JOIN ast ON ast.key = bs.pair_id),
 c AS (SELECT *, 0.25 * bleu + 0.25 * weighted_bleu + 0.25 * ast_match + 0.25 * dataflow_match AS codebleu FROM parts)"""
 
 
@@ -359,21 +318,25 @@ def corpus_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scores.corpus_details(scores.composite(_code_pairs(spark, sf_dir), "swift")))
 
 
-#: One point for each language and none, where the parser decides.
+#: A point for either language, and none: there the parser decides, so the text stays free of brackets.
 _TELLING = ("final a = b;\n", "let a = b;\n", "a = b;\n")
-_TOLD_PAIRS = f"SELECT pair_id, side, {_before_sql(_R, _TELLING)} || ref AS ref, {_before_sql('0')} || hyp AS hyp FROM ({_ADJACENT})"
+_TELL = "CASE pair_id % 3 WHEN 0 THEN 'final a = b;' WHEN 1 THEN 'let a = b;' ELSE 'a = b;' END || chr(10)"
+_TOLD_PAIRS = f"SELECT pair_id, side, {_TELL} || CASE WHEN pair_id % 3 = 2 THEN ref ELSE {as_code_sql('ref', 'pair_id')} END AS ref, 'a = b + c;' || chr(10) || {as_code_sql('hyp', 'pair_id')} AS hyp FROM ({_ADJACENT})"
 
 
 def _told_sql(lang: str, keywords, where: str) -> str:
-    pairs = f"SELECT * FROM ({_TOLD_PAIRS}) WHERE {where}"
-    return f"SELECT pair_id, '{lang}' AS lang, round(0.25 * b + 0.25 * w + 0.25 * 1.0 + 0.25 * 0.5, 6) AS codebleu FROM (WITH {_bleu_sql(pairs)}, {_weighted_sql(pairs, keywords)} SELECT bs.pair_id, bs.value AS b, wp.value AS w FROM bs JOIN wp ON bs.pair_id = wp.pair_id)"
+    points = [_points_sql(languages.DART_STRONG, languages.DART_MODERATE, ("flutter",)), _points_sql(languages.SWIFT_STRONG, languages.SWIFT_MODERATE, ("uikit", "swiftui"))]
+    pairs = f"SELECT pair_id, side, ref, hyp FROM (SELECT *, ref AS code FROM ({_TOLD_PAIRS})) WHERE ({points[0]}) {where} ({points[1]})"
+    return f"SELECT pair_id, '{lang}' AS lang, round(codebleu, 6) AS codebleu FROM (WITH {_composite_sql(keywords, pairs)} SELECT pair_id, codebleu FROM c)"
 
 
-@query(f"{_told_sql('dart', languages.DART_KEYWORDS, 'pair_id % 3 <> 1')} UNION ALL {_told_sql('swift', languages.SWIFT_KEYWORDS, 'pair_id % 3 = 1')}")
+@query(f"{_told_sql('dart', languages.DART_KEYWORDS, '>=')} UNION ALL {_told_sql('swift', languages.SWIFT_KEYWORDS, '<')}")
 def detected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair scored in the language that its reference speaks for; the score alone."""
-    ref = F.concat(_before(F.col("pair_id") % 3, _TELLING), F.col("refs")[0])
-    pairs = adjacent_pairs(spark, sf_dir).select("pair_id", F.array(ref).alias("refs"), F.concat(F.lit(_BEFORE[0]), "hyp").alias("hyp"))
+    k, first = F.col("pair_id"), F.col("refs")[0]
+    tell = F.get(F.array(*map(F.lit, _TELLING)), (k % 3).cast("int"))
+    ref = F.concat(tell, F.when(k % 3 == 2, first).otherwise(as_code(first, k)))
+    pairs = adjacent_pairs(spark, sf_dir).select("pair_id", F.array(ref).alias("refs"), F.concat(F.lit("a = b + c;\n"), as_code(F.col("hyp"), k)).alias("hyp"))
     return _rounded(scores.score_detected(pairs, undecided="raise", all_scores=False))
 
 
@@ -384,10 +347,11 @@ def gathered_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.flattened(lists, "score")
 
 
-@query("SELECT event_id, printf('%.4f', value) AS shown, CAST(octet_length(encode(event_type || 'ü')) AS INTEGER) AS n_bytes FROM events")
+@query("SELECT event_id, printf('%.4f', value) AS shown, printf('%.4f', event_id / 32.0 - 7) AS tie, printf('%.2f', value / 3) AS short, CAST(octet_length(encode(event_type || 'ü')) AS INTEGER) AS n_bytes FROM events")
 def score_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores to four decimals, and lengths of encoded texts."""
-    return _table(spark, sf_dir, "events").select("event_id", text.decimals(F.col("value")).alias("shown"), F.octet_length(text.encoded(F.concat("event_type", F.lit("ü")))).alias("n_bytes"))
+    """Scores to four decimals, ties (odd thirty-seconds) among them, and lengths of encoded texts."""
+    tie, short = text.decimals(F.col("event_id") / 32.0 - 7).alias("tie"), text.decimals(F.col("value") / 3, 2).alias("short")
+    return _table(spark, sf_dir, "events").select("event_id", text.decimals(F.col("value")).alias("shown"), tie, short, F.octet_length(text.encoded(F.concat("event_type", F.lit("ü")))).alias("n_bytes"))
 
 
 @query(ORACLES["run_stats"].replace(" GROUP BY event_type HAVING count(value) > 0", "").replace("SELECT event_type, ", "SELECT "))

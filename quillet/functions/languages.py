@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE_CLASS, WORD_CLASS
+
 # Reserved words and important constructs of the two languages.
 DART_KEYWORDS = (
     'abstract', 'as', 'assert', 'async', 'await', 'break', 'case', 'catch',
@@ -75,10 +77,6 @@ def keywords(language: str) -> tuple[str, ...]:
     return KEYWORDS[language.lower()]
 
 
-#: What the patterns' short classes stand for: all scripts, not ASCII only, written the same for every regex engine.
-WORD_CLASS, SPACE_CLASS = r"\p{L}\p{N}_", r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
-
-
 def unicode_pattern(pattern: str) -> str:
     """pattern with \\w and \\s as classes over all scripts, and a \\b at its ends as the character beside it, if there is one.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Word characters and white space of all scripts, written out: the short classes of regex engines differ beyond ASCII.
+WORD_CLASS, SPACE_CLASS = r"\p{L}\p{N}_", r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 #: Runs of letters, numbers and underscores, or one other character that is no space.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TOKEN = rf"[{WORD_CLASS}]+|[^{WORD_CLASS}{SPACE_CLASS}]"
 RESPONSE = "### Response:"
 FENCE = "```"
 
@@ -23,7 +27,7 @@ def tokenize(code: Column, keep_comments: bool = False) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(text, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
 
 
 def after(text: Column, mark: str) -> Column:
@@ -62,5 +66,38 @@ def encoded(text: Column) -> Column:
 
 
 def decimals(value: Column, places: int = 4) -> Column:
-    """A number as text with so many decimals, without group separators."""
-    return F.format_string(f"%.{places}f", value)
+    """A number as text with so many decimals, without group separators: the double's exact value, ties to the even digit.
+
+    Numbers from 2**53 / 10**places on, and more than 9 places, are left to the JVM's format, which rounds the shortest decimal
+    that stands for the double. NaN and infinities are nan, inf and -inf.
+    """
+    if places > 9:
+        return F.format_string(f"%.{places}f", value.cast("double"))
+    return bound(value.cast("double"), lambda v: bound(F.abs(v), lambda x: F.when(v.isNotNull(), _decimals(v, x, places))))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _decimals(value: Column, x: Column, places: int) -> Column:
+    # x * 10**places is z * 5**places, where z is exact; its fraction is split so that both parts' products are exact too
+    five = float(5**places)
+    z = x * float(2**places)
+    parts = bound(z - F.floor(z), lambda rest: bound(F.floor(rest * float(2**26)) / float(2**26), lambda high: F.struct((high * five).alias("times"), ((rest - high) * five).alias("low"))))
+
+    def rounded(p: Column) -> Column:
+        part = F.floor(p["times"])
+        to_half, below = 0.5 - (p["times"] - part), F.floor(z) * 5**places + part
+        return below + F.when((p["low"] > to_half) | (p["low"] == to_half) & (below % 2 == 1), 1).otherwise(0)
+
+    def shown(digits: Column) -> Column:
+        point = F.length(digits) - places
+        return digits if not places else F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.lit(places)))
+
+    digits = bound(bound(parts, rounded).cast("string"), lambda d: F.when(F.length(d) > places, d).otherwise(F.lpad(d, places + 1, "0")))
+    minus = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
+    named = F.when(F.isnan(value), "nan").when(x == float("inf"), F.concat(minus, F.lit("inf")))
+    exact = named.when(x * float(10**places) < float(2**53), F.concat(minus, bound(digits, shown)))
+    return exact.otherwise(F.format_string(f"%.{places}f", value))

@@ -23,6 +23,7 @@ Nodes = list[tuple[str, int, int, int]]
 COLUMNS = ("start", "end", "parent", "children")
 TREE = StructType([StructField("type", ArrayType(StringType())), *[StructField(n, ArrayType(IntegerType())) for n in COLUMNS]])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Node types that the edge rules name, for parsers that yield them.
 IDENTIFIERS = ("identifier", "simple_identifier")
 ASSIGNMENTS = ("assignment_expression", "variable_declaration", "initialized_identifier", "pattern_assignment")
 CALLS = ("call_expression", "method_invocation")

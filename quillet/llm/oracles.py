@@ -72,8 +72,8 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
 n AS (SELECT doc_id, source, list_transform(lines, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))) AS norm, list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS sizes FROM d),
 l AS (SELECT doc_id, source, array_to_string(norm, chr(10)) AS whole, unnest(norm) AS line, unnest(sizes) AS size FROM n),
-h AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
-bad AS (SELECT l.source, l.line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line, h.host_docs HAVING count(DISTINCT l.whole) > 20 AND count(DISTINCT l.whole) > h.host_docs * 0.002),
+h AS (SELECT source, count(DISTINCT array_to_string(norm, chr(10))) AS host_docs FROM n GROUP BY source),
+bad AS (SELECT l.source, l.line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, l.line, h.host_docs HAVING count(DISTINCT l.whole) > 8 AND count(DISTINCT l.whole) > h.host_docs * 0.002),
 g AS (SELECT l.doc_id, CAST(sum(l.size) AS BIGINT) AS n FROM l JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line GROUP BY l.doc_id),
 v AS (SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, coalesce(g.n, 0) AS removed_words FROM b LEFT JOIN rw ON rw.doc_id = b.doc_id LEFT JOIN g ON g.doc_id = b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT removed_words > 0.5 * n_words AS kept FROM v

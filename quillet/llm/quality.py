@@ -4,8 +4,8 @@ Per document: counts of words, symbols, repeated lines and repeated three-word w
 normalised line is hashed and the distinct documents that hold it are counted per host (`source`); lines above the
 limit are boilerplate, and a document that consists mostly of boilerplate is depleted and rejected.
 
-Copies of a document do not make its lines boilerplate: documents count as distinct by the hash of their normalised
-lines in order, so exact copies count once. Documents that differ in any line, near copies too, count apart.
+Copies of a document neither make its lines boilerplate nor hide that others are: on both sides of the limit documents count
+as distinct by the hash of their normalised lines in order, so exact copies count once. Documents that differ in any line, near copies too, count apart.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ NO_HOST = "\x00none"
 class QualityLimits:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A line is boilerplate if more distinct documents of its host hold it than the larger of these two.
-    max_line_docs: int = 20
+    #: A line is boilerplate if more distinct documents of its host hold it than this number and this share of them.
+    max_line_docs: int = 8
     max_line_share: float = 0.002
     #: A document is depleted if boilerplate lines hold more than this share of its words.
     max_removed_share: float = 0.5
@@ -90,9 +90,10 @@ def boilerplate_lines(features: DataFrame, limits: QualityLimits) -> DataFrame:
     """(h): lines of a host that more distinct documents hold than the limits allow."""
     hashes = F.transform("lines", lambda x: x["h"])
     # one row for each line and distinct document, then their number; both shuffles carry hashes only
-    holders = features.select("host", F.xxhash64(hashes).alias("doc"), F.explode(F.array_distinct(hashes)).alias("h")).distinct()
+    doc = F.xxhash64(hashes).alias("doc")
+    holders = features.select("host", doc, F.explode(F.array_distinct(hashes)).alias("h")).distinct()
     counts = holders.groupBy("h", "host").agg(F.count("*").alias("n")).where(F.col("n") > limits.max_line_docs)
-    per_host = features.groupBy("host").agg(F.count("*").alias("host_docs"))
+    per_host = features.select("host", doc).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(per_host, counts["host"].eqNullSafe(per_host["host"])).where(F.col("n") > F.col("host_docs") * limits.max_line_share).select("h")
 
 
@@ -123,7 +124,8 @@ def clean_documents(docs: DataFrame, limits: QualityLimits = QualityLimits()) ->
     """The rows of docs that pass, with all their columns, their text without the boilerplate lines of its host.
 
     A column n_chars follows the text. Verdicts and lines depend on text and source only: rows that agree in doc_id, text
-    and source are treated alike.
+    and source are treated alike. Null and empty texts are rejected (too few words), a null source is a host of its own, every
+    repeated row that passes stays, extra columns pass through whatever their names, and no rows give no rows.
     """
     a, b, c, n, gone = (free_name(docs, k) for k in ("k_id", "k_text", "k_host", "k_kept", "k_bad"))
     found = _verdicts(stored(document_features(docs).withColumn("row", F.monotonically_increasing_id()), "quality"), limits)

@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame functions only.
 
-The index stores postings (term, doc, pos) of the training texts for every term that a benchmark item uses. Of each window
+A first pass counts the terms of the benchmark in the training texts; the index then stores postings (term, doc, pos) of the
+terms that are looked up, the rarest of each window and item, and of no others. Of each window
 of an item the two rarest terms are intersected, in ascending frequency: the postings of the rarest, adjusted by its offset
 in the item, say where the second must stand, and only alignments that the second's postings confirm go on. Those few are
-compared word for word with the document. Proximity matches come from the same postings: an item's rarest terms, in any
+compared word for word with the document; texts without an alignment stay where they are. Proximity matches come from the same postings: an item's rarest terms, in any
 order, within a few words.
 
 Documents are known by a 64-bit hash of doc_id and text, terms by one of the word. Tables of looked-up terms are broadcast
@@ -20,7 +21,7 @@ from .common import ascii_lower, discard, free_name, let, stored, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-SALTS, BROADCAST_ROWS = 16, 200_000
+SALTS, BROADCAST_ROWS, FILTER_BITS = 16, 200_000, 27
 SLOP, NEAR_TERMS = 20, 3
 
 
@@ -41,18 +42,30 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 class Index:
-    """postings (term, doc, pos from 0) over all of docs, items and the postings' frequency by term (term, word, n)."""
+    """items, their terms' frequency in docs (term, word, n), and postings (term, doc, pos from 0) of the terms gathered."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> None:
         self.items = stored(_items(benchmark, window), "items")
         words = self.items.select(F.explode("words").alias("word")).distinct().select(F.xxhash64("word").alias("term"), "word")
         self.vocabulary = stored(words, "vocabulary")
         split = docs.select(doc_key(docs).alias("doc"), item_words(text_of()).alias("w"))
-        each = split.select("doc", F.posexplode("w").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "doc", "pos")
+        self.places = split.select("doc", F.posexplode("w").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "doc", "pos")
         # Spark broadcasts the vocabulary only if its stored size is under spark.sql.autoBroadcastJoinThreshold
-        self.postings = stored(each.join(self.vocabulary.select("term").distinct(), "term"), "postings")
-        counts = self.postings.groupBy("term").agg(F.count("*").alias("n"))
+        counts = self._among(self.vocabulary).groupBy("term").agg(F.count("*").alias("n"))
         self.frequency = stored(self.vocabulary.join(counts, "term"), "frequency")
+        self.postings: DataFrame | None = None
+
+    def _among(self, terms: DataFrame) -> DataFrame:
+        return self.places.join(terms.select("term").distinct(), "term")
+
+    def gather(self, *terms: DataFrame) -> None:
+        """Stores the postings of terms (term), null ones left out."""
+        wanted = terms[0]
+        for more in terms[1:]:
+            wanted = wanted.unionAll(more)
+        wanted = stored(wanted.where("term is not null").distinct(), "gathered")
+        self.postings = stored(self._among(wanted), "postings")
+        discard(wanted)
 
     def of(self, terms: DataFrame) -> DataFrame:
         """terms (term, numbers) with doc and pos of each posting."""
@@ -64,7 +77,7 @@ class Index:
 
     def close(self) -> None:
         """Deletes the index; what was made of it must be stored."""
-        discard(self.items, self.vocabulary, self.postings, self.frequency)
+        discard(self.items, self.vocabulary, self.frequency, *([self.postings] if self.postings else []))
 
 
 def windows(index: Index) -> DataFrame:
@@ -103,20 +116,36 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step, lambda a: a["n"])
 
 
-def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
-    """Exact matches: doc, item_id, start, end (word positions, end exclusive), one row for each window, stored.
+def looked_up(wanted: DataFrame) -> list[DataFrame]:
+    """The terms that phrase_matches() looks up for windows()."""
+    return [wanted.select("term"), wanted.select(F.col("second").alias("term"))]
+
+
+def may_hold(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key (a hash) is among keys, and a few others: a bit map of 2**bits slots, at most 2**(bits - 3) bytes, is
+    broadcast, and a row whose slot is empty goes. With more keys than slots nearly all rows stay."""
+    slot, bucket, of = free_name(rows, "slot"), free_name(rows, "bucket"), free_name(rows, "map_of")
+    number = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+    filled = keys.select(number.alias("n")).groupBy(F.bitmap_bucket_number("n").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias(of))
+    placed = rows.withColumn(slot, F.bitmap_bit_position(number)).withColumn(bucket, F.bitmap_bucket_number(number))
+    byte = F.conv(F.hex(F.substring(F.col(of), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_bits = F.array(*[F.shiftright(byte, i).bitwiseAND(1) for i in range(8)])
+    return placed.join(F.broadcast(filled), bucket).where(F.get(set_bits, (F.col(slot) % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def phrase_matches(docs: DataFrame, index: Index, wanted: DataFrame) -> DataFrame:
+    """Exact matches of stored windows(): doc, item_id, start, end (word positions, end exclusive), one row for each window, stored.
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
     """
-    wanted = stored(windows(index), "windows")
     aligned, w = alignments(index, wanted).alias("a"), wanted.alias("w")
     same = (F.col("a.item") == F.col("w.item")) & (F.col("a.at") == F.col("w.at")) & F.col("a.second_at").eqNullSafe(F.col("w.second_at"))
     tries = aligned.join(w, same).select("doc", "w.item", "start", "size", (F.col("base") + F.col("start")).alias("first")).where("first >= 0")
     # to each document its own alignments, numbers only: as many as it has places of rare terms
     tries = stored(tries.groupBy("doc").agg(F.collect_set(F.struct("item", "start", "size", "first")).alias("try")), "tries")
     texts = docs.select(doc_key(docs).alias("doc"), text_of().alias("text"))
-    # always a merge join: what it moves then grows with the texts alone, not with whether Spark still broadcasts the tries
-    split = texts.join(tries.hint("merge"), "doc").select("doc", item_words(F.col("text")).alias("w"), "try")
+    # only texts that may have an alignment are dealt out, and always: what is moved does not hang on what Spark broadcasts
+    split = may_hold(texts, "doc", tries).join(tries.hint("merge"), "doc").select("doc", item_words(F.col("text")).alias("w"), "try")
     piece = lambda w: F.transform("try", lambda t: F.struct(t["item"].alias("item"), t["start"].alias("start"), t["first"].alias("first"), (t["first"] + t["size"]).alias("end"), F.array_join(F.slice(w, t["first"] + 1, t["size"]), " ").alias("text")))
     pieces = split.select("doc", F.explode(let(F.col("w"), piece)).alias("p")).select("doc", "p.*")
     named = wanted.select("item", "start", "text").join(index.items.select("item", "item_id"), "item")
@@ -125,17 +154,22 @@ def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
     return hits
 
 
-def proximity_matches(index: Index, slop: int = SLOP, terms: int = NEAR_TERMS) -> DataFrame:
-    """(doc, item_id, first, last): the item's `terms` rarest terms, in any order, within `slop` words.
+def rarest_terms(index: Index, terms: int = NEAR_TERMS) -> DataFrame:
+    """(item_id, item, r), stored: of the terms that documents hold an item's rarest, ties by the word; two at least."""
+    words = index.items.select("item_id", "item", F.explode(F.array_distinct("words")).alias("word"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct("n", "word", "term"))), 1, terms)
+    return stored(words.join(index.frequency, "word").groupBy("item_id", "item").agg(ranked.alias("r")).where(F.size("r") > 1), "ranked")
+
 
-    Of the terms that documents hold the rarest count, ties by the word; items with fewer use those they have, two at
-    least. For each place of the rarest the narrowest stretch that holds all is taken, the first of equal ones: of each
+def proximity_matches(index: Index, slop: int = SLOP, terms: int = NEAR_TERMS, r: DataFrame | None = None) -> DataFrame:
+    """(doc, item_id, first, last): the terms of rarest_terms(), in any order, within `slop` words.
+
+    For each place of the rarest the narrowest stretch that holds all is taken, the first of equal ones: of each
     other term the nearest place before and the nearest behind are tried in all combinations that can be narrowest.
     """
-    words = index.items.select("item_id", "item", F.explode(F.array_distinct("words")).alias("word"))
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct("n", "word", "term"))), 1, terms)
-    r = words.join(index.frequency, "word").groupBy("item_id", "item").agg(ranked.alias("r")).where(F.size("r") > 1)
-    r = stored(r, "ranked")
+    r = r or rarest_terms(index, terms)
+    if index.postings is None:
+        index.gather(r.select(F.explode("r.term").alias("term")))
     first = r.select("item_id", "item", F.size("r").alias("k"), F.col("r")[0]["term"].alias("term"))
     rest = r.select("item", F.explode(F.slice("r", 2, terms)).alias("x")).select("item", F.col("x.term").alias("term"))
     cell = F.floor(F.col("pos") / slop)
@@ -168,13 +202,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     beyond doc_id and text (item_id and text) are ignored.
     """
     index = Index(docs, benchmark, window)
-    matches = phrase_matches(docs, index)
+    wanted, r = stored(windows(index), "windows"), rarest_terms(index)
+    index.gather(*looked_up(wanted), r.select(F.explode("r.term").alias("term")))
+    matches = phrase_matches(docs, index, wanted)
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     ids = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
     exact = matches.groupBy("doc").agg(F.collect_set(span).alias("spans"), ids.alias("ids")).select("doc", _covered(F.col("spans")).alias("n_hit"), "ids")
-    near = proximity_matches(index).groupBy("doc").agg(ids.alias("near"))
+    near = proximity_matches(index, r=r).groupBy("doc").agg(ids.alias("near"))
     hit = stored(exact.join(near, "doc", "full_outer"), "hits")
     index.close()
+    discard(matches, r)
     base = docs.select("doc_id", doc_key(docs).alias("doc"), F.size(item_words(text_of())).cast("long").alias("n_words"))
     both = base.join(hit, "doc", "left")
     n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
@@ -184,8 +221,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of any item, with all their columns."""
+    """The rows of docs that hold no window of any item, with all their columns.
+
+    Null and empty texts hold none and stay, as does every repeated row without one; an empty benchmark drops nothing; extra
+    columns pass through whatever their names.
+    """
     index, name = Index(docs, benchmark, window), free_name(docs, "k_doc")
-    bad = stored(phrase_matches(docs, index).select(F.col("doc").alias(name)).distinct(), "leaks")
+    wanted = stored(windows(index), "windows")
+    index.gather(*looked_up(wanted))
+    bad = stored(phrase_matches(docs, index, wanted).select(F.col("doc").alias(name)).distinct(), "leaks")
     index.close()
     return docs.join(bad, doc_key(docs) == bad[name], "left_anti")

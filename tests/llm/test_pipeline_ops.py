@@ -384,3 +384,26 @@ def test_targets(spark):
         got = {r.source: r.target for r in mixing.source_targets(df).collect()}
         want = brute_targets(sizes)
         assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes), (got, want)
+
+
+def test_few_texts_are_dealt_out(spark, docs):
+    rows = spark.range(40_000).select(F.xxhash64("id").alias("k"), F.lit("text").alias("text"), F.lit("x").alias("bucket"), F.lit("y").alias("slot"))
+    keys = rows.where("k % 97 = 0").select("k")
+    for bits in (27, 12):
+        got = decontam.may_hold(rows, "k", keys, bits)
+        assert got.columns == rows.columns and got.join(keys, "k").count() == keys.count()
+        assert got.count() < (keys.count() + 40 if bits == 27 else 40_000)
+    assert decontam.may_hold(rows, "k", keys.limit(0)).count() == 0
+    plan = decontam.may_hold(docs.select(decontam.doc_key(docs).alias("k"), "text"), "k", keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(k" not in plan.split("BroadcastExchange")[0]
+
+
+def test_quality_limit_ignores_copies_on_both_sides(spark):
+    line = "all rights reserved by the owners of this page"
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    shared = [(i, f"{words(i)}\n{line}", "host") for i in range(40)]
+    copies = [(1000 + i, words("copy"), "host") for i in range(30_000)]
+    for rows in (shared, shared + copies):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r.doc_id: r.removed_words for r in quality.quality_verdicts(df).collect()}
+        assert sum(got.values()) == 9 * 40 and all(got[i] == 9 for i in range(40))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_flow  # noqa: F401  registers its queries
 from .catalog_trees import as_code, as_code_sql, code_sql
 from .functions import languages, prompts, text
 from .operators import bleu as bleu_op

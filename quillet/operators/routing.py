@@ -1,52 +1,13 @@
-"""Ordinals, routing, sharding, batches and exact splits."""
+"""Routing, sharding and batch numbers; ordinals and exact splits by way of operators.ordinals."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import free_name, stored
-
-#: monotonically_increasing_id() holds the partition above these bits and the row's place in it below.
-PLACE_BITS = 33
-
-
-def _placed(df: DataFrame, order: tuple[str | Column, ...]) -> tuple[DataFrame, str]:
-    """(df in the order given, stored; the name of its column of partition and place).
-
-    Places are numbered once, in the layout that is written: what reads them later cannot be dealt out otherwise. Equal
-    keys are kept apart by the rows' own places, so that many of them do not fall to one task.
-    """
-    tie, place = free_name(df, "tie"), free_name(df, "place")
-    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
-    return stored(dealt.drop(tie).withColumn(place, F.monotonically_increasing_id()), "ordinals"), place
-
+from .ordinals import PLACE_BITS, OrdinalIndex, exact_split, nth_record, with_ordinal
 
-def with_ordinal(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
-    """df with its rows numbered from 0 along `order`, without one task that holds all rows.
-
-    A column of that name in df is replaced. Rows whose keys are equal get different numbers in an order of their own, so
-    only unique keys make the numbers reproducible. No rows give no rows; null keys come first.
-    """
-    if name in df.columns and name not in order:
-        df = df.drop(name)
-    table, place = _placed(df, order)
-    part, before = free_name(table, "part"), free_name(table, "before")
-    sizes = table.groupBy(F.shiftright(place, PLACE_BITS).alias(part)).agg(F.count("*").alias(before))
-    # one row a partition
-    up = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(part, F.coalesce(F.sum(before).over(up), F.lit(0)).alias(before))
-    numbered = table.withColumn(part, F.shiftright(place, PLACE_BITS)).join(offsets, part, "left")
-    idx = F.col(before) + F.col(place).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    kept = [c for c in df.columns if c != name]
-    return numbered.select(*kept, idx.cast("long").alias(name))
-
-
-def nth_record(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The n-th row from 0 along order, by a top-(n+1) selection."""
-    return df.orderBy(*order).offset(n).limit(1)
+__all__ = ["PLACE_BITS", "OrdinalIndex", "batch_number", "exact_split", "nth_record", "route", "shard", "with_ordinal"]
 
 
 def route(language: Column) -> Column:
@@ -60,16 +21,3 @@ def shard(df: DataFrame, rank: int, world: int, idx: str = "idx") -> DataFrame:
 
 def batch_number(idx: Column, size: int = 4) -> Column:
     return F.floor(idx / size).cast("long")
-
-
-def exact_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """df with is_test: the ceil(share * n) rows of the least seeded md5 of the key. Of equal keys at the cut any may go.
-
-    A column is_test in df is replaced.
-    """
-    df = df.drop("is_test")
-    hashed, rank = free_name(df, "hashed"), free_name(df, "rank")
-    seeded = df.withColumn(hashed, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    ranked = with_ordinal(seeded, hashed, key, name=rank)
-    cut = math.ceil(share * ranked.count())
-    return ranked.select(*df.columns, (F.col(rank) < cut).alias("is_test"))

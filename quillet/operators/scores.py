@@ -15,6 +15,8 @@ from .multiset import clipped_items, edge_match, gram_items, keyword_share, labe
 PARTS = ("bleu", "weighted_bleu", "ast_match", "dataflow_match")
 EVEN = (0.25, 0.25, 0.25, 0.25)
 ORDER, LABEL = 4, 0
+#: Parts of the score that a failed text takes its default in.
+FAILED = "failed"
 
 
 def checked(weights: tuple[float, float, float, float]) -> tuple[float, ...]:
@@ -24,7 +26,7 @@ def checked(weights: tuple[float, float, float, float]) -> tuple[float, ...]:
 
 
 def _scored(tagged: DataFrame, languages: tuple[str, ...], weights: tuple[float, ...], parsers: dict[str, Callable]) -> DataFrame:
-    """tagged (pair_id, refs, hyp, lang) -> pair_id, lang, the four parts and codebleu; without a language all are null.
+    """tagged (pair_id, refs, hyp, lang) -> pair_id, lang, the four parts, codebleu and failed; without a language scores are null.
 
     One pass: the pairs are dealt out once, each text is tokenised and parsed once, and one grouped count of n-grams and
     tree labels gives all parts.
@@ -36,24 +38,32 @@ def _scored(tagged: DataFrame, languages: tuple[str, ...], weights: tuple[float,
     rows = sized(parsed, F.col("t"), F.col("lang"))
     rows = rows.withColumn("flow", edge_match(F.col("t.ref.edges"), F.col("t.hyp.edges")))
     items = F.concat(gram_items(ORDER), label_items(LABEL, F.col("t.hyp.labels"), F.col("t.ref.labels")))
-    carried = ("lang", "n_h", "n_r", "flow")
+    fault = lambda side: F.concat(F.lit(side + " "), F.col(f"t.{side}.fault"))
+    rows = rows.withColumn(FAILED, F.array_compact(F.array(fault("ref"), fault("hyp"))))
+    carried = ("lang", "n_h", "n_r", "flow", FAILED)
     sums = clipped_items(rows, items, carried).groupBy("pair_id", *carried)
     known = F.lit(False)
     for name, some in words.items():
         known = F.when(F.col("lang") == name, F.col("item").isin(*some)).otherwise(known)
     out = sums.agg(*order_sums(ORDER), keyword_share(1, known).alias("weighted_bleu"), plain_share(LABEL).alias("ast_match"))
-    out = out.select("pair_id", "lang", bleu_of(ORDER).alias("bleu"), "weighted_bleu", "ast_match", F.col("flow").alias("dataflow_match"))
+    out = out.select("pair_id", "lang", bleu_of(ORDER).alias("bleu"), "weighted_bleu", "ast_match", F.col("flow").alias("dataflow_match"), FAILED)
     total = sum((F.lit(x) * F.col(p) for x, p in zip(w, PARTS, strict=True)), F.lit(0.0)).alias("codebleu")
-    return out.select("pair_id", "lang", *[F.when(F.col("lang").isNotNull(), x).alias(n) for n, x in zip((*PARTS, "codebleu"), (*map(F.col, PARTS), total), strict=True)])
+    return out.select("pair_id", "lang", *[F.when(F.col("lang").isNotNull(), x).alias(n) for n, x in zip((*PARTS, "codebleu"), (*map(F.col, PARTS), total), strict=True)], FAILED)
 
 
-def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = EVEN, parsers: dict[str, Callable] = trees.PARSERS, all_scores: bool = True) -> DataFrame:
+def composite(pairs: DataFrame, language: str, weights: tuple[float, float, float, float] = EVEN, parsers: dict[str, Callable] = trees.PARSERS, all_scores: bool = True, failures: bool = False) -> DataFrame:
     """pairs (pair_id, refs, hyp) -> pair_id, the four parts (if all_scores) and codebleu. Trees are compared with the first reference.
 
-    Null texts count as empty; a pair_id names one pair.
+    Null texts count as empty; a pair_id names one pair. A text that the parser fails on scores 0 in its part; with failures the
+    column `failed` lists the side, the step and the error of each such default, found in the same pass.
     """
     out = _scored(pairs.withColumn("lang", F.lit(language.lower())), (language.lower(),), weights, parsers)
-    return out.select("pair_id", *(PARTS if all_scores else ()), "codebleu")
+    return out.select("pair_id", *(PARTS if all_scores else ()), "codebleu", *((FAILED,) if failures else ()))
+
+
+def failure_counts(scores: DataFrame) -> DataFrame:
+    """(failure, n) of each kind over scores with failures; none for pairs without."""
+    return scores.select(F.explode(FAILED).alias("failure")).groupBy("failure").agg(F.count("*").alias("n"))
 
 
 def tree_match(pairs: DataFrame, language: str, parsers: dict[str, Callable] = trees.PARSERS) -> DataFrame:

@@ -198,12 +198,17 @@ def add_edges(text: str, nodes: Nodes, out: set[tuple[str, str]]) -> None:
 
 def edges_of(text: str, nodes: Nodes) -> set[tuple[str, str]]:
     """All edges; where a node is faulty, those of the nodes before it."""
+    return edges_and_fault(text, nodes)[0]
+
+
+def edges_and_fault(text: str, nodes: Nodes) -> tuple[set[tuple[str, str]], str | None]:
+    """edges_of(), and the name of what went wrong, if anything did."""
     out: set[tuple[str, str]] = set()
     try:
         add_edges(text, nodes, out)
-    except Exception:  # the edges found so far count
-        pass
-    return out
+    except Exception as e:  # the edges found so far count
+        return out, f"edges: {type(e).__name__}"
+    return out, None
 
 
 def internal_labels(nodes: Nodes) -> list[str]:
@@ -213,21 +218,24 @@ def internal_labels(nodes: Nodes) -> list[str]:
 
 
 _EDGES = ArrayType(StructType([StructField("source", StringType()), StructField("target", StringType())]))
-_SIDE = StructType([StructField("labels", ArrayType(StringType())), StructField("edges", _EDGES)])
+_SIDE = StructType([StructField("labels", ArrayType(StringType())), StructField("edges", _EDGES), StructField("fault", StringType())])
 
 
 def analysed(ref: Column, hyp: Column, language: Column, parsers: dict[str, Callable[[str], Nodes]] = PARSERS) -> Column:
-    """Struct (ref, hyp) of structs (labels of internal nodes, sorted edges): each text is parsed once, all in one pass.
+    """Struct (ref, hyp) of structs (labels of internal nodes, sorted edges, fault): each text is parsed once, all in one pass.
 
-    A text that is null, empty or does not parse, or has no language, has no labels and no edges.
+    A text that is null, empty or does not parse, or has no language, has no labels and no edges. fault says what failed
+    (`tree: ` or `edges: ` and the error's name), so that a default can be told from a score.
     """
 
     def side(x: str | None, name: str | None) -> dict:
+        fault = None
         try:
             nodes = parsers[name](x) if x and name else []
-        except Exception:  # no tree
-            nodes = []
-        return {"labels": internal_labels(nodes), "edges": [{"source": a, "target": b} for a, b in sorted(edges_of(x or "", nodes))]}
+        except Exception as e:  # no tree
+            nodes, fault = [], f"tree: {type(e).__name__}"
+        edges, later = edges_and_fault(x or "", nodes)
+        return {"labels": internal_labels(nodes), "edges": [{"source": a, "target": b} for a, b in sorted(edges)], "fault": fault or later}
 
     @F.pandas_udf(StructType([StructField("ref", _SIDE), StructField("hyp", _SIDE)]))
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

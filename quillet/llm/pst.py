@@ -38,8 +38,8 @@ CLASSES = 1 << 16
 
 @dataclass(frozen=True)
 class TreeLimits:
-    depth: int = 4  # bytes of the longest context, 2 to 6
-    min_count: int = 64
+    depth: int = 5  # bytes of the longest context, 2 to 6
+    min_count: int = 16
     divergence: float = 8.0
     smoothing: float = 4.0
     common: float = 1e-6

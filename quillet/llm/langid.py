@@ -157,15 +157,17 @@ class KneserNey:
 def train(docs: DataFrame, remainder: int = 0, train_docs: int = 1500) -> KneserNey:
     """Models of all languages of the training rows (labelled, with a letter, and not held out), with mean and spread.
 
-    A language with too few documents for a part of its own is calibrated on those of the fit.
+    A language with too few documents for a part of its own is calibrated on those of the fit. The text with the least hash of
+    a language is always in the fit, so that a language with one distinct text is learned too.
     """
     rows = docs.where(~held_out(F.col("doc_id"), remainder) & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}")).select("lang", "text")
     # a row a language, as many as there are models; stored, so that Spark sees how small it is and leaves the texts in place
-    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "sizes")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min(place).alias("least")), "sizes")
     share = F.least(F.lit(float(train_docs)) / F.col("rows"), F.lit(0.8))
-    chosen = rows.join(sizes, "lang").withColumn("place", place).withColumn("share", share).where(F.col("place") < F.col("share") * 1.25)
-    sample = stored(chosen.select("lang", "text", (F.col("place") < F.col("share")).alias("fit")), "sample")
+    chosen = rows.join(sizes, "lang").withColumn("place", place).withColumn("share", share).where((F.col("place") < F.col("share") * 1.25) | (F.col("place") == F.col("least")))
+    fit = (F.col("place") < F.col("share")) | (F.col("place") == F.col("least"))
+    sample = stored(chosen.select("lang", "text", fit.alias("fit")), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = defaultdict(Counter)

@@ -100,6 +100,23 @@ def test_more_text_gives_more_states(spark, docs):
     assert states[0] < states[1] < states[2]
 
 
+def test_tree_beats_the_unigram_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.held_out: r for r in pst.score_documents(docs).groupBy("held_out").agg(F.sum("score").alias("tree"), F.sum("base_score").alias("base")).collect()}
+    assert found[False].tree > found[False].base, found
+
+
+def test_every_language_is_learned(spark):
+    """Also those with one distinct text, in however many rows, whatever its hash."""
+    rows = [(i * 1000 + j, f"{w} {w[::-1]} {w * 2} und so", f"l{i}") for i, w in enumerate("alpha bravo kilo delta fox golf hotel india juliet lima".split()) for j in range(1 + 40 * (i % 2))]
+    docs = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5], "doc_id long, text string, lang string")
+    langs = {r.lang for r in docs.collect()}
+    assert set(langid.train(docs).langs) == langs and len(langs) >= 8
+    got = langid.identify(docs).collect()
+    want = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(r.lang_pred == want[r.doc_id] for r in got)
+
+
 def test_language(spark, docs, sf_docs, odd, odd_rows, none):
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     lang = {d["doc_id"]: d["lang"] for d in sf_docs}

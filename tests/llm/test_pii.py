@@ -95,6 +95,23 @@ def test_added_spans_have_precision_and_recall(spark):
     assert len(hits) >= 0.9 * len(want) and len(hits) >= 0.9 * len(found), (len(hits), len(want), len(found), sorted(found - want)[:5], sorted(want - found)[:5])
 
 
+def test_long_spans_are_found_whole(spark):
+    secret, name, parts = "aB3" * 400, "n" * 300, ".x" * 50
+    rows = [(i, f"the login password={secret}{i} end") for i in range(20)] + [(100 + i, f"write to {name}{i} [at] example{parts}.org now") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.clean_text for r in pii.redact(df).collect()}
+    assert all(clean[i] == "the login <secret> end" and clean[100 + i] == "write to <email> now" for i in range(20))
+    assert pii.redact(df.where("false")).count() == 0
+
+
+def test_redaction_of_odd_rows(odd, odd_rows):
+    got = pii.redact(odd)
+    assert got.columns == [*odd.columns, "clean_text"]
+    rows = got.collect()
+    assert len(rows) == len(odd_rows) and all(r.clean_text == "" for r in rows if not r.text)
+    assert all("<email>" in r.clean_text and "<ip>" in r.clean_text for r in rows if r.doc_id == 8)
+
+
 def test_em_finds_reliabilities(spark):
     rnd = random.Random(4)
     rows = []

@@ -13,6 +13,10 @@ earlier document holds is deleted. Documents with the same words are copies: all
 first takes part. So no passage of `passage` words stays in any document but the first that holds it, and no group of
 documents is ever expanded into all its pairs. Words and windows are compared by 32 and 64-bit hashes.
 
+Whole text lines are compared too, of any length from `whole_lines` words on: a line, its white space evened out, stays in the
+first document that holds it and goes from all later ones, by one grouped minimum of a line's documents. However many
+documents hold a line, each is compared with that minimum alone.
+
 Long documents are taken in sections that overlap by more than a passage, so that the work on a pair is bounded.
 """
 
@@ -374,6 +378,39 @@ def _lines(docs: DataFrame, passage: int, line: int) -> DataFrame:
     return stored(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "lines")
 
 
+def _text_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, oid, key, start, n): the text lines of `least` words or more by a 128-bit hash of their words, stored."""
+    names = ["h1", "h2", "oid", "key", "start", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column("text").to_pylist(), []
+            for o, t, w in zip(batch.column("oid").to_pylist(), texts, word_hashes(iter(texts)), strict=True):
+                key, at = _digests(w)[0] ^ o, 0
+                for line in t.encode("utf-8", "surrogatepass").split(b"\n"):
+                    words = line.split()
+                    if len(words) >= least:
+                        out.append((*np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64).tolist(), o, key, at, len(words)))
+                    at += len(words)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+    return stored(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)), "text_lines")
+
+
+def _repeated_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(key, start, end, early) of the text lines that an earlier document holds, stored."""
+    lines = _text_lines(docs, least)
+    document = F.struct("oid", "key")
+    # a row a line that different documents hold; stored, so that both sides of the join can be split where a line is hot
+    held = lines.groupBy("h1", "h2").agg(F.min(document).alias("first"), F.max(document).alias("last"))
+    firsts = stored(held.where(F.col("first") < F.col("last")).select("h1", "h2", "first"), "first_lines")
+    later = lines.join(firsts, ["h1", "h2"]).where(document > F.col("first"))
+    found = stored(later.select("key", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("n")).cast("int").alias("end"), F.col("first.oid").alias("early")), "line_spans")
+    discard(lines, firsts)
+    return found
+
+
 def _sections_of(docs: DataFrame, wanted: DataFrame, passage: int, repeated: bool) -> DataFrame:
     """(key, sec, first, words) of the sections wanted (oid, key, sec), and of a few others, stored. words: 32-bit hashes."""
     spark = docs.sparkSession
@@ -405,14 +442,15 @@ def _oid(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
 
 
-def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> DataFrame:
+def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, whole_lines: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, key (of the id and the words), nth (1, 2, ... of rows with equal keys), n_words,
     removed_words, sources (doc_ids of the earlier documents that hold the blocks), spans (start and end of removed words,
     end exclusive).
 
     Documents are ordered by doc_id, null last, ties by a hash of their words. Null and empty texts have no words; of
     rows with one id and the same words all but the first lose everything, as copies of `passage` words or more do; no
-    rows give no rows; other columns are ignored.
+    rows give no rows; other columns are ignored. With whole_lines, text lines of so many words or more that an earlier
+    document holds go too; a line that only one document repeats stays.
     """
     if not 1 <= line < passage:
         raise ValueError("a line has fewer words than a passage")
@@ -461,9 +499,11 @@ def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) ->
     looked = placed.mapInArrow(first_worker, "key long, start int, early long").select("key", "start", (F.col("start") + passage).alias("end"), "early")
 
     found = copies.unionAll(aligned).unionAll(looked)
+    if whole_lines:
+        found = found.unionAll(repeated := _repeated_lines(each, whole_lines))
     early = F.sort_array(F.collect_set(F.when(F.col("early") != NO_ID, F.col("early"))))
     cut = stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("all"), early.alias("sources")), "cut")
-    discard(met, pairs, words)
+    discard(met, pairs, words, *([repeated] if whole_lines else []))
     cut = cut.select("key", _merge("all").alias("spans"), "sources")
 
     out = wholes.select("key", "oid", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).join(cut, "key", "left")
@@ -477,14 +517,15 @@ def removed_spans(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) ->
     return out.select(doc_id.alias("doc_id"), "key", "nth", "n_words", words_gone.alias("removed_words"), sources.alias("sources"), "spans")
 
 
-def dedup_lines(docs: DataFrame, passage: int = PASSAGE, line: int = LINE) -> DataFrame:
-    """docs with a column clean_text: the text without its removed words. Of repeated rows the first keeps its text.
+def dedup_lines(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, whole_lines: int | None = None) -> DataFrame:
+    """docs with a column clean_text: the text without its removed words (see removed_spans()).
 
-    A column of that name in docs is replaced. Null texts stay null.
+    Of repeated rows one keeps its text, any of them where other columns differ. A column of that name in docs is replaced,
+    null texts stay null, empty texts empty, texts of any length are cut whole, and no rows give no rows.
     """
     docs = docs.drop("clean_text")
     key, nth = free_name(docs, "k_key"), free_name(docs, "k_nth")
-    cuts = stored(removed_spans(docs, passage, line).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("nth").cast("int").alias(nth), "spans"), "removed").alias("f")
+    cuts = stored(removed_spans(docs, passage, line, whole_lines).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("nth").cast("int").alias(nth), "spans"), "removed").alias("f")
     numbered = docs.withColumn(key, _contents(text_of()).bitwiseXOR(_oid(docs))).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).alias("d")
     both = numbered.join(cuts, [key, nth], "left")
     clean = F.when(F.col("f.spans").isNull(), F.col("d.text")).otherwise(_cut(F.col("d.text"), F.col("f.spans.start"), F.col("f.spans.end")))

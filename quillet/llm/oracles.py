@@ -49,18 +49,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN nl ON d.doc_id = nl.doc_id
 """
 
-#: What op7's alignment and lookups come to: the words in windows of 50 that an earlier document holds.
+#: What op7's alignment and lookups come to: words in windows of 50, and in lines of 5 or more, that an earlier document holds.
 OP7 = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 c AS (SELECT doc_id, len(w) AS n, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS f FROM d),
 x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 r AS (SELECT doc_id, i, f FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS f FROM x) WHERE f < doc_id),
-p AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i - 1, i + 49)) AS p FROM r)),
+k AS (SELECT doc_id, nr, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM d)),
+m AS (SELECT doc_id, array_to_string(w, ' ') AS line, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY nr) - len(w) AS a FROM k),
+q AS (SELECT doc_id, a, n, f FROM (SELECT doc_id, a, n, min(doc_id) OVER (PARTITION BY line) AS f FROM m WHERE n >= 5) WHERE f < doc_id),
+p AS (SELECT doc_id, unnest(range(i - 1, i + 49)) AS p FROM r UNION SELECT doc_id, unnest(range(CAST(a AS BIGINT), CAST(a + n AS BIGINT))) AS p FROM q),
 s AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM p) GROUP BY doc_id, grp),
 t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS removed_words, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s GROUP BY doc_id),
-e AS (SELECT doc_id, min(f) AS f FROM r GROUP BY doc_id)
-SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_words, coalesce(t.removed_words, 0) AS removed_words, CASE WHEN t.doc_id IS NOT NULL THEN (CASE WHEN c.f < c.doc_id THEN c.f ELSE e.f END) END AS first_source, coalesce(t.spans, '') AS spans
-FROM c LEFT JOIN t ON t.doc_id = c.doc_id LEFT JOIN e ON e.doc_id = c.doc_id
+e AS (SELECT doc_id, min(f) AS f FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, min(f) AS f FROM q GROUP BY doc_id)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_words, coalesce(t.removed_words, 0) AS removed_words, least(CASE WHEN c.f < c.doc_id AND c.n >= 50 THEN c.f ELSE e.f END, g.f) AS first_source, coalesce(t.spans, '') AS spans
+FROM c LEFT JOIN t ON t.doc_id = c.doc_id LEFT JOIN e ON e.doc_id = c.doc_id LEFT JOIN g ON g.doc_id = c.doc_id
 """
 
 OP9 = r"""

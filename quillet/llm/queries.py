@@ -36,7 +36,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linedup.removed_spans(table(spark, sf_dir, "documents"))
+    found = linedup.removed_spans(table(spark, sf_dir, "documents"), whole_lines=5)
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", "n_words", "removed_words", F.array_min("sources").alias("first_source"), spans.alias("spans"))
 

@@ -269,3 +269,24 @@ def test_repeated_rows(spark):
     got = [(r.doc_id, r.clean_text) for r in linedup.dedup_lines(df).collect()]
     assert sorted(got, key=repr) == sorted([(1, a), (1, ""), (2, b), (2, b), (None, ""), (None, line("c", 60)), (3, None)], key=repr)
     assert sorted((r.removed_words, r.sources) for r in linedup.removed_spans(df).collect()) == [(0, []), (0, []), (0, []), (0, []), (0, []), (80, [1]), (80, [1])]
+
+
+def test_short_lines_go_from_later_documents(spark):
+    note, other = "all rights reserved by us", "only   one\tdocument says  this"
+    rows = [(i, f"own{i} a b c d e f g\n{note}\nx{i} y z\n  {note} ", "s") for i in range(9, 0, -1)]
+    rows += [(20, f"{other}\n{other}", "s"), (21, "only one document says this", "s"), (22, None, "s"), (23, "", "s"), (None, f"{note}\nrest", "s"), (3, f"{note}\nanother text of the id three", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    got = sorted((r.doc_id if r.doc_id is not None else 99, sorted((s.start, s.end) for s in r.spans), sorted(r.sources)) for r in linedup.removed_spans(docs, whole_lines=5).collect())
+    spans = [(8, 13), (16, 21)]
+    want = [(1, [], [])] + [(i, spans, [1]) for i in range(2, 10)] + [(3, [(0, 5)], [1]), (20, [], []), (21, [(0, 5)], [20]), (22, [], []), (23, [], []), (99, [(0, 5)], [1])]
+    assert got == sorted(want)
+    clean = {r.doc_id: r.clean_text for r in linedup.dedup_lines(docs, whole_lines=5).where("doc_id <> 3").collect()}
+    assert clean[2] == "own2 a b c d e f g\nx2 y z" and clean[1] == rows[8][1] and clean[21] == "" and clean[22] is None
+    assert all(not r.spans for r in linedup.removed_spans(docs).collect())
+    assert linedup.removed_spans(docs.where("false"), whole_lines=5).count() == 0
+
+
+def test_a_line_that_a_third_of_all_documents_hold(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("the very same words again\nown "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("nothing shared here at all "), F.col("id").cast("string"))).alias("text"))
+    got = linedup.removed_spans(docs, whole_lines=5).where("removed_words > 0")
+    assert got.count() == 1999 and got.where("removed_words <> 5 or sources[0] <> 0").count() == 0

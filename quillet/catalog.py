@@ -13,6 +13,7 @@ from .operators import multiset, routing, scores, stats
 from .plans.pairs import adjacent_pairs, history_pairs
 from .registry import ORACLES, QUERIES, query
 from .registry import table as _table
+from .sources.shared import stored
 
 EOS = "<|end|>"
 
@@ -316,7 +317,8 @@ def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_composite_sql(languages.SWIFT_KEYWORDS)} SELECT pair_id, {_PARTS}, false AS is_total FROM c UNION ALL SELECT NULL AS pair_id, {_MEANS}, true AS is_total FROM c")
 def corpus_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scores.corpus_details(scores.composite(_code_pairs(spark, sf_dir), "swift")))
+    """The scores are stored first: rows and means then read them, and no text is parsed twice."""
+    return _rounded(scores.corpus_details(stored(scores.composite(_code_pairs(spark, sf_dir), "swift"), "scores")))
 
 
 #: A point for either language, and none: there the parser decides, so the text stays free of brackets.
@@ -357,10 +359,10 @@ def score_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["run_stats"].replace(" GROUP BY event_type HAVING count(value) > 0", "").replace("SELECT event_type, ", "SELECT "))
 def stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics file of all events, written and read again (into a folder that the session shares)."""
+    """The statistics file of all events, one file of the name asked for, written and read again (in the session's shared folder)."""
     from .sources.records import read_statistics, write_statistics
     from .sources.shared import fresh_path
 
-    path = fresh_path(spark, "statistics")
-    write_statistics(stats.statistics(_table(spark, sf_dir, "events"), "value"), path)
+    path = fresh_path(spark, "statistics") + ".csv"
+    write_statistics(stats.statistics(_table(spark, sf_dir, "events"), "value"), path, single=True)
     return _rounded(read_statistics(spark, path).withColumn("Count", F.col("Count").cast("long")))

@@ -12,6 +12,7 @@ from .operators.ordinals import OrdinalIndex
 from .plans.pairs import adjacent_pairs
 from .registry import query, table
 from .sources.lines import read_records
+from .sources.records import write_observed
 from .sources.shared import fresh_path
 
 _RECORD = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())])
@@ -103,3 +104,12 @@ _FAILS = "SELECT '{0} ' || CASE WHEN contains({0}, 'th') THEN 'tree: ValueError'
 def score_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores that took a default because a text's tree or edges failed, counted by kind."""
     return scores.failure_counts(scores.composite(adjacent_pairs(spark, sf_dir), "dart", parsers={"dart": _fragile}, failures=True))
+
+
+@query("SELECT count(*) AS seen, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(*) AS written FROM events")
+def observed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their value as the score, written; what the write itself has seen, and the rows that can be read."""
+    path = fresh_path(spark, "scores")
+    seen = write_observed(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), lambda df: df.write.parquet(path), "value")
+    total, mean = (F.lit(x).cast("double") for x in (seen.total, seen.mean))
+    return spark.read.parquet(path).agg(F.count("*").alias("written")).select(F.lit(seen.rows).cast("long").alias("seen"), F.round(total, 4).alias("total"), F.round(mean, 6).alias("mean"), "written")

@@ -115,7 +115,12 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 0) -> DataFrame:
-    """docs as mixed: each row, with all its columns, as often as the mix takes it."""
+    """docs as mixed: each row, with all its columns, as often as the mix takes it.
+
+    Null and empty texts have no words and are never taken; a null source is a source of its own, the last; rows that are
+    equal in id and text are taken in turn, each with its own columns; texts of any length are taken whole; extra columns pass
+    through whatever their names; no rows give no rows.
+    """
     place, times = free_name(docs, "k_place"), free_name(docs, "k_times")
     numbered = stored(docs.withColumn(place, F.monotonically_increasing_id()), "numbered")
     sized = stored(_sized(numbered, seed, place).withColumnRenamed(place, "place"), "sized")

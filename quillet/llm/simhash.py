@@ -233,7 +233,12 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 5,
 
 
 def keep_one_per_group(docs: DataFrame, bits: int = 4, words_per_shingle: int = 5) -> DataFrame:
-    """The rows of docs with all but one of each component left out: the least doc_id stays, ties by text hash."""
+    """The rows of docs with all but one of each component left out: the least doc_id stays, ties by text hash.
+
+    Null and empty texts have fingerprint zero and are one component with all that is near it; a null doc_id stays only if its
+    component has no other; of rows equal in id and text one stays; texts of any length are compared whole; extra columns
+    pass through whatever their names; no rows give no rows.
+    """
     found = stored(near_duplicates(docs, bits, words_per_shingle).select("doc_id", "text_key", "root"), "groups")
     a, b = free_name(docs, "k_id"), free_name(docs, "k_text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")

@@ -152,13 +152,13 @@ def brute_lines(rows, limits):
     """(removed_words, depleted, clean text) of each row (doc_id, text, source), by hosts."""
     norm = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", x).strip(" ").lower()
     lines = lambda t: [x for x in (t or "").split("\n") if re.search(SPACE, x)]
-    holders, hosts, out = defaultdict(set), Counter(), []
+    holders, hosts, out = defaultdict(set), defaultdict(set), []
     for _, t, s in rows:
         mine = [norm(x) for x in lines(t)]
-        hosts[s] += 1
+        hosts[s].add(tuple(mine))
         for x in mine:
             holders[s, x].add(tuple(mine))
-    bad = {k for k, v in holders.items() if len(v) > limits.max_line_docs and len(v) > limits.max_line_share * hosts[k[0]]}
+    bad = {k for k, v in holders.items() if len(v) > limits.max_line_docs and len(v) > limits.max_line_share * len(hosts[k[0]])}
     for _, t, s in rows:
         gone = sum(len(re.findall(SPACE, x)) for x in lines(t) if (s, norm(x)) in bad)
         clean = t if not gone else "\n".join(x for x in t.split("\n") if (s, norm(x)) not in bad)

@@ -18,8 +18,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SILENT = ("script", "style", "template", "textarea", "title", "noscript", "iframe", "svg", "math", "object", "select", "option", "head")
+#: Elements whose content is taken for no text, up to their end tag.
 RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math", "select")
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption colgroup thead tbody tfoot tr td th ul button".split())
 #: Table parts that a start tag closes, and those beyond which it looks no further.

@@ -1,17 +1,19 @@
 """Multiset operators over pairs of texts: pairs (pair_id, refs array<string>, hyp string).
 
 A pair's texts are tokenised once, in its own row. All that is to be counted of a pair (n-grams of every order, labels)
-is exploded as (side, kind, item) after the pairs were dealt out by pair_id, so that one exchange of texts serves every
-count, clip and sum. A pair_id names one pair: rows that repeat it are pooled, not scored apart.
+is an array of (side, kind, item) made after the pairs were dealt out by pair_id, so that one exchange of texts serves
+every count, clip and sum. A pair_id names one pair: rows that repeat it are clipped apart and their sums are pooled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import KEYWORD_WEIGHT
-from ..functions.text import ngrams, tokenize
+from ..functions.text import bound, ngrams, tokenize
 
 HYP = -1
 ITEM = "array<struct<side:int,kind:int,item:string>>"
@@ -55,18 +57,48 @@ def clipped(items: DataFrame, keys: list[str]) -> DataFrame:
     return both.where("n is not null").select("pair_id", *keys, "n", F.least("n", "r").alias("common"))
 
 
+def _runs(values: Column, names: tuple[str, ...], of: Callable[[Column, Column], Column]) -> Column:
+    """of(first place, length) of every run of neighbours in an array of structs that agree in these fields."""
+
+    def begins(x: Column, i: Column) -> Column:
+        differs = F.lit(False)
+        for name in names:
+            differs = differs | (x[name] != F.get(values, i - 1)[name])
+        return F.when((i == 0) | differs, i)
+
+    each = lambda starts: F.transform(starts, lambda p, k: of(p, F.coalesce(F.get(starts, k + 1), F.size(values)) - p))
+    return bound(F.filter(F.transform(values, begins), lambda p: p.isNotNull()), each)
+
+
+def clipped_array(items: Column) -> Column:
+    """array of (side, kind, item) -> array of (kind, item, n, common) of the hypothesis's items, found in the row itself.
+
+    Sorted, equal items stand side by side, the hypothesis's first: runs of one side are its count, runs of all sides an item.
+    """
+    in_order = F.sort_array(F.transform(items, lambda x: F.struct(x["kind"].alias("kind"), x["item"].alias("item"), x["side"].alias("side"))))
+
+    def counts(s: Column) -> Column:
+        field = lambda p, name: F.get(s, p)[name].alias(name)
+        return _runs(s, ("item", "side", "kind"), lambda p, n: F.struct(field(p, "kind"), field(p, "item"), field(p, "side"), n.cast("long").alias("n")))
+
+    def clip(c: Column) -> Column:
+        field = lambda p, name: F.get(c, p)[name].alias(name)
+        most = lambda p, n: F.when(n == 1, 0).otherwise(F.array_max(F.slice(c, p + 2, n - 1)["n"]))
+        own = lambda p, n: F.struct(field(p, "kind"), field(p, "item"), field(p, "n"), F.least(field(p, "n"), most(p, n)).alias("common"))
+        return F.filter(_runs(c, ("item", "kind"), lambda p, n: F.when(F.get(c, p)["side"] == HYP, own(p, n))), lambda x: x.isNotNull())
+
+    return bound(bound(in_order, counts), clip)
+
+
 def clipped_items(rows: DataFrame, items: Column, carried: tuple[str, ...] = ()) -> DataFrame:
     """rows (pair_id, ...) -> (pair_id, carried, kind, item, n, common): clipped() over an array of (side, kind, item).
 
-    Every pair keeps a row, if only one without an item (n and common 0), that bears its carried columns.
+    Every pair keeps a row, if only one without an item (n and common 0), that bears its carried columns. Items are counted in
+    their own row: no table of all items is grouped, sorted or spilled.
     """
     keys = ["pair_id", *carried]
-    each = rows.select(*keys, F.explode_outer(items).alias("x")).select(*keys, "x.side", "x.kind", "x.item")
-    counts = each.groupBy(*keys, "side", "kind", "item").agg(F.count("*").alias("c"))
-    own = F.coalesce(F.max(F.when(F.col("side") == HYP, F.col("c"))), F.lit(0))
-    most = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0))
-    both = counts.groupBy(*keys, "kind", "item").agg(own.alias("n"), most.alias("r"))
-    return both.select(*keys, "kind", "item", "n", F.least("n", "r").alias("common"))
+    each = rows.select(*keys, F.explode_outer(clipped_array(items)).alias("x"))
+    return each.select(*keys, "x.kind", "x.item", F.coalesce("x.n", F.lit(0)).alias("n"), F.coalesce("x.common", F.lit(0)).alias("common"))
 
 
 def gram_counts(pairs: DataFrame, order: int = 4) -> DataFrame:

@@ -3,7 +3,8 @@
 Texts are dealt out once by their key and cut into tokens there; everything else is windows over a key's tokens in order.
 An opening token counts +1, a closing one -1, and their running sum is the depth. A node's parent is the last node one level
 up; the innermost of nested intervals around a place is found in the same way. All windows start with the key, so the tokens
-are not dealt out again. A text's tokens are one window: a single text of any length is sorted and spilled, never an array.
+are not dealt out again, and partitions of about a million characters (operators.dealing) keep what a task sorts small. A
+text's tokens are one window: a single text of any length is sorted and spilled, never an array.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_CLASS, WORD_CLASS
+from .dealing import dealt
 
 #: Elements that never hold anything.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -36,7 +38,7 @@ def markup_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     """
     clean = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "")
     listed = F.concat(F.array(F.lit(ROOT)), F.regexp_extract_all(clean, F.lit(MARKUP), F.lit(0)))
-    tokens = pages.repartition(key).select(F.col(key).alias("key"), F.posexplode(listed).alias("at", "token"))
+    tokens = dealt(pages, key, F.col(html)).select(F.col(key).alias("key"), F.posexplode(listed).alias("at", "token"))
     name = F.lower(F.regexp_extract("token", TAG, 1))
     kind = F.when(F.col("at") == 0, ROOT).when(F.startswith("token", F.lit("<")), name).when(F.col("token").rlike(r"[^\x20\x09-\x0D]"), TEXT).otherwise("")
     sign = F.when(F.col("at") == 0, 0).when(F.startswith("token", F.lit("</")), -1).when(F.startswith("token", F.lit("<")) & ~F.col("type").isin(*VOID), 1).otherwise(0)
@@ -96,7 +98,7 @@ def code_tokens(codes: DataFrame, key: str, code: str) -> DataFrame:
     inside itself). A closing bracket without an open one opens nothing below zero.
     """
     found = F.regexp_extract_all(F.coalesce(F.col(code), F.lit("")), F.lit(CODE), F.lit(0))
-    tokens = codes.repartition(key).select(F.col(key).alias("key"), F.posexplode(found).alias("at", "token"))
+    tokens = dealt(codes, key, F.col(code)).select(F.col(key).alias("key"), F.posexplode(found).alias("at", "token"))
     tokens = tokens.select("key", "at", "token", _kind(F.col("token")).alias("kind")).where("kind <> 'c'")
     w = Window.partitionBy("key").orderBy("at")
     sign = F.when(F.col("kind") == "o", 1).when(F.col("kind") == "x", -1).otherwise(0)

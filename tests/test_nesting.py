@@ -112,3 +112,10 @@ def test_decimals(spark, places):
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
     got = [row["s"] for row in df.select(text.decimals(F.col("v"), places).alias("s")).collect()]
     assert got == [*(f"{v:.{places}f}" for v in values), None]
+
+
+def test_partitions_grow_with_the_texts(spark):
+    """About a million characters a partition, which adaptive execution leaves as they are."""
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), 100_000).alias("t")).coalesce(1)
+    assert nesting.code_tokens(df, "id", "t").rdd.getNumPartitions() == 4
+    assert nesting.markup_nodes(df, "id", "t").rdd.getNumPartitions() == 4

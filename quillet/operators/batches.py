@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from ..sources.shared import free_name
 
 SIZE = 4
+#: Bytes of rows whose answers map_batches() keeps before it hands them on.
+HELD_BYTES = 1 << 20
 #: What set-up functions have returned in this worker process, by the call of map_batches() that they belong to.
 _READY: dict[str, Callable] = {}
 Batch = dict[str, list]
@@ -68,7 +70,9 @@ def map_batches(df: DataFrame, setup: Callable[[], Callable[[Batch], Batch]], ou
 
     setup() runs once in a worker process (a model is loaded there) and returns the function, which takes the columns named in
     inputs (all, if none are) as lists of at most `size` values and returns the lists of the output columns, as long. Another
-    number of values, or other columns, raise. Columns of df that outputs names are replaced.
+    number of values, or other columns, raise. Columns of df that outputs names are replaced. Answers are handed on after about
+    a megabyte of rows, so a worker holds one of Spark's Arrow batches (spark.sql.execution.arrow.maxRecordsPerBatch) and
+    little else, however many rows there are.
     """
     added = outputs if isinstance(outputs, StructType) else StructType.fromDDL(outputs)
     names, kept = added.fieldNames(), [c for c in df.columns if c not in added.fieldNames()]
@@ -83,7 +87,7 @@ def map_batches(df: DataFrame, setup: Callable[[], Callable[[Batch], Batch]], ou
             _READY[call] = setup()
         function = _READY[call]
         for batch in batches:
-            found: Batch = {n: [] for n in names}
+            found, first, held = {n: [] for n in names}, 0, 0
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 out = function({c: part.column(c).to_pylist() for c in taken})
@@ -91,6 +95,10 @@ def map_batches(df: DataFrame, setup: Callable[[], Callable[[Batch], Batch]], ou
                     raise ValueError(f"a batch of {part.num_rows} rows gave {({k: len(v) for k, v in out.items()})}; the columns {names} are declared")
                 for n in names:
                     found[n] += out[n]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(found[n], kinds.field(n).type) for n in names)], [*kept, *names])
+                behind, held = at + part.num_rows, held + part.nbytes
+                if held >= HELD_BYTES or behind == batch.num_rows:
+                    own = batch.slice(first, behind - first)
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *(pa.array(found[n], kinds.field(n).type) for n in names)], [*kept, *names])
+                    found, first, held = {n: [] for n in names}, behind, 0
 
     return df.mapInArrow(run, schema)

@@ -125,6 +125,27 @@ def test_map_batches(spark):
     assert batches.map_batches(df.where("false"), setup, "out long, seen array<long>").count() == 0
 
 
+def test_map_batches_hands_answers_on(spark):
+    """A worker keeps the answers to about a megabyte of rows, not those to one of Spark's batches of 10,000."""
+    df = spark.range(2000, numPartitions=1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def setup():
+        live = [0]
+
+        class Answer(str):
+            def __del__(self):
+                live[0] -= 1
+
+        def run(batch):
+            live[0] += len(batch["id"])
+            return {"out": [Answer(i) for i in batch["id"]], "live": [live[0]] * len(batch["id"])}
+
+        return run
+
+    got = batches.map_batches(df, setup, "out string, live long", ["id"]).select("id", "out", "live").collect()
+    assert [(r.id, r.out) for r in got] == [(i, str(i)) for i in range(2000)] and max(r.live for r in got) < 300
+
+
 def test_states_merge(spark, tmp_path):
     path = str(tmp_path / "states")
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("language"), (1e5 + F.sin("id")).alias("score"), "id")
